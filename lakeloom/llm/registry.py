@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import mixing, quality
+from lakeloom.llm import licenses, linededup, mixing, quality, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": urlfilter.op2_url_filter,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_line_dedup": linededup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": urlfilter.ORACLE_OP2}
