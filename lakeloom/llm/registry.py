@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import licenses, linededup, mixing, quality, urlfilter
+from lakeloom.llm import binout, licenses, linededup, mixing, packing, quality, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_pack": packing.op1_pack,
         "op2_url_filter": urlfilter.op2_url_filter,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_token_files": binout.op7_token_files,
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_line_dedup": linededup.op10_line_dedup,
