@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import tokens as tok
-from lakeloom.llm.common import materialize, table
+from lakeloom.llm.common import materialize, ship_package, table
 
 #: Bits of the frequency scale; lower bound of a state; lanes of a block; steps between checkpoints; ids of a block; end id.
 SCALE, LOW, LANES, EVERY, BLOCK_IDS, END_ID = 20, 1 << 31, 1024, 256, 1 << 20, 0
@@ -135,6 +135,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
     crc32 of its ids. Files are written by Spark's committer, so that lost executors leave no half blocks.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     enc = tok.encoder(path)
     kind, vocabulary = enc.kind.str, enc.tokenizer.get_vocab_size()
     rows = encode_sorted(docs, path, end_id)
@@ -177,6 +178,7 @@ def read_blocks(files: DataFrame, freq: np.ndarray) -> DataFrame:
 
     Starts come from the blocks' own headers: ids of earlier parts (one row per part) and of earlier blocks.
     """
+    ship_package(files.sparkSession)
     shared = files.sparkSession.sparkContext.broadcast(freq)
 
     def decode(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import tokens as tok
-from lakeloom.llm.common import distributed_rank, materialize, running_total, table
+from lakeloom.llm.common import distributed_rank, materialize, running_total, ship_package, table
 
 #: Ids of a sequence; width of a length class; most documents of one combination; id that ends a document.
 WINDOW, UNIT, DEPTH, END_ID = 4096, 16, 3, 2
@@ -21,6 +21,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, columns: list[str] | None
     again: a text is encoded once. Bounded memory: a task holds one Arrow batch and a bounded cache of pieces.
     """
     columns = columns or ["doc_id"]
+    ship_package(docs.sparkSession)
 
     def encode(batches):
         enc = tok.encoder(path)
