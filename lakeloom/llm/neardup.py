@@ -15,7 +15,7 @@ SHINGLE, PERCENT = 5, 85
 #: Minwise values of a document; independent trees; children that a node picks for each of its documents.
 VALUES, TREES, BRANCHES = 64, 8, 2
 #: Nodes up to this size are compared exhaustively; larger ones branch, up to this depth; then blocks of this size are compared.
-LEAF, DEPTH = 128, 12
+LEAF, DEPTH = 512, 12
 #: Agreeing minwise values, of ``VALUES``, below which a pair isn't confirmed: five standard deviations under 85 in 100.
 AGREE = 40
 #: Most ids that a semi-join may broadcast (16 bytes each).
@@ -190,35 +190,39 @@ def _sets(batches):
 
 
 def _confirm(batches):
-    """Links of a cluster, each confirmed on full sets, enough to join what belongs together (at most members - 1)."""
+    """What a cluster's links join, each link confirmed on full sets: (smallest member, member) of each group found.
+
+    A member meets all others in one pass over the cluster's shingles; members that are joined already are not compared.
+    """
     for t in _grouped(batches, "cluster"):
         cluster, vid = t.column("cluster").to_numpy(), t.column("vid").to_numpy()
         raw = t.column("shingles")
         a_out, b_out = [], []
         for lo, hi in _split(cluster):
             sets = [np.frombuffer(raw[i].as_py(), dtype=np.uint64) for i in range(lo, hi)]
-            size = np.asarray([len(s) for s in sets])
-            k = hi - lo
-            root = np.arange(k)
-            first = np.concatenate([[0], np.cumsum(size)])
+            order = np.argsort(vid[lo:hi])
+            sets, ids = [sets[i] for i in order], vid[lo:hi][order]
+            size = np.asarray([len(x) for x in sets])
+            first = np.cumsum(size) - size
+            root = np.arange(hi - lo)
             _, which = np.unique(np.concatenate(sets), return_inverse=True)
-            has = np.zeros(int(which.max()) + 1, dtype=bool)
-            for i in range(k - 1):
-                rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-                if not len(rest):
+            has = np.zeros(int(which.max()) + 1, dtype=np.int32)
+            for i in range(hi - lo - 1):
+                if (root[i + 1 :] == root[i]).all():
                     continue
-                own = which[first[i] : first[i + 1]]
-                has[own] = True
-                for j in rest.tolist():
-                    if root[j] != root[i] and 100 * min(size[i], size[j]) >= PERCENT * max(size[i], size[j]):
-                        both = int(has[which[first[j] : first[j + 1]]].sum())
-                        if 100 * both >= PERCENT * (size[i] + size[j] - both):
-                            a_out.append(vid[lo + i])
-                            b_out.append(vid[lo + j])
-                            root[root == root[j]] = root[i]
-                has[own] = False
+                own = which[first[i] : first[i] + size[i]]
+                has[own] = 1
+                both = np.add.reduceat(has[which], first)
+                has[own] = 0
+                linked = np.flatnonzero((100 * both >= PERCENT * (size[i] + size - both)) & (root != root[i]))
+                for r in np.unique(root[linked]).tolist():
+                    low, high = min(r, root[i]), max(r, root[i])
+                    root[root == high] = low
+            joined = np.flatnonzero(root != np.arange(hi - lo))
+            a_out.append(ids[root[joined]])
+            b_out.append(ids[joined])
         if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out), pa.int64()), pa.array(np.concatenate(b_out), pa.int64())], ["a", "b"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -226,9 +230,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every round links vertices straight to smaller ones, with map-side
     minima, and the number of rounds grows with the logarithm of the longest path. Lineage is cut each round; nothing but
-    one count reaches the driver. A vertex of any degree is spread over tasks by the minimum's partial aggregation.
+    one count and one checksum reach the driver. A vertex of any degree is spread over tasks by the minimum's partial aggregation.
     """
     links = materialize(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).head())
+    before = mark(links)
     while True:
         # large star: link every larger neighbour of a vertex, and itself, to the smallest of its neighbourhood
         both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
@@ -237,11 +243,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: link the smaller neighbours of a vertex, and itself, to the smallest of them
         lower = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lower, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
-        done = materialize(small, "links")
-        same = done.exceptAll(links).isEmpty() and links.exceptAll(done).isEmpty()
-        links = done
-        if same:
+        links = materialize(small, "links")
+        after = mark(links)
+        if after == before:
             break
+        before = after
     return links.select(F.col("v").alias("vid"), F.col("u").alias("root"))
 
 
