@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import binout, licenses, linededup, mixing, packing, quality, urlfilter
+from lakeloom.llm import binout, licenses, linededup, mixing, neardup, neighbours, packing, pii, quality, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_pack": packing.op1_pack,
         "op2_url_filter": urlfilter.op2_url_filter,
+        "op3_neighbours": neighbours.op3_neighbours,
+        "op4_near_dedup": neardup.op4_near_dedup,
+        "op5_personal_data": pii.op5_personal_data,
         "op6_mix_sources": mixing.op6_mix_sources,
         "op7_token_files": binout.op7_token_files,
         "op8_license_scan": licenses.op8_license_scan,
