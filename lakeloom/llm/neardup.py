@@ -12,10 +12,11 @@ from lakeloom.llm.tokens import word_hashes
 
 #: Words of a shingle; hundredths of similarity from which documents are linked.
 SHINGLE, PERCENT = 5, 85
-#: Minwise values of a document; independent trees; children that a node picks for each of its documents.
-VALUES, TREES, BRANCHES = 64, 8, 2
+#: Minwise values of a document; independent trees; hundredths of children that a node picks on average for each of its
+#: documents: 1 / 0.85, so that paths of pairs at the limit neither die out soon nor multiply, and those of others fade.
+VALUES, TREES, BRANCHES = 64, 16, 118
 #: Nodes up to this size are compared exhaustively; larger ones branch, up to this depth; then blocks of this size are compared.
-LEAF, DEPTH = 512, 12
+LEAF, DEPTH = 1024, 32
 #: Agreeing minwise values, of ``VALUES``, below which a pair isn't confirmed: five standard deviations under 85 in 100.
 AGREE = 40
 #: Most ids that a semi-join may broadcast (16 bytes each).
@@ -80,7 +81,8 @@ def _leaves(classes: DataFrame) -> DataFrame:
     """Distinct small nodes of all trees as sorted arrays ``members`` of class ids (``vid``).
 
     A tree sends each class to the node of its minwise value at the tree's own place. A node of more than ``LEAF`` classes
-    chooses ``BRANCHES`` places (by its name) and sends each member to its child of that place and value. Sizes are counted
+    chooses one or two places (by its name, 1.18 on average) and sends each member to its child of that place and value.
+    So paths of a pair multiply by 1.18 times its similarity at each level: kept up at 0.85, fading below. Sizes are counted
     with map-side combine and nodes of one are dropped, so that a level holds only what still shares a path. What is
     still large at ``DEPTH`` (near copies by the ten thousand that no value parts) is cut into blocks, and every pair of
     blocks becomes a node: exact, at a cost that grows with the square of that node alone.
@@ -98,8 +100,10 @@ def _leaves(classes: DataFrame) -> DataFrame:
             break
         if depth < DEPTH:
             place = lambda b: TREES + F.pmod(F.xxhash64(F.col("node"), b), F.lit(VALUES - TREES)).cast("int")
-            child = F.transform(F.sequence(F.lit(1), F.lit(BRANCHES)), lambda b: F.xxhash64("node", b, F.get("mins", place(b))))
-            nodes = large.join(classes.select("vid", "mins"), "vid").select("vid", F.explode(child).alias("node"))
+            second = (F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(100)) < BRANCHES - 100).cast("int")
+            child = F.transform(F.sequence(F.lit(1), 1 + second), lambda b: F.xxhash64("node", b, F.get("mins", place(b))))
+            carried = large if depth else large.join(classes.select("vid", "mins"), "vid")
+            nodes = carried.select("vid", "mins", F.explode(child).alias("node"))
         else:
             blocks = F.ceil(F.col("size") / (LEAF // 2)).cast("int")
             own = F.pmod(F.xxhash64("vid"), blocks).cast("int")
@@ -257,7 +261,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents with one shingle set are one class and linked (groups of copies of any size become one row, by map-side
     minima). The chosen-path trees find candidates among classes; these are confirmed on full sets, whose texts are
     read again for candidates only. Links that a node confirms form a forest, never all its pairs. A pair at the limit shares
-    one of eight roots and, in large nodes, a path below it; it is missed with a probability under 1 in 10,000.
+    a root node with probability 0.85 in each of 16 trees, and below a large one a path of d levels with about
+    1 / (1 + 0.13 d): missed with a probability under 1 in 10,000 at d = 8, and pairs of one group are joined by others too.
     Documents without words are linked with nothing and kept. Rows with one id and different sets are linked by id only
     if their sets are; a null id is linked, never a component's id unless nothing else is there, and then not kept twice.
     """
