@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import binout, licenses, linededup, mixing, neardup, neighbours, packing, pii, quality, urlfilter
+from lakeloom.llm import binout, licenses, linededup, mixing, neardup, neighbours, oracles, packing, pii, quality, urlfilter
 
 
 def queries() -> dict:
@@ -21,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": urlfilter.ORACLE_OP2}
+    return {
+        "op2_url_filter": urlfilter.ORACLE_OP2,
+        "op4_near_dedup": oracles.NEAR_DEDUP,
+        "op10_line_dedup": oracles.LINE_DEDUP,
+    }
