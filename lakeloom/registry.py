@@ -339,3 +339,23 @@ _register("watermarks", lambda c: landing.watermark(c.derived("c_orders"), "orde
 _CONTRACT = landing.Contract("events", ("event_id", "ts", "shipment"), ("value", "region"))
 _register("schema_drift", lambda c: landing.drift(c.spark, _CONTRACT, c.source("events").columns), "SELECT 'events' AS dataset, * FROM (VALUES ('shipment', 'missing_required', 'ERROR'), ('region', 'missing_optional', 'WARN'), ('event_type', 'new_column', 'INFO'), ('props', 'new_column', 'INFO'), ('user_id', 'new_column', 'INFO')) v(\"column\", change, severity)", tables=False)
 _register("drift_gate", lambda c: landing.drift_gate(landing.drift(c.spark, _CONTRACT, c.source("events").columns)).withColumn("new_columns", F.array_join("new_columns", ",")), "SELECT CAST(1 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS warnings, CAST(3 AS BIGINT) AS infos, 'events.event_type,events.props,events.user_id' AS new_columns, FALSE AS passed", tables=False)
+
+
+# ---- telemetry
+
+
+def _telemetry(c: Commerce) -> DataFrame:
+    """Rule statistics of two runs, appended and read back: what the newest run broke."""
+    path = scratch(c.spark, "telemetry")
+    stats = rules.rule_passes(rules.statistics(_evaluated(c), _SUITE), _SUITE).withColumn("stage", F.lit("silver"))
+    for run, at in (("r1", "2026-01-01"), ("r2", "2026-01-02")):
+        landing.append_telemetry(stats.withColumn("checked_at", F.lit(at)), path, run)
+    return reads.rule_results(c.spark.read.parquet(path), failed_only=True).select("run_id", "rule_id", "failed", "passed")
+
+
+_register("read_rule_results", _telemetry, _EVAL + f"SELECT 'r2' AS run_id, rule_id, failed, failed <= total * 0.05 AS passed FROM (SELECT rule_id, count(*) FILTER (list_contains(rule_ids, rule_id) OR list_contains(quality_warnings, rule_id)) AS failed, count(*) AS total FROM e CROSS JOIN {_IDS} GROUP BY 1) WHERE failed > 0", tables=False)
+_register("read_quality_summary", lambda c: reads.quality_summary(rules.rule_passes(rules.statistics(_evaluated(c), _SUITE), _SUITE).withColumn("stage", F.lit("silver"))), _EVAL + f"SELECT 'silver' AS stage, count(*) AS rules, count(*) FILTER (failed <= total * 0.05) AS passed, count(*) FILTER (failed > total * 0.05) AS broken, CAST(sum(failed) AS BIGINT) AS failed_rows FROM (SELECT rule_id, count(*) FILTER (list_contains(rule_ids, rule_id) OR list_contains(quality_warnings, rule_id)) AS failed, count(*) AS total FROM e CROSS JOIN {_IDS} GROUP BY 1)", tables=False)
+_register("read_low_stock", lambda c: reads.low_stock(_turnover(c)).select("product_id", "days_of_cover", "turnover_ratio_90d"), "SELECT product_id, days_of_cover, turnover_ratio_90d FROM (" + _SQL["inventory_turnover"] + ") WHERE is_low_stock OR turnover_ratio_90d >= 1 ORDER BY days_of_cover NULLS LAST, product_id LIMIT 25", tables=False)
+_register("read_shipping_trend", lambda c: reads.shipping_by(marts.shipping_performance(c.enriched), "region_name", "order_month").select("region_name", "order_month", "shipments", "delivered"), "SELECT region_name, order_month, count(*) AS shipments, count(*) FILTER (is_delivered) AS delivered FROM enriched GROUP BY 1, 2")
+_register("assert_monthly_matches_daily", lambda c: marts.monthly_revenue(c.daily, c.fact_orders).select("year_month", "revenue_usd").join(c.daily.groupBy("year_month").agg(F.sum("revenue_usd").alias("d")), "year_month").where(F.abs(F.col("revenue_usd") - F.col("d")) > 0.01).select("year_month"), "SELECT order_month AS year_month FROM fact_orders WHERE FALSE")
+_register("overview", lambda c: reads.overview(c.daily, _ltv(c), _turnover(c), marts.shipping_performance(c.enriched)).drop("avg_delivery_days"), "SELECT CAST(sum(revenue_usd) AS DOUBLE) AS revenue_usd, CAST(sum(orders_placed) AS BIGINT) AS orders, max(sales_date) AS newest_day, (SELECT count(*) FROM (" + _LTV + ") WHERE lifecycle_stage = 'active') AS active_customers, (SELECT count(*) FROM (" + _SQL["inventory_turnover"] + ") WHERE is_low_stock) AS low_stock_products FROM daily")
