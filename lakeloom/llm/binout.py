@@ -113,7 +113,7 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
 
         enc, part, at = tok.encoder(path), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], dtype=enc.kind).tobytes()
-        for batch in batches:
+        for batch in tok.sliced(batches):
             ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
             n = np.asarray([len(x) // enc.kind.itemsize for x in ids], dtype=np.int64)
             before = at + np.cumsum(n) - n

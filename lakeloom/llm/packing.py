@@ -26,7 +26,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, columns: list[str] | None
     def encode(batches):
         enc = tok.encoder(path)
         end = np.asarray([end_id], dtype=enc.kind).tobytes()
-        for batch in batches:
+        for batch in tok.sliced(batches):
             ids = [x + end for x in enc.encode(batch.column("text").to_pylist())]
             n = pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())
             kept = [batch.column(c) for c in columns]

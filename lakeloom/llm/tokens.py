@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import zlib
@@ -12,11 +11,11 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most pieces whose ids a Python worker keeps, and bytes of text that it looks at together.
-CACHE_PIECES, CHUNK_BYTES = 1_000_000, 4 << 20
+CACHE_PIECES, CHUNK_BYTES = 3_000_000, 2 << 20
 #: White space beyond ASCII: texts that hold some are encoded as a whole.
 WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
-#: A piece of plain letters with plain punctuation around: its parts are encoded apart, so that words repeat more often.
-PLAIN = re.compile("(\n?)( ?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:|#$%&*)]*)")
+#: A piece that is one word of plain letters: many of these can be encoded in one text.
+PLAIN = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 
 
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -56,16 +55,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+def _bytes_of(*ranges: tuple[int, int]) -> np.ndarray:
+    found = np.zeros(256, dtype=bool)
+    for a, b in ranges:
+        found[a : b + 1] = True
+    return found
+
+
+_SPACE = _bytes_of((9, 13), (32, 32))
+_LETTER = _bytes_of((65, 90), (97, 122))
+_MARK = _bytes_of(*[(ord(c), ord(c)) for c in ".,!?;:|#$%&*)"])
+#: Second bytes of two-byte letters that begin with 0xC3.
+_TAIL = _bytes_of((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+
+
+def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Starts of pieces in joined texts (that start at ``first``): where white space begins, where it ends other than in a
+    space, and where plain punctuation follows a letter. No token crosses these places."""
+    space = _SPACE[raw]
+    begins = np.zeros(len(raw), dtype=bool)
+    begins[1:] = space[1:] & ~space[:-1]
+    begins[1:] |= ~space[1:] & space[:-1] & (raw[:-1] != 32)
+    letter = _LETTER[raw]
+    letter[1:] |= _TAIL[raw[1:]] & (raw[:-1] == 0xC3)
+    begins[1:] |= _MARK[raw[1:]] & letter[:-1]
+    begins[first] = True
+    return np.flatnonzero(begins)
 
 
 class PieceEncoder:
-    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, for tokenizers that never join two
-    characters across a change from other characters to ASCII white space.
+    """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, for tokenizers whose tokens never cross the
+    starts of ``piece_starts``.
 
-    Both public byte-pair tokenizers are such: every piece begins with its white space. Equal pieces of a chunk are found
-    by hash and encoded once; pieces seen before come from a bounded cache.
+    Both public byte-pair tokenizers are such: they split texts into white space, letters, digits and other characters,
+    with at most one space before, and merge only within these. Equal pieces of a chunk are found by 64-bit hash and encoded
+    once; pieces seen before come from sorted arrays of hashes and ids, bounded by ``CACHE_PIECES``.
     """
 
     def __init__(self, path: str):
@@ -73,66 +97,56 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        #: The tokenizer lower-cases and drops white space: then so do the keys of plain words.
-        self.folds = '"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
-        #: Two generations, so that what is used often stays: the younger fills, then replaces the older.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype=self.kind).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _parts(self, piece: str) -> tuple[list[str], str | None]:
-        """Keys whose ids follow each other in the piece, and which of them is one plain word."""
-        plain = PLAIN.fullmatch(piece)
-        if not plain:
-            return [piece], None
-        line, space, word, marks = plain.groups()
-        if self.folds:
-            line, word = "", word.lower()
-        else:
-            word = space + word
-        return [k for k in (line, word, marks) if k], word
-
-    def _learn(self, words: list[str], others: list[str], fresh: dict[str, bytes]) -> None:
-        """Ids of new keys. Plain words go through the library in one text, one word a line."""
-        if words:
-            done = self.tokenizer.encode("\n" + "\n".join(words), add_special_tokens=False)
-            of, ids = np.asarray(done.word_ids), np.asarray(done.ids, dtype=self.kind)
-            step = (int(of[-1]) + 1) // len(words) if len(of) else 0
-            if (int(of[-1]) + 1 if len(of) else 0) == step * len(words) and step in (1, 2):
-                wanted = np.arange(len(words)) * step + step - 1
-                lo, hi = np.searchsorted(of, wanted), np.searchsorted(of, wanted, side="right")
-                fresh.update((w, ids[a:b].tobytes()) for w, a, b in zip(words, lo.tolist(), hi.tolist(), strict=True))
-            else:
-                others = others + words
-        if others:
-            fresh.update((k, self._bytes(e.ids)) for k, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True))
-
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        young, old = self.young, self.old
-        keys, fresh, words, others = [], {}, [], []
-        for piece in pieces:
-            parts, word = self._parts(piece.decode("utf-8"))
-            for k in parts:
-                if k not in fresh:
-                    ids = young.get(k)
-                    if ids is None:
-                        ids = old.get(k)
-                        if ids is None:
-                            (words if k is word else others).append(k)
-                            fresh[k] = b""
-                            continue
-                    fresh[k] = ids
-            keys.append(parts)
-        self._learn(words, others, fresh)
-        young.update(fresh)
-        if len(young) > CACHE_PIECES // 2:
-            self.young, self.old = {}, young
-        return [fresh[k[0]] if len(k) == 1 else b"".join([fresh[x] for x in k]) for k in keys]
+        #: Strings that the library looks for before anything else: texts that hold one are encoded as a whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.offsets = np.zeros(0, dtype=np.int64)
+        self.lengths = np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(0, dtype=self.kind)
+        self.used = 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their lengths). Plain words go through the library in one text, one word a line."""
+        plain = [i for i, p in enumerate(pieces) if PLAIN.fullmatch(p)]
+        ids: list[np.ndarray] = [np.zeros(0, dtype=self.kind)] * len(pieces)
+        others = set(range(len(pieces)))
+        if plain:
+            done = self.tokenizer.encode("\n" + "\n".join([pieces[i] for i in plain]), add_special_tokens=False)
+            of, got = np.asarray(done.word_ids), np.asarray(done.ids, dtype=self.kind)
+            count = int(of[-1]) + 1 if len(of) else 0
+            step = count // len(plain)
+            if count == step * len(plain) and step in (1, 2):  # a line feed is a token of its own, or none
+                wanted = np.arange(len(plain)) * step + step - 1
+                lo, hi = np.searchsorted(of, wanted).tolist(), np.searchsorted(of, wanted, side="right").tolist()
+                for i, a, b in zip(plain, lo, hi, strict=True):
+                    ids[i] = got[a:b]
+                others -= set(plain)
+        rest = sorted(others)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = np.asarray(e.ids, dtype=self.kind)
+        return np.concatenate(ids), np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        if len(self.hashes) + len(pieces) > CACHE_PIECES:
+            self._forget()
+        ids, lengths = self._new(pieces)
+        if self.used + len(ids) > len(self.pool):
+            grown = np.zeros(max(2 * len(self.pool), self.used + len(ids), 1 << 16), dtype=self.kind)
+            grown[: self.used] = self.pool[: self.used]
+            self.pool = grown
+        self.pool[self.used : self.used + len(ids)] = ids
+        offsets = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
+        self.used += len(ids)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.offsets = np.insert(self.offsets, at, offsets)
+        self.lengths = np.insert(self.lengths, at, lengths)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers."""
@@ -141,8 +155,8 @@ class PieceEncoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not text.isascii() and WIDE_SPACE.search(text):
-                out[i] = self._whole(text)
+            if any(t in text for t in self.special) or not text.isascii() and WIDE_SPACE.search(text):
+                out[i] = self._whole(text).tobytes()
                 continue
             raw = text.encode("utf-8")
             at.append(i)
@@ -157,23 +171,24 @@ class PieceEncoder:
 
     def _chunk(self, at: list[int], chunk: list[bytes], out: list[bytes]) -> None:
         data = b"".join(chunk)
-        space = _SPACE[np.frombuffer(data, dtype=np.uint8)]
         first = np.zeros(len(chunk), dtype=np.int64)
         np.cumsum([len(c) for c in chunk[:-1]], out=first[1:])
-        begins = np.zeros(len(data), dtype=bool)
-        begins[1:] = space[1:] & ~space[:-1]
-        begins[first] = True
-        starts = np.flatnonzero(begins)
+        starts = piece_starts(np.frombuffer(data, dtype=np.uint8), first)
         ends = np.append(starts[1:], len(data))
-        _, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        got = self._pieces([data[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        width = self.kind.itemsize
-        lengths = np.fromiter((len(g) for g in got), dtype=np.int64, count=len(got)) // width
-        pool = np.frombuffer(b"".join(got), dtype=self.kind)
-        offsets = np.cumsum(lengths) - lengths
-        n = lengths[which]
+        hashes, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+
+        def known() -> tuple[np.ndarray, np.ndarray]:
+            place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+            return place, self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
+
+        place, hit = known()
+        while not hit.all():  # once, or twice where the cache had to be emptied
+            new = np.flatnonzero(~hit)
+            self._learn(hashes[new], [data[s:e].decode("utf-8") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            place, hit = known()
+        n = self.lengths[place][which].astype(np.int64)
         stop = np.cumsum(n)
-        ids = pool[np.repeat(offsets[which] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        ids = self.pool[np.repeat(self.offsets[place][which] - (stop - n), n) + np.arange(stop[-1])]
         cut = (stop - n)[np.searchsorted(starts, first)].tolist() + [len(ids)]
         for k, i in enumerate(at):
             out[i] = ids[cut[k] : cut[k + 1]].tobytes()
@@ -196,6 +211,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def sliced(batches, rows: int = 1000):
+    """The same rows in smaller Arrow batches, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def crc_of_ids(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())
