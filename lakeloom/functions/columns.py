@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "alias_code", "band", "boolean", "calendar_columns", "convert", "date", "date_key", "default_when_missing", "hours_between", "integer", "is_state",
+    "alias_code", "band", "boolean", "calendar_columns", "convert", "date", "date_key", "days_of_hours", "default_when_missing", "hours_between", "integer", "is_state",
     "lower", "month_of", "norm", "null_on_warning", "num", "parse_json", "ratio", "recompute", "sla_flag", "surrogate_key", "title", "ts", "upper", "within_tolerance",
 ]
 
@@ -130,9 +130,19 @@ def within_tolerance(a: Column, b: Column, absolute: str, relative: str) -> Colu
     return F.abs(F.coalesce(a, zero) - b) <= F.greatest(F.lit(absolute).cast("decimal(18,4)"), (b * F.lit(relative).cast("decimal(6,4)")).cast("decimal(18,4)"))
 
 
+def _hundredths(n: Column, d: int) -> Column:
+    """n / d in hundredths, rounded half away from zero, in whole numbers; n is a long."""
+    return F.signum(n) * F.floor((200 * F.abs(n) + d) / F.lit(2 * d))
+
+
 def hours_between(start: Column, end: Column) -> Column:
     """Hours from start to end, to two places; whole seconds are compared, so that no time zone matters."""
-    return F.round(F.timestamp_diff("SECOND", start, end) / F.lit(3600.0), 2)
+    return _hundredths(F.timestamp_diff("SECOND", start, end), 3600) / 100
+
+
+def days_of_hours(hours: Column) -> Column:
+    """Days, to two places, of hours with two places; null for negative ones."""
+    return F.when(hours >= 0, F.floor((200 * F.round(hours * 100).cast("long") + 2400) / F.lit(4800)) / 100)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -200,7 +200,7 @@ def shipping_performance(shipments: DataFrame) -> DataFrame:
     done = F.when(F.col("is_delivered"), F.col("delivery_days"))
     return shipments.groupBy("region_id", "region_name", "carrier", "order_month").agg(
         F.count(F.lit(1)).alias("shipments"), _n(F.col("is_delivered"), "delivered"), _n(F.col("had_exception"), "exceptions"), _n(F.col("is_returned"), "returned"), _mean(done).alias("avg_delivery_days"),
-        F.percentile(done, 0.5).alias("median_delivery_days"), F.percentile(done, 0.9).alias("p90_delivery_days"), _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"), _rate(F.col("had_exception")).alias("exception_rate"), F.max("base_delivery_days").alias("sla_days"),
+        F.round(F.percentile(done, 0.5), 6).alias("median_delivery_days"), F.round(F.percentile(done, 0.9), 6).alias("p90_delivery_days"), _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"), _rate(F.col("had_exception")).alias("exception_rate"), F.max("base_delivery_days").alias("sla_days"),
     )
 
 

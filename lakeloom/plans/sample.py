@@ -149,8 +149,8 @@ fact_items AS (SELECT i.order_id, i.line_number, i.product_id, p.category_id, p.
   FROM c_items i JOIN c_orders o USING (order_id) LEFT JOIN c_products p USING (product_id) LEFT JOIN rates r ON r.day = o.order_date AND r.currency = o.currency),
 inventory AS (SELECT *, CAST(sum(quantity_delta) OVER (PARTITION BY product_id, warehouse_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS on_hand_after, CAST(CAST(quantity_delta AS DECIMAL(5,0)) * unit_cost AS DECIMAL(18,2)) AS receipt_value_usd FROM c_stock_events),
 ship AS (SELECT shipment_id, order_id, arg_min(carrier, (event_ts, event_id)) FILTER (carrier IS NOT NULL) AS carrier, arg_min(warehouse_id, (event_ts, event_id)) AS warehouse_id, {', '.join(f"min(CASE WHEN event = '{e}' THEN event_ts END) AS {c}" for e, c in star.STEPS.items())}, count(*) AS event_count FROM c_tracker GROUP BY shipment_id, order_id),
-hours AS (SELECT s.*, o.customer_id, o.region_id, o.order_date, o.order_month, round(((epoch_us(delivered_ts) - epoch_us(label_created_ts)) // 1000000) / 3600.0, 2) AS delivery_hours FROM ship s JOIN c_orders o USING (order_id)),
-shipping AS (SELECT *, coalesce(delivered_ts < label_created_ts, FALSE) AS timeline_inconsistent, CASE WHEN delivery_hours >= 0 THEN round(delivery_hours / 24.0, 2) END AS delivery_days, delivered_ts IS NOT NULL AS is_delivered, exception_ts IS NOT NULL AS had_exception, returned_ts IS NOT NULL AS is_returned FROM hours),
+hours AS (SELECT s.*, o.customer_id, o.region_id, o.order_date, o.order_month, sign(epoch_us(delivered_ts) - epoch_us(label_created_ts)) * ((200 * (abs(epoch_us(delivered_ts) - epoch_us(label_created_ts)) // 1000000) + 3600) // 7200) / 100 AS delivery_hours FROM ship s JOIN c_orders o USING (order_id)),
+shipping AS (SELECT *, coalesce(delivered_ts < label_created_ts, FALSE) AS timeline_inconsistent, CASE WHEN delivery_hours >= 0 THEN ((200 * CAST(round(delivery_hours * 100) AS BIGINT) + 2400) // 4800) / 100 END AS delivery_days, delivered_ts IS NOT NULL AS is_delivered, exception_ts IS NOT NULL AS had_exception, returned_ts IS NOT NULL AS is_returned FROM hours),
 categories AS (SELECT c.category_id, c.category_name, coalesce(p.category_name, c.category_name) AS parent_category_name FROM c_categories c LEFT JOIN c_categories p ON p.category_id = c.parent_category_id),
 products AS (SELECT p.*, c.category_name, c.parent_category_name, s.supplier_name, CAST(p.unit_price - p.unit_cost AS DECIMAL(14,2)) AS unit_margin, p.unit_price < p.unit_cost AS is_negative_margin FROM c_products p LEFT JOIN categories c USING (category_id) LEFT JOIN c_suppliers s USING (supplier_id)),
 lines AS (SELECT f.order_id, f.line_number, f.order_date, f.order_month, f.customer_id, f.product_id, p.product_name, p.brand, p.category_name, p.parent_category_name, f.supplier_id, p.supplier_name, f.region_id, r.region_name, f.quantity, f.line_total_usd, f.line_cost_usd, f.gross_margin_usd
