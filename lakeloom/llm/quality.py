@@ -113,9 +113,10 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
     share = min(buckets, math.ceil(buckets * rows / total))
     sample = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(buckets)) < share)
     inputs = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded: about ``rows`` ids
-    stats = with_statistics(inputs).where(~base_failed())
+    # written before the filter on statistics: pushed below the join, it would compute them for all documents
+    stats = with_statistics(materialize(inputs, "quality-sample", "zstd")).withColumn("failed", base_failed())
     grow = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(3)) < 2).alias("grow")
-    fit = materialize(stats.select("bad", grow, *[c.alias(k) for k, c in feature_columns().items()]), "quality-fit")
+    fit = materialize(stats.select("bad", "failed", grow, *[c.alias(k) for k, c in feature_columns().items()]), "quality-fit").where("NOT failed")
     cuts = fit.coalesce(1).agg(*[F.percentile_approx(f, [i / CUTS for i in range(1, CUTS)], 1000).alias(f) for f in FEATURES]).head()
     if cuts is None or cuts[FEATURES[0]] is None:
         return []
