@@ -18,6 +18,8 @@ LEAST_WORDS, MOST_REPEATED = 20, 30
 FIT_ROWS = 20_000
 #: Limits of the search: thresholds tried per statistic, conditions in a rule, rules in the list.
 CUTS, CONDITIONS, RULES = 32, 3, 8
+#: Share of the best gain from which a condition counts as about as good.
+NEAR_BEST = 0.97
 #: A rule stays only if it holds for so many rows that grew it, and if so large a share of the held-out rows is bad.
 LEAST_ROWS, LEAST_PRECISION = 8, 0.9
 FEATURES = ("f_words", "f_word_chars", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_shouts", "f_distinct", "f_digits")
@@ -121,6 +123,7 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
     if cuts is None or cuts[FEATURES[0]] is None:
         return []
     at = {f: sorted({round(float(v), 6) for v in cuts[f]}) for f in FEATURES}
+    at = {f: sorted({*vs, *[round((a + b) / 2, 6) for a, b in zip(vs, vs[1:], strict=False)]}) for f, vs in at.items()}
     place = {f: reduce(lambda a, b: a + b, [(F.col(f) > v).cast("int") for v in at[f]]) for f in FEATURES}
     binned = materialize(fit.coalesce(1).select("bad", "grow", *[c.alias(f) for f, c in place.items()]), "quality-bins")
     binned = binned.coalesce(1)  # a bounded sample: one task, no shuffle at any step
@@ -138,21 +141,20 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
             n0, p0 = (sum(c[k] for c in next(iter(counts.values()), {}).values()) for k in (0, 1))
             if not p0 or not n0:
                 break
-            best = (0.0, None)
+            tried = []
             for f in FEATURES:
-                if f not in counts:
-                    continue
                 below = [0, 0]
                 for i in range(len(at[f])):
                     below = [a + b for a, b in zip(below, counts[f].get(i, [0, 0]), strict=True)]
                     for op, (n, p) in (("<=", below), (">", [n0 - below[0], p0 - below[1]])):
                         if p >= LEAST_ROWS:
                             gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
-                            if gain > best[0] + 1e-9:
-                                best = (gain, (f, op, i))
-            if best[1] is None:
+                            tried.append((gain, p + n, (f, op, i)))
+            most = max((g for g, _, _ in tried), default=0.0)
+            if most <= 1e-9:
                 break
-            rule.append(best[1])
+            # of conditions that are about as good, the one that rejects least, with the threshold farthest from the rest
+            rule.append(min((covered, -gain, -c[2] if c[1] == ">" else c[2], c) for gain, covered, c in tried if gain >= NEAR_BEST * most)[3])
         return rule
 
     rules: list[list[tuple[str, str, int]]] = []
