@@ -70,12 +70,15 @@ _TAIL = _bytes_of((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
 
 
 def piece_starts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Starts of pieces in joined texts (that start at ``first``): where white space begins, where it ends other than in a
-    space, and where plain punctuation follows a letter. No token crosses these places."""
+    """Starts of pieces in joined texts (that start at ``first``): where white space begins, where a single white-space
+    character other than a space ends, and where plain punctuation follows a letter. No token crosses these places. A longer
+    run of white space stays with what follows: a tokenizer may split off its last character before a word, but not at the end."""
     space = _SPACE[raw]
     begins = np.zeros(len(raw), dtype=bool)
     begins[1:] = space[1:] & ~space[:-1]
-    begins[1:] |= ~space[1:] & space[:-1] & (raw[:-1] != 32)
+    single = space.copy()
+    single[1:] &= ~space[:-1]
+    begins[1:] |= ~space[1:] & single[:-1] & (raw[:-1] != 32)
     letter = _LETTER[raw]
     letter[1:] |= _TAIL[raw[1:]] & (raw[:-1] == 0xC3)
     begins[1:] |= _MARK[raw[1:]] & letter[:-1]

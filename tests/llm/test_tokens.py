@@ -28,6 +28,16 @@ def test_ids_equal_the_library(name, monkeypatch):
             assert np.frombuffer(ids, dtype=enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_at_white_space_runs(name):
+    enc = tokens.PieceEncoder(tokens.public_path(name))
+    texts = ["a\n\nb", "a \n\nb", "a\n\n\n\nb", "\t\n\tb", "a\n\n5", "\n\n.b", "x\n\n", "\nb", "First paragraph.\n\nSecond one."]
+    rnd = random.Random(4)
+    texts += ["".join(rnd.choice("\n\n\r\t\v  aB5.,'é\u4e2d\x1c") for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    for t, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype=enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_packing(spark):
     rows = corpus()
     path = tokens.public_path("word_bpe_49k.json")
