@@ -76,3 +76,38 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100 + i, 100) for i in range(1, 30)] + [(200, 201)]
     got = {r["vid"]: r["root"] for r in neardup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}, 201: 200}
+
+
+def test_pairs_of_a_large_family_are_found(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 8)
+    rnd = random.Random(8)
+    base = [f"t{i}" for i in range(1200)]
+
+    def varied(words, n):
+        out = list(words)
+        step = len(out) // n
+        for k in range(n):
+            out[k * step + rnd.randrange(5, step - 5)] = f"v{rnd.random()}"
+        return out
+
+    rows = []
+    for _ in range(250):
+        one = varied(base, 22)  # of two texts with 22 own words each, about 0.7 is common
+        rows += [" ".join(one), " ".join(varied(one, 18))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [set(s.tolist()) for s in neardup.shingle_sets(rows)]
+    assert all(0.85 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.88 for i in range(0, 500, 2))
+    assert max(len(sets[0] & s) / len(sets[0] | s) for s in sets[2:]) < 0.85
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert [i for i in range(0, 500, 2) if got[i] != got[i + 1]] == []
+
+
+def test_trees_have_values_of_their_own():
+    import pyarrow as pa
+
+    texts = [" ".join(f"t{i}" for i in range(1200)), " ".join("v" if i % 60 == 30 else f"t{i}" for i in range(1200))]
+    rows = list(neardup._tree_values([pa.RecordBatch.from_pydict({"text": texts})]))[0].to_pylist()
+    a, b = ([r["own"] for r in rows[k : k + neardup.TREES]] for k in (0, neardup.TREES))
+    assert len({x for own in a for x in own}) > 0.4 * neardup.TREES * neardup.PLACES
+    agree = [sum(x == y for x, y in zip(s, t, strict=True)) / neardup.PLACES for s, t in zip(a, b, strict=True)]
+    assert len(set(agree)) > 4 and 0.8 < sum(agree) / len(agree) < 0.9
