@@ -11,17 +11,24 @@ from lakeloom.llm.common import let, materialize, table, word_count
 MIN_WORDS = 50
 
 
-def _key(docs: DataFrame) -> dict[str, Column]:
-    """What names a document: its id, and a hash of its text where ids repeat. Rows that agree in both are one document."""
-    return {"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)).cast("long")), "_k2": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with what names a document: its id (``_k1``), and a hash of its text where ids repeat (``_k2``).
+
+    Rows that agree in both are one document. A row without an id is a document of its own, before all others; such
+    rows are numbered and written, so that both reads of them see one number.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    id = F.col("doc_id").cast("long")
+    without = materialize(docs.where(id.isNull()).withColumn("_k1", F.monotonically_increasing_id() - (1 << 62)), "no-id")
+    return docs.where(id.isNotNull()).withColumn("_k1", id).unionByName(without).withColumn("_k2", text)
 
 
 def line_sequences(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word: document key, ``at`` (number of the line), ``idx`` (among lines with words),
+    """One row per line that has a word, of documents with their key: document key, ``at`` (number of the line), ``idx`` (among lines with words),
     ``r0`` (64-bit line id, a hash of the exact line) and ``n`` (its words)."""
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("r0"), word_count(x).alias("n")))
     full = F.filter(lines, lambda e: e["n"] > 0)
-    rows = docs.select(*[c.alias(k) for k, c in _key(docs).items()], F.posexplode(full).alias("idx", "e"))
+    rows = docs.select("_k1", "_k2", F.posexplode(full).alias("idx", "e"))
     return rows.select("_k1", "_k2", "idx", "e.at", "e.r0", "e.n")
 
 
@@ -34,10 +41,12 @@ def _repeated_only(lines: DataFrame) -> DataFrame:
 def _islands(lines: DataFrame, min_words: int) -> DataFrame:
     """``lines`` in stretches of consecutive repeated lines; stretches below ``min_words`` can hold no passage and go.
 
-    The window works on one document at a time.
+    The windows work on one document at a time. A line that stands again at its place is of a repeated row and goes.
     """
     doc = Window.partitionBy("_k1", "_k2")
-    grouped = lines.withColumn("island", F.col("idx") - F.row_number().over(doc.orderBy("idx")))
+    again = F.coalesce(F.lag("idx").over(doc.orderBy("idx")) == F.col("idx"), F.lit(False))
+    once = lines.withColumn("_again", again).where(~F.col("_again")).drop("_again")
+    grouped = once.withColumn("island", F.col("idx") - F.row_number().over(doc.orderBy("idx")))
     return grouped.withColumn("_sum", F.sum("n").over(Window.partitionBy("_k1", "_k2", "island"))).where(F.col("_sum") >= min_words).drop("_sum")
 
 
@@ -108,7 +117,7 @@ def _seeds(ranked: DataFrame, levels: int, min_words: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to delete: document key and ``gone``, the sorted numbers of its lines that lie in a later copy.
+    """Lines to delete from documents with their key: document key and ``gone``, the sorted numbers of its lines that lie in a later copy.
 
     A line goes if it lies in a run of lines with at least ``min_words`` words that also stands, line for line, earlier
     in the corpus (by doc_id, then place). Lines without words are no part of a run. Self-overlapping runs count.
@@ -129,8 +138,9 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, count: bool
     shuffled once, to meet the list of their lines. With ``count``, ``n_lines_dropped`` is added.
     """
     columns = docs.columns
-    gone = later_copies(docs, min_words)
-    met = docs.withColumns(_key(docs)).join(gone, ["_k1", "_k2"], "left")
+    keyed = _keyed(docs)
+    gone = later_copies(keyed, min_words)
+    met = keyed.join(gone, ["_k1", "_k2"], "left")
     parts = F.split(F.col("text"), "\n", -1)
 
     def left(lines: Column) -> Column:

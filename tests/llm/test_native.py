@@ -180,6 +180,13 @@ def test_line_dedup_edges(spark):
     assert got.count((0, line)) == 1 and len(got) == 4  # the row without an id comes first in the corpus
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    text, other = ("\n".join(f"{w} line {i} of a passage of ten short ones" for i in range(10)) for w in ("first", "second"))
+    rows = [(1, text), (1, text), (2, text), (3, "own\n" + text), (None, other), (None, other), (4, other)]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, ""), (0, other), (1, text), (1, text), (2, ""), (3, "own"), (4, "")]
+
+
 # ---- URL filter
 
 
