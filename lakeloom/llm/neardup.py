@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
+from functools import partial
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialize, ship_package, table
-from lakeloom.llm.tokens import word_hashes
+from lakeloom.llm.common import materialize, ship_package, table, unused
 
-#: Words of a shingle; hundredths of similarity from which documents are linked.
+#: Words of a shingle; hundredths of similarity from which documents are linked (the query's contract, and the default).
 SHINGLE, PERCENT = 5, 85
-#: Minwise values of a document; independent trees; hundredths of children that a node picks on average for each of its
-#: documents: 1 / 0.85, so that paths of pairs at the limit neither die out soon nor multiply, and those of others fade.
-VALUES, TREES, BRANCHES = 64, 16, 118
-#: Minwise values of each tree's own below its root, for classes in large nodes; children of a large root for each document.
-PLACES, FIRST = 48, 6
-#: Nodes up to this size are compared exhaustively; larger ones branch, up to this depth; then blocks of this size are compared.
-LEAF, DEPTH = 1024, 32
-#: Agreeing minwise values, of ``VALUES``, below which a pair isn't confirmed: five standard deviations under 85 in 100.
-AGREE = 40
-#: Most ids that a semi-join may broadcast (16 bytes each).
+#: Minwise values of a document; independent trees; each tree's own values below its root.
+VALUES, TREES, PLACES = 64, 16, 48
+#: Children of a large root for each member; levels below it. Deeper children are 100 / percent on average.
+FIRST, DEPTH = 6, 48
+#: A node up to so many classes, with so many shingles together, is compared exhaustively; a larger one branches.
+LEAF, LEAF_SHINGLES = 1024, 1 << 22
+#: Members of a large node that all its blocks meet, so that what blocks find apart is joined.
+PIVOTS = 4
+#: Standard deviations under the expected number of agreeing minwise values at which a pair isn't confirmed.
+SLACK = 5
+#: Most rows that a join may broadcast (at most 40 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Hashes of words that a Python worker keeps, and the longest word kept.
+KEPT_WORDS, KEPT_LETTERS = 1_000_000, 64
 
 _RNG = np.random.default_rng(85)
 _MULTIPLIERS = _RNG.integers(1, 1 << 62, VALUES + TREES * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FEATURES = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, mins array<int>"
+#: What finds one row of a class again: its id (or the least long for none) and a hash of its text.
+_PLACE = "id_key bigint, text_key bigint"
+_NO_ID = -(1 << 63)
+
+
+class _WordHashes(dict):
+    """64 bits of a cryptographic hash for each word, so that no two words are equal by construction."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= KEPT_LETTERS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_HASHES = _WordHashes()
 
 
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
@@ -37,12 +59,15 @@ def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
         if not ws:
             out.append(np.zeros(0, dtype=np.uint64))
             continue
-        data = b" ".join(ws)
-        ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
-        starts = np.concatenate([[0], ends + 1])
-        ends = np.append(ends, len(data))
+        words = np.fromiter(map(_HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
         m = min(k, len(ws))
-        out.append(np.unique(word_hashes(data, starts[: len(ws) - m + 1], ends[m - 1 :])))
+        n = len(ws) - m + 1
+        h = np.full(n, m, dtype=np.uint64)
+        for j in range(m):
+            h ^= words[j : j + n]
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        out.append(np.unique(h * np.uint64(0x9E3779B97F4A7C15)))
     return out
 
 
@@ -57,14 +82,21 @@ def _minwise(sets: list[np.ndarray], multipliers: np.ndarray = _MULTIPLIERS[:VAL
     return out
 
 
-def _digests(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """Digest of each set: sums of two mixes of its elements, that is 128 bits that don't depend on order."""
-    return [np.asarray([int((s * np.uint64(c) ^ (s >> np.uint64(r))).sum(dtype=np.uint64)) & (1 << 63) - 1 for s in sets], dtype=np.int64) for c, r in ((0xD6E8FEB86659FD93, 31), (0xA0761D6478BD642F, 27))]
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a cryptographic hash over each sorted set, as two columns."""
+    both = np.asarray([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8") for s in sets], dtype=np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """What features are made of, with the keys that find a row again (they depend on its content only)."""
+    id = F.col("doc_id").cast("long")
+    return docs.select(id.alias("doc_id"), F.coalesce(id, F.lit(_NO_ID)).alias("id_key"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def _features(batches):
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+        texts = batch.column("text").to_pylist()
         for lo in range(0, len(texts), 256):
             sets = shingle_sets([t or "" for t in texts[lo : lo + 256]])
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -73,14 +105,15 @@ def _features(batches):
                 for i, row in zip(full, _minwise([sets[i] for i in full]), strict=True):
                     mins[i] = row
             n = np.asarray([len(s) for s in sets], dtype=np.int64)
-            d = _digests(sets)
-            cols = [ids.slice(lo, len(sets)), pa.array(n), pa.array(d[0]), pa.array(d[1]), pa.array(mins, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "d1", "d2", "mins"])
+            d1, d2 = _digests(sets)
+            kept = [batch.column(c).slice(lo, len(sets)) for c in ("doc_id", "id_key", "text_key")]
+            cols = [*kept, pa.array(n), pa.array(d1), pa.array(d2), pa.array(mins, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id_key", "text_key", "n_shingles", "d1", "d2", "mins"])
 
 
 def features(docs: DataFrame) -> DataFrame:
     """One row per document: size, 128-bit digest and minwise values of its shingle set. One narrow pass over whole texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features, _FEATURES)
+    return _keyed(docs).mapInArrow(_features, f"doc_id bigint, {_PLACE}, n_shingles bigint, d1 bigint, d2 bigint, mins array<int>")
 
 
 def _tree_values(batches):
@@ -97,53 +130,96 @@ def _tree_values(batches):
             yield pa.RecordBatch.from_arrays([pa.array(d[0]), pa.array(d[1]), tree, rows], ["d1", "d2", "tree", "own"])
 
 
+def _sets(batches):
+    """Full shingle sets of texts, with the digest that tells which class they are of."""
+    for batch in batches:
+        sets = shingle_sets([x or "" for x in batch.column("text").to_pylist()])
+        d1, d2 = _digests(sets)
+        yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array([s.tobytes() for s in sets], pa.binary())], ["d1", "d2", "shingles"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (written already) marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of ``docs`` whose id is the least of a wanted class."""
-    ids = wanted.select(F.col("least").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi").select("text")
-
-
-def _leaves(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct small nodes of all trees as sorted arrays ``members`` of class ids (``vid``).
-
-    A tree sends each class to the node of its minwise value at the tree's own place. A root of more than ``LEAF`` classes
-    has ``FIRST`` children for each member, a large node below it one or two (by its name, 1.18 on average): a child is
-    one of ``PLACES`` minwise values that no other tree uses, made from the texts again for members of large roots only.
-    So paths of a pair multiply by 1.18 times its similarity at each level: kept up at 0.85, fading below. Sizes are counted
-    with map-side combine and nodes of one are dropped, so that a level holds only what still shares a path. What is
-    still large at ``DEPTH`` (near copies by the ten thousand that no value parts) is cut into blocks, and every pair of
-    blocks becomes a node: exact, at a cost that grows with the square of that node alone.
-    """
+    """One text of each wanted class (more where a row is repeated); a class is found by the keys of its first row."""
+    keys = wanted.select("place.id_key", "place.text_key").distinct()
+    return _keyed(docs).join(_small(keys), ["id_key", "text_key"], "left_semi").select("text")
+
+
+def _blocks(members: DataFrame, everywhere) -> DataFrame:
+    """Nodes (``node``, ``vid``, ``size``, ``weight``) dealt into blocks of about half a leaf; members for which ``everywhere``
+    holds lie in every block of their node. Sorted arrays of class ids, as ``members``."""
+    blocks = F.ceil(F.greatest(F.col("size") / (LEAF // 2), F.col("weight") / (LEAF_SHINGLES // 2))).cast("int")
+    own = F.pmod(F.xxhash64("vid", F.lit(5)), blocks).cast("int")
+    dealt = F.when(everywhere, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    rows = members.select("node", "vid", F.explode(dealt).alias("block"))
+    return rows.groupBy("node", "block").agg(F.sort_array(F.collect_set("vid")).alias("members")).select("members").where(F.size("members") > 1)
+
+
+def _too_large():
+    return (F.col("size") > LEAF) | ((F.col("size") > 2) & (F.col("weight") > LEAF_SHINGLES))
+
+
+def _root_nodes(classes: DataFrame) -> DataFrame:
+    """Each class in the root's child of every tree: the node of its minwise value at the tree's place."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("mins", t)).alias("node")))
-    nodes = classes.select("vid", F.explode(roots).alias("e")).select("vid", "e.tree", "e.node")
-    found = values = None
+    return classes.select("vid", "n", F.explode(roots).alias("e")).select("vid", "n", "e.tree", "e.node")
+
+
+def _own_values(docs: DataFrame, classes: DataFrame, vids: DataFrame) -> DataFrame:
+    """``vid``, ``tree`` and the tree's own minwise values, from the texts of the given classes only."""
+    wanted = materialize(vids.join(classes.select("vid", "place", "d1", "d2"), "vid"), "large")
+    made = _texts_of(docs, wanted).mapInArrow(_tree_values, "d1 bigint, d2 bigint, tree int, own array<int>")
+    return materialize(made.join(wanted.select("d1", "d2", "vid"), ["d1", "d2"]).dropDuplicates(["vid", "tree"]).select("vid", "tree", "own"), "own")
+
+
+def _branch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> list[DataFrame]:
+    """Leaves below large root nodes (``vid``, ``n``, ``tree``, ``node``, ``root``: what the class is joined with so far).
+
+    Only pairs of different ``root`` are still to be found. A node whose members have one root is done and goes, so the
+    paths of a group of near copies end as soon as its first blocks have joined it. In others, members with the root
+    of one of them (chosen by hash, so likely the most common one) need meeting only with the rest: if the rest is at most half a leaf,
+    it lies in every block of the node, exactly and in rows that grow with the node. Else each member takes one or two
+    children (``FIRST`` from a root's), named by one of ``PLACES`` minwise values that no other tree uses: paths of a pair
+    at the limit are kept up, those of pairs below it fade. What 48 levels don't part is cut into all pairs of blocks;
+    that takes some millions of documents that are all just below the limit to each other.
+    """
+    found: list[DataFrame] = []
+    values = None
     for depth in range(DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        nodes = materialize(nodes.join(sizes, "node"), f"paths-{depth}")
-        small = nodes.where(F.col("size") <= LEAF).groupBy("node").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members")
-        found = small if found is None else found.unionByName(small)
-        large = nodes.where(F.col("size") > LEAF)
-        if large.isEmpty():
+        by_hash = F.xxhash64("vid", "node")
+        stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(by_hash, "root"))["root"].alias("common"))
+        stats = materialize(stats.where("size > 1 AND lo <> hi").drop("lo", "hi"), f"nodes-{depth}")
+        met = materialize(nodes.join(_small(stats), "node").withColumn("loose", F.col("root") != F.col("common")), f"paths-{depth}")
+        found.append(met.where(~_too_large()).groupBy("node").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members"))
+        large = met.where(_too_large())
+        rest = large.groupBy("node").agg(F.count_if("loose").alias("apart"), F.sum(F.when(F.col("loose"), F.col("n")).otherwise(0)).alias("apart_weight"))
+        rest = materialize(rest, f"apart-{depth}")
+        if rest.isEmpty():
             break
-        if depth < DEPTH:
-            if values is None:
-                wanted = materialize(large.select("vid").distinct().join(classes.select("vid", "least", "d1", "d2"), "vid"), "large")
-                made = _texts_of(docs, wanted).mapInArrow(_tree_values, "d1 bigint, d2 bigint, tree int, own array<int>")
-                values = materialize(made.join(wanted.select("d1", "d2", "vid"), ["d1", "d2"]).dropDuplicates(["vid", "tree"]).select("vid", "tree", "own"), "own")
-            place = lambda b: F.pmod(F.xxhash64(F.col("node"), b), F.lit(PLACES)).cast("int")
-            second = (F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(100)) < BRANCHES - 100).cast("int")
-            child = F.transform(F.sequence(F.lit(1), 1 + second if depth else F.lit(FIRST)), lambda b: F.xxhash64("node", b, F.get("own", place(b))))
-            nodes = large.join(values, ["vid", "tree"]).select("vid", "tree", F.explode(child).alias("node"))
-        else:
-            blocks = F.ceil(F.col("size") / (LEAF // 2)).cast("int")
-            own = F.pmod(F.xxhash64("vid"), blocks).cast("int")
+        narrow = (F.col("apart") <= LEAF // 2) & (F.col("apart_weight") <= LEAF_SHINGLES // 2)
+        found.append(_blocks(large.join(_small(rest.where(narrow)), "node"), F.col("loose")))
+        wide = rest.where(~narrow)
+        if wide.isEmpty():
+            break
+        large = large.join(_small(wide), "node")
+        if depth == DEPTH:
+            blocks = F.ceil(F.greatest(F.col("size") / (LEAF // 2), F.col("weight") / (LEAF_SHINGLES // 2))).cast("int")
+            dealt = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("vid"), blocks).cast("int"))
             pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
-            rows = large.withColumn("blocks", blocks).withColumn("own", own).select("vid", "node", F.explode(pair).alias("pair"))
-            rest = rows.groupBy("node", "pair").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members")
-            found = found.unionByName(rest)
-    return found.where(F.size("members") > 1).distinct()
+            rows = dealt.select("vid", "node", F.explode(pair).alias("pair"))
+            found.append(rows.groupBy("node", "pair").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members"))
+            break
+        if values is None:
+            values = _own_values(docs, classes, large.select("vid").distinct())
+        place = lambda b: F.pmod(F.xxhash64(F.col("node"), b), F.lit(PLACES)).cast("int")
+        second = (F.pmod(F.xxhash64("node", F.lit(-1)), F.lit(percent)) < 100 - percent).cast("int")
+        child = F.transform(F.sequence(F.lit(1), 1 + second if depth else F.lit(FIRST)), lambda b: F.xxhash64("node", b, F.get("own", place(b))))
+        nodes = large.join(values, ["vid", "tree"]).select("vid", "n", "tree", "root", F.explode(child).alias("node"))
+    return found
 
 
 def _grouped(batches, key: str):
@@ -184,30 +260,57 @@ def _components(n: int, pairs) -> np.ndarray:
     return np.asarray([top(i) for i in range(n)])
 
 
-def _candidates(batches):
-    """Members of a node in clusters whose minwise values and sizes may reach the similarity; a name for equal clusters."""
+def _split(keys: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True))
+
+
+def _components(n: int, pairs) -> np.ndarray:
+    """Smallest index of each one's component."""
+    root = list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return np.asarray([top(i) for i in range(n)])
+
+
+def _bounded(group: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """``group`` as it is if its sets are small together; else every pair of its parts that are (one very long set is a part)."""
+    if size[group].sum() <= LEAF_SHINGLES:
+        return [group]
+    part = np.cumsum(size[group]) // (LEAF_SHINGLES // 2)
+    parts = [group[part == p] for p in np.unique(part)]
+    return [np.concatenate([parts[i], parts[j]]) for i in range(len(parts)) for j in range(i)] or [group]
+
+
+def _candidates(batches, percent: int, agree: int):
+    """Members of a node in clusters whose minwise values and sizes may reach the similarity and that aren't joined yet; a name for equal clusters."""
     for t in _grouped(batches, "sid"):
-        sid, vid, n = (t.column(c).to_numpy() for c in ("sid", "vid", "n"))
+        sid, vid, n, joined = (t.column(c).to_numpy() for c in ("sid", "vid", "n", "root"))
         mins = t.column("mins").combine_chunks()
         mins = np.asarray(mins.flatten()).reshape(len(sid), VALUES)
         keys, members = [], []
         for lo, hi in _split(sid):
-            m, size = mins[lo:hi], n[lo:hi]
-            if hi - lo == 2:
-                if (m[0] == m[1]).sum() < AGREE or 100 * size.min() < PERCENT * size.max():
-                    continue
-                groups = [np.array([0, 1])]
-            else:
-                pairs = []
-                for i in range(hi - lo - 1):
-                    near = (m[i + 1 :] == m[i]).sum(axis=1) >= AGREE
-                    near &= 100 * np.minimum(size[i + 1 :], size[i]) >= PERCENT * np.maximum(size[i + 1 :], size[i])
-                    pairs += [(i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
-                if not pairs:
-                    continue
-                top = _components(hi - lo, pairs)
-                groups = [g for r in np.unique(top) if len(g := np.flatnonzero(top == r)) > 1]
-            for g in groups:
+            m, size, root = mins[lo:hi], n[lo:hi], joined[lo:hi]
+            pairs = []
+            for i in range(hi - lo - 1):
+                near = (m[i + 1 :] == m[i]).sum(axis=1) >= agree
+                near &= 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
+                near &= root[i + 1 :] != root[i]
+                pairs += [(i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
+            if not pairs:
+                continue
+            top = _components(hi - lo, pairs)
+            groups = [g for r in np.unique(top) if len(g := np.flatnonzero(top == r)) > 1]
+            for g in [b for g in groups for b in _bounded(g, size)]:
                 ids = np.sort(vid[lo:hi][g]).astype(np.uint64)
                 mixed = (ids * np.uint64(0xA0761D6478BD642F)) ^ (ids >> np.uint64(32))
                 name = int((mixed * np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64)) & ((1 << 63) - 1)
@@ -217,21 +320,13 @@ def _candidates(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(members))], ["cluster", "vid"])
 
 
-def _sets(batches):
-    """Full shingle sets of texts, with the digest that tells which class they are of."""
-    for batch in batches:
-        sets = shingle_sets([x or "" for x in batch.column("text").to_pylist()])
-        d = _digests(sets)
-        yield pa.RecordBatch.from_arrays([pa.array(d[0]), pa.array(d[1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["d1", "d2", "shingles"])
-
-
-def _confirm(batches):
+def _confirm(batches, percent: int):
     """What a cluster's links join, each link confirmed on full sets: (smallest member, member) of each group found.
 
     A member meets all others in one pass over the cluster's shingles; members that are joined already are not compared.
     """
     for t in _grouped(batches, "cluster"):
-        cluster, vid = t.column("cluster").to_numpy(), t.column("vid").to_numpy()
+        cluster, vid, known = (t.column(c).to_numpy() for c in ("cluster", "vid", "root"))
         raw = t.column("shingles")
         a_out, b_out = [], []
         for lo, hi in _split(cluster):
@@ -240,7 +335,9 @@ def _confirm(batches):
             sets, ids = [sets[i] for i in order], vid[lo:hi][order]
             size = np.asarray([len(x) for x in sets])
             first = np.cumsum(size) - size
-            root = np.arange(hi - lo)
+            _, start = np.unique(known[lo:hi][order], return_inverse=True)
+            root = np.asarray([np.flatnonzero(start == s)[0] for s in range(start.max() + 1)])[start]
+            before = root.copy()
             _, which = np.unique(np.concatenate(sets), return_inverse=True)
             has = np.zeros(int(which.max()) + 1, dtype=np.int32)
             for i in range(hi - lo - 1):
@@ -250,17 +347,31 @@ def _confirm(batches):
                 has[own] = 1
                 both = np.add.reduceat(has[which], first)
                 has[own] = 0
-                linked = np.flatnonzero((100 * both >= PERCENT * (size[i] + size - both)) & (root != root[i]))
+                linked = np.flatnonzero((100 * both >= percent * (size[i] + size - both)) & (root != root[i]))
                 for r in np.unique(root[linked]).tolist():
                     low, high = min(r, root[i]), max(r, root[i])
                     root[root == high] = low
-            joined = np.flatnonzero(root != np.arange(hi - lo))
+            joined = np.flatnonzero(root != before)
             a_out.append(ids[root[joined]])
             b_out.append(ids[joined])
         if a_out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out), pa.int64()), pa.array(np.concatenate(b_out), pa.int64())], ["a", "b"])
 
 
+def _links(docs: DataFrame, classes: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) that join what the leaves hold: candidates by minwise values, confirmed on sets from their whole texts."""
+    agree = int(VALUES * percent / 100 - SLACK * (VALUES * percent * (100 - percent)) ** 0.5 / 100)
+    leaves = materialize(leaves.where(F.size("members") > 1).distinct().withColumn("sid", F.monotonically_increasing_id()), "leaves")
+    members = leaves.select("sid", F.explode("members").alias("vid")).join(classes.select("vid", "n", "root", "mins"), "vid")
+    by_leaf = members.repartition("sid").sortWithinPartitions("sid").select("sid", "vid", "n", "root", "mins")
+    clusters = materialize(by_leaf.mapInArrow(partial(_candidates, percent=percent, agree=agree), "cluster bigint, vid bigint").distinct(), "clusters")
+    wanted = materialize(clusters.select("vid").distinct().join(classes.select("vid", "root", "place", "d1", "d2"), "vid"), "wanted")
+    sets = _texts_of(docs, wanted).mapInArrow(_sets, "d1 bigint, d2 bigint, shingles binary").join(wanted.select("d1", "d2", "vid", "root"), ["d1", "d2"])
+    sets = sets.select("vid", "root", "shingles").dropDuplicates(["vid"])
+    by_cluster = clusters.join(sets, "vid").repartition("cluster").sortWithinPartitions("cluster").select("cluster", "vid", "root", "shingles")
+    return materialize(by_cluster.mapInArrow(partial(_confirm, percent=percent), "a bigint, b bigint"), "edges")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``vid`` and ``root``, the smallest vid reachable, for every vid in ``edges`` (``a``, ``b``).
 
@@ -287,46 +398,88 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("v").alias("vid"), F.col("u").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id linked with it, directly or not) and ``kept``, one row per row of ``docs``.
+def _classes_with_roots(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with ``root``: the smallest class that the links join each one with."""
+    return classes.drop("root").join(connected_components(links), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
 
-    Documents with one shingle set are one class and linked (groups of copies of any size become one row, by map-side
-    minima). The chosen-path trees find candidates among classes; these are confirmed on full sets, whose texts are
-    read again for candidates only. Links that a node confirms form a forest, never all its pairs. A pair at the limit shares
-    a root node with probability 0.85 in each of 16 trees, and below a large one six paths, each of d levels with about
-    1 / (1 + 0.13 d), over places that no other tree uses. In 4,000 simulated pairs at 0.85 none was missed at d = 8, 16
-    or 32 (one path over 48 shared places missed 0.5, 5 and 19 %), and pairs of one group are joined by others too.
-    Documents without words are linked with nothing and kept. Rows with one id and different sets are linked by id only
-    if their sets are; a null id is linked, never a component's id unless nothing else is there, and then not kept twice.
-    """
+
+def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(features of all rows, classes of equal shingle sets with their final ``root``)."""
     ship_package(docs.sparkSession)
     found = materialize(features(docs), "minwise")
     real = found.where("n_shingles > 0")
-    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("mins").alias("mins"))
-    classes = materialize(classes.withColumn("vid", F.monotonically_increasing_id()), "classes")
-    leaves = materialize(_leaves(classes, docs).withColumn("sid", F.monotonically_increasing_id()), "leaves")
-    members = leaves.select("sid", F.explode("members").alias("vid")).join(classes.select("vid", "n", "mins"), "vid")
-    by_leaf = members.repartition("sid").sortWithinPartitions("sid").select("sid", "vid", "n", "mins")
-    clusters = materialize(by_leaf.mapInArrow(_candidates, "cluster bigint, vid bigint").distinct(), "clusters")
-    wanted = materialize(clusters.select("vid").distinct().join(classes.select("vid", "least", "d1", "d2"), "vid"), "wanted")
-    sets = _texts_of(docs, wanted).mapInArrow(_sets, "d1 bigint, d2 bigint, shingles binary").join(wanted.select("d1", "d2", "vid"), ["d1", "d2"]).select("vid", "shingles")
-    sets = sets.dropDuplicates(["vid"])
-    by_cluster = clusters.join(sets, "vid").repartition("cluster").sortWithinPartitions("cluster").select("cluster", "vid", "shingles")
-    edges = materialize(by_cluster.mapInArrow(_confirm, "a bigint, b bigint"), "edges")
-    roots = connected_components(edges)
-    named = classes.select("d1", "d2", "least", "vid").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ends = named.join(least, "root").select("d1", "d2", "component_id")
-    out = real.drop("mins").join(ends, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
+    place = F.min(F.struct("id_key", "text_key")).alias("place")
+    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), place, F.first("n_shingles").alias("n"), F.first("mins").alias("mins"))
+    classes = classes.withColumn("vid", F.monotonically_increasing_id())
+    classes = materialize(classes.withColumn("root", F.col("vid")), "classes")
+    nodes = _root_nodes(classes)
+    large = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), *[_pivot(i).alias(f"p{i}") for i in range(PIVOTS)]).where(_too_large())
+    large = materialize(large, "large-roots")
+    mine = _small(large)
+    small = nodes.join(mine.select("node"), "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members")
+    if large.isEmpty():
+        return found, _classes_with_roots(classes, _links(docs, classes, small, percent))
+    held = materialize(nodes.join(mine, "node"), "large-members")
+    is_pivot = F.coalesce(F.col("vid").isin(*[F.col(f"p{i}") for i in range(PIVOTS)]), F.lit(False))
+    first = _links(docs, classes, small.unionByName(_blocks(held, is_pivot)), percent)
+    classes = materialize(_classes_with_roots(classes, first), "joined-classes")
+    nodes = held.select("vid", "n", "tree", "node").join(classes.select("vid", "root"), "vid")
+    leaves = None
+    for found_leaves in _branch(docs, classes, nodes, percent):
+        leaves = found_leaves if leaves is None else leaves.unionByName(found_leaves)
+    second = _links(docs, classes, leaves, percent)
+    links = first.unionByName(second)
+    return found, _classes_with_roots(classes, links)
+
+
+def _pivot(i: int):
+    """The member of a node that comes first by hash among those of one of ``PIVOTS`` shares."""
+    mine = F.pmod(F.xxhash64("vid", F.lit(6)), F.lit(PIVOTS)) == i
+    return F.min(F.when(mine, F.struct(F.xxhash64("vid", "node"), "vid")))["vid"]
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id linked with it, directly or not) and ``kept``, one row per row of ``docs``.
+
+    Documents with one shingle set are one class and linked (groups of copies of any size become one row, by map-side
+    minima). The chosen-path trees find candidates among classes; links are confirmed on full sets, whose texts are read again for
+    candidates only. A node is compared exhaustively up to ``LEAF`` classes and ``LEAF_SHINGLES`` shingles, so that a task's memory doesn't
+    grow with the texts. A larger root is first cut into blocks, which its ``PIVOTS`` all meet: a group of near copies is joined there in rows that
+    grow with the group. What then is not of one component branches further (see ``_branch``). Links that a node confirms form a forest, never all
+    its pairs. A pair at the limit shares a root node with probability 0.85 in each of 16 trees.
+
+    Null and empty texts have no shingles, are linked with nothing and kept. Rows that share an id but not their text are documents
+    of their own. Rows without an id are linked like others, but give a component its id only if it has no other: then ``component_id`` is null.
+    Repeated rows get equal answers. Columns other than ``doc_id`` and ``text`` don't matter.
+    """
+    found, classes = _joined(docs, percent)
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    ends = classes.select("d1", "d2", "root").join(least, "root").select("d1", "d2", "component_id")
+    out = found.where("n_shingles > 0").join(ends, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     out = out.unionByName(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group; columns stay. Of rows with one id and one text the first one stays."""
-    stay = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    held = docs.join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    return held.select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with exactly one row of each component: that of the smallest id (rows without an id come last); columns stay.
+
+    Rows are told apart by id and text; of rows that agree in both, one stays. Texts without words all stay. Texts
+    don't move, but for rows that are repeated.
+    """
+    found, classes = _joined(docs, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "id_key", "text_key")
+    rows = found.where("n_shingles > 0").join(classes.select("d1", "d2", "root"), ["d1", "d2"])
+    stay = rows.groupBy("root").agg(F.min(key).alias("key")).select("key.id_key", "key.text_key")
+    alone = found.where("n_shingles = 0").select("id_key", "text_key").distinct()
+    times = rows.groupBy("id_key", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    stay = stay.join(times, ["id_key", "text_key"]).unionByName(alone.withColumn("times", F.lit(1).cast("long")))
+    kept_id, kept_text, kept_times, kept_place = unused(docs.columns, "_kept_id", "_kept_text", "_kept_times", "_kept_place")
+    stay = materialize(stay.select(F.col("id_key").alias(kept_id), F.col("text_key").alias(kept_text), F.col("times").alias(kept_times)), "kept-rows")
+    id, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.xxhash64("text")
+    held = docs.join(stay, (id == F.col(kept_id)) & (text == F.col(kept_text)))
+    by_row = Window.partitionBy(kept_id, kept_text).orderBy(F.lit(0))
+    again = held.where(F.col(kept_times) > 1).withColumn(kept_place, F.row_number().over(by_row)).where(F.col(kept_place) == 1)
+    return held.where(F.col(kept_times) == 1).select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

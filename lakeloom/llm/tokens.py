@@ -12,6 +12,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Most pieces whose ids a Python worker keeps, and bytes of text that it looks at together.
 CACHE_PIECES, CHUNK_BYTES = 3_000_000, 2 << 20
+#: Bytes from which two pieces are compared one pair at a time.
+LONG_PIECE = 64
 #: White space beyond ASCII: texts that hold some are encoded as a whole.
 WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
 #: A piece that is one word of plain letters: many of these can be encoded in one text.
@@ -21,7 +23,8 @@ PLAIN = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range: a polynomial over random byte values, mixed at the end.
 
-    Prefix sums give every range in constant time: (P[end] - P[start]) * base^-start modulo 2^64.
+    Prefix sums give every range in constant time: (P[end] - P[start]) * base^-start modulo 2^64. Such polynomials have
+    collisions by construction (Thue-Morse words), so callers compare the bytes of what the hash calls equal.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     n = len(raw)
@@ -36,6 +39,29 @@ def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return h ^ (h >> np.uint64(32))
 
 
+def padded(*parts: bytes) -> np.ndarray:
+    """The joined bytes with eight more behind them, so that eight can be read at every place."""
+    return np.frombuffer(b"".join([*parts, bytes(8)]), dtype=np.uint8)
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` bytes at each place of two padded arrays are equal: eight at a time, long ones by themselves."""
+    at_once = [np.ndarray(shape=(len(x) - 7,), dtype="<u8", buffer=x, strides=(1,)) for x in (a, b)]
+    equal = np.ones(len(n), dtype=bool)
+    live, k = np.arange(len(n)), 0
+    while len(live) and k < LONG_PIECE:
+        left = n[live] - k
+        differ = at_once[0][a_at[live] + k] ^ at_once[1][b_at[live] + k]
+        short = left < 8
+        differ[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        equal[live[differ != 0]] = False
+        k += 8
+        live = live[left > 8]
+    for i in live.tolist():
+        equal[i] &= a[a_at[i] : a_at[i] + n[i]].tobytes() == b[b_at[i] : b_at[i] + n[i]].tobytes()
+    return equal
+
+
 _BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -92,7 +118,8 @@ class PieceEncoder:
 
     Both public byte-pair tokenizers are such: they split texts into white space, letters, digits and other characters,
     with at most one space before, and merge only within these. Equal pieces of a chunk are found by 64-bit hash and encoded
-    once; pieces seen before come from sorted arrays of hashes and ids, bounded by ``CACHE_PIECES``.
+    once; pieces seen before come from sorted arrays of hashes and ids, bounded by ``CACHE_PIECES``. The bytes of
+    every piece are compared with those that its hash stands for; a text with a piece that differs is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -110,6 +137,10 @@ class PieceEncoder:
         self.lengths = np.zeros(0, dtype=np.int32)
         self.pool = np.zeros(0, dtype=self.kind)
         self.used = 0
+        self.bytes_at = np.zeros(0, dtype=np.int64)
+        self.bytes_n = np.zeros(0, dtype=np.int64)
+        self.raw = np.zeros(8, dtype=np.uint8)
+        self.raw_used = 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
@@ -138,6 +169,16 @@ class PieceEncoder:
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         if len(self.hashes) + len(pieces) > CACHE_PIECES:
             self._forget()
+        raw = [p.encode("utf-8") for p in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        more = int(sizes.sum())
+        if self.raw_used + more + 8 > len(self.raw):
+            grown = np.zeros(max(2 * len(self.raw), self.raw_used + more + 8), dtype=np.uint8)
+            grown[: self.raw_used] = self.raw[: self.raw_used]
+            self.raw = grown
+        self.raw[self.raw_used : self.raw_used + more] = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        raw_at = self.raw_used + np.cumsum(sizes) - sizes
+        self.raw_used += more
         ids, lengths = self._new(pieces)
         if self.used + len(ids) > len(self.pool):
             grown = np.zeros(max(2 * len(self.pool), self.used + len(ids), 1 << 16), dtype=self.kind)
@@ -150,6 +191,8 @@ class PieceEncoder:
         self.hashes = np.insert(self.hashes, at, hashes)
         self.offsets = np.insert(self.offsets, at, offsets)
         self.lengths = np.insert(self.lengths, at, lengths)
+        self.bytes_at = np.insert(self.bytes_at, at, raw_at)
+        self.bytes_n = np.insert(self.bytes_n, at, sizes)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers."""
@@ -189,12 +232,20 @@ class PieceEncoder:
             new = np.flatnonzero(~hit)
             self._learn(hashes[new], [data[s:e].decode("utf-8") for s, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
             place, hit = known()
+        # what the hash calls equal is compared, piece with first piece and first piece with the cached one
+        raw, size = padded(data), ends - starts
+        first_at, first_n = starts[where], size[where]
+        cached = self.bytes_n[place] == first_n
+        cached[cached] = same_bytes(raw, first_at[cached], self.raw, self.bytes_at[place][cached], first_n[cached])
+        same = (size == first_n[which]) & cached[which]
+        same[same] = same_bytes(raw, starts[same], raw, first_at[which[same]], size[same])
+        odd = set((np.searchsorted(first, starts[~same], side="right") - 1).tolist())
         n = self.lengths[place][which].astype(np.int64)
         stop = np.cumsum(n)
         ids = self.pool[np.repeat(self.offsets[place][which] - (stop - n), n) + np.arange(stop[-1])]
         cut = (stop - n)[np.searchsorted(starts, first)].tolist() + [len(ids)]
         for k, i in enumerate(at):
-            out[i] = ids[cut[k] : cut[k + 1]].tobytes()
+            out[i] = self._whole(chunk[k].decode("utf-8")).tobytes() if k in odd else ids[cut[k] : cut[k + 1]].tobytes()
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -38,6 +38,28 @@ def test_ids_at_white_space_runs(name):
         assert np.frombuffer(ids, dtype=enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_whose_hashes_collide(name):
+    """Thue-Morse words have equal polynomial hashes for every base: in one chunk, and against the cache."""
+    enc = tokens.PieceEncoder(tokens.public_path(name))
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    for texts in ([f"x {one} y", f"x {two} y", f"{one} {two} {one}"], [two, f"q {two}", one]):
+        for t, ids in zip(texts, enc.encode(texts), strict=True):
+            assert np.frombuffer(ids, dtype=enc.kind).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_same_bytes():
+    rnd = random.Random(5)
+    parts = ["".join(rnd.choice("ab") for _ in range(rnd.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))).encode() for _ in range(400)]
+    at = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    n = np.asarray([len(p) for p in parts])
+    raw = tokens.padded(*parts)
+    i, j = (np.asarray([rnd.randrange(400) for _ in range(20000)]) for _ in range(2))
+    i, j = i[n[i] == n[j]], j[n[i] == n[j]]
+    assert tokens.same_bytes(raw, at[i], raw, at[j], n[i]).tolist() == [parts[a] == parts[b] for a, b in zip(i, j, strict=True)]
+
+
 def test_packing(spark):
     rows = corpus()
     path = tokens.public_path("word_bpe_49k.json")
