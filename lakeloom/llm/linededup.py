@@ -1,41 +1,67 @@
-"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling, and deletion of repeated runs."""
+"""Line dedup: prefix doubling over line-ID sequences, and deletion of the later copies of repeated runs.
+
+Doubling names every 2^k lines of a document as a suffix array's construction does. What the deletion asks of the array are
+its LCP intervals (which places share their first m lines), and these are the places with equal names: so the names are not
+put in order and no array of sorted suffixes is kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import let, materialize, table, word_count
+from lakeloom.llm.common import let, materialize, table, unused, word_count
 
 #: A run of lines counts as a repeated passage from so many words.
 MIN_WORDS = 50
+#: A key with more than this share of all rows is joined by broadcast: there are at most ``HOT`` such keys.
+HOT = 65_536
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with what names a document: its id (``_k1``), and a hash of its text where ids repeat (``_k2``).
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns (their names come with it): the id of a document, and a hash of its text where ids repeat.
 
     Rows that agree in both are one document. A row without an id is a document of its own, before all others; such
     rows are numbered and written, so that both reads of them see one number.
     """
+    k1, k2 = unused(docs.columns, "_k1", "_k2")
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     id = F.col("doc_id").cast("long")
-    without = materialize(docs.where(id.isNull()).withColumn("_k1", F.monotonically_increasing_id() - (1 << 62)), "no-id")
-    return docs.where(id.isNotNull()).withColumn("_k1", id).unionByName(without).withColumn("_k2", text)
+    without = materialize(docs.where(id.isNull()).withColumn(k1, F.monotonically_increasing_id() - (1 << 62)), "no-id")
+    return docs.where(id.isNotNull()).withColumn(k1, id).unionByName(without).withColumn(k2, text), k1, k2
 
 
-def line_sequences(docs: DataFrame) -> DataFrame:
+def line_sequences(docs: DataFrame, k1: str = "_k1", k2: str = "_k2") -> DataFrame:
     """One row per line that has a word, of documents with their key: document key, ``at`` (number of the line), ``idx`` (among lines with words),
-    ``r0`` (64-bit line id, a hash of the exact line) and ``n`` (its words)."""
-    lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("r0"), word_count(x).alias("n")))
-    full = F.filter(lines, lambda e: e["n"] > 0)
-    rows = docs.select("_k1", "_k2", F.posexplode(full).alias("idx", "e"))
-    return rows.select("_k1", "_k2", "idx", "e.at", "e.r0", "e.n")
+    ``ha`` and ``hb`` (128 bits of hash of the exact line) and ``n`` (its words)."""
+    line = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("ha"), F.xxhash64(F.lit(7), x).alias("hb"), word_count(x).alias("n"))
+    full = F.filter(F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), line), lambda e: e["n"] > 0)
+    rows = docs.select(F.col(k1).alias("_k1"), F.col(k2).alias("_k2"), F.posexplode(full).alias("idx", "e"))
+    return rows.select("_k1", "_k2", "idx", "e.at", "e.ha", "e.hb", "e.n")
+
+
+def _met(rows: DataFrame, names: DataFrame, keys: list[str], total: int, how: str) -> DataFrame:
+    """``rows`` joined with ``names`` (unique by ``keys``, with their number of rows ``_c``), whatever a key's share of the rows.
+
+    Keys with more than 1 in ``HOT`` rows are at most ``HOT`` and broadcast; rows that have one are spread by their place in the shuffle
+    for the others, so that no key brings more than that share to one task.
+    """
+    value = [c for c in names.columns if c not in (*keys, "_c")]
+    hot = F.broadcast(names.where(F.col("_c") > total // HOT).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in value], F.lit(True).alias("_hot")))
+    cold = names.where(F.col("_c") <= total // HOT).select(*[F.col(c).alias(f"_cold_{c}") for c in keys + value], F.lit(False).alias("_not_hot"))
+    marked = rows.join(hot, keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    spread = [F.when(F.col("_hot"), F.xxhash64("_k1", "_k2", "idx")).otherwise(F.col(c)).alias(f"_cold_{c}") for c in keys]
+    marked = marked.select("*", *spread).withColumnRenamed("_hot", "_not_hot")
+    out = marked.join(cold, ["_not_hot", *[f"_cold_{c}" for c in keys]], "left")
+    found = [F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in value]
+    out = out.select(*rows.columns, *found)
+    return out if how == "left" else out.where(F.col(value[0]).isNotNull())
 
 
 def _repeated_only(lines: DataFrame) -> DataFrame:
-    """Lines whose id appears twice or more (counted map-side first, so that a common line is one row per task)."""
-    counts = lines.groupBy("r0").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("r0")
-    return lines.join(counts, "r0")
+    """Lines that appear twice or more, with ``r0``: the line's name, which is the number ``gid`` of one of its places."""
+    names = lines.groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("_c"), F.min("gid").alias("r0")).where("_c > 1")
+    return _met(lines, materialize(names, "line-names"), ["ha", "hb"], lines.count(), "inner").drop("ha", "hb")
 
 
 def _islands(lines: DataFrame, min_words: int) -> DataFrame:
@@ -43,38 +69,34 @@ def _islands(lines: DataFrame, min_words: int) -> DataFrame:
 
     The windows work on one document at a time. A line that stands again at its place is of a repeated row and goes.
     """
-    doc = Window.partitionBy("_k1", "_k2")
-    again = F.coalesce(F.lag("idx").over(doc.orderBy("idx")) == F.col("idx"), F.lit(False))
-    once = lines.withColumn("_again", again).where(~F.col("_again")).drop("_again")
-    grouped = once.withColumn("island", F.col("idx") - F.row_number().over(doc.orderBy("idx")))
-    return grouped.withColumn("_sum", F.sum("n").over(Window.partitionBy("_k1", "_k2", "island"))).where(F.col("_sum") >= min_words).drop("_sum")
-
-
-def suffix_ranks(lines: DataFrame, levels: int) -> DataFrame:
-    """``lines`` with ``r1`` .. ``r<levels>``: the rank of the 2^k lines from each place among all such stretches.
-
-    Prefix doubling: the rank of 2^(k+1) lines is the place of the pair (rank of the first half, rank of the second
-    half) in the order of all distinct pairs. The second half's rank comes from the same document, by a window; pairs
-    are counted with map-side combine; those seen once are final and are discarded (null rank from there on); the
-    others are range-partitioned and sorted, and ``monotonically_increasing_id`` numbers them in that global order
-    without a single-task sort. Sorting places by (r0, r1, ...) gives the suffix array to a depth of 2^levels lines;
-    equal ranks are its LCP intervals of at least 2^k lines.
+    doc = Window.partitionBy("_k1", "_k2").orderBy("idx")
+    place = F.dense_rank().over(doc)
+    again = F.coalesce(F.lag("idx").over(doc) == F.col("idx"), F.lit(False))
+    once = lines.withColumn("_again", again).withColumn("island", F.col("idx") - place).where(~F.col("_again")).drop("_again")
+    return once.withColumn("_sum", F.sum("n").over(Window.partitionBy("_k1", "_k2", "island"))).where(F.col("_sum") >= min_words).drop("_sum")
+
+
+def prefix_names(lines: DataFrame, levels: int) -> DataFrame:
+    """``lines`` with ``r1`` .. ``r<levels>``: a name for the 2^k lines from each place, equal where these lines are.
+
+    Prefix doubling: 2^(k+1) lines are named by the pair of names of their halves; the second half's comes from the
+    same document, by a window. Pairs are counted with map-side combine and named by the least ``gid`` that they begin at, so
+    that names don't depend on the order of rows; a pair seen once has no name (null), and neither has what is longer.
     """
     doc = Window.partitionBy("_k1", "_k2").orderBy("idx")
+    total = lines.count()
     for k in range(levels):
         step, old, new = 1 << k, f"r{k}", f"r{k + 1}"
         paired = lines.withColumn("_next", F.max(old).over(doc.rangeBetween(step, step)))
-        pairs = paired.where(F.col(old).isNotNull() & F.col("_next").isNotNull()).groupBy(old, "_next").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
-        order = pairs.select(old, "_next").repartitionByRange(old, "_next").sortWithinPartitions(old, "_next")
-        named = order.withColumn(new, F.monotonically_increasing_id())
-        lines = materialize(paired.join(named, [old, "_next"], "left").drop("_next"), f"suffix-{k + 1}")
+        named = paired.where(F.col(old).isNotNull() & F.col("_next").isNotNull()).groupBy(old, "_next").agg(F.count(F.lit(1)).alias("_c"), F.min("gid").alias(new)).where("_c > 1")
+        lines = materialize(_met(paired, materialize(named, f"names-{k + 1}"), [old, "_next"], total, "left").drop("_next"), f"prefixes-{k + 1}")
     return lines
 
 
 def _seeds(ranked: DataFrame, levels: int, min_words: int) -> DataFrame:
     """The shortest runs with ``min_words`` words that begin, or end, at each line: every longer run is their union.
 
-    Each seed has its class: its length in lines, the rank of its first 2^k and of its last 2^k lines (which overlap),
+    Each seed has its class: its length in lines, the name of its first 2^k and of its last 2^k lines (which overlap),
     that is its LCP interval. Works in arrays of one stretch of one document.
     """
     ranks = [f"r{k}" for k in range(levels + 1)]
@@ -116,42 +138,46 @@ def _seeds(ranked: DataFrame, levels: int, min_words: int) -> DataFrame:
     return rows.select("_k1", "_k2", "x.m", "x.ra", "x.rb", "x.idx", "x.ats")
 
 
-def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines to delete from documents with their key: document key and ``gone``, the sorted numbers of its lines that lie in a later copy.
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, k1: str = "_k1", k2: str = "_k2") -> DataFrame:
+    """Lines to delete from documents with their key: document key (``_k1``, ``_k2``) and ``gone``, the sorted numbers of its lines that lie in a later copy.
 
     A line goes if it lies in a run of lines with at least ``min_words`` words that also stands, line for line, earlier
     in the corpus (by doc_id, then place). Lines without words are no part of a run. Self-overlapping runs count.
+    Texts are split once; the lines are written with a number each.
     """
     levels = max(0, min_words.bit_length() - 1)  # a seed has at most min_words lines: 2^levels <= min_words
-    lines = materialize(_islands(_repeated_only(line_sequences(docs)), min_words), "lines")
-    seeds = materialize(_seeds(suffix_ranks(lines, levels), levels, min_words), "seeds")
+    all_lines = materialize(line_sequences(docs, k1, k2).withColumn("gid", F.monotonically_increasing_id()), "all-lines")
+    lines = materialize(_islands(_repeated_only(all_lines), min_words), "lines")
+    seeds = materialize(_seeds(prefix_names(lines, levels), levels, min_words), "seeds")
     place = F.struct("_k1", "_k2", "idx")
-    first = seeds.groupBy("m", "ra", "rb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    later = seeds.join(first, ["m", "ra", "rb"]).where(place > F.col("first"))
+    first = seeds.groupBy("m", "ra", "rb").agg(F.count(F.lit(1)).alias("_c"), F.min(place).alias("first")).where("_c > 1")
+    later = _met(seeds, materialize(first, "first-places"), ["m", "ra", "rb"], seeds.count(), "inner").where(place > F.col("first"))
     return later.groupBy("_k1", "_k2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("gone"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, count: bool = False) -> DataFrame:
     """``docs`` without later copies of repeated runs of lines; columns and rows stay, ``n_chars`` follows the text.
 
-    Null text stays null; a document that is a later copy as a whole keeps its row with what is left. Texts are
+    Null text stays null; a document that is a later copy as a whole keeps its row with what is left. Rows that agree in id and
+    text are one document and lose the same lines; columns of any name may stand beside. Texts are
     shuffled once, to meet the list of their lines. With ``count``, ``n_lines_dropped`` is added.
     """
     columns = docs.columns
-    keyed = _keyed(docs)
-    gone = later_copies(keyed, min_words)
-    met = keyed.join(gone, ["_k1", "_k2"], "left")
+    keyed, k1, k2 = _keyed(docs)
+    (gone,) = unused(keyed.columns, "_gone")
+    dropped = later_copies(keyed, min_words, k1, k2).select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), F.col("gone").alias(gone))
+    met = keyed.join(dropped, [k1, k2], "left")
     parts = F.split(F.col("text"), "\n", -1)
 
     def left(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    text = F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(parts, left))
+    text = F.when(F.col(gone).isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(parts, left))
     out = met.withColumn("text", text)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    extra = [F.coalesce(F.size("gone"), F.lit(0)).alias("n_lines_dropped")] if count else []
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    extra = [F.coalesce(F.size(gone), F.lit(0)).alias("n_lines_dropped")] if count else []
     return out.select(*columns, *extra)
 
 

@@ -165,12 +165,25 @@ def test_line_dedup(spark, least):
     rows = [(i, "\n".join(rnd.choice([*pool, "", " ", f"own {i} {rnd.random()}"]) for _ in range(rnd.randint(0, 30)))) for i in range(40)]
     block = "\n".join(pool[:6])
     rows += [(50, block), (51, block), (52, "x\n" + block + "\ny"), (60, None), (61, ""), (62, "\n".join(["same line here"] * 40))]
-    df = spark.createDataFrame([(*r, 0, "z") for r in rows], "doc_id long, text string, n_chars long, island string")
+    again = [r for r in rows if r[0] % 3 == 0]  # repeated rows change nothing
+    df = spark.createDataFrame([(*r, 0, "z", 1, "q") for r in rows + again + again], "doc_id long, text string, n_chars long, island string, gone int, _k1 string")
     out = linededup.drop_repeated_lines(df, least)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and out.count() == df.count()
     assert {r["doc_id"]: r["text"] for r in out.collect()} == without_later_copies(rows, least)
 
 
+def test_line_dedup_with_hot_and_long(spark, monkeypatch):
+    """One line and one passage in most documents, all keys above the limit of broadcast, and a very long text."""
+    monkeypatch.setattr(linededup, "HOT", 20)
+    rnd = random.Random(3)
+    hot, passage = "every document has this line", "\n".join(f"w{i} is line {i} of a passage with ten words" for i in range(7))
+    rows = [(i, "\n".join([hot, *[f"own {rnd.random()}" for _ in range(3)], *([passage] if i % 3 else []), hot])) for i in range(200)]
+    rows.append((200, "\n".join(f"l {i % 5000} of a very long text that repeats" for i in range(12000))))
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == "\n".join(f"l {i} of a very long text that repeats" for i in range(5000))
+    assert got[1] == rows[1][1] and all(got[i] == rows[i][1].replace(f"\n{passage}\n{hot}", "") for i in range(2, 200))
+
+
 def test_line_dedup_edges(spark):
     schema = "doc_id long, text string"
     assert linededup.drop_repeated_lines(spark.createDataFrame([], schema)).count() == 0
