@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialize, ship_package, table
 
-#: Kinds in the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; least pattern and instance scores; different seeds that a pattern needs.
-ROUNDS, PATTERN_SCORE, INSTANCE_SCORE, SEEDS = 3, 0.8, 0.8, 3
-#: Longest token that may be an identifier, and characters around it that give its context.
-TOKEN, CONTEXT = 80, 64
+#: Kinds in the order in which spans of one start are listed; the last one is the method's own and has columns of its own.
+KINDS, SECRET = ("email", "ip", "card", "phone"), 4
+#: Most rounds; least pattern and instance scores; different known identifiers that a pattern needs.
+ROUNDS, PATTERN_SCORE, INSTANCE_SCORE, SEEDS = 6, 0.8, 0.8, 3
+#: Characters from which a word or identifier stands in the graph by its sha256.
+KEY = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -25,12 +25,20 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKS = re.compile(r"[0-9@]+")
+_BLANK = re.compile(r"[ \t-\r]")
+#: Numbers in groups with single blanks between them, as telephone and card numbers are written.
+_GROUPS = re.compile(r"(?<![0-9().+/-])[+(]{0,2}[0-9][0-9().+/-]*+(?:\x20\(?[0-9][0-9().+/-]*+)+")
+_PUNCTUATION = ".,;:!?\"'[]<>|#$%&*=`{}"
+#: Weak form of each kind: what may be such an identifier if its contexts say so. The last one is a key of random letters and digits.
 _WEAK = (
     re.compile(r"[^\s@]+@[^\s@]+"),
-    re.compile(r"[0-9]{1,3}(?:[.:_-][0-9]{1,3}){3}"),
-    re.compile(r"[0-9](?:[-.]?[0-9]){11,18}"),
-    re.compile(r"\(?[0-9]{2,4}\)?(?:[-./]?[0-9]{2,4}){2,4}"),
+    re.compile(r"[0-9]{1,3}(?:[.:_-][0-9]{1,3}){3}|[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}"),
+    re.compile(r"[0-9](?:[\x20.-]?[0-9]){11,18}"),
+    re.compile(r"\+?\(?[0-9](?:[().\x20/+-]{0,3}[0-9]){6,14}\)?"),
+    re.compile(r"(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])[A-Za-z0-9_/+-]{20,}"),
 )
+#: Seeds of the last kind: long hexadecimal keys.
+_KEY = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
 
 
 def _digits(s: str) -> str:
@@ -81,115 +89,189 @@ def _ip_matches(text: str):
             yield m
 
 
-def _patterns(text: str, start: int, end: int, kind: int) -> list[str]:
-    """Lexical patterns of a place: the two words before it, and the word before with the word after; each for one kind."""
-    strip = lambda w: w.strip(".,;:!?\"'()[]<>|#$%&*").lower()
-    before = [w for w in map(strip, text[max(0, start - CONTEXT) : start].split()[-3:]) if w][-2:]
-    after = [w for w in map(strip, text[end : end + CONTEXT].split()[:1]) if w]
+def _near(text: str, at: int, n: int, step: int) -> list[str]:
+    """Up to ``n`` whole words before (``step`` -1) or behind (1) a place, in their order, however long they are."""
+    width = 64
+    while True:
+        lo, hi = (max(0, at - width), at) if step < 0 else (at, min(len(text), at + width))
+        found = text[lo:hi].split()
+        if len(found) > n or (lo == 0 if step < 0 else hi == len(text)):
+            return found[-n:] if step < 0 else found[:n]
+        width *= 4
+
+
+def _key(s: str) -> str:
+    return s if len(s) < KEY else "sha256:" + hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _word(raw: str) -> str:
+    return _key(re.sub("[0-9]+", "0", raw.strip(_PUNCTUATION + "()").lower()))
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """Lexical contexts of a place: two words before, the words around, two words behind, and a word before that ends in a colon or equals sign."""
+    before, after = _near(text, start, 5, -1), _near(text, end, 5, 1)
+    b, a = [w for w in map(_word, before) if w][-2:], [w for w in map(_word, after) if w][:2]
     out = []
-    if len(before) == 2:
-        out.append(f"{kind}|L|{before[0]} {before[1]}")
-    if before and after:
-        out.append(f"{kind}|B|{before[-1]} _ {after[0]}")
+    if len(b) == 2:
+        out.append(f"L {b[0]} {b[1]}")
+    if b and a:
+        out.append(f"B {b[-1]} _ {a[0]}")
+    if len(a) == 2:
+        out.append(f"R {a[0]} {a[1]}")
+    marks = re.search(r"[:=][\s\"'`]*$", " ".join(before))
+    if b and marks:
+        out.append(f"P {b[-1]}")
     return out
 
 
+def fits(token: str) -> int:
+    """The kinds whose weak form a token has, as bits."""
+    digits = sum(c.isdigit() for c in token)
+    limits = ((0, 1 << 62), (0, 1 << 62), (12, 19), (7, 15), (0, 1 << 62))
+    return sum(1 << k for k, (weak, (lo, hi)) in enumerate(zip(_WEAK, limits, strict=True)) if lo <= digits <= hi and weak.fullmatch(token))
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Places in the pattern-instance graph: every base span (a seed), and tokens of weaker identifier form outside of them."""
-    out = [{"start": a, "end": b, "kind": k, "seed": True, "instance": text[a:b][:TOKEN], "patterns": _patterns(text, a, b, k)} for a, b, k in spans]
-    taken = [(a, b) for a, b, _ in spans]
-    done = 0
+    """Places of the pattern-instance graph: base spans and keys (seeds of their kind), and all other tokens with a digit or @, of any length;
+    also groups of numbers with blanks. A token without a weak form is a place too: it speaks against the patterns that it stands in."""
+    place = lambda a, b, seed, bits: {"start": a, "end": b, "seed": seed, "fits": bits, "instance": _key(text[a:b]), "contexts": contexts(text, a, b)}
+    out = [place(a, b, k, 1 << k) for a, b, k in spans]
+    taken, at_span = sorted((a, b) for a, b, _ in spans), 0
+
+    def free(a: int, b: int) -> bool:
+        nonlocal at_span
+        while at_span < len(taken) and taken[at_span][1] <= a:
+            at_span += 1
+        return not any(x < b and a < y for x, y in taken[at_span : at_span + 4])
+
+    for m in _GROUPS.finditer(text):
+        a, b = m.start(), m.start() + len(m[0].rstrip(".,/+-("))
+        bits = fits(text[a:b])
+        if bits and free(a, b):
+            out.append(place(a, b, -1, bits))
+    done = at_span = 0
     for m in _MARKS.finditer(text):
         at = m.start()
         if at < done:
             continue
-        head = text[max(0, at - TOKEN) : at]
-        a = at - len(head) + max(head.rfind(c) for c in " \n\t\r") + 1
-        tail = re.match(r"\S*", text[at : at + TOKEN])[0]
-        b = at + len(tail)
-        done = b
-        token = text[a:b]
-        a += len(token) - len(token.lstrip(".,;:!?\"'[]<>|#$%&*"))
-        b -= len(token) - len(token.rstrip(".,;:!?\"'[]<>|#$%&*"))
+        a = max(done - 1, *(text.rfind(c, done, at) for c in " \n\t\r\x0b\x0c")) + 1
+        blank = _BLANK.search(text, at)
+        b = done = blank.start() if blank else len(text)
         token = text[a:b]
-        if not token or len(token) >= TOKEN or any(x < b and a < y for x, y in taken):
-            continue
-        for kind, weak in enumerate(_WEAK):
-            if weak.fullmatch(token):
-                out.append({"start": a, "end": b, "kind": kind, "seed": False, "instance": token, "patterns": _patterns(text, a, b, kind)})
+        a += len(token) - len(token.lstrip(_PUNCTUATION))
+        token = token.strip(_PUNCTUATION)
+        b = a + len(token)
+        if token and free(a, b):
+            secret = _KEY.fullmatch(token) is not None
+            out.append(place(a, b, SECRET if secret else -1, 1 << SECRET if secret else fits(token)))
     return out
 
 
-_PLACE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 _SPANS = "array<struct<start:bigint,end:bigint,kind:int>>"
-_PLACES = "array<struct<start:bigint,end:bigint,kind:int,seed:boolean,instance:string,patterns:array<string>>>"
+_PLACE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.int32()), ("fits", pa.int32()), ("instance", pa.string()), ("contexts", pa.list_(pa.string()))])
+_PLACES = "array<struct<start:bigint,end:bigint,seed:int,fits:int,instance:string,contexts:array<string>>>"
 
 
 def _scan(batches):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
-    any_mark = re.compile("[0-9@]")
     for batch in batches:
         base, places, shas = [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
-            found = base_spans(text) if any_mark.search(text) else []
+            marked = _MARKS.search(text)
+            found = base_spans(text) if marked else []
             base.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
-            places.append(candidates(text, found) if any_mark.search(text) else [])
+            places.append(candidates(text, found) if marked else [])
             shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in found).encode()).hexdigest())
         cols = [batch.column("_row"), batch.column("doc_id"), pa.array(base, spans_type), pa.array(shas), pa.array(places, pa.list_(_PLACE))]
         yield pa.RecordBatch.from_arrays(cols, ["_row", "doc_id", "base", "base_sha256", "places"])
 
 
 def discover(places: DataFrame) -> DataFrame:
-    """Places (``_row``, ``start``, ``end``, ``kind``) that the bootstrapped patterns find beyond the seeds.
-
-    The graph links (kind, context) patterns with the different strings seen in them. Seeds have score 1. In every
-    round a pattern's score is the mean score of its different instances, if enough of them are seeds, and an
-    unseen instance's score is 1 minus the product of what its good patterns leave open. Spark aggregates and joins the graph;
-    instances and patterns are counted once however often they stand, so that copied passages don't vote.
+    """Identifiers (``instance``, ``kind``, ``score``) that bootstrapping finds beyond the seeds, which have score 1.
+
+    The graph links contexts with the different strings seen in them, each once however often it stands, so that copied passages don't
+    vote. In every round a context is scored for each kind: the scores of its known identifiers of that kind against these and what speaks
+    against it (strings that haven't the kind's weak form, or are known to be of another kind); strings that may be of the kind and aren't known
+    yet say nothing. With enough known ones it is a pattern, and the strings in it that fit get the score 1 minus the product
+    of what their patterns leave open. What reaches ``INSTANCE_SCORE`` is known in the next round, so that found identifiers induce
+    patterns of their own; it ends when nothing is added. Contexts with too few strings to find anything are left out
+    beforehand. Joins are shuffled: nothing that grows with the corpus is broadcast.
     """
-    edges = places.select(F.explode("patterns").alias("pattern"), "kind", "instance", "seed").groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"))
-    with_seed = edges.where("seed").select("pattern").distinct()
-    edges = materialize(edges.join(with_seed, "pattern", "left_semi"), "pii-graph")
-    scored = edges.where("seed").select("kind", "instance", F.lit(1.0).alias("score")).distinct()
+    edges = places.select(F.explode("contexts").alias("context"), "instance", "seed", "fits").groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.max("fits").alias("fits"))
+    wide = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") < 0).alias("open")).where(f"n > {SEEDS} AND open > 0").select("context")
+    edges = materialize(edges.join(wide.hint("merge"), "context", "left_semi"), "pii-graph")
+    seeds = edges.where("seed >= 0").groupBy("instance").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("score"))
+    known, before = materialize(seeds, "pii-known"), -1
+    kinds = range(len(KINDS) + 1)
     for _ in range(ROUNDS):
-        met = edges.join(scored, ["kind", "instance"], "left")
-        good = met.groupBy("pattern").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("p"), F.count_if(F.coalesce("score", F.lit(0.0)) >= INSTANCE_SCORE).alias("known"))
-        good = good.where((F.col("p") >= PATTERN_SCORE) & (F.col("known") >= SEEDS)).select("pattern", "p")
-        product = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))
-        unseen = edges.where(~F.col("seed")).join(good, "pattern").groupBy("kind", "instance").agg((1 - product).alias("score"))
-        scored = materialize(edges.where("seed").select("kind", "instance", F.lit(1.0).alias("score")).distinct().unionByName(unseen.where(F.col("score") >= INSTANCE_SCORE)), "pii-scores")
-    at = places.where(~F.col("seed")).select("_row", "start", "end", "kind", "instance", F.explode("patterns").alias("pattern"))
-    return at.join(good.select("pattern"), "pattern", "left_semi").join(scored.select("kind", "instance"), ["kind", "instance"], "left_semi").select("_row", "start", "end", "kind").distinct()
+        met = edges.join(known.hint("merge"), "instance", "left")
+        mine = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
+        may = lambda k: F.col("fits").bitwiseAND(1 << k) != 0
+        against = lambda k: ~mine(k) & (F.col("kind").isNotNull() | ~may(k))
+        sums = [x for k in kinds for x in (F.sum(F.when(mine(k), F.col("score"))).alias(f"for{k}"), F.count_if(mine(k)).alias(f"n{k}"), F.count_if(against(k)).alias(f"against{k}"))]
+        scored = met.groupBy("context").agg(*sums)
+        each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n{k}").alias("n"), (F.col(f"for{k}") / (F.col(f"for{k}") + F.col(f"against{k}"))).alias("p")) for k in kinds])
+        good = scored.select("context", F.explode(each).alias("e")).select("context", "e.*").where((F.col("n") >= SEEDS) & (F.col("p") >= PATTERN_SCORE))
+        left = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))
+        seen = edges.where("seed < 0").join(good.select("context", "kind", "p").hint("merge"), "context").where(F.call_function("shiftright", "fits", F.col("kind")).bitwiseAND(1) != 0)
+        best = seen.groupBy("instance", "kind").agg((1 - left).alias("score")).where(F.col("score") >= INSTANCE_SCORE)
+        best = best.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("b")).select("instance", (-F.col("b.minus")).alias("kind"), F.col("b.score").alias("score"))
+        known = materialize(seeds.unionByName(best.join(seeds.select("instance").hint("merge"), "instance", "left_anti")), "pii-known")
+        count = known.count()
+        if count == before:
+            break
+        before = count
+    return known.join(seeds.select("instance").hint("merge"), "instance", "left_anti")
+
+
+def _apart(spans: Column) -> Column:
+    """Spans that don't overlap, of any number: the first one stays, of one start the longest."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
+    start = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast(_SPANS).alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.concat(acc["kept"], F.array(F.struct(s["start"].alias("start"), (-s["minus_end"]).alias("end"), s["kind"].alias("kind"))))
+        return F.when(s["start"] >= acc["last"], F.struct((-s["minus_end"]).alias("last"), kept.alias("kept"))).otherwise(acc)
+
+    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``base`` and ``found`` (arrays of start, end, kind) and ``base_sha256`` for every row of ``docs``.
+    """``doc_id``, ``base``, ``found`` and ``secrets`` (arrays of start, end, kind) and ``base_sha256`` for every row of ``docs``.
 
-    One pass reads whole texts for base spans and places of the graph; what bootstrapping finds is grouped by row
-    and joined back. A found place that several kinds claim goes to the first of ``KINDS``. Null and empty texts have nothing.
+    One pass reads whole texts for base spans and places of the graph. What bootstrapping finds once is marked wherever
+    it stands outside base spans. ``secrets`` are keys: long hexadecimal ones are that kind's seeds, others are found. Null and empty texts have nothing; rows that
+    repeat get equal answers; columns other than ``doc_id`` and ``text`` don't matter.
     """
     ship_package(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(rows.mapInArrow(_scan, f"_row bigint, doc_id bigint, base {_SPANS}, base_sha256 string, places {_PLACES}"), "pii-scan")
     places = seen.where(F.size("places") > 0).select("_row", F.explode("places").alias("p")).select("_row", "p.*")
-    found = discover(places).groupBy("_row", "start", "end").agg(F.min("kind").alias("kind"))
-    found = found.groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("found"))
-    return seen.drop("places").join(found, "_row", "left").withColumn("found", F.coalesce("found", F.array().cast(_SPANS))).drop("_row")
+    marked = places.where("seed < 0").join(discover(places).hint("merge"), "instance").where(F.call_function("shiftright", "fits", F.col("kind")).bitwiseAND(1) != 0)
+    keys = places.where(F.col("seed") == SECRET).select("_row", "start", "end", F.col("seed").alias("kind"))
+    found = marked.select("_row", "start", "end", "kind").unionByName(keys).groupBy("_row").agg(_apart(F.collect_list(F.struct("start", "end", "kind"))).alias("all"))
+    out = seen.drop("places").join(found.hint("merge"), "_row", "left").withColumn("all", F.coalesce("all", F.array().cast(_SPANS)))
+    out = out.withColumn("found", F.filter("all", lambda s: s["kind"] != SECRET)).withColumn("secrets", F.filter("all", lambda s: s["kind"] == SECRET))
+    return out.drop("_row", "all")
 
 
-def _listed(spans: Column) -> Column:
+def _listed(spans: Column | str) -> Column:
     """``kind:start:end`` of each, by start and then kind, joined by commas."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in (*KINDS, "secret")])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: number of base spans of each kind, their digest, and all spans of every document."""
+    """Contract query: number of base spans of each kind, their digest, and all spans of every document; beside them the secrets,
+    and ``n_spans``, the number of all that was found."""
     found = extract(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, "base_sha256", _listed(F.concat("base", "found")).alias("spans"))
+    n_secret = F.size("secrets").cast("long")
+    more = [n_secret.alias("n_secret"), _listed("secrets").alias("secret_spans"), (F.size("base") + F.size("found") + n_secret).alias("n_spans")]
+    return found.select("doc_id", *counts, "base_sha256", _listed(F.concat("base", "found")).alias("spans"), *more)
 
 
 def _of_kind(i: int):

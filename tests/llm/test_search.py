@@ -31,18 +31,48 @@ def test_base_spans_equal_regular_expressions():
     assert pii.base_spans("a" * 200_000 + "@" + "1" * 200_000) == []
 
 
-def test_contexts_discover_unseen_identifiers(spark):
+def spans_of(rows):
+    return {r["doc_id"]: [(s["start"], s["end"], s["kind"]) for s in r["found"]] for r in rows}
+
+
+def test_two_generations_of_contexts(spark):
+    """Seeds stand in one context; six unseen numbers there are found, induce a second context, and that finds a seventh."""
+    numbers = [f"555-123-45{i:02d}" for i in range(6)]
     rows = [(i, f"word {i} here you may call me +1 (555) 555-{1000 + i} today for more") for i in range(12)]
-    rows += [(100, "some other text, call me 555-123-4567 today for more"), (101, "version 555-123-4567 was shipped"), (102, None), (103, ""), (104, "call me tomorrow 12 times")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, pattern string")
-    got = {r["doc_id"]: r for r in pii.extract(df).collect()}
-    assert len(got) == len(rows)
-    assert [(s["start"], s["end"], s["kind"]) for s in got[100]["found"]] == [(25, 37, 3)]
-    assert all(not got[i]["found"] for i in got if i != 100)
-    assert [(s["start"], s["end"], s["kind"]) for s in got[3]["base"]] == plain(rows[3][1])
+    rows += [(100 + i, f"some other text, call me {n} today for more {i}") for i, n in enumerate(numbers)]
+    rows += [(200 + i, f"the office line reads {n} before noon {i}") for i, n in enumerate(numbers)]
+    rows += [(300, "the office line reads (020) 7946 0958 before noon"), (301, f"x{numbers[0]} {numbers[0]} elsewhere"), (302, "part 555-999-9999 was shipped")]
+    rows += [(303, None), (304, ""), (305, "call me tomorrow 12 times"), (300, "the office line reads (020) 7946 0958 before noon"), (None, f"see {numbers[1]}")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, instance string")
+    out = pii.extract(df).collect()
+    found = spans_of(out)
+    assert len(out) == len(rows)
+    at = lambda doc, n: (dict(rows)[doc].index(n), dict(rows)[doc].index(n) + len(n), 3)
+    assert all(found[100 + i] == [at(100 + i, n)] and found[200 + i] == [at(200 + i, n)] for i, n in enumerate(numbers))
+    assert found[300] == [at(300, "(020) 7946 0958")]  # by a pattern that no seed stands in
+    assert found[301] == [(14, 26, 3)] and found[None] == [(4, 16, 3)]  # found once, marked wherever it stands
+    assert all(not found[i] for i in (*range(12), 302, 303, 304, 305))
     assert pii.extract(df.limit(0)).count() == 0
 
 
+def test_patterns_with_strings_that_do_not_fit_find_nothing(spark):
+    rows = [(i, f"he wrote down +1 (555) 555-{1000 + i} in all") for i in range(5)]
+    rows += [(50 + i, f"he wrote down {i} in all") for i in range(9)] + [(90, "he wrote down 555-123-4567 in all")]
+    found = spans_of(pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert not any(found.values())
+
+
+def test_secrets_and_long_tokens(spark):
+    keys = [f"{i:040x}" for i in range(1, 6)]
+    rows = [(i, f'set token = "{k}" there') for i, k in enumerate(keys)] + [(10, 'set token = "Zm9vYmFyYmF6cXV4MTIzNDU2" there'), (11, "plain Zm9vYmFyYmF6cXV4MTIzNDU3 here")]
+    long = "7" * 300_000
+    rows += [(20, f"{long} {long}@{long} {'x' * 200_000}"), (21, "9 " * 100_000)]
+    out = {r["doc_id"]: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [len(out[i]["secrets"]) for i in (*range(5), 10, 11)] == [1] * 6 + [0]
+    assert rows[5][1][out[10]["secrets"][0]["start"] : out[10]["secrets"][0]["end"]] == "Zm9vYmFyYmF6cXV4MTIzNDU2"
+    assert not out[20]["found"] and not out[21]["found"]
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "VECTOR_BLOCK", 400)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 20)
