@@ -25,7 +25,20 @@ SEGMENTS = ["consumer", "business", "vip"]
 STOCK_EVENTS = ["receipt", "shipment", "adjustment", "return", "stock_count"]
 TRACKER_EVENTS = ["label_created", "picked_up", "in_transit", "out_for_delivery", "delivered", "delivery_exception", "returned"]
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
-COUNTRIES = {"US": ("usa", "united states", "united states of america"), "CA": ("canada",), "GB": ("uk", "united kingdom", "great britain"), "DE": ("germany", "deutschland"), "FR": ("france",), "SE": ("sweden",), "IN": ("india",), "SG": ("singapore",), "AU": ("australia",), "BR": ("brazil", "brasil"), "AE": ("uae", "united arab emirates")}
+#: Spellings of countries in deliveries, by code; letter case and outer blanks don't matter.
+COUNTRIES = {
+    "US": ("United States", "USA", "U.S.", "United States of America"),
+    "CA": ("Canada", "CAN"),
+    "DE": ("Germany", "Deutschland"),
+    "GB": ("United Kingdom", "UK", "U.K.", "Great Britain"),
+    "ES": ("Spain", "España"),
+    "SE": ("Sweden",),
+    "IN": ("India", "IND"),
+    "SG": ("Singapore",),
+    "AU": ("Australia", "AUS"),
+    "BR": ("Brazil", "Brasil"),
+    "AE": ("United Arab Emirates", "UAE", "U.A.E."),
+}
 
 _LINEAGE = ("_batch_id", "_source_file", "_ingested_at", "_run_id", "_row_number")
 
