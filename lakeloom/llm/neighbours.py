@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,8 @@ from lakeloom.llm.common import ship_package, table
 PROJECTIONS, COLLIDE, HALF_WIDTH = 64, 0.75, 1.35
 #: Radii of virtual rehashing: the first, the factor to the next; the largest distance of unit vectors is 2.
 FIRST_RADIUS, FACTOR = 0.1, 1.25
-#: Most vectors and most queries that a task holds (rows of a block).
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
-
-_HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+#: Vectors of a block, which a task indexes.
+VECTOR_BLOCK = 8192
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -28,9 +27,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col(id_col).isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
 
 
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = t.column("vec_id").to_numpy()
-    return ids, np.asarray(t.column("v").combine_chunks().flatten()).reshape(len(ids), -1)
+def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """Vectors of a batch as rows, each times a power of two that brings its largest component near 1: exact, and no norm overflows or vanishes."""
+    v = np.asarray(batch.column(column).flatten()).reshape(batch.num_rows, -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None])
 
 
 class SortedProjections:
@@ -74,45 +74,66 @@ class SortedProjections:
         return np.concatenate([rows, new]), np.concatenate([scores, measure(new)])
 
 
+def _search(batches, k: int, seed: int):
+    """Hits of rows sorted by (dim, block, kind): a block's vectors (kind 0) are indexed once, then its queries stream past the index."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    block = index = None
+    for whole in batches:
+        keys = np.stack([whole.column(c).to_numpy() for c in ("dim", "block", "kind")], axis=1).astype(np.int64)
+        cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            if lo == hi:
+                continue
+            batch, mine = whole.slice(lo, hi - lo), tuple(keys[lo, :2].tolist())
+            if mine != block:
+                block, held, index = mine, [], None
+            found, v = batch.column("vec_id").to_numpy(), _rows(batch, "v")
+            norms = np.sqrt((v * v).sum(axis=1))
+            if keys[lo, 2] == 0:
+                held.append((found, v, norms))
+                continue
+            if not held:
+                continue
+            if index is None:
+                ids, all_v, all_norms = (np.concatenate(x) for x in zip(*held, strict=True))
+                index = SortedProjections(all_v / all_norms[:, None], seed)
+            out = []
+            for i, q_id in enumerate(found):
+
+                def measure(rows, i=i, q_id=q_id):
+                    s = (all_v[rows] * v[i]).sum(axis=1) / (all_norms[rows] * norms[i])
+                    return np.where(ids[rows] == q_id, -3.0, s)
+
+                rows, scores = index.search(v[i] / norms[i], k, measure)
+                own = scores > -2
+                rows, scores = rows[own], scores[own]
+                best = np.lexsort((ids[rows], -scores))[:k]
+                out.append((np.full(len(best), q_id), ids[rows[best]], scores[best]))
+            q, i, x = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(x, pa.float64())], ["query_id", "vec_id", "score"])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, seed: int = 3) -> DataFrame:
     """The ``k`` vectors with the largest cosine to each query: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
 
-    Both frames come from ``usable``. Vectors and queries are dealt by hash into blocks of bounded size, and each pair of blocks
-    of one dimension is a task: it indexes its vectors and searches its queries, so that every row is indexed and nothing
-    that grows is broadcast. The k best of each block, by exact cosine of the original vectors in double precision,
-    meet in a window of k rows per block and query; ties go to the smaller id. Rows with the query's own id are no
-    candidates; repeated rows count as often as they stand. With fewer candidates than k all are returned.
+    Both frames come from ``usable``: rows without an id, and vectors that are null, zero or not finite, take no part; very large and very
+    small components do. Vectors are dealt by hash into blocks of ``VECTOR_BLOCK``; each block of one dimension is indexed once, and all queries
+    stream past it in batches, so that every row is indexed, a task's memory is that of a block, and nothing that grows is broadcast. The k best of each
+    block, by exact cosine in double precision, meet in a window of k rows per block and query; ties go to the smaller id. Rows with the query's own id are no
+    candidates. Equal rows of one id are held once (any number of them would be one block) and count as often as they stand; equal queries are
+    one. With fewer candidates than k all are returned.
     """
     ship_package(vectors.sparkSession)
-    n, m = vectors.count(), queries.count()
-    nv, nq = max(1, math.ceil(n / VECTOR_BLOCK)), max(1, math.ceil(m / QUERY_BLOCK))
-    deal = lambda df, own, other, n_own, n_other: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-    left = deal(vectors, "vb", "qb", nv, nq)
-    right = deal(queries, "qb", "vb", nq, nv)
-
-    def search(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        if not lt.num_rows or not rt.num_rows:
-            return _HITS.empty_table()
-        ids, v = _matrix(lt)
-        q_ids, q = _matrix(rt)
-        norms, q_norms = np.sqrt((v * v).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-        index = SortedProjections(v / norms[:, None], seed)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i, q_id in enumerate(q_ids):
-
-            def measure(rows, i=i, q_id=q_id):
-                s = (v[rows] * q[i]).sum(axis=1) / (norms[rows] * q_norms[i])
-                return np.where(ids[rows] == q_id, -3.0, s)
-
-            rows, scores = index.search(q[i] / q_norms[i], k, measure)
-            own = scores > -2
-            rows, scores = rows[own], scores[own]
-            best = np.lexsort((ids[rows], -scores))[:k]
-            out.append((np.full(len(best), q_id), ids[rows[best]], scores[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _HITS, strict=True)], schema=_HITS)
-
-    found = left.groupBy("dim", "vb", "qb").cogroup(right.groupBy("dim", "vb", "qb")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+    once = vectors.groupBy("vec_id", "v", "dim").agg(F.count(F.lit(1)).alias("times"))
+    nv = max(1, math.ceil(vectors.count() / VECTOR_BLOCK))
+    block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(nv))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long")))
+    left = once.select("dim", block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
+    right = queries.select("vec_id", "v", "dim").distinct().select("dim", every.alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
+    dealt = left.unionByName(right).repartition("dim", "block").sortWithinPartitions("dim", "block", "kind")
+    found = dealt.mapInArrow(partial(_search, k=k, seed=seed), "query_id bigint, vec_id bigint, score double")
+    again = once.where("times > 1").groupBy("vec_id").agg(F.max("times").alias("times"))
+    found = found.join(again.hint("merge"), "vec_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("times", F.lit(1)), F.lit(k)).cast("int"))))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
