@@ -17,8 +17,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Parts of host names that put a page's URL on the list of this repository's query.
-LISTED_TERMS = ("casino", "pills", "bets", "adult", "spam", "ads-track")
+#: Runs of three symbols, and how many of them in a page's html put its URL on the list of this repository's query.
+JUNK, LEAST_JUNK = "#{3}|[*]{3}|%{3}|[$]{3}", 8
 #: Bits that a URL sets in its 64-bit block, listed URLs per block on average, and most bytes of a filter that is broadcast.
 BITS, PER_BLOCK, BROADCAST_BYTES = 4, 4, 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,42 +84,47 @@ def match_listed(urls: DataFrame, listed: DataFrame) -> DataFrame:
     probed = urls.withColumn("_block", F.pmod(F.xxhash64("canonical"), F.lit(blocks))).join(bloom, "_block", "left")
     mask = _mask(hashed)
     possible = F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))
-    # only possible hits keep their key: all others have none and match nothing
-    keyed = probed.withColumn("_possible", F.when(possible, F.col("canonical"))).drop("_block", "_bits")
-    exact = listed.select(F.col("canonical").alias("_possible"), F.lit(True).alias("_hit"))
-    hits = keyed.where(F.col("_possible").isNotNull()).join(exact, "_possible", "left")
-    rest = keyed.where(F.col("_possible").isNull()).withColumn("_hit", F.lit(None).cast("boolean"))
-    both = hits.unionByName(rest)
-    return both.withColumn("listed", F.coalesce("_hit", F.lit(False))).drop("_possible", "_hit")
+    # only possible hits keep their key; all others get a number that no listed URL has, which spreads them
+    spread = F.when(possible, F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    keyed = probed.withColumn("_possible", F.when(possible, F.col("canonical")).otherwise("")).withColumn("_spread", spread).drop("_block", "_bits")
+    exact = listed.select(F.col("canonical").alias("_possible"), F.lit(-1).cast("long").alias("_spread"), F.lit(True).alias("_hit"))
+    both = keyed.join(exact.hint("shuffle_hash"), ["_possible", "_spread"], "left")
+    return both.withColumn("listed", F.coalesce("_hit", F.lit(False))).drop("_possible", "_spread", "_hit")
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
-    """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``listed``: the longest rule that fits decides; a page without one
-    is blocked if its canonical URL is listed, and allowed otherwise."""
+    """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``canonical`` and ``listed``: the longest rule that fits decides; a page without one
+    is blocked if its canonical URL is listed, and allowed otherwise.
+
+    Null URLs and URLs without ``://`` have an empty host and path, fit no rule and are not listed. Columns of ``pages`` by
+    the six names are replaced, others stay; repeated rows are judged alike; an empty table gives an empty one.
+    """
+    own = ("host", "path", "rule", "verdict", "canonical", "listed")
     host, path = split_url(F.col("url"))
-    parsed = pages.withColumn("host", host).withColumn("path", path)
-    parsed = parsed.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(F.col("host"), F.col("path")))
+    packed = pages.select(F.struct(*pages.columns).alias("_page"), host.alias("host"), path.alias("path"))
+    parsed = packed.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(F.col("host"), F.col("path")))
     judged = match_listed(parsed, listed)
     method = F.when(F.col("listed"), "block").otherwise("allow")
-    return judged.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.coalesce(F.col("_best.verdict"), method)).drop("_best")
+    kept = [F.col(f"_page.`{c}`").alias(c) for c in pages.columns if c not in own]
+    return judged.select(*kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), method).alias("verdict"), "canonical", "listed")
 
 
-def listed_by_host(pages: DataFrame, terms=LISTED_TERMS) -> DataFrame:
-    """A list of canonical URLs: those of pages whose host holds one of ``terms``."""
+def listed_by_content(pages: DataFrame, pattern: str = JUNK, least: int = LEAST_JUNK) -> DataFrame:
+    """A list of canonical URLs: those under which some page has at least ``least`` matches of ``pattern`` in its html. All spellings of a URL are listed then."""
     host, path = split_url(F.col("url"))
-    found = pages.select(host.alias("host"), path.alias("path")).where(reduce(lambda a, b: a | b, [F.col("host").contains(t) for t in terms]))
+    found = pages.where(F.regexp_count("html", F.lit(pattern)) >= least).select(host.alias("host"), path.alias("path")).where("host <> ''")
     return found.select(canonical(F.col("host"), F.col("path")).alias("canonical"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: rule and verdict for the URL of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages, listed_by_host(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
+    """Contract query: rule and verdict for the URL of every page; the list is made from what the pages hold."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages.select("page_id", "url"), listed_by_content(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 ORACLE_OP2 = """
-WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS a FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH u AS (SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS a FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(a, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(a, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(regexp_replace(path, '/index\\.(html?|php)$', '/'), '/+$', '') AS canonical,
   CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -127,8 +132,7 @@ c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(regexp_rep
        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
        WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM h),
-l AS (SELECT DISTINCT canonical FROM c WHERE contains(host, 'casino') OR contains(host, 'pills') OR contains(host, 'bets')
-  OR contains(host, 'adult') OR contains(host, 'spam') OR contains(host, 'ads-track'))
+l AS (SELECT DISTINCT canonical FROM c WHERE host <> '' AND len(regexp_extract_all(html, '#{3}|[*]{3}|%{3}|[$]{3}')) >= 8)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
