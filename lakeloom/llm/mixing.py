@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import distributed_rank, materialize, table, word_count
+from lakeloom.llm.common import distributed_rank, materialize, table, unused, word_count
 
 #: Weights that the sources take in turn, in order of their code points with null last.
 WEIGHTS = (3, 1, 2)
@@ -35,24 +35,31 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return src.select("_none", "_name", "source_size", target.cast("double").alias("target"))
 
 
-def mix_plan(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 7, **shares) -> DataFrame:
-    """``sized`` (an id, a source, a long ``size``, anything else) with ``source_size``, ``target`` and ``copies``.
+def _offset(seed: int) -> Column:
+    """A number from 0 to below 1 for each source, as any engine with md5 can make it."""
+    digest = F.md5(F.concat(F.when(F.col("_none"), "1").otherwise("0"), "_name", F.lit(f"|{seed}")))
+    return F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / float(1 << 20)
+
+
+def mix_plan(sized: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 7, tie: str | None = None, **shares) -> DataFrame:
+    """``sized`` (an id, a source, a long ``size``, perhaps a column ``tie``, anything else) with ``source_size``, ``target`` and ``copies``.
 
     Systematic sampling: within a source every document expects target / source size copies. The prefix sum of these
-    over the documents in order of size, plus one random offset per source (a hash of its name and ``seed``), crosses
+    over the documents in order of size, plus one random offset per source (20 bits of the md5 of its name and ``seed``), crosses
     as many integers at a document as it gets copies. Order by size makes the words taken come within about one
-    document of the target. Reruns agree. Documents of size 0 take nothing; a source of only such documents has target
-    0; a null source is a source of its own; rows with one id are rows of their own.
+    document of the target. Documents of one size go by id, rows without an id first, then by ``tie`` (a hash of the text, say), so that reruns
+    agree; rows that agree in all are interchangeable. Documents of size 0 take nothing and have no copies; a source of only such documents has target
+    0; a null source is a source of its own; rows with one id are rows of their own; an empty table gives an empty plan.
     """
     keyed = sized.withColumn("_none", F.col(source_col).isNull()).withColumn("_name", F.coalesce(F.col(source_col), F.lit("")))
     keyed = materialize(keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long"))), "mix-sizes")
     targets = source_targets(keyed, **shares)
-    ranked = distributed_rank(keyed, ["_none", "_name"], ["size", "_id"], "mix-rank")
+    ranked = distributed_rank(keyed, ["_none", "_name"], ["size", "_id", *([tie] if tie else [])], "mix-rank")
     mixed = ranked.join(targets, ["_none", "_name"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    mixed = mixed.withColumn("_each", each).withColumn("_u", F.pmod(F.xxhash64("_none", "_name", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20))
+    mixed = mixed.withColumn("_each", each).withColumn("_u", _offset(seed))
     crossed = F.floor((F.col("rank") + 1) * F.col("_each") + F.col("_u")) - F.floor(F.col("rank") * F.col("_each") + F.col("_u"))
-    copies = F.least(crossed, F.ceil("_each")).cast("long")
+    copies = F.when(F.col("size") > 0, F.least(crossed, F.ceil("_each"))).otherwise(0).cast("long")
     return mixed.withColumn("copies", copies).drop("_none", "_name", "_id", "_each", "_u", "rank")
 
 
@@ -64,16 +71,17 @@ def mix_documents(docs: DataFrame, seed: int = 7, **shares) -> DataFrame:
     ``source`` column counts as one source.
     """
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    key = {"_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), "_k2": F.xxhash64(*docs.columns)}
-    plan = mix_plan(docs.select(F.col("doc_id"), source.alias("source"), word_count(F.col("text")).alias("size"), *[c.alias(k) for k, c in key.items()]), seed=seed, **shares)
-    copies = plan.groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    met = docs.withColumns(key).join(copies, ["_k1", "_k2"])
-    once = met.withColumn("_rn", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0)))).where("_rn = 1")
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    k1, k2, number, place, copy = unused(docs.columns, "_k1", "_k2", "_copies", "_place", "_copy")
+    key = {k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), k2: F.xxhash64(*docs.columns)}
+    sized = docs.select(F.col("doc_id"), source.alias("source"), word_count(F.col("text")).alias("size"), *[c.alias(k) for k, c in key.items()])
+    copies = mix_plan(sized, seed=seed, tie=k2, **shares).groupBy(k1, k2).agg(F.sum("copies").cast("int").alias(number)).where(F.col(number) > 0)
+    met = docs.withColumns(key).join(copies, [k1, k2])
+    once = met.withColumn(place, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))).where(F.col(place) == 1)
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(*docs.columns)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: how often and with how many words each document enters the mix."""
     docs = table(spark, sf_dir, "documents")
-    plan = mix_plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    plan = mix_plan(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5("text").alias("tie")), tie="tie")
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
