@@ -20,16 +20,23 @@ PHRASES = (
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced or transmitted in any form"),
 )
@@ -84,8 +91,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = K, drift: int = DRIFT, c
 
     The rolling k-grams of whole texts are hashed in place, joined with the places of the notices (a bounded table), and
     each hit votes for its diagonal, document place minus notice place. Diagonals within ``drift`` of each other are
-    merged, so that a few inserted or lost words don't break an alignment, and an alignment stands if the words of its
-    hits (compared as words, not hashes) cover ``cover`` of the notice. Before the join, k-grams whose hash no notice has
+    merged, so that a few inserted or lost words don't break an alignment. An alignment is verified as a span: the words of its
+    hits (compared as words, not hashes) must cover ``cover`` of the notice, and its span in the document (``spans``) must not hold more than as many words
+    again as the notice, so that scattered k-grams of a long text don't add up. Before the join, k-grams whose hash no notice has
     are left out in place. Votes of a document are summed map-side; the windows see the diagonals of one document and notice.
     Null and empty texts have no words, places or labels. Rows with one id are rows of their own.
     """
@@ -110,7 +118,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = K, drift: int = DRIFT, c
     merged = lines.groupBy("_row", "template", "label", "t_words", "alignment").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # verification: distinct words of the notice that the alignment covers
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (k - 1))))))
-    spans = merged.withColumn("score", covered / F.col("t_words")).where(F.col("score") >= cover)
+    tight = F.col("hi") + k - F.col("lo") <= 2 * F.col("t_words")
+    spans = merged.withColumn("score", covered / F.col("t_words")).where((F.col("score") >= cover) & tight)
     found = spans.groupBy("_row").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"), F.sort_array(F.collect_list(F.struct(F.col("lo").alias("first_word"), (F.col("hi") + k - 1).alias("last_word"), "label", "score"))).alias("spans"))
     return parsed.drop("hits").join(found, "_row", "left").drop("_row")
 
