@@ -172,6 +172,13 @@ _BLOCK_NAMES = [c.strip().split(" ")[0] for c in BLOCK_SCHEMA.split(",")]
 _BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
 
 
+def _part_bases(files: DataFrame) -> DataFrame:
+    """``part`` and ``base``, the ids of earlier parts: one row per range partition of the writer."""
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("base"))
+
+
 def read_blocks(files: DataFrame, freq: np.ndarray) -> DataFrame:
     """Decode blocks in parallel: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens`` and ``ids`` (binary, little-endian
     unsigned 32-bit). A block whose decoded ids don't match its checksum is an error.
@@ -194,13 +201,42 @@ def read_blocks(files: DataFrame, freq: np.ndarray) -> DataFrame:
                 out = [pa.array(np.full(len(n), row["part"], dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(before + row["at"]), pa.array(n), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["part", "doc_id", "at", "n_tokens", "ids"])
 
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("base"))
+    base = _part_bases(files)
     docs = files.mapInArrow(decode, "part int, doc_id bigint, at bigint, n_tokens bigint, ids binary")
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")  # one row per part
 
 
+def read_range(files: DataFrame, freq: np.ndarray, first: int, last: int) -> DataFrame:
+    """Ids ``first`` to below ``last`` of the whole output, as pieces ``start`` and ``ids``: only what a piece needs is decoded.
+
+    Every stretch between two checkpoints of a block is decoded by itself, from the checkpoint's states and word position, so that
+    one block (a very long document, say) is spread over tasks, and none before or behind the range is decoded. The checksum covers whole blocks
+    and is left to ``read_blocks``.
+    """
+    ship_package(files.sparkSession)
+    shared = files.sparkSession.sparkContext.broadcast(freq)
+
+    def decode(batches):
+        coder = Rans(shared.value)
+        for batch in batches:
+            for row in batch.to_pylist():
+                k, lanes = row["stretch"], row["lanes"]
+                states = row["states"] if k == 0 else row["checkpoint_states"][8 * lanes * (k - 1) : 8 * lanes * k]
+                at = row["checkpoint_words"][k - 1] if k else 0
+                ids = coder.decode(row["n_ids"], lanes, row["words"], states, k * EVERY, at, (k + 1) * EVERY).astype("<u4")
+                lo, hi = max(first, row["begin"]), min(last, row["begin"] + len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([ids[lo - row["begin"] : hi - row["begin"]].tobytes()], pa.binary())], ["start", "ids"])
+
+    at = files.join(F.broadcast(_part_bases(files)), "part").withColumn("begin", F.col("base") + F.col("at"))  # one row per part
+    met = at.where((F.col("begin") < last) & (F.col("begin") + F.col("n_ids") > first))
+    each = met.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.size("checkpoint_words"))))
+    begin = F.col("begin") + F.col("stretch") * F.col("lanes") * EVERY
+    length = F.least(F.col("lanes") * EVERY, F.col("n_ids") - F.col("stretch") * F.col("lanes") * EVERY)
+    each = each.withColumn("begin", begin).where((F.col("begin") < last) & (F.col("begin") + length > first))
+    columns = ["begin", "stretch", "n_ids", "lanes", "words", "states", "checkpoint_words", "checkpoint_states"]
+    return each.select(*columns).mapInArrow(decode, "start bigint, ids binary")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: write the files, read them back, and sum up each document."""
     files, freq = write_blocks(table(spark, sf_dir, "documents"), tok.public_path("byte_bpe_50k.json"))

@@ -113,17 +113,25 @@ def test_coder_round_trip_and_checkpoints(n, monkeypatch):
         assert len(words) < 2 * n
 
 
-def test_token_files(spark):
-    rows = [(d, t) for d, t in corpus(5) if d is not None][:-1]
+def test_token_files(spark, monkeypatch):
+    """Repeated rows, rows without an id, very long texts and extra columns; whole blocks, and ranges from checkpoints."""
+    monkeypatch.setattr(binout, "BLOCK_IDS", 20_000)
+    rows = [*corpus(5), (3, corpus(5)[3][1]), (None, "second without"), (70, "a very long text " * 150_000)]
     path = tokens.public_path("byte_bpe_50k.json")
     enc = tokens.encoder(path).tokenizer
-    files, freq = binout.write_blocks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path)
-    got = {r["doc_id"]: (r["start"], r["n_tokens"], bytes(r["ids"])) for r in binout.read_blocks(files, freq).collect()}
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, part string, at int").repartition(3)
+    files, freq = binout.write_blocks(df, path)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in binout.read_blocks(files, freq).collect())
+    want = sorted((-1 if d is None else d, np.asarray(enc.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4").tobytes()) for d, t in rows)
+    assert sorted((d, ids) for d, _, _, ids in got) == want
     start = 0
-    for d, t in sorted(rows, key=lambda r: r[0]):
-        ids = np.asarray(enc.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")
-        assert got[d] == (start, len(ids), ids.tobytes())
-        start += len(ids)
+    for _, at, n, ids in sorted(got, key=lambda r: r[1]):
+        assert at == start and n == len(ids) // 4
+        start += n
+    whole = b"".join(ids for _, _, _, ids in sorted(got, key=lambda r: r[1]))
+    for first, last in ((0, start), (5, 6), (start - 400_000, start - 3), (20_000, 700_000)):
+        pieces = sorted((r["start"], bytes(r["ids"])) for r in binout.read_range(files, freq, first, last).collect())
+        assert pieces[0][0] == first and b"".join(x for _, x in pieces) == whole[4 * first : 4 * last]
 
 
 def test_token_files_of_an_empty_table(spark):
