@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pathlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -38,11 +39,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder for tables that cut lineage: ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode
+    (tests), and an error on a cluster, whose executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), f"lakeloom-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 

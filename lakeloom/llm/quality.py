@@ -187,18 +187,22 @@ def verdict(rules: list[list[tuple[str, str, float]]]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` with ``_w``, ``_c`` (statistics), ``_base_failed``, ``_rule`` and ``_kept``, in one pass without a shuffle."""
+    """``docs`` (columns other than these) with ``_w``, ``_c`` (statistics), ``_base_failed``, ``_rule`` and ``_kept``, in one pass without a shuffle."""
     rules = fit_decision_list(docs, labels, rows)
     judged = with_statistics(docs).withColumn("_base_failed", base_failed()).withColumn("_rule", verdict(rules))
     return judged.withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs`` that neither the base rules nor the learned list rejects; columns stay."""
-    return judge(docs, labels, rows).where("_kept").select(*docs.columns)
+    """The rows of ``docs`` that neither the base rules nor the learned list rejects; columns stay, whatever their names.
+
+    Null and empty texts have no words and go. Rows are judged one by one: repeated rows and rows without an id are judged alike.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    return judge(docs.select("doc_id", "text", whole), labels, rows).where("_kept").select("_doc.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: statistics and verdict for every document."""
-    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "_w.n_words", "_w.word_chars", "_c.n_symbols", "_c.n_dup_lines", "_w.n_repeat_words", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))

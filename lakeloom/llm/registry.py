@@ -24,5 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": urlfilter.ORACLE_OP2,
         "op4_near_dedup": oracles.NEAR_DEDUP,
+        "op6_mix_sources": oracles.MIX_SOURCES,
+        "op8_license_scan": oracles.license_scan(),
         "op10_line_dedup": oracles.LINE_DEDUP,
     }

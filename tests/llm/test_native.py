@@ -216,6 +216,18 @@ def test_urls(spark):
     }
 
 
+def test_urls_of_other_tables(spark):
+    """Columns by the names of the result are replaced, others stay; empty tables; a list made from the html of any spelling of a URL."""
+    schema = "page_id long, url string, html string, host string, _page int, rule int"
+    junk = "### *** %%% $$$ " * 3
+    rows = [(1, "http://www.x.org/a/", junk, "h", 7, 1), (2, "https://x.org/a?b=1", "fine", "h", 8, 1), (3, "http://x.org/b", "fine ### ###", "h", 9, 1), (4, None, junk, "h", 1, 1), (5, "nothing", None, "h", 1, 1)]
+    pages = spark.createDataFrame(rows, schema)
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"], r["_page"]) for r in urlfilter.judge_urls(pages, urlfilter.listed_by_content(pages)).collect()}
+    assert got == {1: ("www.x.org", None, "block", 7), 2: ("x.org", None, "block", 8), 3: ("x.org", None, "allow", 9), 4: ("", None, "allow", 1), 5: ("", None, "allow", 1)}
+    none = pages.limit(0)
+    assert urlfilter.judge_urls(none, urlfilter.listed_by_content(none)).count() == 0
+
+
 def test_bloom_has_no_false_negatives(spark, monkeypatch):
     listed = spark.range(3000).select(F.concat(F.lit("h.org/"), "id").alias("canonical"))
     urls = spark.range(9000).select(F.concat(F.lit("h.org/"), "id").alias("canonical"))
@@ -242,3 +254,15 @@ def test_licenses(spark):
     found = {k: sorted(r["found"] or []) for k, r in got.items()}
     assert found[8] == ["mit"] and found[11] == ["bsd"] and "cc-by-nc" in found[9] and found[10] == [] and found[1] == ["mit"]
     assert got[13]["n_words"] == 4 and licenses.scan(df.limit(0)).count() == 0
+
+
+def test_licenses_of_long_repeated_and_scattered_texts(spark):
+    notice = licenses.TEMPLATES[2][1]
+    ws = notice.split(" ")
+    scattered = " ".join(" ".join(ws[i : i + 3]) + " filler" * 40 for i in range(0, len(ws) - 2, 3))
+    rows = [(1, "word " * 200_000 + notice), (2, "MIT license"), (2, "MIT license"), (None, "apache license"), (3, scattered)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, len(r["base"]), sorted(r["found"] or [])) for r in licenses.scan(df).collect())
+    assert got == [(0, 1, []), (1, 0, ["mit"]), (2, 1, []), (2, 1, []), (3, 0, [])]
+    spans = [r["spans"] for r in licenses.scan(df).collect() if r["doc_id"] == 1][0]
+    assert (spans[0]["first_word"], spans[0]["last_word"]) == (200_000, 200_000 + len(ws) - 1)
