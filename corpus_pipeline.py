@@ -8,8 +8,8 @@ from lakeloom.llm import linededup, mixing, neardup, packing, quality
 from lakeloom.llm import tokens as tok
 from lakeloom.llm.common import materialize, table
 
-#: Tokenizer of the packing stage.
-TOKENIZER = "word_bpe_49k.json"
+#: Tokenizer of the packing stage; hundredths of similarity from which documents are near copies.
+TOKENIZER, PERCENT = "word_bpe_49k.json", 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return neardup.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs, PERCENT)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
