@@ -35,8 +35,8 @@ def _mean(value: Column) -> Column:
 def revenue_lines(items: DataFrame, products: DataFrame, regions: DataFrame) -> DataFrame:
     """Revenue lines with product names and region."""
     named = products.select("product_id", "product_name", "brand", "category_name", "parent_category_name", "supplier_name")
-    out = items.where("is_revenue").join(named, "product_id").join(regions.select("region_id", "region_name"), "region_id", "left")
-    return out.select("order_id", "line_number", "order_date", "order_month", "customer_id", "product_id", "product_name", "brand", "category_name", "parent_category_name", "supplier_id", "supplier_name", "region_id", "region_name", "quantity", "line_total_usd", "line_cost_usd", "gross_margin_usd")
+    out = items.where("is_revenue").join(named, "product_id").join(regions.select("region_code", "region_name"), "region_code", "left")
+    return out.select("order_id", "order_item_id", "order_date", "order_month", "customer_id", "product_id", "product_name", "brand", "category_name", "parent_category_name", "supplier_id", "supplier_name", "region_code", "region_name", "quantity", "line_total_usd", "line_cost_usd", "gross_margin_usd")
 
 
 def period_sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
@@ -56,13 +56,13 @@ def customer_orders(orders: DataFrame) -> DataFrame:
     gap = F.when(F.count("days_since_prev_order") > 0, F.sum("days_since_prev_order") / F.count("days_since_prev_order"))
     return orders.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_orders"), _n(F.col("is_revenue"), "revenue_orders"), _n(F.col("is_cancelled"), "cancelled_orders"), _n(F.col("is_returned"), "returned_orders"),
-        _sum_if("is_revenue", "order_total_usd").alias("revenue_usd"), F.sum("refunded_usd").alias("refunded_usd"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"), gap.alias("avg_days_between_orders"),
+        _sum_if("is_revenue", "order_total_usd").alias("revenue_usd"), F.sum("refunded_amount_usd").alias("refunded_usd"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"), gap.alias("avg_days_between_orders"),
     )
 
 
 def shipping_enriched(shipments: DataFrame, regions: DataFrame, warehouses: DataFrame) -> DataFrame:
     """Shipments with region, warehouse and whether they came in time."""
-    out = shipments.join(regions.select("region_id", "region_name", "base_delivery_days"), "region_id", "left").join(warehouses.select("warehouse_id", "warehouse_name"), "warehouse_id", "left")
+    out = shipments.join(regions.select("region_code", "region_name", "base_delivery_days"), "region_code", "left").join(warehouses.select("warehouse_id", "warehouse_name"), "warehouse_id", "left")
     return out.withColumn("delivered_on_time", fn.sla_flag(F.col("delivery_days"), F.col("base_delivery_days")))
 
 
@@ -73,7 +73,7 @@ def daily_sales(orders: DataFrame, items: DataFrame, dates: DataFrame) -> DataFr
     days = orders.groupBy("order_date").agg(
         F.count(F.lit(1)).alias("orders_placed"), _n(F.col("is_revenue"), "revenue_orders"), _n(F.col("is_cancelled"), "cancelled_orders"), _n(F.col("is_returned"), "returned_orders"),
         F.countDistinct(F.when(F.col("is_revenue"), F.col("customer_id"))).alias("active_customers"), F.countDistinct(F.when(F.col("is_first_order"), F.col("customer_id"))).alias("new_customers"),
-        F.coalesce(_sum_if("is_revenue", "order_total_usd"), zero).alias("revenue_usd"), F.coalesce(_sum_if("is_revenue", "discount_usd"), zero).alias("discount_usd"), F.coalesce(F.sum("refunded_usd"), zero).alias("refunded_usd"),
+        F.coalesce(_sum_if("is_revenue", "order_total_usd"), zero).alias("revenue_usd"), F.coalesce(_sum_if("is_revenue", "discount_usd"), zero).alias("discount_usd"), F.coalesce(F.sum("refunded_amount_usd"), zero).alias("refunded_usd"),
     )
     out = days.join(dates.select(F.col("full_date").alias("order_date"), "year_month", "is_weekend"), "order_date").join(lines, "order_date", "left")
     out = out.withColumn("gross_margin_usd", F.coalesce("gross_margin_usd", zero)).withColumn("units_sold", F.coalesce("units_sold", F.lit(0)).cast("long"))
@@ -132,11 +132,11 @@ def category_revenue(lines: DataFrame) -> DataFrame:
 
 def regional_performance(orders: DataFrame, shipments: DataFrame, regions: DataFrame) -> DataFrame:
     """Region and month: sales, and delivery of what was delivered."""
-    sales = orders.groupBy("region_id", "order_month").agg(
+    sales = orders.groupBy("region_code", "order_month").agg(
         _n(F.col("is_revenue"), "revenue_orders"), _sum_if("is_revenue", "order_total_usd").alias("revenue_usd"), F.countDistinct(F.when(F.col("is_revenue"), F.col("customer_id"))).alias("active_customers"), _n(F.col("is_returned"), "returned_orders"),
     )
-    ship = shipments.where("is_delivered").groupBy("region_id", "order_month").agg(F.count(F.lit(1)).alias("shipments"), _mean(F.col("delivery_days")).alias("avg_delivery_days"), _rate(F.col("delivered_on_time")).alias("on_time_rate"))
-    out = sales.join(regions.select("region_id", "region_name"), "region_id").join(ship, ["region_id", "order_month"], "left")
+    ship = shipments.where("is_delivered").groupBy("region_code", "order_month").agg(F.count(F.lit(1)).alias("shipments"), _mean(F.col("delivery_days")).alias("avg_delivery_days"), _rate(F.col("delivered_on_time")).alias("on_time_rate"))
+    out = sales.join(regions.select("region_code", "region_name"), "region_code").join(ship, ["region_code", "order_month"], "left")
     return out.withColumn("avg_order_value_usd", fn.ratio(F.col("revenue_usd"), F.col("revenue_orders")))
 
 
@@ -198,7 +198,7 @@ def supplier_performance(suppliers: DataFrame, products: DataFrame, inventory: D
 def shipping_performance(shipments: DataFrame) -> DataFrame:
     """Region, carrier and month: counts, mean, median and 90th percentile of days, rates."""
     done = F.when(F.col("is_delivered"), F.col("delivery_days"))
-    return shipments.groupBy("region_id", "region_name", "carrier", "order_month").agg(
+    return shipments.groupBy("region_code", "region_name", "carrier", "order_month").agg(
         F.count(F.lit(1)).alias("shipments"), _n(F.col("is_delivered"), "delivered"), _n(F.col("had_exception"), "exceptions"), _n(F.col("is_returned"), "returned"), _mean(done).alias("avg_delivery_days"),
         F.round(F.percentile(done, 0.5), 6).alias("median_delivery_days"), F.round(F.percentile(done, 0.9), 6).alias("p90_delivery_days"), _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"), _rate(F.col("had_exception")).alias("exception_rate"), F.max("base_delivery_days").alias("sla_days"),
     )

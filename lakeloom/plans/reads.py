@@ -97,3 +97,10 @@ def rule_results(stats: DataFrame, failed_only: bool = False) -> DataFrame:
 
 def quality_summary(stats: DataFrame) -> DataFrame:
     return stats.groupBy("stage").agg(F.count(F.lit(1)).alias("rules"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("broken"), F.sum("failed").alias("failed_rows"))
+
+
+def monthly_against_daily(monthly: DataFrame, daily: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Revenue of every month from both marts, and whether they agree; a month that one of them lacks doesn't."""
+    days = daily.groupBy("year_month").agg(F.sum("revenue_usd").alias("daily_usd"))
+    both = monthly.select("year_month", F.col("revenue_usd").alias("monthly_usd")).join(days, "year_month", "full_outer")
+    return both.withColumn("matches", F.coalesce(F.abs(F.col("monthly_usd") - F.col("daily_usd")) <= tolerance, F.lit(False)))

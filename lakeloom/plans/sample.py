@@ -12,11 +12,13 @@ _MONTH = "substr(CAST(CAST({0} AS DATE) AS STRING), 1, 7)"
 #: Columns of each derived table over its source.
 EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
     "c_orders": ("orders", [
-        "o_orderkey AS order_id", "o_custkey AS customer_id", "o_custkey % 5 AS region_id", "o_orderdate AS order_ts", "CAST(o_orderdate AS DATE) AS order_date", _MONTH.format("o_orderdate") + " AS order_month",
+        "o_orderkey AS order_id", "o_custkey AS customer_id", "o_custkey % 5 AS region_code", "o_orderdate AS order_ts", "CAST(o_orderdate AS DATE) AS order_date", _MONTH.format("o_orderdate") + " AS order_month",
         "CASE o_orderkey % 6 WHEN 0 THEN 'placed' WHEN 1 THEN 'paid' WHEN 2 THEN 'shipped' WHEN 3 THEN 'delivered' WHEN 4 THEN 'cancelled' ELSE 'returned' END AS status",
         "CASE o_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency", "CAST(o_totalprice AS DECIMAL(14,2)) AS order_total",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'store' WHEN 2 THEN 'mobile_app' END AS channel", "CASE WHEN o_orderkey % 9 = 0 THEN 'SAVE' END AS coupon_code", "o_orderdate AS updated_at", "'b1' AS _batch_id",
     ]),
     "c_items": ("latest_lines", [
+        "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS order_item_id", "'b1' AS _batch_id",
         "l_orderkey AS order_id", "l_linenumber AS line_number", "l_partkey AS product_id", "CAST(l_quantity AS BIGINT) AS quantity", "CAST(l_extendedprice AS DECIMAL(14,2)) AS unit_price", "CAST(round(l_discount * 100) AS INT) AS discount_pct",
         "CAST(round(CAST(l_quantity AS DECIMAL(5,0)) * CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(100 - round(l_discount * 100) AS DECIMAL(3,0)) * CAST('0.01' AS DECIMAL(3,2)), 2) AS DECIMAL(14,2)) AS line_total",
     ]),
@@ -27,7 +29,7 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
     "c_categories": ("nation", ["CAST(n_nationkey AS BIGINT) AS category_id", "n_name AS category_name", "CASE WHEN n_nationkey >= 5 THEN CAST(n_nationkey % 5 AS BIGINT) END AS parent_category_id"]),
     "c_suppliers": ("supplier", ["s_suppkey AS supplier_id", "s_name AS supplier_name", "CAST(s_nationkey AS BIGINT) AS country_id"]),
     "c_customers": ("customer", ["c_custkey AS customer_id", "c_name AS first_name", "c_mktsegment AS last_name", "CAST(c_nationkey AS BIGINT) AS country_id"]),
-    "c_regions": ("region", ["CAST(r_regionkey AS BIGINT) AS region_id", "r_name AS region_name", "CAST(r_regionkey + 2 AS BIGINT) AS base_delivery_days"]),
+    "c_regions": ("region", ["CAST(r_regionkey AS BIGINT) AS region_code", "r_name AS region_name", "CAST(r_regionkey + 2 AS BIGINT) AS base_delivery_days"]),
     "c_warehouses": ("region", ["CAST(r_regionkey AS BIGINT) AS warehouse_id", "r_name AS warehouse_name", "CAST((r_regionkey + 1) * 1000 AS BIGINT) AS capacity_units"]),
     "c_payments": ("orders", [
         "o_orderkey AS order_id", "CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'refunded' ELSE 'captured' END AS payment_status",
@@ -38,9 +40,10 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
         "CASE event_type WHEN 'signup' THEN 'receipt' WHEN 'purchase' THEN 'shipment' WHEN 'error' THEN 'adjustment' WHEN 'click' THEN 'return' ELSE 'stock_count' END AS event_type",
         "CASE event_type WHEN 'purchase' THEN -(event_id % 20 + 1) WHEN 'view' THEN 0 ELSE event_id % 20 + 1 END AS quantity_delta",
         "CASE event_type WHEN 'signup' THEN CAST(event_id % 50 + 1 AS DECIMAL(14,2)) END AS unit_cost", "CASE event_type WHEN 'signup' THEN event_id % 3 END AS defective_qty",
+        "CASE event_type WHEN 'view' THEN event_id % 9 END AS counted_quantity", "CASE WHEN event_id % 5 = 0 THEN 'R' || CAST(event_id AS STRING) END AS reference_id", "CASE event_type WHEN 'error' THEN 'lost' END AS reason", "'b1' AS _batch_id",
     ]),
     "c_tracker": ("events", [
-        "event_id", "user_id * 100 + day(ts) AS shipment_id", "(user_id * 100 + day(ts)) % 1000 AS order_id", "ts AS event_ts", "user_id % 4 AS warehouse_id", "CASE event_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' END AS carrier",
+        "event_id", "user_id * 100 + day(ts) AS shipment_id", "(user_id * 100 + day(ts)) % 1000 AS order_id", "ts AS event_ts", "user_id % 4 AS warehouse_id", "user_id % 5 AS region_code", _MONTH.format("ts") + " AS event_month", "CASE event_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' END AS carrier",
         "CASE event_type WHEN 'signup' THEN 'label_created' WHEN 'click' THEN 'picked_up' WHEN 'view' THEN 'in_transit' WHEN 'purchase' THEN 'delivered' ELSE 'delivery_exception' END AS event",
     ]),
 }
@@ -134,34 +137,36 @@ rates AS (SELECT day, currency, CASE WHEN currency = 'USD' THEN CAST(1 AS DECIMA
   FROM rate_days CROSS JOIN (SELECT DISTINCT currency FROM given_rates) LEFT JOIN given_rates USING (day, currency)),
 item_totals AS (SELECT order_id, count(*) AS item_count, CAST(sum(quantity) AS BIGINT) AS total_quantity, CAST(sum(line_total) AS DECIMAL(14,2)) AS items_total, CAST(sum(CAST(quantity AS DECIMAL(5,0)) * unit_price) AS DECIMAL(14,2)) AS gross_total FROM c_items GROUP BY order_id),
 payment_totals AS (SELECT order_id, max(CASE WHEN payment_status = 'captured' THEN paid_at END) AS paid_at, CAST(sum(CASE WHEN payment_status = 'captured' THEN amount ELSE 0 END) AS DECIMAL(14,2)) AS captured,
-  CAST(sum(CASE WHEN payment_status = 'refunded' THEN -amount ELSE 0 END) AS DECIMAL(14,2)) AS refunded, count(*) FILTER (payment_status = 'failed') AS failed_attempts FROM c_payments GROUP BY order_id),
-fact_orders AS (SELECT o.*, r.usd_per_unit, CAST(round(o.order_total * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS order_total_usd, CAST(round(i.gross_total * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS gross_usd,
+  CAST(sum(CASE WHEN payment_status = 'refunded' THEN -amount ELSE 0 END) AS DECIMAL(14,2)) AS refunded, count(*) FILTER (payment_status = 'failed') AS failed FROM c_payments GROUP BY order_id),
+fact_orders AS (SELECT o.* EXCLUDE (order_total), CAST(strftime(o.order_date, '%Y%m%d') AS INT) AS order_date_key, o.order_total AS order_total_local, r.usd_per_unit AS fx_usd_per_unit,
+  CAST(round(o.order_total * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS order_total_usd, CAST(round(i.gross_total * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS gross_amount_usd,
   CAST(round((coalesce(i.gross_total, 0) - coalesce(i.items_total, 0)) * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS discount_usd, CAST(round(coalesce(i.items_total, 0) * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS lines_total_usd,
   abs(coalesce(i.items_total, 0) - o.order_total) <= greatest(1.0, CAST(o.order_total * CAST('0.01' AS DECIMAL(6,4)) AS DECIMAL(18,4))) AS lines_reconciled, coalesce(i.item_count, 0) AS item_count, coalesce(i.total_quantity, 0) AS total_quantity, p.paid_at,
-  CAST(round(coalesce(p.captured, 0) * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS captured_usd, CAST(round(coalesce(p.refunded, 0) * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS refunded_usd, coalesce(p.failed_attempts, 0) AS failed_attempts,
+  CAST(round(coalesce(p.captured, 0) * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS captured_amount_usd, CAST(round(coalesce(p.refunded, 0) * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS refunded_amount_usd, coalesce(p.failed, 0) AS failed_payment_attempts,
   o.status = 'cancelled' AS is_cancelled, o.status = 'returned' AS is_returned, o.status IN ('paid', 'shipped', 'delivered') AS is_revenue,
   row_number() OVER w AS customer_order_seq, CAST(o.order_date - lag(o.order_date) OVER w AS INT) AS days_since_prev_order, row_number() OVER w = 1 AS is_first_order
   FROM c_orders o LEFT JOIN item_totals i USING (order_id) LEFT JOIN payment_totals p USING (order_id) LEFT JOIN rates r ON r.day = o.order_date AND r.currency = o.currency
   WINDOW w AS (PARTITION BY o.customer_id ORDER BY o.order_ts, o.order_id)),
-fact_items AS (SELECT i.order_id, i.line_number, i.product_id, p.category_id, p.supplier_id, o.customer_id, o.region_id, o.order_date, o.order_month, o.status, o.currency, i.quantity, i.unit_price, i.discount_pct, i.line_total,
+fact_items AS (SELECT i.order_item_id, i._batch_id, i.order_id, i.line_number, i.product_id, p.category_id, p.supplier_id, o.customer_id, o.region_code, CAST(strftime(o.order_date, '%Y%m%d') AS INT) AS order_date_key, o.order_date, o.order_ts, o.order_month, o.status, o.currency,
+  i.quantity, i.unit_price AS unit_price_local, i.discount_pct, i.line_total AS line_total_local, r.usd_per_unit AS fx_usd_per_unit, p.unit_cost AS unit_cost_usd, FALSE AS line_total_recomputed,
   CAST(round(i.unit_price * r.usd_per_unit, 4) AS DECIMAL(18,4)) AS unit_price_usd, CAST(round(i.line_total * r.usd_per_unit, 2) AS DECIMAL(18,2)) AS line_total_usd, CAST(CAST(i.quantity AS DECIMAL(5,0)) * p.unit_cost AS DECIMAL(14,2)) AS line_cost_usd,
   CAST(round(i.line_total * r.usd_per_unit - CAST(i.quantity AS DECIMAL(5,0)) * p.unit_cost, 2) AS DECIMAL(18,2)) AS gross_margin_usd, o.status IN ('paid', 'shipped', 'delivered') AS is_revenue, o.status = 'returned' AS is_returned
   FROM c_items i JOIN c_orders o USING (order_id) LEFT JOIN c_products p USING (product_id) LEFT JOIN rates r ON r.day = o.order_date AND r.currency = o.currency),
-inventory AS (SELECT *, CAST(sum(quantity_delta) OVER (PARTITION BY product_id, warehouse_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS on_hand_after, CAST(CAST(quantity_delta AS DECIMAL(5,0)) * unit_cost AS DECIMAL(18,2)) AS receipt_value_usd FROM c_stock_events),
-ship AS (SELECT shipment_id, order_id, arg_min(carrier, (event_ts, event_id)) FILTER (carrier IS NOT NULL) AS carrier, arg_min(warehouse_id, (event_ts, event_id)) AS warehouse_id, {', '.join(f"min(CASE WHEN event = '{e}' THEN event_ts END) AS {c}" for e, c in star.STEPS.items())}, count(*) AS event_count FROM c_tracker GROUP BY shipment_id, order_id),
-hours AS (SELECT s.*, o.customer_id, o.region_id, o.order_date, o.order_month, sign(epoch_us(delivered_ts) - epoch_us(label_created_ts)) * ((200 * (abs(epoch_us(delivered_ts) - epoch_us(label_created_ts)) // 1000000) + 3600) // 7200) / 100 AS delivery_hours FROM ship s JOIN c_orders o USING (order_id)),
+inventory AS (SELECT *, CAST(strftime(event_date, '%Y%m%d') AS INT) AS event_date_key, CAST(sum(quantity_delta) OVER (PARTITION BY product_id, warehouse_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS on_hand_after, CAST(CAST(quantity_delta AS DECIMAL(5,0)) * unit_cost AS DECIMAL(18,2)) AS receipt_value_usd FROM c_stock_events),
+ship AS (SELECT shipment_id, order_id, arg_min(carrier, (event_ts, event_id)) FILTER (carrier IS NOT NULL) AS carrier, arg_min(warehouse_id, (event_ts, event_id)) AS warehouse_id, arg_min(region_code, (event_ts, event_id)) AS region_code, {', '.join(f"min(CASE WHEN event = '{e}' THEN event_ts END) AS {c}" for e, c in star.STEPS.items())}, count(*) AS event_count FROM c_tracker GROUP BY shipment_id, order_id),
+hours AS (SELECT s.*, o.customer_id, CAST(strftime(label_created_ts, '%Y%m%d') AS INT) AS ship_date_key, CAST(strftime(delivered_ts, '%Y%m%d') AS INT) AS delivered_date_key, o.order_date, o.order_month, sign(epoch_us(delivered_ts) - epoch_us(label_created_ts)) * ((200 * (abs(epoch_us(delivered_ts) - epoch_us(label_created_ts)) // 1000000) + 3600) // 7200) / 100 AS delivery_hours FROM ship s JOIN c_orders o USING (order_id)),
 shipping AS (SELECT *, coalesce(delivered_ts < label_created_ts, FALSE) AS timeline_inconsistent, CASE WHEN delivery_hours >= 0 THEN ((200 * CAST(round(delivery_hours * 100) AS BIGINT) + 2400) // 4800) / 100 END AS delivery_days, delivered_ts IS NOT NULL AS is_delivered, exception_ts IS NOT NULL AS had_exception, returned_ts IS NOT NULL AS is_returned FROM hours),
 categories AS (SELECT c.category_id, c.category_name, coalesce(p.category_name, c.category_name) AS parent_category_name FROM c_categories c LEFT JOIN c_categories p ON p.category_id = c.parent_category_id),
 products AS (SELECT p.*, c.category_name, c.parent_category_name, s.supplier_name, CAST(p.unit_price - p.unit_cost AS DECIMAL(14,2)) AS unit_margin, p.unit_price < p.unit_cost AS is_negative_margin FROM c_products p LEFT JOIN categories c USING (category_id) LEFT JOIN c_suppliers s USING (supplier_id)),
-lines AS (SELECT f.order_id, f.line_number, f.order_date, f.order_month, f.customer_id, f.product_id, p.product_name, p.brand, p.category_name, p.parent_category_name, f.supplier_id, p.supplier_name, f.region_id, r.region_name, f.quantity, f.line_total_usd, f.line_cost_usd, f.gross_margin_usd
-  FROM fact_items f JOIN products p USING (product_id) LEFT JOIN c_regions r USING (region_id) WHERE f.is_revenue),
+lines AS (SELECT f.order_id, f.order_item_id, f.order_date, f.order_month, f.customer_id, f.product_id, p.product_name, p.brand, p.category_name, p.parent_category_name, f.supplier_id, p.supplier_name, f.region_code, r.region_name, f.quantity, f.line_total_usd, f.line_cost_usd, f.gross_margin_usd
+  FROM fact_items f JOIN products p USING (product_id) LEFT JOIN c_regions r USING (region_code) WHERE f.is_revenue),
 periods AS (SELECT product_id, max(as_of) AS as_of_date, coalesce(sum(line_total_usd) FILTER (as_of - order_date < 90), 0) AS revenue_last_90d, coalesce(sum(line_total_usd) FILTER (as_of - order_date >= 90 AND as_of - order_date < 180), 0) AS revenue_prior_90d,
   CAST(coalesce(sum(quantity) FILTER (as_of - order_date < 90), 0) AS BIGINT) AS units_last_90d, CAST(coalesce(sum(quantity) FILTER (as_of - order_date >= 90 AND as_of - order_date < 180), 0) AS BIGINT) AS units_prior_90d, CAST(coalesce(sum(quantity) FILTER (as_of - order_date < 30), 0) AS BIGINT) AS units_last_30d
   FROM lines, (SELECT max(order_date) AS as_of FROM c_orders) GROUP BY product_id),
-enriched AS (SELECT s.*, r.region_name, r.base_delivery_days, w.warehouse_name, CASE WHEN s.delivery_days IS NOT NULL THEN s.delivery_days <= r.base_delivery_days + 1 END AS delivered_on_time FROM shipping s LEFT JOIN c_regions r USING (region_id) LEFT JOIN c_warehouses w USING (warehouse_id)),
+enriched AS (SELECT s.*, r.region_name, r.base_delivery_days, w.warehouse_name, CASE WHEN s.delivery_days IS NOT NULL THEN s.delivery_days <= r.base_delivery_days + 1 END AS delivered_on_time FROM shipping s LEFT JOIN c_regions r USING (region_code) LEFT JOIN c_warehouses w USING (warehouse_id)),
 day_lines AS (SELECT order_date, sum(gross_margin_usd) AS gross_margin_usd, CAST(sum(quantity) AS BIGINT) AS units_sold FROM fact_items WHERE is_revenue GROUP BY order_date),
 daily AS (SELECT o.order_date AS sales_date, o.order_month AS year_month, dayofweek(o.order_date) IN (0, 6) AS is_weekend, count(*) AS orders_placed, count(*) FILTER (is_revenue) AS revenue_orders, count(*) FILTER (is_cancelled) AS cancelled_orders, count(*) FILTER (is_returned) AS returned_orders,
-  count(DISTINCT customer_id) FILTER (is_revenue) AS active_customers, count(DISTINCT customer_id) FILTER (is_first_order) AS new_customers, coalesce(sum(order_total_usd) FILTER (is_revenue), 0) AS revenue_usd, coalesce(sum(discount_usd) FILTER (is_revenue), 0) AS discount_usd, coalesce(sum(refunded_usd), 0) AS refunded_usd,
+  count(DISTINCT customer_id) FILTER (is_revenue) AS active_customers, count(DISTINCT customer_id) FILTER (is_first_order) AS new_customers, coalesce(sum(order_total_usd) FILTER (is_revenue), 0) AS revenue_usd, coalesce(sum(discount_usd) FILTER (is_revenue), 0) AS discount_usd, coalesce(sum(refunded_amount_usd), 0) AS refunded_usd,
   coalesce(max(l.gross_margin_usd), 0) AS gross_margin_usd, coalesce(max(l.units_sold), 0) AS units_sold, CASE WHEN count(*) FILTER (is_revenue) > 0 THEN CAST(coalesce(sum(order_total_usd) FILTER (is_revenue), 0) AS DOUBLE) / count(*) FILTER (is_revenue) END AS avg_order_value_usd
   FROM fact_orders o LEFT JOIN day_lines l USING (order_date) GROUP BY o.order_date, o.order_month),
 position AS (SELECT product_id, warehouse_id, max(event_ts) FILTER (event_type = 'receipt') AS last_receipt_ts, max(event_ts) FILTER (event_type = 'shipment') AS last_shipment_ts, max(event_ts) AS last_event_ts,
