@@ -17,17 +17,19 @@ SHINGLE, PERCENT = 5, 85
 #: Minwise values of a document; independent trees; each tree's own values below its root.
 VALUES, TREES, PLACES = 64, 16, 48
 #: Children of a large root for each member; levels below it. Deeper children are 100 / percent on average.
-FIRST, DEPTH = 6, 48
+FIRST, DEPTH = 2, 48
+#: Trees whose large roots are first compared in blocks.
+FIRST_TREES = 4
 #: A node up to so many classes, with so many shingles together, is compared exhaustively; a larger one branches.
-LEAF, LEAF_SHINGLES = 1024, 1 << 22
+LEAF, LEAF_SHINGLES = 4096, 1 << 21
 #: Members of a large node that all its blocks meet, so that what blocks find apart is joined.
 PIVOTS = 4
 #: Standard deviations under the expected number of agreeing minwise values at which a pair isn't confirmed.
 SLACK = 5
 #: Most rows that a join may broadcast (at most 40 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Hashes of words that a Python worker keeps, and the longest word kept.
-KEPT_WORDS, KEPT_LETTERS = 1_000_000, 64
+#: Words of a text that are hashed together; bytes from which a word stands by its own hash.
+STRETCH, LONG_WORD = 1 << 18, 1 << 16
 
 _RNG = np.random.default_rng(85)
 _MULTIPLIERS = _RNG.integers(1, 1 << 62, VALUES + TREES * PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,38 +38,72 @@ _PLACE = "id_key bigint, text_key bigint"
 _NO_ID = -(1 << 63)
 
 
-class _WordHashes(dict):
-    """64 bits of a cryptographic hash for each word, so that no two words are equal by construction."""
+def _field(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2^63 modulo 2^31 - 1, as numbers below 2^32 + 1."""
+    return (x & _PRIME) + (x >> _31)
 
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= KEPT_LETTERS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = value
-        return value
 
+_PRIME, _31 = np.uint64((1 << 31) - 1), np.uint64(31)
+_BASES = [int(x) for x in _RNG.integers(1 << 16, (1 << 31) - 1, 2)]
+_LETTERS = _RNG.integers(1, (1 << 31) - 1, (2, 256), dtype=np.uint64)
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
-_HASHES = _WordHashes()
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of the two bases its powers and those of its inverse, at least ``n`` of each."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = max(n, 1 << 16)
+        _POWERS.clear()
+        for base in _BASES:
+            both = []
+            for x in (base, pow(base, -1, int(_PRIME))):
+                p = np.ones(1, dtype=np.uint64)
+                while len(p) < size:  # doubling: the next powers are these times x^len
+                    p = np.concatenate([p, p * np.uint64(pow(x, len(p), int(_PRIME))) % _PRIME])
+                both.append(p[:size])
+            _POWERS.append((both[0], both[1]))
+    return _POWERS
+
+
+def range_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """62 bits for each byte range: polynomials modulo 2^31 - 1 at two random points, over random values of the bytes; mixed to 64 bits.
+
+    Prefix sums give every range in constant time. Two ranges of n bytes agree with a chance of (n / 2^31)^2, whatever they hold:
+    words that collide by construction for polynomials modulo 2^64 don't here.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    n = len(raw)
+    h = np.zeros(len(starts), dtype=np.uint64)
+    for letters, (power, inverse) in zip(_LETTERS, _powers(n + 1), strict=True):
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_field(letters[raw] * power[:n]), out=prefix[1:])
+        value = _field(_field(prefix[ends] - prefix[starts])) * inverse[starts] % _PRIME
+        h = (h << _31) | value
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text. bytes.lower and bytes.split know ASCII only, as wanted."""
+    """Sorted distinct 64-bit shingle hashes of each text. bytes.lower and bytes.split know ASCII only, as wanted.
+
+    Long texts are taken in stretches of ``STRETCH`` words, and a very long word by its cryptographic hash behind a tab (which no
+    word holds), so that memory doesn't grow with the length of a text more than its words do.
+    """
     out = []
     for text in texts:
         ws = text.encode("utf-8", "surrogatepass").lower().split()
-        if not ws:
-            out.append(np.zeros(0, dtype=np.uint64))
-            continue
-        words = np.fromiter(map(_HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
+        if len(text) > LONG_WORD:
+            ws = [w if len(w) <= LONG_WORD else b"\t" + blake2b(w).digest() for w in ws]
         m = min(k, len(ws))
-        n = len(ws) - m + 1
-        h = np.full(n, m, dtype=np.uint64)
-        for j in range(m):
-            h ^= words[j : j + n]
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-        out.append(np.unique(h * np.uint64(0x9E3779B97F4A7C15)))
+        parts = [np.zeros(0, dtype=np.uint64)]
+        for lo in range(0, len(ws) - m + 1 if ws else 0, STRETCH):
+            mine = ws[lo : lo + STRETCH + m - 1]
+            data = b" ".join(mine)
+            blanks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+            starts, ends = np.concatenate([[0], blanks + 1]), np.append(blanks, len(data))
+            parts.append(range_hashes(data, starts[: len(mine) - m + 1], ends[m - 1 :]))
+        out.append(np.unique(np.concatenate(parts)))
     return out
 
 
@@ -101,19 +137,22 @@ def _features(batches):
             sets = shingle_sets([t or "" for t in texts[lo : lo + 256]])
             full = [i for i, s in enumerate(sets) if len(s)]
             mins: list = [[]] * len(sets)
+            prints = [b""] * len(sets)
             if full:
-                for i, row in zip(full, _minwise([sets[i] for i in full]), strict=True):
-                    mins[i] = row
+                values = _minwise([sets[i] for i in full])
+                for i, row, low in zip(full, values[:, :TREES], values.astype(np.uint8), strict=True):
+                    mins[i], prints[i] = row, low.tobytes()
             n = np.asarray([len(s) for s in sets], dtype=np.int64)
             d1, d2 = _digests(sets)
             kept = [batch.column(c).slice(lo, len(sets)) for c in ("doc_id", "id_key", "text_key")]
-            cols = [*kept, pa.array(n), pa.array(d1), pa.array(d2), pa.array(mins, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id_key", "text_key", "n_shingles", "d1", "d2", "mins"])
+            cols = [*kept, pa.array(n), pa.array(d1), pa.array(d2), pa.array(mins, pa.list_(pa.int32())), pa.array(prints, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "id_key", "text_key", "n_shingles", "d1", "d2", "mins", "prints"])
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """One row per document: size, 128-bit digest and minwise values of its shingle set. One narrow pass over whole texts."""
-    return _keyed(docs).mapInArrow(_features, f"doc_id bigint, {_PLACE}, n_shingles bigint, d1 bigint, d2 bigint, mins array<int>")
+    """One row per document: size and 128-bit digest of its shingle set, minwise values at the roots of the trees, and one byte of every
+    minwise value (``prints``), by which pairs are estimated. One narrow pass over whole texts."""
+    return _keyed(docs).mapInArrow(_features, f"doc_id bigint, {_PLACE}, n_shingles bigint, d1 bigint, d2 bigint, mins array<int>, prints binary")
 
 
 def _tree_values(batches):
@@ -201,11 +240,11 @@ def _branch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int)
         if rest.isEmpty():
             break
         narrow = (F.col("apart") <= LEAF // 2) & (F.col("apart_weight") <= LEAF_SHINGLES // 2)
-        found.append(_blocks(large.join(_small(rest.where(narrow)), "node"), F.col("loose")))
-        wide = rest.where(~narrow)
-        if wide.isEmpty():
+        large = materialize(large.join(_small(rest), "node").withColumn("narrow", narrow), f"large-{depth}")
+        found.append(_blocks(large.where("narrow"), F.col("loose")))
+        large = large.where("NOT narrow")
+        if large.isEmpty():
             break
-        large = large.join(_small(wide), "node")
         if depth == DEPTH:
             blocks = F.ceil(F.greatest(F.col("size") / (LEAF // 2), F.col("weight") / (LEAF_SHINGLES // 2))).cast("int")
             dealt = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("vid"), blocks).cast("int"))
@@ -243,45 +282,6 @@ def _split(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True))
 
 
-def _components(n: int, pairs) -> np.ndarray:
-    """Smallest index of each one's component."""
-    root = list(range(n))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in pairs:
-        a, b = top(a), top(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return np.asarray([top(i) for i in range(n)])
-
-
-def _split(keys: np.ndarray) -> list[tuple[int, int]]:
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True))
-
-
-def _components(n: int, pairs) -> np.ndarray:
-    """Smallest index of each one's component."""
-    root = list(range(n))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in pairs:
-        a, b = top(a), top(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return np.asarray([top(i) for i in range(n)])
-
-
 def _bounded(group: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """``group`` as it is if its sets are small together; else every pair of its parts that are (one very long set is a part)."""
     if size[group].sum() <= LEAF_SHINGLES:
@@ -295,21 +295,26 @@ def _candidates(batches, percent: int, agree: int):
     """Members of a node in clusters whose minwise values and sizes may reach the similarity and that aren't joined yet; a name for equal clusters."""
     for t in _grouped(batches, "sid"):
         sid, vid, n, joined = (t.column(c).to_numpy() for c in ("sid", "vid", "n", "root"))
-        mins = t.column("mins").combine_chunks()
-        mins = np.asarray(mins.flatten()).reshape(len(sid), VALUES)
+        prints = np.frombuffer(b"".join(t.column("prints").to_pylist()), dtype=np.uint8).reshape(len(sid), VALUES)
         keys, members = [], []
         for lo, hi in _split(sid):
-            m, size, root = mins[lo:hi], n[lo:hi], joined[lo:hi]
-            pairs = []
-            for i in range(hi - lo - 1):
-                near = (m[i + 1 :] == m[i]).sum(axis=1) >= agree
-                near &= 100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i])
-                near &= root[i + 1 :] != root[i]
-                pairs += [(i, i + 1 + j) for j in np.flatnonzero(near).tolist()]
-            if not pairs:
+            m, size, root = prints[lo:hi], n[lo:hi], joined[lo:hi]
+            top = np.arange(hi - lo)
+            for first in range(0, hi - lo - 1, 32):
+                some = slice(first, min(first + 32, hi - lo - 1))
+                same = (m[some, None, :] == m[None, first + 1 :, :]).view(np.uint64).sum(axis=2)  # eight counts of up to eight in one number
+                near = (same * np.uint64(0x0101010101010101)) >> np.uint64(56) >= agree
+                a, b = size[some, None], size[None, first + 1 :]
+                near &= (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (root[some, None] != root[None, first + 1 :])
+                for i, row in enumerate(near, first):
+                    with_i = top[i + 1 :][row[i - first :]]
+                    if (with_i != top[i]).any():
+                        both = np.unique(np.append(with_i, top[i]))
+                        top[np.isin(top, both)] = both[0]
+            if (top == np.arange(hi - lo)).all():
                 continue
-            top = _components(hi - lo, pairs)
-            groups = [g for r in np.unique(top) if len(g := np.flatnonzero(top == r)) > 1]
+            order = np.argsort(top, kind="stable")
+            groups = [g for g in np.split(order, np.flatnonzero(np.diff(top[order])) + 1) if len(g) > 1]
             for g in [b for g in groups for b in _bounded(g, size)]:
                 ids = np.sort(vid[lo:hi][g]).astype(np.uint64)
                 mixed = (ids * np.uint64(0xA0761D6478BD642F)) ^ (ids >> np.uint64(32))
@@ -362,8 +367,8 @@ def _links(docs: DataFrame, classes: DataFrame, leaves: DataFrame, percent: int)
     """Links (``a``, ``b``) that join what the leaves hold: candidates by minwise values, confirmed on sets from their whole texts."""
     agree = int(VALUES * percent / 100 - SLACK * (VALUES * percent * (100 - percent)) ** 0.5 / 100)
     leaves = materialize(leaves.where(F.size("members") > 1).distinct().withColumn("sid", F.monotonically_increasing_id()), "leaves")
-    members = leaves.select("sid", F.explode("members").alias("vid")).join(classes.select("vid", "n", "root", "mins"), "vid")
-    by_leaf = members.repartition("sid").sortWithinPartitions("sid").select("sid", "vid", "n", "root", "mins")
+    members = leaves.select("sid", F.explode("members").alias("vid")).join(classes.select("vid", "n", "root", "prints"), "vid")
+    by_leaf = members.repartition("sid").sortWithinPartitions("sid").select("sid", "vid", "n", "root", "prints")
     clusters = materialize(by_leaf.mapInArrow(partial(_candidates, percent=percent, agree=agree), "cluster bigint, vid bigint").distinct(), "clusters")
     wanted = materialize(clusters.select("vid").distinct().join(classes.select("vid", "root", "place", "d1", "d2"), "vid"), "wanted")
     sets = _texts_of(docs, wanted).mapInArrow(_sets, "d1 bigint, d2 bigint, shingles binary").join(wanted.select("d1", "d2", "vid", "root"), ["d1", "d2"])
@@ -386,7 +391,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: link every larger neighbour of a vertex, and itself, to the smallest of its neighbourhood
         both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v")
         # small star: link the smaller neighbours of a vertex, and itself, to the smallest of them
         lower = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(lower, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
@@ -403,33 +408,46 @@ def _classes_with_roots(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.drop("root").join(connected_components(links), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
 
 
+def _first_roots(vids: DataFrame, links: DataFrame) -> DataFrame:
+    """``vid`` and ``root`` for the given classes: the least class that a link leads to, and two steps on from there.
+
+    Equal roots are of one component; not all of one need be equal, since that only decides what is still to be compared.
+    """
+    least = links.groupBy(F.col("b").alias("vid")).agg(F.min("a").alias("root")).where("root < vid")
+    least = _small(materialize(least, "first-roots"))
+    out = vids.join(least, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    for _ in range(2):
+        further = least.select(F.col("vid").alias("root"), F.col("root").alias("_further"))
+        out = out.join(further, "root", "left").select("vid", F.coalesce("_further", "root").alias("root"))
+    return out
+
+
 def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(features of all rows, classes of equal shingle sets with their final ``root``)."""
     ship_package(docs.sparkSession)
     found = materialize(features(docs), "minwise")
     real = found.where("n_shingles > 0")
     place = F.min(F.struct("id_key", "text_key")).alias("place")
-    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), place, F.first("n_shingles").alias("n"), F.first("mins").alias("mins"))
+    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), place, F.first("n_shingles").alias("n"), F.first("mins").alias("mins"), F.first("prints").alias("prints"))
     classes = classes.withColumn("vid", F.monotonically_increasing_id())
     classes = materialize(classes.withColumn("root", F.col("vid")), "classes")
     nodes = _root_nodes(classes)
     large = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), *[_pivot(i).alias(f"p{i}") for i in range(PIVOTS)]).where(_too_large())
     large = materialize(large, "large-roots")
     mine = _small(large)
-    small = nodes.join(mine.select("node"), "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members")
+    leaves = nodes.join(mine.select("node"), "node", "left_anti").groupBy("node").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members")
     if large.isEmpty():
-        return found, _classes_with_roots(classes, _links(docs, classes, small, percent))
+        return found, _classes_with_roots(classes, _links(docs, classes, leaves, percent))
     held = materialize(nodes.join(mine, "node"), "large-members")
     is_pivot = F.coalesce(F.col("vid").isin(*[F.col(f"p{i}") for i in range(PIVOTS)]), F.lit(False))
-    first = _links(docs, classes, small.unionByName(_blocks(held, is_pivot)), percent)
-    classes = materialize(_classes_with_roots(classes, first), "joined-classes")
-    nodes = held.select("vid", "n", "tree", "node").join(classes.select("vid", "root"), "vid")
-    leaves = None
-    for found_leaves in _branch(docs, classes, nodes, percent):
-        leaves = found_leaves if leaves is None else leaves.unionByName(found_leaves)
-    second = _links(docs, classes, leaves, percent)
-    links = first.unionByName(second)
-    return found, _classes_with_roots(classes, links)
+    first = _links(docs, classes, _blocks(held.where(F.col("tree") < FIRST_TREES), is_pivot), percent)
+    roots = materialize(_first_roots(held.select("vid").distinct(), first), "first-roots")
+    nodes = held.select("vid", "n", "tree", "node").join(_small(roots), "vid")
+    for more in _branch(docs, classes, nodes, percent):
+        leaves = leaves.unionByName(more)
+    known = classes.drop("root").join(_small(roots), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    second = _links(docs, known, leaves, percent)
+    return found, _classes_with_roots(classes, first.unionByName(second))
 
 
 def _pivot(i: int):
@@ -444,8 +462,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Documents with one shingle set are one class and linked (groups of copies of any size become one row, by map-side
     minima). The chosen-path trees find candidates among classes; links are confirmed on full sets, whose texts are read again for
     candidates only. A node is compared exhaustively up to ``LEAF`` classes and ``LEAF_SHINGLES`` shingles, so that a task's memory doesn't
-    grow with the texts. A larger root is first cut into blocks, which its ``PIVOTS`` all meet: a group of near copies is joined there in rows that
-    grow with the group. What then is not of one component branches further (see ``_branch``). Links that a node confirms form a forest, never all
+    grow with the texts. A larger root (of the first ``FIRST_TREES`` trees) is first cut into blocks, which its ``PIVOTS`` all meet: a group of near copies is joined there in rows that
+    grow with the group. What then is not joined branches further (see ``_branch``). Links that a node confirms form a forest, never all
     its pairs. A pair at the limit shares a root node with probability 0.85 in each of 16 trees.
 
     Null and empty texts have no shingles, are linked with nothing and kept. Rows that share an id but not their text are documents

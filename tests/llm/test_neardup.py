@@ -118,8 +118,9 @@ def test_lower_threshold(spark):
 
 
 @pytest.mark.parametrize("kind", ["chain", "apart"])
-def test_large_group_with_leaves_as_shipped(spark, kind):
-    """A group beyond one leaf: copies of copies, copies of one text, and a template whose pairs are planted below it."""
+def test_large_group_that_branches(spark, monkeypatch, kind):
+    """A group of four leaves and more: copies of copies, and a template in which pairs are planted."""
+    monkeypatch.setattr(neardup, "LEAF", 512)
     rnd = random.Random(kind)
     texts = [[f"t{i}" for i in range(150)]]
     while len(texts) < 2200:
