@@ -104,3 +104,63 @@ def monthly_against_daily(monthly: DataFrame, daily: DataFrame, tolerance: float
     days = daily.groupBy("year_month").agg(F.sum("revenue_usd").alias("daily_usd"))
     both = monthly.select("year_month", F.col("revenue_usd").alias("monthly_usd")).join(days, "year_month", "full_outer")
     return both.withColumn("matches", F.coalesce(F.abs(F.col("monthly_usd") - F.col("daily_usd")) <= tolerance, F.lit(False)))
+
+
+def sales_monthly(monthly: DataFrame, first: str | None = None, last: str | None = None, limit: int = 400) -> DataFrame:
+    """Newest months whose first day lies in a range."""
+    columns = ["year_month", "month_start", "orders_placed", "revenue_orders", "revenue_usd", "gross_margin_usd", "gross_margin_pct", "units_sold", "active_customers", "new_customers", "avg_order_value_usd", "revenue_mom_growth"]
+    return between(monthly, "month_start", first, last).select(*columns).orderBy(F.desc("year_month")).limit(limit)
+
+
+def revenue_by_parent(mart: DataFrame) -> DataFrame:
+    """Revenue of top-level categories, largest first."""
+    return mart.groupBy("parent_category_name").agg(F.sum("revenue_usd").alias("revenue_usd")).orderBy(F.desc("revenue_usd"), "parent_category_name")
+
+
+def revenue_by_parent_and_month(mart: DataFrame) -> DataFrame:
+    return mart.groupBy("order_month", "parent_category_name").agg(F.sum("revenue_usd").alias("revenue_usd")).orderBy("order_month", "parent_category_name")
+
+
+def revenue_by_region(mart: DataFrame) -> DataFrame:
+    """Revenue of regions and their delivery days, weighted by shipments; largest first."""
+    by = mart.groupBy("region_name").agg(F.sum("revenue_usd").alias("revenue_usd"), F.round(weighted_mean("avg_delivery_days", "shipments"), 6).alias("delivery_days"))
+    return by.orderBy(F.desc("revenue_usd"), "region_name")
+
+
+def turnover_by_category(turnover: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Mean turnover of the products of a category that have one, fastest first."""
+    mean = F.sum(F.col("turnover_ratio_90d").cast("decimal(30,12)")).cast("double") / F.count("turnover_ratio_90d")
+    out = turnover.where("turnover_ratio_90d IS NOT NULL").groupBy("category_name").agg(F.round(mean, 6).alias("turnover")).orderBy(F.desc("turnover"), "category_name")
+    return out if limit is None else out.limit(limit)
+
+
+def low_warehouses(mart: DataFrame) -> DataFrame:
+    """Warehouses by how many of their products are out of stock."""
+    return mart.select("warehouse_name", "on_hand_units", "skus_out_of_stock", F.round("capacity_utilisation", 3).alias("utilisation")).orderBy(F.desc_nulls_last("skus_out_of_stock"), "warehouse_name")
+
+
+def defective_suppliers(mart: DataFrame, least_units: int = 1000, limit: int = 10) -> DataFrame:
+    """Suppliers of more than ``least_units`` received units with the highest defect rate."""
+    rows = mart.where(F.col("units_received") > least_units).select("supplier_name", "units_received", "units_defective", F.round("defect_rate", 4).alias("defect_rate"))
+    return rows.orderBy(F.desc("defect_rate"), "supplier_name").limit(limit)
+
+
+def delivery_by_region(mart: DataFrame) -> DataFrame:
+    """Delivery days and share in time by region, both weighted by deliveries."""
+    days, rate = (F.round(weighted_mean(c, "delivered"), n) for c, n in (("avg_delivery_days", 2), ("on_time_rate", 3)))
+    return mart.groupBy("region_name").agg(days.alias("avg_days"), rate.alias("on_time_rate")).orderBy("avg_days", "region_name")
+
+
+def fast_and_low(turnover: DataFrame, limit: int = 20) -> DataFrame:
+    """Products that sell fast and run out soon."""
+    rows = turnover.where("high_velocity_low_stock").select("product_id", "product_name", "on_hand_units", "velocity_units_per_day", "days_of_cover")
+    return rows.orderBy("days_of_cover", "product_id").limit(limit)
+
+
+def drift_of_run(events: DataFrame, run_id: str) -> DataFrame:
+    """What changed in the deliveries of a run."""
+    return events.where(F.col("run_id") == run_id).select("dataset", "change", "column", "severity").orderBy("dataset", "column")
+
+
+def newest_drift(events: DataFrame, limit: int = 20) -> DataFrame:
+    return events.orderBy(F.desc("detected_at"), "dataset", "column").limit(limit)

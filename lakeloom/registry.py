@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from lakeloom import functions as fn
 from lakeloom.operators import dedup, merge, rules
 from lakeloom.operators import windows as win
 from lakeloom.operators.scratch import scratch
-from lakeloom.plans import marts, reads, star
+from lakeloom.plans import checks, deliveries, marts, reads, silver, star
 from lakeloom.plans.sample import LINE_KEYS, LINE_VERSION, SQL_TABLES, Commerce
 from lakeloom.sources import landing, readers
 
@@ -364,22 +365,79 @@ _register("log_rejects", lambda c: readers.rejects(readers.parse_log(c.source("e
 
 
 def _ledger_skip(c: Commerce) -> DataFrame:
-    """Files of two deliveries, the second of which repeats the first: what is new each time."""
+    """A file for each kind of event in two deliveries; the second one repeats all but clicks, which have grown: what is new then."""
     path = scratch(c.spark, "feed")
-    _as_text(c, "region", "r_regionkey", "r_name").coalesce(1).write.option("header", True).csv(f"{path}/a")
-    files = landing.content_hashes(c.spark, f"{path}/a/*.csv")
-    ledger = landing.ledger_entries(landing.not_yet_landed(files, c.spark.createDataFrame([], landing.LEDGER), "regions"), "regions", 5, 0, "r1")
-    _as_text(c, "region", "r_regionkey", "r_name").coalesce(1).write.option("header", True).csv(f"{path}/b")
-    _as_text(c, "nation", "n_nationkey", "n_name").coalesce(1).write.option("header", True).csv(f"{path}/c")
-    again = landing.content_hashes(c.spark, f"{path}/*/*.csv")
-    return again.agg(F.count(F.lit(1)).alias("files")).crossJoin(landing.not_yet_landed(again, ledger, "regions").agg(F.count(F.lit(1)).alias("new"))).crossJoin(landing.not_yet_landed(again, ledger, "regions", force=True).agg(F.count(F.lit(1)).alias("forced")))
+    rows = c.source("events").select("event_type", F.concat_ws(",", "event_id", "user_id", "event_type").alias("value"), (F.col("event_type") == "click").alias("grows"), "event_id")
 
+    def deliver(name: str, part: DataFrame) -> DataFrame:
+        part.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(f"{path}/{name}")
+        return landing.content_hashes(c.spark, f"{path}/{name}")
 
-_register("ledger_skip", _ledger_skip, "SELECT CAST(3 AS BIGINT) AS files, CAST(1 AS BIGINT) AS new, CAST(2 AS BIGINT) AS forced FROM (SELECT count(*) FROM region)", tables=False)
+    first = landing.not_yet_landed(deliver("a", rows.where("NOT grows OR event_id % 2 = 0")), c.spark.createDataFrame([], landing.LEDGER), "events")
+    ledger = landing.ledger_entries(first, "events", 5, 0, "r1")
+    again = deliver("b", rows)
+    kind = F.regexp_extract("source_file", "event_type=([a-z]+)", 1).alias("event_type")
+    new = landing.not_yet_landed(again, ledger, "events").select(kind, F.lit(True).alias("is_new"))
+    forced = landing.not_yet_landed(again, ledger, "events", force=True).select(kind)
+    return forced.join(new, "event_type", "left").select("event_type", F.coalesce("is_new", F.lit(False)).alias("is_new"))
+
+
+_register("ledger_skip", _ledger_skip, "SELECT DISTINCT event_type, event_type = 'click' AS is_new FROM events", tables=False)
 _register("watermarks", lambda c: landing.watermark(c.derived("c_orders"), "orders", "b1", "order_ts").unionByName(landing.watermark(c.derived("c_stock_events"), "events", "b1", "event_ts")), "SELECT 'orders' AS dataset, 'b1' AS last_batch_id, max(order_ts) AS high_watermark FROM c_orders UNION ALL SELECT 'events', 'b1', max(event_ts) FROM c_stock_events")
-_CONTRACT = landing.Contract("events", ("event_id", "ts", "shipment"), ("value", "region"))
-_register("schema_drift", lambda c: landing.drift(c.spark, _CONTRACT, c.source("events").columns), "SELECT 'events' AS dataset, * FROM (VALUES ('shipment', 'missing_required', 'ERROR'), ('region', 'missing_optional', 'WARN'), ('event_type', 'new_column', 'INFO'), ('props', 'new_column', 'INFO'), ('user_id', 'new_column', 'INFO')) v(\"column\", change, severity)", tables=False)
-_register("drift_gate", lambda c: landing.drift_gate(landing.drift(c.spark, _CONTRACT, c.source("events").columns)).withColumn("new_columns", F.array_join("new_columns", ",")), "SELECT CAST(1 AS BIGINT) AS errors, CAST(1 AS BIGINT) AS warnings, CAST(3 AS BIGINT) AS infos, 'events.event_type,events.props,events.user_id' AS new_columns, FALSE AS passed", tables=False)
+_CONTRACT = landing.Contract("events", ("event_id", "view", "purchase", "refund"), ("click", "region"))
+_KEYED_LINES = "to_json(map('event_id', CAST(event_id AS STRING), event_type, CAST(value AS STRING))) AS value"
+
+
+def _event_drift(c: Commerce) -> DataFrame:
+    """Drift of a delivery whose columns are the keys that any of its lines has: each line brings the key of its own kind of event."""
+    parsed = readers.parse_ndjson(c.source("events").selectExpr(_KEYED_LINES))
+    return landing.drift(c.spark, _CONTRACT, readers.key_union(parsed))
+
+
+_DRIFT = """SELECT 'events' AS dataset, "column", change, severity FROM (
+SELECT c AS "column", 'missing_required' AS change, 'ERROR' AS severity FROM (VALUES ('view'), ('purchase'), ('refund')) v(c) WHERE c NOT IN (SELECT event_type FROM events)
+UNION ALL SELECT c, 'missing_optional', 'WARN' FROM (VALUES ('click'), ('region')) v(c) WHERE c NOT IN (SELECT event_type FROM events)
+UNION ALL SELECT DISTINCT event_type, 'new_column', 'INFO' FROM events WHERE event_type NOT IN ('view', 'purchase', 'refund', 'click', 'region'))"""
+_register("schema_drift", _event_drift, _DRIFT, tables=False)
+_register("drift_gate", lambda c: landing.drift_gate(_event_drift(c)).withColumn("new_columns", F.array_join("new_columns", ",")), f"SELECT count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARN') AS warnings, count(*) FILTER (severity = 'INFO') AS infos, string_agg('events.' || \"column\", ',' ORDER BY \"column\") FILTER (change = 'new_column') AS new_columns, count(*) FILTER (severity = 'ERROR') = 0 AS passed FROM ({_DRIFT})", tables=False)
+
+
+def _drift_runs(c: Commerce) -> DataFrame:
+    """Drift events of two runs, appended as telemetry and read back."""
+    path = scratch(c.spark, "drift")
+    events = _event_drift(c)
+    landing.append_telemetry(events.where("severity <> 'INFO'").withColumn("detected_at", F.lit("2026-01-01")), path, "r1")
+    landing.append_telemetry(events.withColumn("detected_at", F.lit("2026-01-02")), path, "r2")
+    return c.spark.read.parquet(path)
+
+
+_register("read_drift_of_run", lambda c: reads.drift_of_run(_drift_runs(c), "r2"), f"SELECT dataset, change, \"column\", severity FROM ({_DRIFT})", tables=False)
+_register("read_newest_drift", lambda c: reads.newest_drift(_drift_runs(c)).select("dataset", "column", "severity", "run_id"), f"SELECT dataset, \"column\", severity, run_id FROM (SELECT *, 'r2' AS run_id FROM ({_DRIFT}) UNION ALL SELECT *, 'r1' FROM ({_DRIFT}) WHERE severity <> 'INFO') ORDER BY run_id DESC, \"column\" LIMIT 20", tables=False)
+
+
+def _marks(c: Commerce) -> DataFrame:
+    """Stored marks of two batches, and a rerun of the first that moves nothing back."""
+    early = c.derived("c_orders").where("order_date < DATE '1999-01-01'")
+    first = landing.watermark(early, "orders", "2025-11-30", "order_ts").unionByName(landing.watermark(c.derived("c_stock_events"), "events", "2025-11-30", "event_ts"))
+    second = landing.watermark(c.derived("c_orders"), "orders", "2025-12-31", "order_ts")
+    return landing.advance(landing.advance(first, second), first)
+
+
+_register("watermarks_advanced", _marks, "SELECT 'orders' AS dataset, '2025-12-31' AS last_batch_id, max(order_ts) AS high_watermark FROM c_orders UNION ALL SELECT 'events', '2025-11-30', max(event_ts) FROM c_stock_events")
+
+
+def _reference_rates(c: Commerce) -> DataFrame:
+    """Rates as response documents, one for each year, one of them sent twice: landed once, days that lack a date take that of the document."""
+    path = scratch(c.spark, "rates")
+    rate = F.struct(F.when(F.dayofmonth("day") > 1, F.col("day").cast("string")).alias("rate_date"), F.col("currency").alias("currency_code"), F.col("usd_per_unit").cast("string").alias("usd_per_unit"))
+    years = c.given_rates.groupBy(F.year("day").alias("y")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(rate)).alias("data"))).alias("value"))
+    name = F.concat(F.lit("rates-"), F.col("y").cast("string"))
+    twice = years.select(F.explode(F.array(name, F.concat(name, F.lit("-again")))).alias("source_file"), "value")
+    landing.land_documents(twice, silver.CONTRACTS["exchange_rates"], path, "b1", "2026-01-01", "r1", c.spark.createDataFrame([], landing.LEDGER))
+    return readers.read_bronze(c.spark, path, ["b1"], []).groupBy("rate_date", "currency_code").agg(F.count(F.lit(1)).alias("rows"))
+
+
+_register("land_reference_documents", _reference_rates, "SELECT CASE WHEN day(day) > 1 THEN CAST(day AS VARCHAR) ELSE '2026-01-01' END AS rate_date, currency AS currency_code, count(*) AS rows FROM given_rates GROUP BY 1, 2")
 
 
 # ---- telemetry
@@ -400,3 +458,81 @@ _register("read_low_stock", lambda c: reads.low_stock(_turnover(c)).select("prod
 _register("read_shipping_trend", lambda c: reads.shipping_by(marts.shipping_performance(c.enriched), "region_name", "order_month").select("region_name", "order_month", "shipments", "delivered"), "SELECT region_name, order_month, count(*) AS shipments, count(*) FILTER (is_delivered) AS delivered FROM enriched GROUP BY 1, 2")
 _register("assert_monthly_matches_daily", lambda c: reads.monthly_against_daily(marts.monthly_revenue(c.daily, c.fact_orders), c.daily), "SELECT year_month, CAST(sum(revenue_usd) AS DOUBLE) AS monthly_usd, CAST(sum(revenue_usd) AS DOUBLE) AS daily_usd, TRUE AS matches FROM daily GROUP BY year_month")
 _register("overview", lambda c: reads.overview(c.daily, _ltv(c), _turnover(c), marts.shipping_performance(c.enriched)).drop("avg_delivery_days"), "SELECT CAST(sum(revenue_usd) AS DOUBLE) AS revenue_usd, CAST(sum(orders_placed) AS BIGINT) AS orders, max(sales_date) AS newest_day, (SELECT count(*) FROM (" + _LTV + ") WHERE lifecycle_stage = 'active') AS active_customers, (SELECT count(*) FROM (" + _SQL["inventory_turnover"] + ") WHERE is_low_stock) AS low_stock_products FROM daily")
+
+# ---- typed tables from text deliveries with planted defects
+
+for _dataset in silver.SPECS:
+    _QUERIES[f"silver_{_dataset}"] = lambda spark, sf_dir, d=_dataset: _plain(deliveries.Deliveries(spark, sf_dir).shown(d))
+    _SQL[f"silver_{_dataset}"] = deliveries.typed_sql(_dataset)
+_QUERIES["silver_rule_statistics"] = lambda spark, sf_dir: deliveries.Deliveries(spark, sf_dir).statistics()
+_SQL["silver_rule_statistics"] = deliveries.statistics_sql()
+
+
+def _silver_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All datasets built in order from what was landed: merged tables, quarantine and breaker included; rows of each."""
+    root, given = scratch(spark, "silver"), deliveries.Deliveries(spark, sf_dir)
+    silver.build_all({d: given.landed(d) for d in silver.SPECS}, root, "b1", "r1")
+    parts = [spark.read.parquet(f"{root}/{d}").agg(F.lit(d).alias("dataset"), F.count(F.lit(1)).alias("rows")) for d in silver.SPECS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_QUERIES["silver_run"] = _silver_run
+_SQL["silver_run"] = deliveries.counts_sql()
+
+
+def _quarantined_why(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the typed tables reject, and why: rules by failed rows."""
+    stats = deliveries.Deliveries(spark, sf_dir).statistics().where("failed > 0").withColumn("rate", F.round(F.col("failed") / F.col("total"), 5))
+    return stats.orderBy(F.desc("failed"), "rule_id").limit(15)
+
+
+_QUERIES["ask_quarantined"] = _quarantined_why
+_SQL["ask_quarantined"] = f"SELECT rule_id, failed, total, round(failed / total, 5) AS rate FROM ({deliveries.statistics_sql()}) WHERE failed > 0 ORDER BY failed DESC, rule_id LIMIT 15"
+
+# ---- further reads, and the business questions
+
+_monthly = lambda c: marts.monthly_revenue(c.daily, c.fact_orders)
+_categories = lambda c: marts.category_revenue(c.lines)
+_MONTHLY_COLUMNS = "year_month, month_start, orders_placed, revenue_orders, revenue_usd, gross_margin_usd, gross_margin_pct, units_sold, active_customers, new_customers, avg_order_value_usd, revenue_mom_growth"
+_over = lambda mart: f"({_SQL[mart]})"
+_register("read_sales_monthly", lambda c: reads.sales_monthly(_monthly(c), "1996-01-01", "1999-12-31"), f"SELECT {_MONTHLY_COLUMNS} FROM {_over('monthly_revenue')} WHERE month_start BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'", tables=False)
+_register("ask_monthly_growth", lambda c: reads.sales_monthly(_monthly(c), limit=12).select("year_month", "revenue_usd", "gross_margin_pct", "revenue_mom_growth"), f"SELECT year_month, revenue_usd, gross_margin_pct, revenue_mom_growth FROM {_over('monthly_revenue')} ORDER BY year_month DESC LIMIT 12", tables=False)
+_register("ask_category_revenue", lambda c: reads.revenue_by_parent(_categories(c)), "SELECT parent_category_name, CAST(sum(line_total_usd) AS DOUBLE) AS revenue_usd FROM lines GROUP BY 1")
+_register("read_category_months", lambda c: reads.revenue_by_parent_and_month(_categories(c)), "SELECT order_month, parent_category_name, CAST(sum(line_total_usd) AS DOUBLE) AS revenue_usd FROM lines GROUP BY 1, 2")
+_register("read_regions", lambda c: reads.revenue_by_region(marts.regional_performance(c.fact_orders, c.enriched, c.derived("c_regions"))), f"SELECT region_name, CAST(sum(CAST(revenue_usd AS DECIMAL(18,2))) AS DOUBLE) AS revenue_usd, round(sum(avg_delivery_days * shipments) / nullif(sum(shipments) FILTER (avg_delivery_days IS NOT NULL), 0), 6) AS delivery_days FROM {_over('regional_performance')} GROUP BY 1", tables=False)
+_register("ask_declining_products", lambda c: reads.products(c.metrics, declining=True).select("product_id", "product_name", "revenue_prior_90d", "revenue_last_90d", F.round("revenue_trend_ratio", 2).alias("ratio")), "SELECT product_id, product_name, CAST(revenue_prior_90d AS DOUBLE) AS revenue_prior_90d, CAST(revenue_last_90d AS DOUBLE) AS revenue_last_90d, round(revenue_trend_ratio, 2) AS ratio FROM metrics WHERE is_declining ORDER BY metrics.revenue_prior_90d DESC, product_id LIMIT 20")
+_register("ask_low_warehouses", lambda c: reads.low_warehouses(marts.warehouse_performance(c.derived("c_warehouses"), c.position, c.inventory, c.enriched)), f"SELECT warehouse_name, on_hand_units, skus_out_of_stock, round(capacity_utilisation, 3) AS utilisation FROM {_over('warehouse_performance')}", tables=False)
+_register("ask_top_customers", lambda c: reads.customers_top(_ltv(c)).select("customer_id", "full_name", "total_orders", "net_lifetime_value_usd", "lifecycle_stage") if "full_name" in _ltv(c).columns else reads.customers_top(_ltv(c)).select("customer_id", "total_orders", "net_lifetime_value_usd", "lifecycle_stage"), f"SELECT customer_id, total_orders, net_lifetime_value_usd, lifecycle_stage FROM {_over('customer_ltv')} ORDER BY net_lifetime_value_usd DESC, customer_id LIMIT 20", tables=False)
+_register("ask_defective_suppliers", lambda c: reads.defective_suppliers(_supplier_mart(c), 100), f"SELECT supplier_name, units_received, units_defective, round(defect_rate, 4) AS defect_rate FROM {_over('supplier_performance')} WHERE units_received > 100 ORDER BY round(defect_rate, 4) DESC, supplier_name LIMIT 10", tables=False)
+_register("ask_delivery_by_region", lambda c: reads.delivery_by_region(marts.shipping_performance(c.enriched)), f"SELECT region_name, round(sum(avg_delivery_days * delivered) / nullif(sum(delivered) FILTER (avg_delivery_days IS NOT NULL), 0), 2) AS avg_days, round(sum(on_time_rate * delivered) / nullif(sum(delivered) FILTER (on_time_rate IS NOT NULL), 0), 3) AS on_time_rate FROM {_over('shipping_performance')} GROUP BY 1", tables=False)
+_register("ask_fast_and_low", lambda c: reads.fast_and_low(_turnover(c)), f"SELECT product_id, product_name, on_hand_units, velocity_units_per_day, days_of_cover FROM {_over('inventory_turnover')} WHERE high_velocity_low_stock ORDER BY days_of_cover, product_id LIMIT 20", tables=False)
+_register("ask_turnover_by_category", lambda c: reads.turnover_by_category(_turnover(c), None), f"SELECT category_name, round(avg(turnover_ratio_90d), 6) AS turnover FROM {_over('inventory_turnover')} WHERE turnover_ratio_90d IS NOT NULL GROUP BY 1", tables=False)
+
+# ---- checks of the warehouse and tests of the marts
+
+
+def _warehouse_tables(c: Commerce) -> dict[str, DataFrame]:
+    return {
+        "fact_orders": c.fact_orders, "fact_order_items": c.fact_items, "fact_inventory": c.inventory, "fact_shipping": c.shipping, "dim_customer": c.derived("c_customers").withColumn("email", F.expr("CASE WHEN customer_id % 10 > 0 THEN first_name END")),
+        "dim_product": c.dim_product, "dim_region": c.derived("c_regions"), "dim_warehouse": c.derived("c_warehouses"), "dim_category": star.dim_category(c.derived("c_categories")), "dim_supplier": c.derived("c_suppliers"),
+    }
+
+
+def _mart_tables(c: Commerce) -> dict[str, DataFrame]:
+    return {
+        "daily_sales": c.daily, "monthly_revenue": _monthly(c), "customer_ltv": _ltv(c), "product_metrics": c.metrics, "category_revenue": _categories(c), "inventory_turnover": _turnover(c), "supplier_performance": _supplier_mart(c), "shipping_performance": marts.shipping_performance(c.enriched),
+        "regional_performance": marts.regional_performance(c.fact_orders, c.enriched, c.derived("c_regions")), "warehouse_performance": marts.warehouse_performance(c.derived("c_warehouses"), c.position, c.inventory, c.enriched), "dim_customer": c.derived("c_customers"),
+    }
+
+
+_WAREHOUSE_SQL = {
+    "fact_orders": "fact_orders", "fact_order_items": "fact_items", "fact_inventory": "inventory", "fact_shipping": "shipping", "dim_customer": "(SELECT *, CASE WHEN customer_id % 10 > 0 THEN first_name END AS email FROM c_customers)",
+    "dim_product": "products", "dim_region": "c_regions", "dim_warehouse": "c_warehouses", "dim_category": "categories", "dim_supplier": "c_suppliers",
+}
+_MART_SQL = {m: _over(m) for m in ("daily_sales", "monthly_revenue", "customer_ltv", "product_metrics", "category_revenue", "inventory_turnover", "supplier_performance", "shipping_performance", "regional_performance", "warehouse_performance")} | {"dim_customer": "c_customers"}
+_register("warehouse_checks", lambda c: checks.run(checks.WAREHOUSE, _warehouse_tables(c)), checks.sql(checks.WAREHOUSE, _WAREHOUSE_SQL))
+_register("mart_tests", lambda c: checks.run(checks.MARTS, _mart_tables(c)), checks.sql(checks.MARTS, _MART_SQL))
+_register("freshness_pair", lambda c: checks.freshness(c.derived("c_orders"), "updated_at", "order_date", F.lit("2001-08-02").cast("timestamp_ntz"), F.lit("2001-08-01").cast("date")), "SELECT 'fact_orders.loaded_recently' AS check_name, 'warn' AS severity, CAST(1 AS BIGINT) AS total, CAST(max(updated_at) < TIMESTAMP '2001-08-01 00:00:00' AS BIGINT) AS failed FROM c_orders UNION ALL SELECT 'fact_orders.covers_batch', 'error', CAST(1 AS BIGINT), CAST(max(order_date) < DATE '2001-07-30' AS BIGINT) FROM c_orders")
+_register("assert_lines_reconciled", lambda c: checks.run([k for k in checks.WAREHOUSE if k.name.endswith("lines_reconciled_rate")], {"fact_orders": c.fact_orders}).select("total", "failed", "passed"), "SELECT count(*) AS total, count(*) FILTER (is_revenue AND NOT lines_reconciled) AS failed, round(count(*) FILTER (is_revenue AND NOT lines_reconciled) / count(*), 6) <= 0.1 AS passed FROM fact_orders")
+_register("duplicate_keys", lambda c: checks.duplicates(c.source("lineitem"), *LINE_KEYS), "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", tables=False)
+_register("records_to_text", lambda c: readers.records_to_text(c.source("events").selectExpr("to_json(named_struct('id', event_id, 'kind', event_type, 'big', value > 50, 'deep', named_struct('u', user_id), 'none', CAST(NULL AS STRING))) AS r"), "r", ["id", "kind", "big", "deep", "none"]), "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN value > 50 THEN 'true' ELSE 'false' END AS big, '{\"u\":' || CAST(user_id AS VARCHAR) || '}' AS deep, CAST(NULL AS VARCHAR) AS \"none\" FROM events", tables=False)

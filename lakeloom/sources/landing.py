@@ -67,8 +67,16 @@ def land(rows: DataFrame, contract: Contract, path: str, batch_id: str, source_f
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """``source_file``, ``content_hash`` and ``bytes`` of every file."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("bytes"))
+    """``source_file``, ``content_hash`` and ``bytes`` of every text file.
+
+    Files are read in splits, line by line, so that none is held as a whole and nothing but sums is shuffled: every line is hashed with its split's
+    first byte, and count, sum and exclusive or of these hashes, with the size, stand for the content. Files with the same lines are equal wherever they
+    lie; only an exchange of lines within one split isn't seen. Splits begin at fixed sizes, so hashes are comparable under one ``maxPartitionBytes``.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("at"), "value")
+    one, two = F.xxhash64("at", "value"), F.xxhash64(F.lit(7), "value", "at")
+    parts = lines.groupBy("source_file").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("a"), F.sum(two.cast("decimal(20,0)")).alias("b"))
+    return parts.select("source_file", F.sha2(F.concat_ws("|", "bytes", "n", "a", "b"), 256).alias("content_hash"), "bytes")
 
 
 LEDGER = "dataset string, content_hash string, source_file string, status string, rows bigint, rejected bigint, run_id string"
@@ -90,12 +98,35 @@ def watermark(rows: DataFrame, dataset: str, batch_id: str, column: str) -> Data
     return rows.agg(F.lit(dataset).alias("dataset"), F.lit(batch_id).alias("last_batch_id"), F.max(column).alias("high_watermark"))
 
 
+def advance(marks: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored marks after new ones: the later batch and the later time of each dataset, so that a rerun of an old batch moves nothing back."""
+    both = marks.unionByName(new)
+    return both.groupBy("dataset").agg(F.max("last_batch_id").alias("last_batch_id"), F.max("high_watermark").alias("high_watermark"))
+
+
 def run_mode(marks: DataFrame, dataset: str, batch_id: str) -> str:
     """``initial`` without a mark, ``rerun`` if the last batch isn't older, else ``incremental``."""
     last = marks.where(F.col("dataset") == dataset).agg(F.max("last_batch_id")).head()[0]
     return "initial" if last is None else "rerun" if last >= batch_id else "incremental"
 
 
+def land_documents(documents: DataFrame, contract: Contract, path: str, batch_id: str, as_of: str | None, run_id: str, ledger: DataFrame) -> DataFrame:
+    """Land reference rows that came as JSON documents (``source_file``, ``value``): from response to landed table.
+
+    Documents whose content the ledger holds are left out; the others' array ``data`` becomes text columns, dated by ``as_of`` where the
+    contract has ``rate_date`` and a row lacks it. Returns the ledger's new entries.
+    """
+    hashed = documents.withColumn("content_hash", F.sha2("value", 256))
+    fresh = not_yet_landed(hashed, ledger, contract.dataset)
+    rows = hashed.join(fresh.select("source_file"), "source_file", "left_semi")
+    rows = rows.select(F.col("source_file").alias("_source_file"), F.explode(F.from_json(F.get_json_object("value", "$.data"), "array<map<string,string>>")).alias("_m"))
+    text = {c: F.try_element_at("_m", F.lit(c)) for c in contract.columns}
+    if as_of is not None and "rate_date" in text:
+        text["rate_date"] = F.coalesce(text["rate_date"], F.lit(as_of))
+    land(rows.select("_source_file", *[v.alias(c) for c, v in text.items()]), contract, path, batch_id, None, run_id)
+    return ledger_entries(fresh, contract.dataset, 0, 0, run_id)
+
+
 def append_telemetry(rows: DataFrame, path: str, run_id: str) -> None:
     """Append rule statistics, drift events or batch counts of a run."""
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
