@@ -24,3 +24,9 @@ def keep_latest(df: DataFrame, keys: Sequence[str], version: Sequence[str | Colu
     order = [F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in version]
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_rn = 1").drop("_rn")
+
+
+def removed_duplicates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: rows, those that stay when exact duplicates in ``columns`` go, and those that go."""
+    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kept"), (F.sum("n") - F.count(F.lit(1))).alias("removed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators.dedup import keep_latest
@@ -31,45 +31,50 @@ def merged(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], vers
     return keep_latest(new if existing is None else union_by_name(existing, new), keys, version)
 
 
-def staged(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written beside its target and read back: a plan may then overwrite what it was computed from."""
-    stage = f"{path.rstrip('/')}__stage-{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    return df.sparkSession.read.schema(df.schema).parquet(stage)
-
-
-def _stage_of(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise OSError(f"cannot rename {source} to {target}")
 
 
 def overwrite(df: DataFrame, path: str) -> int:
-    """Replace a dataset, also one that ``df`` reads; returns the number of rows, observed during the write."""
-    seen = Observation()
-    ready = staged(df.observe(seen, F.count(F.lit(1)).alias("n")), path)
-    ready.write.mode("overwrite").parquet(path)
-    if stage := _stage_of(ready):
-        _drop(df.sparkSession, stage)
-    return seen.get["n"]
+    """Replace a dataset, also one that ``df`` reads; returns the number of rows, observed during the write.
+
+    Written once, beside the table; only when it is complete do the two change places, by renaming, so that a write that fails leaves
+    the table as it was.
+    """
+    spark, seen = df.sparkSession, Observation()
+    root, mark = path.rstrip("/"), uuid.uuid4().hex
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}__new-{mark}")
+    rows = seen.get["n"]
+    if _exists(spark, path):
+        _rename(spark, root, f"{root}__old-{mark}")
+    _rename(spark, f"{root}__new-{mark}", root)
+    _drop(spark, f"{root}__old-{mark}")
+    return rows
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str, emptied: Sequence[str] = ()) -> int:
     """Replace only the partitions that ``df`` has rows of, and drop those in ``emptied`` that it has none of.
 
     A null partition value is an error, not a lost row. The column stays in the files too, as ``<partition>`` next to
-    the directory key ``part``.
+    the directory key ``part``. Written once, beside the table; complete partitions then take the places of the old ones.
     """
-    seen = Observation()
+    spark, seen = df.sparkSession, Observation()
+    root, stage = path.rstrip("/"), f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
     key = F.coalesce(F.col(partition).cast("string"), F.raise_error(F.lit(f"null {partition}")).cast("string"))
-    ready = staged(df.withColumn("part", key).observe(seen, F.count(F.lit(1)).alias("n")), path)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-    spark = df.sparkSession
-    have = {r[0] for r in ready.select("part").distinct().collect()} if emptied else set()
-    for value in emptied:
-        if value not in have:
-            _drop(spark, f"{path.rstrip('/')}/part={value}")
-    if stage := _stage_of(ready):
-        _drop(spark, stage)
-    return seen.get["n"]
+    df.withColumn("part", key).observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("part").parquet(stage)
+    rows = seen.get["n"]
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = jvm_path(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path(root))
+    have = [s.getPath().getName() for s in files.listStatus(jvm_path(stage)) if s.isDirectory()]  # one name per partition
+    for name in [*have, *[f"part={v}" for v in emptied]]:
+        _drop(spark, f"{root}/{name}")
+    for name in have:
+        _rename(spark, f"{stage}/{name}", f"{root}/{name}")
+    _drop(spark, stage)
+    return rows
 
 
 def merge_snapshot(new: DataFrame, path: str, keys: Sequence[str], version: Sequence[str]) -> int:
@@ -79,29 +84,31 @@ def merge_snapshot(new: DataFrame, path: str, keys: Sequence[str], version: Sequ
     return overwrite(merged(existing, new, keys, version), path)
 
 
-def merge_partitioned(new: DataFrame, path: str, keys: Sequence[str], version: Sequence[str], partition: str) -> tuple[int, list[str]]:
+def merge_partitioned(new: DataFrame, path: str, keys: Sequence[str], version: Sequence[str], partition: str, keys_move: bool = True) -> tuple[int, list[str]]:
     """Merge that reads and rewrites only touched partitions; returns rows written and the partitions.
 
     Touched are those that new rows belong to and those that already hold a key that comes in, so that a key that
     moves leaves no stale copy; a partition that this empties is dropped. Only the list of partitions is collected.
+    The look for moved keys reads the key columns of all partitions; where a key's partition never changes (a day of an event, say),
+    ``keys_move=False`` spares it, and nothing but the touched partitions is read.
     """
     spark = new.sparkSession
     incoming = {r[0] for r in new.select(F.col(partition).cast("string")).distinct().collect()}
     existing, touched = None, incoming
     if _exists(spark, path):
         held = spark.read.parquet(path)
-        moved = {r[0] for r in held.join(new.select(*keys).distinct(), list(keys), "left_semi").select("part").distinct().collect()}
+        moved = set() if not keys_move else {r[0] for r in held.join(new.select(*keys).distinct(), list(keys), "left_semi").select("part").distinct().collect()}
         touched = incoming | moved
         existing = held.where(F.col("part").isin(*touched)).drop("part")
     rows = overwrite_partitions(merged(existing, new, keys, version), path, partition, sorted(touched - {None}))
     return rows, sorted(touched - {None})
 
 
-def upsert(existing: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def upsert(existing: DataFrame, source: DataFrame, keys: Sequence[str], loaded_at: Column | None = None) -> DataFrame:
     """Table after an upsert on ``keys``, with ``_action``: ``updated``, ``inserted`` or ``kept``.
 
     Source columns that the table lacks are left out; columns that the source lacks keep their values on update. Keys are unique in
-    each. One full outer join.
+    each. One full outer join. With ``loaded_at``, rows that the source brings get it as ``_loaded_at``; others keep theirs (null if the table has none).
     """
     common = [c for c in existing.columns if c in source.columns]
     s = source.select(*[F.col(c).alias(f"_s_{c}") for c in common], F.lit(True).alias("_in_source"))
@@ -110,6 +117,9 @@ def upsert(existing: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataF
     joined = t.join(s, on, "full_outer")
     columns = [F.when(F.col("_in_source"), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) if c in common else F.col(c) for c in existing.columns]
     action = F.when(F.col("_in_source") & F.col("_in_table"), "updated").when(F.col("_in_source"), "inserted").otherwise("kept")
+    if loaded_at is not None:
+        before = F.col("_loaded_at") if "_loaded_at" in existing.columns else F.lit(None).cast("timestamp")
+        columns = [c for c, name in zip(columns, existing.columns, strict=True) if name != "_loaded_at"] + [F.when(F.col("_in_source"), loaded_at).otherwise(before).alias("_loaded_at")]
     return joined.select(*columns, action.alias("_action"))
 
 
@@ -143,5 +153,12 @@ def months_from(rows: DataFrame, touched: DataFrame, keys: Sequence[str], month:
     return rows.join(first, list(keys)).where(F.col(month) >= F.col("_first")).select(month).distinct()
 
 
-def rank_one(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+def write_with_stats(df: DataFrame, path: str, table: str, partition: str | None = None, months: Sequence[str] | None = None) -> DataFrame:
+    """Write a table, or only its partitions of some months; returns what was written: ``table``, ``partition`` and ``rows``, one row per partition."""
+    if partition is None:
+        overwrite(df, path)
+        return df.sparkSession.read.parquet(path).agg(F.lit(table).alias("table"), F.lit(None).cast("string").alias("partition"), F.count(F.lit(1)).alias("rows"))
+    overwrite_partitions(df, path, partition, months or ())
+    held = df.sparkSession.read.parquet(path)
+    held = held if months is None else held.where(F.col("part").cast("string").isin(*months))
+    return held.groupBy(F.lit(table).alias("table"), F.col("part").cast("string").alias("partition")).agg(F.count(F.lit(1)).alias("rows"))

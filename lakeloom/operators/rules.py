@@ -70,8 +70,8 @@ def _fails(rule: Rule, seen: int) -> Column:
 def evaluate(df: DataFrame, suite: Suite, refs: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """``df`` with ``rule_ids`` (failed, severity reject), ``errors`` (their messages) and ``quality_warnings`` (failed, severity warn).
 
-    Foreign keys are left joins with the distinct keys of the reference; ``broadcast`` in a rule's params hints that a
-    reference is small by nature (default: Spark decides by its size). Everything else is one projection.
+    Foreign keys are left joins with the distinct keys of the reference; Spark broadcasts them where they turn out to be
+    small. Everything else is one projection.
     """
     refs = refs or {}
     flagged = df
@@ -80,7 +80,6 @@ def evaluate(df: DataFrame, suite: Suite, refs: Mapping[str, DataFrame] | None =
             if r.params["ref"] not in refs:
                 raise KeyError(f"{r.id}: no reference {r.params['ref']!r}")
             keys = refs[r.params["ref"]].select(F.col(r.params["ref_column"]).alias(f"_key{i}")).where(F.col(f"_key{i}").isNotNull()).distinct().withColumn(f"_known{i}", F.lit(1))
-            keys = F.broadcast(keys) if r.params.get("broadcast") else keys
             flagged = flagged.join(keys, flagged[r.column] == keys[f"_key{i}"], "left").drop(f"_key{i}")
     names = [f"_fail{i}" for i in range(len(suite.rules))]
     flagged = flagged.select("*", *[_fails(r, i).alias(n) for i, (r, n) in enumerate(zip(suite.rules, names, strict=True))])
@@ -141,8 +140,8 @@ def quarantine_records(evaluated: DataFrame, record_columns: Sequence[str], data
 
 
 def write_quarantine(records: DataFrame, path: str) -> None:
-    """Append records, written where they are, by dataset, batch and stage."""
-    records.write.mode("append").partitionBy("dataset", "batch_id", "stage").json(path)
+    """Write records, where they are, by dataset, batch and stage. A rerun of a batch replaces its records, so that none counts twice."""
+    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "batch_id", "stage").json(path)
 
 
 QUARANTINE = "record string, source string, rule_ids array<string>, errors array<string>, detected_at timestamp, run_id string, dataset string, batch_id string, stage string"

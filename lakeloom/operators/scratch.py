@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir`` (a local temporary folder only where that is unset), dropped when the session ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"lakeloom-{spark.sparkContext.applicationId}")
+    """A new path in ``spark.checkpoint.dir``, dropped when the session ends.
+
+    Where that is unset: a temporary folder in local mode, an error on a cluster, whose executors would each write to a disk of their own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = os.path.join(tempfile.gettempdir(), f"lakeloom-{spark.sparkContext.applicationId}")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new path and read back: what follows starts from files that every executor sees."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

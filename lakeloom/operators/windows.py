@@ -47,15 +47,6 @@ def share_of_group(df: DataFrame, group: Sequence[str], value: str, total: str,
     return out.withColumn(share, F.when(F.col(total) != 0, F.col(value).cast("double") / F.col(total).cast("double")))
 
 
-def ranked(df: DataFrame, by: Sequence[Column], name: str, group: Sequence[str] = ()) -> DataFrame:
-    return df.withColumn(name, F.rank().over(Window.partitionBy(*group).orderBy(*by)))
-
-
-def tiles(df: DataFrame, by: Sequence[Column], n: int, name: str) -> DataFrame:
-    """Number of the row's n-th part in the given order, which should be unique. One global order: for small results."""
-    return df.withColumn(name, F.ntile(n).over(Window.orderBy(*by)))
-
-
 def days(df: DataFrame, first: Column, last: Column, name: str = "day") -> DataFrame:
     """One row per day between two dates of a one-row frame."""
     return df.select(F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias(name))

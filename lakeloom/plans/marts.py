@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom import functions as fn
+from lakeloom.operators import ordered
 from lakeloom.operators import windows as win
 
 #: Parameters of the marts.
@@ -39,16 +40,24 @@ def revenue_lines(items: DataFrame, products: DataFrame, regions: DataFrame) ->
     return out.select("order_id", "order_item_id", "order_date", "order_month", "customer_id", "product_id", "product_name", "brand", "category_name", "parent_category_name", "supplier_id", "supplier_name", "region_code", "region_name", "quantity", "line_total_usd", "line_cost_usd", "gross_margin_usd")
 
 
-def period_sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
-    """Per product: revenue and units of the last 90 days, the 90 before and the last 30, counted from the newest order."""
-    dated = lines.crossJoin(F.broadcast(orders.agg(F.max("order_date").alias("as_of"))))
+def _periods() -> list[Column]:
+    """Revenue and units of the last 90 days, the 90 before and the last 30, of lines with a column ``as_of``."""
     age = F.datediff("as_of", "order_date")
-    last90, prior90, last30 = age < 90, (age >= 90) & (age < 180), age < 30
     total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
-    return dated.groupBy("product_id").agg(
-        F.max("as_of").alias("as_of_date"), total(last90, "line_total_usd").alias("revenue_last_90d"), total(prior90, "line_total_usd").alias("revenue_prior_90d"),
+    last90, prior90, last30 = age < 90, (age >= 90) & (age < 180), age < 30
+    return [
+        total(last90, "line_total_usd").alias("revenue_last_90d"), total(prior90, "line_total_usd").alias("revenue_prior_90d"),
         total(last90, "quantity").alias("units_last_90d"), total(prior90, "quantity").alias("units_prior_90d"), total(last30, "quantity").alias("units_last_30d"),
-    )
+    ]
+
+
+def _dated(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    return lines.crossJoin(F.broadcast(orders.agg(F.max("order_date").alias("as_of"))))  # one row
+
+
+def period_sales(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per product: revenue and units of the last 90 days, the 90 before and the last 30, counted from the newest order."""
+    return _dated(lines, orders).groupBy("product_id").agg(F.max("as_of").alias("as_of_date"), *_periods())
 
 
 def customer_orders(orders: DataFrame) -> DataFrame:
@@ -101,17 +110,17 @@ def customer_ltv(customers: DataFrame, orders: DataFrame) -> DataFrame:
     out = out.withColumn("lifetime_revenue_usd", F.coalesce("revenue_usd", zero)).withColumn("lifetime_refunded_usd", F.coalesce("refunded_usd", zero))
     out = out.withColumn("net_lifetime_value_usd", F.col("lifetime_revenue_usd") - F.col("lifetime_refunded_usd"))
     out = out.withColumn("lifecycle_stage", fn.band(F.col("recency_days"), [(ACTIVE_DAYS, "active"), (RISK_DAYS, "at_risk")], "churned", "never_purchased"))
-    return win.tiles(out, [F.desc("lifetime_revenue_usd"), F.asc("customer_id")], 10, "value_decile").drop("as_of", "revenue_usd", "refunded_usd")
+    return ordered.tiles(out, [F.desc("lifetime_revenue_usd"), F.asc("customer_id")], 10, "value_decile").drop("as_of", "revenue_usd", "refunded_usd")
 
 
-def product_metrics(products: DataFrame, lines: DataFrame, periods: DataFrame) -> DataFrame:
-    """Per product: totals, trend of the last 90 days against the 90 before, velocity of the last 30, rank."""
+def product_metrics(products: DataFrame, lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per product: totals, trend of the last 90 days against the 90 before, velocity of the last 30, rank. One pass over the lines."""
     zero = F.lit("0").cast("decimal(18,2)")
-    totals = lines.groupBy("product_id").agg(
+    totals = _dated(lines, orders).groupBy("product_id").agg(
         F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"), F.sum("gross_margin_usd").alias("gross_margin_usd"),
-        F.countDistinct("customer_id").alias("unique_customers"), F.min("order_date").alias("first_sold_date"), F.max("order_date").alias("last_sold_date"),
+        F.countDistinct("customer_id").alias("unique_customers"), F.min("order_date").alias("first_sold_date"), F.max("order_date").alias("last_sold_date"), *_periods(),
     )
-    out = products.join(totals, "product_id", "left").join(periods.select("product_id", "revenue_last_90d", "revenue_prior_90d", "units_last_30d"), "product_id", "left")
+    out = products.join(totals.drop("units_last_90d", "units_prior_90d"), "product_id", "left")
     for c in ("orders", "units_sold", "unique_customers"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
     for c in ("revenue_usd", "gross_margin_usd", "revenue_last_90d", "revenue_prior_90d"):
@@ -119,7 +128,7 @@ def product_metrics(products: DataFrame, lines: DataFrame, periods: DataFrame) -
     out = out.withColumn("revenue_trend_ratio", fn.ratio(F.col("revenue_last_90d"), F.col("revenue_prior_90d")))
     out = out.withColumn("is_declining", F.coalesce(F.col("revenue_trend_ratio") < DECLINING, F.lit(False)))
     out = out.withColumn("velocity_units_per_day", F.round(F.coalesce("units_last_30d", F.lit(0)) / F.lit(30.0), 3)).drop("units_last_30d")
-    return win.ranked(out, [F.desc("revenue_usd")], "revenue_rank")
+    return ordered.ranked(out, "revenue_usd", "revenue_rank")
 
 
 def category_revenue(lines: DataFrame) -> DataFrame:
@@ -192,7 +201,7 @@ def supplier_performance(suppliers: DataFrame, products: DataFrame, inventory: D
         out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
     for c in ("revenue_usd", "gross_margin_usd"):
         out = out.withColumn(c, F.coalesce(c, zero))
-    return win.ranked(out, [F.col("defect_rate").desc_nulls_last()], "defect_rank")
+    return ordered.ranked(out, "defect_rate", "defect_rank")
 
 
 def shipping_performance(shipments: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ class Commerce:
 
     @property
     def metrics(self) -> DataFrame:
-        return marts.product_metrics(self.dim_product, self.lines, marts.period_sales(self.lines, self.fact_orders))
+        return marts.product_metrics(self.dim_product, self.lines, self.derived("c_orders"))
 
 
 def _cte(name: str) -> str:

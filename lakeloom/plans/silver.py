@@ -65,7 +65,7 @@ def _rule(dataset: str, name: str, check: str, column: str | None = None, severi
 def _suites() -> dict[str, Suite]:
     """All rules. Columns that end in ``_t`` are typed casts, in ``_n`` normalised texts, made by the projections below."""
     c, p, o, i, m, s, t = (partial(_rule, d) for d in ("customers", "products", "orders", "order_items", "payments", "inventory_events", "shipping_events"))
-    fk = lambda r, name, column, ref, key=None, broadcast=True, severity="reject": r(name, "fk", column, severity, ref=ref, ref_column=key or column, broadcast=broadcast)
+    fk = lambda r, name, column, ref, key=None, severity="reject": r(name, "fk", column, severity, ref=ref, ref_column=key or column)
     typed = lambda r, name, column, severity="reject": r(name, "castable", column, severity, typed=f"{column}_t")
     allowed = lambda r, name, column, values, severity="reject": r(name, "in_set", column, severity, values=values)
     above = lambda r, name, column, op: r(name, "compare", column, op=op, value=0)
@@ -82,28 +82,28 @@ def _suites() -> dict[str, Suite]:
             p("dimensions_parseable", "expr", None, "warn", expression="dimensions_cm IS NULL OR length_cm_t IS NOT NULL"),
         )),
         Suite("orders", (
-            o("order_id_not_null", "not_null", "order_id"), o("order_id_format", "regex", "order_id", pattern=r"^ORD-\d{7}$"), fk(o, "customer_known", "customer_id", "customers", broadcast=False), o("order_date_not_null", "not_null", "order_date"), typed(o, "order_date_valid", "order_date"),
+            o("order_id_not_null", "not_null", "order_id"), o("order_id_format", "regex", "order_id", pattern=r"^ORD-\d{7}$"), fk(o, "customer_known", "customer_id", "customers"), o("order_date_not_null", "not_null", "order_date"), typed(o, "order_date_valid", "order_date"),
             o("order_date_not_future", "not_future", "order_date_t"), allowed(o, "status_allowed", "status_n", STATUSES), allowed(o, "currency_allowed", "currency_n", CURRENCIES), typed(o, "order_total_numeric", "order_total"), above(o, "order_total_non_negative", "order_total_t", ">="),
             typed(o, "updated_at_valid", "updated_at"), allowed(o, "channel_allowed", "channel_n", CHANNELS, "warn"), o("region_present", "not_null", "region_code_n", "warn"),
         )),
         Suite("order_items", (
-            i("order_item_id_not_null", "not_null", "order_item_id"), fk(i, "order_known", "order_id", "orders", broadcast=False), fk(i, "product_known", "product_id", "products", broadcast=False), i("quantity_not_null", "not_null", "quantity"), typed(i, "quantity_integer", "quantity"),
+            i("order_item_id_not_null", "not_null", "order_item_id"), fk(i, "order_known", "order_id", "orders"), fk(i, "product_known", "product_id", "products"), i("quantity_not_null", "not_null", "quantity"), typed(i, "quantity_integer", "quantity"),
             above(i, "quantity_positive", "quantity_t", ">"), typed(i, "unit_price_numeric", "unit_price"), above(i, "unit_price_positive", "unit_price_t", ">"), i("discount_range", "expr", expression="discount_pct_t IS NULL OR (discount_pct_t >= 0 AND discount_pct_t <= 100)"),
             typed(i, "line_total_numeric", "line_total"), i("line_total_consistent", "expr", None, "warn", expression="ABS(line_total_t - line_total_calc) <= 0.05"),
         ), 0.10),
         Suite("payments", (
-            m("payment_id_not_null", "not_null", "payment_id"), fk(m, "order_known", "order_id", "orders", broadcast=False), allowed(m, "method_allowed", "payment_method_n", PAYMENT_METHODS), allowed(m, "status_allowed", "status_n", PAYMENT_STATUSES), typed(m, "amount_numeric", "amount"),
+            m("payment_id_not_null", "not_null", "payment_id"), fk(m, "order_known", "order_id", "orders"), allowed(m, "method_allowed", "payment_method_n", PAYMENT_METHODS), allowed(m, "status_allowed", "status_n", PAYMENT_STATUSES), typed(m, "amount_numeric", "amount"),
             m("paid_at_not_null", "not_null", "paid_at"), typed(m, "paid_at_valid", "paid_at"), m("amount_matches_order", "expr", None, "warn", expression="status_n <> 'captured' OR order_total_ref IS NULL OR ABS(amount_t - order_total_ref) <= 0.05"),
         ), 0.10),
         Suite("inventory_events", (
-            s("event_id_not_null", "not_null", "event_id"), allowed(s, "event_type_allowed", "event_type_n", STOCK_EVENTS), fk(s, "product_known", "product_id", "products", broadcast=False), fk(s, "warehouse_known", "warehouse_id", "warehouses"), s("quantity_delta_not_null", "not_null", "quantity_delta"),
+            s("event_id_not_null", "not_null", "event_id"), allowed(s, "event_type_allowed", "event_type_n", STOCK_EVENTS), fk(s, "product_known", "product_id", "products"), fk(s, "warehouse_known", "warehouse_id", "warehouses"), s("quantity_delta_not_null", "not_null", "quantity_delta"),
             typed(s, "quantity_delta_integer", "quantity_delta"), s("event_ts_not_null", "not_null", "event_ts"), typed(s, "event_ts_valid", "event_ts"), s("event_ts_not_future", "not_future", "event_ts_t"),
             s("sign_matches_type", "expr", expression="(event_type_n IN ('receipt','return') AND quantity_delta_t >= 0) OR (event_type_n = 'shipment' AND quantity_delta_t <= 0) OR event_type_n IN ('adjustment','stock_count') OR event_type_n IS NULL OR quantity_delta_t IS NULL"),
             s("defective_within_received", "expr", None, "warn", expression="defective_qty_t IS NULL OR quantity_delta_t IS NULL OR defective_qty_t <= quantity_delta_t"),
         )),
         Suite("shipping_events", (
             t("event_ts_not_null", "not_null", "event_ts"), typed(t, "event_ts_valid", "event_ts"), allowed(t, "event_allowed", "event_n", TRACKER_EVENTS), t("shipment_id_format", "regex", "shipment_id", pattern=r"^SHP-\d{7}$"), t("order_id_not_null", "not_null", "order_id_n"),
-            fk(t, "order_known", "order_id_n", "orders", "order_id", broadcast=False), fk(t, "warehouse_known", "warehouse_id", "warehouses", severity="warn"), t("carrier_present", "not_null", "carrier", "warn"),
+            fk(t, "order_known", "order_id_n", "orders", "order_id"), fk(t, "warehouse_known", "warehouse_id", "warehouses", severity="warn"), t("carrier_present", "not_null", "carrier", "warn"),
         ), 0.10),
     )}
 

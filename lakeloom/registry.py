@@ -341,7 +341,7 @@ def _as_text(c: Commerce, name: str, *columns: str) -> DataFrame:
 def _land_csv(c: Commerce) -> DataFrame:
     raw, bronze = scratch(c.spark, "csv"), scratch(c.spark, "bronze")
     _as_text(c, "customer", "c_custkey", "c_name", "c_mktsegment").repartition(3).write.option("header", True).csv(raw)
-    rows = readers.read_csv(c.spark, raw, columns=["c_custkey", "c_name", "c_mktsegment"])
+    rows = readers.read_csv(c.spark, raw, columns=["c_custkey", "c_name", "c_mktsegment"], multiline=False)
     landing.land(rows, landing.Contract("customers", ("c_custkey", "c_name"), ("c_mktsegment",)), bronze, "2025-11-30", None, "r1")
     return readers.read_bronze(c.spark, bronze, ["2025-11-30"], ["c_custkey", "c_name", "c_mktsegment", "phone"]).select("c_custkey", "c_name", "c_mktsegment", "phone", F.col("_batch_id").cast("string").alias("_batch_id"))
 
@@ -536,3 +536,38 @@ _register("freshness_pair", lambda c: checks.freshness(c.derived("c_orders"), "u
 _register("assert_lines_reconciled", lambda c: checks.run([k for k in checks.WAREHOUSE if k.name.endswith("lines_reconciled_rate")], {"fact_orders": c.fact_orders}).select("total", "failed", "passed"), "SELECT count(*) AS total, count(*) FILTER (is_revenue AND NOT lines_reconciled) AS failed, round(count(*) FILTER (is_revenue AND NOT lines_reconciled) / count(*), 6) <= 0.1 AS passed FROM fact_orders")
 _register("duplicate_keys", lambda c: checks.duplicates(c.source("lineitem"), *LINE_KEYS), "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", tables=False)
 _register("records_to_text", lambda c: readers.records_to_text(c.source("events").selectExpr("to_json(named_struct('id', event_id, 'kind', event_type, 'big', value > 50, 'deep', named_struct('u', user_id), 'none', CAST(NULL AS STRING))) AS r"), "r", ["id", "kind", "big", "deep", "none"]), "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN value > 50 THEN 'true' ELSE 'false' END AS big, '{\"u\":' || CAST(user_id AS VARCHAR) || '}' AS deep, CAST(NULL AS VARCHAR) AS \"none\" FROM events", tables=False)
+_register("exact_dedup_counts", lambda c: dedup.removed_duplicates(c.source("lineitem"), LINE_KEYS), "SELECT count(*) AS total, count(DISTINCT (l_orderkey, l_linenumber)) AS kept, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS removed FROM lineitem", tables=False)
+
+
+def _written_fact(c: Commerce) -> DataFrame:
+    """A fact written by month, then some months again: what the second write reports."""
+    path = scratch(c.spark, "fact")
+    merge.write_with_stats(c.fact_orders, path, "fact_orders", "order_month")
+    months = ["1996-02", "1998-11", "2001-07"]
+    return merge.write_with_stats(star.only_months(c.fact_orders, "order_month", months), path, "fact_orders", "order_month", months)
+
+
+_register("gold_write_stats", _written_fact, "SELECT 'fact_orders' AS \"table\", order_month AS partition, count(*) AS rows FROM c_orders WHERE order_month IN ('1996-02', '1998-11', '2001-07') GROUP BY order_month")
+
+
+def _loaded(c: Commerce) -> DataFrame:
+    """An upsert that stamps what it brings; what it doesn't touch keeps its stamp."""
+    first, second = _split_orders(c)
+    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
+    done = merge.upsert(first.withColumn("_loaded_at", stamp("2026-01-01 00:00:00")), second, ["order_id"], stamp("2026-01-02 00:00:00"))
+    return done.select("order_id", "version", "_loaded_at")
+
+
+_register("upsert_loaded_at", _loaded, "SELECT order_id, CAST(CASE WHEN order_id % 10 = 3 OR order_id % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, CASE WHEN order_id % 10 = 3 OR order_id % 7 = 0 THEN TIMESTAMP '2026-01-02 00:00:00' ELSE TIMESTAMP '2026-01-01 00:00:00' END AS _loaded_at FROM c_orders")
+
+
+def _ndjson_files(c: Commerce) -> DataFrame:
+    """Lines of NDJSON files and their numbers: each file holds its lines in order, the number of the line among them."""
+    path = scratch(c.spark, "ndjson")
+    rows = c.source("events").select((F.col("event_id") % 3).alias("f"), "event_id", F.to_json(F.struct(F.col("event_id").cast("string").alias("id"))).alias("value"))
+    rows.repartition("f").sortWithinPartitions("f", "event_id").select("f", "value").write.partitionBy("f").text(path)
+    read = readers.good(readers.read_ndjson(c.spark, path), ["id"])
+    return read.select(F.col("id").cast("long").alias("event_id"), "_row_number")
+
+
+_register("ndjson_files", _ndjson_files, "SELECT event_id, event_id // 3 + 1 AS _row_number FROM events", tables=False)

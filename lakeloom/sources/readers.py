@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,11 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
     """All-text rows of CSV files with a header, and ``_source_file``.
 
-    Line feeds may stand in quoted values. A file without a header and a header that names a column twice are errors.
+    Line feeds may stand in quoted values; a file is then read by one task. Without them, ``multiline=False`` lets Spark split large
+    files. A file without a header and a header that names a column twice are errors.
     Only the first line is read beforehand; ``columns`` spares that.
     """
     if columns is None:
@@ -33,7 +34,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: Sequ
         columns = [c.strip().strip('"') for c in head[0][0].lstrip("﻿").split(delimiter)]
     if len(set(columns)) != len(columns):
         raise ValueError(f"{path}: column named twice in {columns}")
-    rows = spark.read.schema(_text_schema(columns)).options(header=True, multiLine=True, sep=delimiter, escape='"', enforceSchema=False).csv(path)
+    rows = spark.read.schema(_text_schema(columns)).options(header=True, multiLine=multiline, sep=delimiter, escape='"', enforceSchema=False).csv(path)
     return rows.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in columns], F.col("_metadata.file_path").alias("_source_file"))
 
 
@@ -66,9 +67,18 @@ def parse_ndjson(lines: DataFrame) -> DataFrame:
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their number in their file. A file is read by one task; large feeds should come as many files."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_source_file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("p", "value"))
-    return docs.select("_source_file", (F.col("p") + 1).cast("long").alias("_row_number"), "value")
+    """Lines with their number in their file. Large files are read in splits.
+
+    A line's number is its place in its split plus the lines of the file's earlier splits; these come from a first pass that keeps
+    one row per split, so no line is shuffled. Both passes plan the same splits, since they read the same files.
+    """
+    at = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_source_file"), at.alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = lines.groupBy("_source_file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_source_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    number = (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("long").alias("_row_number")
+    return lines.join(splits, ["_source_file", "_at"]).select("_source_file", number, "value")
 
 
 def good(parsed: DataFrame, columns: Sequence[str]) -> DataFrame:
