@@ -61,7 +61,12 @@ def test_dense_rates(spark):
 
 def test_late_event_changes_later_balances(spark):
     rows = [(1, "p", "w", "2024-01-05", 5), (2, "p", "w", "2024-02-05", -2)]
-    events = lambda extra: spark.createDataFrame(rows + extra, "event_id long, product_id string, warehouse_id string, event_ts string, quantity_delta long").withColumns({"event_month": F.substring("event_ts", 1, 7), "unit_cost": F.lit(None).cast("decimal(14,2)")})
+    unset = {c: F.lit(None).cast("string") for c in ("supplier_id", "event_type", "defective_qty", "counted_quantity", "reference_id", "reason", "_batch_id")}
+    given = {"event_month": F.substring("event_ts", 1, 7), "event_date": F.to_date("event_ts"), "unit_cost": F.lit(None).cast("decimal(14,2)")}
+
+    def events(extra):
+        return spark.createDataFrame(rows + extra, "event_id long, product_id string, warehouse_id string, event_ts string, quantity_delta long").withColumns(given | unset)
+
     late = events([(3, "p", "w", "2024-01-20", 10)])
     full = {r["event_id"]: r["on_hand_after"] for r in star.fact_inventory(late).collect()}
     assert full == {1: 5, 3: 15, 2: 13}
