@@ -53,7 +53,7 @@ def corpus():
             flat = text.replace("\n", " ").split(" ")
             flat[25::50] = [word() for _ in flat[25::50]]
             rows.append(" ".join(flat))
-        if i % 2 == 0:
+        for _ in range(2):
             rows.append(" ".join(word().upper() + "$$!!" for _ in range(60)))
         if i % 9 == 0:
             rows.append("too short " + word())
