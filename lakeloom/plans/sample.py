@@ -62,9 +62,14 @@ class Commerce:
 
     def derived(self, name: str) -> DataFrame:
         source, expressions = EXPRESSIONS[name]
-        rows = keep_latest(self.source("lineitem"), LINE_KEYS, LINE_VERSION) if source == "latest_lines" else self.source(source)
+        # partitioned by order once: the window over an order's lines, sums per order and the join with headers all keep that
+        rows = keep_latest(self.source("lineitem").repartition("l_orderkey"), LINE_KEYS, LINE_VERSION) if source == "latest_lines" else self.source(source)
         return rows.selectExpr(*expressions)
 
+    def text(self, name: str, **columns: str) -> DataFrame:
+        """Columns of a derived table as text, for jobs that start from text."""
+        return self.derived(name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
     @property
     def given_rates(self) -> DataFrame:
         rows = self.derived("c_orders").select("order_date", "currency").distinct().where("day(order_date) % 7 <> 0")

@@ -148,8 +148,18 @@ _register("supplier_performance", _supplier_mart, _SUPPLIERS)
 _SHIPPING = """SELECT region_code, region_name, carrier, order_month, count(*) AS shipments, count(*) FILTER (is_delivered) AS delivered, count(*) FILTER (had_exception) AS exceptions, count(*) FILTER (is_returned) AS returned, CAST(sum(CAST(delivery_days AS DECIMAL(18,2))) FILTER (is_delivered) AS DOUBLE) / nullif(count(delivery_days) FILTER (is_delivered), 0) AS avg_delivery_days,
   round(quantile_cont(delivery_days, 0.5) FILTER (is_delivered), 6) AS median_delivery_days, round(quantile_cont(delivery_days, 0.9) FILTER (is_delivered), 6) AS p90_delivery_days, count(*) FILTER (delivered_on_time AND is_delivered) / nullif(count(*) FILTER (is_delivered), 0) AS on_time_rate, count(*) FILTER (had_exception) / count(*) AS exception_rate, max(base_delivery_days) AS sla_days FROM enriched GROUP BY 1, 2, 3, 4"""
 _register("shipping_performance", lambda c: marts.shipping_performance(c.enriched), _SHIPPING)
-_register("bench_order_lines", lambda c: marts.order_lines_workload(c.derived("c_items"), c.derived("c_orders"), c.derived("c_products")), """, d AS (SELECT product_id, order_date, sum(line_total) AS r, sum(CAST(line_total - CAST(quantity AS DECIMAL(5,0)) * unit_cost AS DECIMAL(14,2))) AS m, CAST(sum(quantity) AS BIGINT) AS units FROM c_items JOIN (SELECT order_id, order_date FROM c_orders) USING (order_id) JOIN (SELECT product_id, unit_cost FROM c_products) USING (product_id) WHERE quantity > 0 AND unit_price > 0 GROUP BY 1, 2)
-SELECT product_id, order_date, CAST(r AS DOUBLE) AS revenue, CAST(m AS DOUBLE) AS margin, units, CAST(sum(r) OVER (PARTITION BY product_id ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_revenue FROM d""")
+
+
+def _workload(c: Commerce) -> DataFrame:
+    items = c.text("c_items", order_id="order_id", product_id="product_id", quantity="CASE WHEN (order_id + line_number) % 97 = 0 THEN 'x' ELSE CAST(quantity AS STRING) END", unit_price="CAST(unit_price AS STRING)", discount_pct="CAST(discount_pct AS STRING)")
+    orders = c.text("c_orders", order_id="order_id", order_date="CAST(order_ts AS STRING)")
+    return marts.order_lines_workload(items, orders, c.text("c_products", product_id="product_id", unit_cost="CAST(unit_cost AS STRING)"))
+
+
+_register("bench_order_lines", _workload, """, l AS (SELECT *, (order_id + line_number) % 97 <> 0 AND quantity > 0 AND unit_price > 0 AND order_date IS NOT NULL AND unit_cost IS NOT NULL AS ok
+  FROM c_items LEFT JOIN (SELECT order_id, order_date FROM c_orders) USING (order_id) LEFT JOIN (SELECT product_id, unit_cost FROM c_products) USING (product_id)),
+d AS (SELECT product_id, order_date, sum(line_total) FILTER (ok) AS r, sum(CAST(line_total - CAST(quantity AS DECIMAL(5,0)) * unit_cost AS DECIMAL(14,2))) FILTER (ok) AS m, CAST(sum(quantity) FILTER (ok) AS BIGINT) AS units, count(*) FILTER (NOT ok) AS rejected FROM l GROUP BY 1, 2)
+SELECT product_id, order_date, CAST(r AS DOUBLE) AS revenue, CAST(m AS DOUBLE) AS margin, units, rejected, CAST(sum(r) OVER (PARTITION BY product_id ORDER BY order_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_revenue FROM d""")
 
 # ---- read queries
 
