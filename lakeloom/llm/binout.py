@@ -119,7 +119,8 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
             before = at + np.cumsum(n) - n
             at += int(n.sum())
             parts = pa.array(np.full(len(n), part, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([parts, pa.array(before, pa.int64()), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([parts, pa.array(before, pa.int64()), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
+                ["part", "at", "doc_id", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
@@ -169,7 +170,8 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
 
 
 _BLOCK_NAMES = [c.strip().split(" ")[0] for c in BLOCK_SCHEMA.split(",")]
-_BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+_BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(),
+    pa.list_(pa.int64()), pa.binary(), pa.int64()]
 
 
 def _part_bases(files: DataFrame) -> DataFrame:
@@ -198,7 +200,8 @@ def read_blocks(files: DataFrame, freq: np.ndarray) -> DataFrame:
                 n = np.asarray(row["doc_lengths"], dtype=np.int64)
                 before = np.cumsum(n) - n
                 parts = [ids[b : b + k].tobytes() for b, k in zip(before.tolist(), n.tolist(), strict=True)]
-                out = [pa.array(np.full(len(n), row["part"], dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(before + row["at"]), pa.array(n), pa.array(parts, pa.binary())]
+                out = [pa.array(np.full(len(n), row["part"], dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(before + row["at"]),
+                    pa.array(n), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["part", "doc_id", "at", "n_tokens", "ids"])
 
     base = _part_bases(files)

@@ -230,7 +230,8 @@ def _branch(docs: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int)
     values = None
     for depth in range(DEPTH + 1):
         by_hash = F.xxhash64("vid", "node")
-        stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(by_hash, "root"))["root"].alias("common"))
+        stats = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.min("root").alias("lo"),
+            F.max("root").alias("hi"), F.min(F.struct(by_hash, "root"))["root"].alias("common"))
         stats = materialize(stats.where("size > 1 AND lo <> hi").drop("lo", "hi"), f"nodes-{depth}")
         met = materialize(nodes.join(_small(stats), "node").withColumn("loose", F.col("root") != F.col("common")), f"paths-{depth}")
         found.append(met.where(~_too_large()).groupBy("node").agg(F.sort_array(F.collect_list("vid")).alias("members")).select("members"))
@@ -428,7 +429,8 @@ def _joined(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     found = materialize(features(docs), "minwise")
     real = found.where("n_shingles > 0")
     place = F.min(F.struct("id_key", "text_key")).alias("place")
-    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), place, F.first("n_shingles").alias("n"), F.first("mins").alias("mins"), F.first("prints").alias("prints"))
+    classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), place, F.first("n_shingles").alias("n"), F.first("mins").alias("mins"),
+        F.first("prints").alias("prints"))
     classes = classes.withColumn("vid", F.monotonically_increasing_id())
     classes = materialize(classes.withColumn("root", F.col("vid")), "classes")
     nodes = _root_nodes(classes)

@@ -24,7 +24,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id``, ``v`` (doubles) and ``dim``, without vectors that are null, zero or hold null or non-finite components."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
+    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0),
+        F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
 
 
 def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:

@@ -95,7 +95,8 @@ def plan_pieces(lengths: DataFrame, window: int = WINDOW, unit: int = UNIT, dept
     spark = lengths.sparkSession
     bins = window // unit
     lengths = lengths.withColumn("full", F.floor(F.col("n") / window).cast("long")).withColumn("left", F.col("n") % window)
-    rest = lengths.where("left > 0").select("_row", (F.col("n") - F.col("left")).alias("start"), F.col("left").alias("length"), F.ceil(F.col("left") / unit).cast("int").alias("bin"))
+    rest = lengths.where("left > 0").select("_row", (F.col("n") - F.col("left")).alias("start"), F.col("left").alias("length"),
+        F.ceil(F.col("left") / unit).cast("int").alias("bin"))
     ranked = materialize(distributed_rank(rest, ["bin"], ["_row"], "pack-rank"), "pack-ranked")
     histogram = np.zeros(bins, dtype=np.int64)
     for r in ranked.groupBy("bin").count().collect():  # at most window / unit rows
@@ -120,10 +121,12 @@ def plan_pieces(lengths: DataFrame, window: int = WINDOW, unit: int = UNIT, dept
     cut = stream.withColumn("w", F.explode(F.sequence(first, last)))
     lo, hi = F.greatest(F.col("at"), F.col("w") * window), F.least(F.col("at") + F.col("length"), (F.col("w") + 1) * window)
     # even numbers go to combinations and the stream, odd ones to full windows: no count of one is needed for the other
-    streamed = cut.select("_row", (F.col("start") + lo - F.col("at")).alias("start"), (hi - lo).alias("length"), (F.col("w") + sequences).alias("sequence_id"), (lo - F.col("w") * window).alias("offset"))
+    streamed = cut.select("_row", (F.col("start") + lo - F.col("at")).alias("start"), (hi - lo).alias("length"), (F.col("w")
+        + sequences).alias("sequence_id"), (lo - F.col("w") * window).alias("offset"))
     whole = running_total(lengths.where("full > 0").select("_row", "full"), ["_row"], "full", "pack-full", "before")
     whole = whole.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
-    windows = whole.select("_row", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"), (2 * (F.col("before") + F.col("k")) + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    windows = whole.select("_row", (F.col("k") * window).alias("start"), F.lit(window).cast("long").alias("length"), (2 * (F.col("before")
+        + F.col("k")) + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     shared = placed.unionByName(streamed).withColumn("sequence_id", 2 * F.col("sequence_id"))
     return shared.unionByName(windows)
 

@@ -199,7 +199,8 @@ def discover(places: DataFrame) -> DataFrame:
     patterns of their own; it ends when nothing is added. Contexts with too few strings to find anything are left out
     beforehand. Joins are shuffled: nothing that grows with the corpus is broadcast.
     """
-    edges = places.select(F.explode("contexts").alias("context"), "instance", "seed", "fits").groupBy("context", "instance").agg(F.max("seed").alias("seed"), F.max("fits").alias("fits"))
+    edges = places.select(F.explode("contexts").alias("context"), "instance", "seed", "fits").groupBy("context",
+        "instance").agg(F.max("seed").alias("seed"), F.max("fits").alias("fits"))
     wide = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") < 0).alias("open")).where(f"n > {SEEDS} AND open > 0").select("context")
     edges = materialize(edges.join(wide.hint("merge"), "context", "left_semi"), "pii-graph")
     seeds = edges.where("seed >= 0").groupBy("instance").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("score"))
@@ -210,14 +211,17 @@ def discover(places: DataFrame) -> DataFrame:
         mine = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
         may = lambda k: F.col("fits").bitwiseAND(1 << k) != 0
         against = lambda k: ~mine(k) & (F.col("kind").isNotNull() | ~may(k))
-        sums = [x for k in kinds for x in (F.sum(F.when(mine(k), F.col("score"))).alias(f"for{k}"), F.count_if(mine(k)).alias(f"n{k}"), F.count_if(against(k)).alias(f"against{k}"))]
+        sums = [x for k in kinds for x in (F.sum(F.when(mine(k), F.col("score"))).alias(f"for{k}"), F.count_if(mine(k)).alias(f"n{k}"),
+            F.count_if(against(k)).alias(f"against{k}"))]
         scored = met.groupBy("context").agg(*sums)
         each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n{k}").alias("n"), (F.col(f"for{k}") / (F.col(f"for{k}") + F.col(f"against{k}"))).alias("p")) for k in kinds])
         good = scored.select("context", F.explode(each).alias("e")).select("context", "e.*").where((F.col("n") >= SEEDS) & (F.col("p") >= PATTERN_SCORE))
         left = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))
-        seen = edges.where("seed < 0").join(good.select("context", "kind", "p").hint("merge"), "context").where(F.call_function("shiftright", "fits", F.col("kind")).bitwiseAND(1) != 0)
+        seen = edges.where("seed < 0").join(good.select("context", "kind", "p").hint("merge"), "context").where(F.call_function("shiftright", "fits",
+            F.col("kind")).bitwiseAND(1) != 0)
         best = seen.groupBy("instance", "kind").agg((1 - left).alias("score")).where(F.col("score") >= INSTANCE_SCORE)
-        best = best.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("b")).select("instance", (-F.col("b.minus")).alias("kind"), F.col("b.score").alias("score"))
+        best = best.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("b")).select("instance",
+            (-F.col("b.minus")).alias("kind"), F.col("b.score").alias("score"))
         known = materialize(seeds.unionByName(best.join(seeds.select("instance").hint("merge"), "instance", "left_anti")), "pii-known")
         count = known.count()
         if count == before:

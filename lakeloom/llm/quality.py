@@ -205,4 +205,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataF
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: statistics and verdict for every document."""
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", "_w.n_words", "_w.word_chars", "_c.n_symbols", "_c.n_dup_lines", "_w.n_repeat_words", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))
+    return judged.select("doc_id", "_w.n_words", "_w.word_chars", "_c.n_symbols", "_c.n_dup_lines", "_w.n_repeat_words",
+        F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_rule").alias("rule"))

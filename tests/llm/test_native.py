@@ -97,7 +97,8 @@ def stats(text):
 
 def test_statistics(spark):
     rnd = random.Random(8)
-    texts = [None, "", "\n \n", "a " * 8, "a " * 9, "é" * 40] + ["".join(rnd.choice(["a ", "b ", "#", "\n", "c d e f g h i j\n", " ", "|&"]) for _ in range(rnd.randint(1, 120))) for _ in range(120)]
+    texts = [None, "", "\n \n", "a " * 8, "a " * 9, "é" * 40] + ["".join(rnd.choice(["a ", "b ", "#", "\n", "c d e f g h i j\n", " ", "|&"])
+        for _ in range(rnd.randint(1, 120))) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = quality.with_statistics(df).select("doc_id", "_w.n_words", "_w.word_chars", "_c.n_symbols", "_c.n_dup_lines", "_w.n_repeat_words").collect()
     for r in got:
@@ -204,14 +205,19 @@ def test_line_dedup_of_repeated_rows(spark):
 
 
 def test_urls(spark):
-    urls = ["http://A.Example.com/en/x?q#f", "https://www.example.com/en/", "ftp://b.net/es/1", "http://b.net/ES/1", "http://net/fr/", "no scheme", None, "", "http://", "http://x.org", "http://x.org/a/index.html", "http://www.x.org/a#z", "a://b://c/d?e", "http://notexample.com/en/", "http://com", "x://É.org/\n/y"]
+    urls = ["http://A.Example.com/en/x?q#f", "https://www.example.com/en/", "ftp://b.net/es/1", "http://b.net/ES/1", "http://net/fr/", "no scheme",
+        None, "", "http://", "http://x.org", "http://x.org/a/index.html", "http://www.x.org/a#z", "a://b://c/d?e", "http://notexample.com/en/",
+        "http://com", "x://É.org/\n/y"]
     listed = spark.createDataFrame([("x.org/a",), ("x.org/a",), (None,), ("q.org",)], "canonical string")
     df = spark.createDataFrame([(i, u, "zz", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, _m int")
     got = {urls[r["page_id"]]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, listed).collect()}
     assert got == {
-        "http://A.Example.com/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "ftp://b.net/es/1": ("b.net", "/es/1", "net/es/", "block"),
-        "http://b.net/ES/1": ("b.net", "/ES/1", None, "allow"), "http://net/fr/": ("net", "/fr/", "net/fr/", "block"), "no scheme": ("", "", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "http://": ("", "", None, "allow"),
-        "http://x.org": ("x.org", "", None, "allow"), "http://x.org/a/index.html": ("x.org", "/a/index.html", None, "block"), "http://www.x.org/a#z": ("www.x.org", "/a", None, "block"), "a://b://c/d?e": ("b:", "//c/d", None, "allow"),
+        "http://A.Example.com/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"), "https://www.example.com/en/": ("www.example.com",
+            "/en/", "www.example.com/en/", "allow"), "ftp://b.net/es/1": ("b.net", "/es/1", "net/es/", "block"),
+        "http://b.net/ES/1": ("b.net", "/ES/1", None, "allow"), "http://net/fr/": ("net", "/fr/", "net/fr/", "block"), "no scheme": ("", "", None,
+            "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"), "http://": ("", "", None, "allow"),
+        "http://x.org": ("x.org", "", None, "allow"), "http://x.org/a/index.html": ("x.org", "/a/index.html", None, "block"),
+            "http://www.x.org/a#z": ("www.x.org", "/a", None, "block"), "a://b://c/d?e": ("b:", "//c/d", None, "allow"),
         "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"), "http://com": ("com", "", None, "allow"), "x://É.org/\n/y": ("É.org", "/\n/y", None, "allow"),
     }
 
@@ -220,7 +226,8 @@ def test_urls_of_other_tables(spark):
     """Columns by the names of the result are replaced, others stay; empty tables; a list made from the html of any spelling of a URL."""
     schema = "page_id long, url string, html string, host string, _page int, rule int"
     junk = "### *** %%% $$$ " * 3
-    rows = [(1, "http://www.x.org/a/", junk, "h", 7, 1), (2, "https://x.org/a?b=1", "fine", "h", 8, 1), (3, "http://x.org/b", "fine ### ###", "h", 9, 1), (4, None, junk, "h", 1, 1), (5, "nothing", None, "h", 1, 1)]
+    rows = [(1, "http://www.x.org/a/", junk, "h", 7, 1), (2, "https://x.org/a?b=1", "fine", "h", 8, 1), (3, "http://x.org/b", "fine ### ###", "h", 9,
+        1), (4, None, junk, "h", 1, 1), (5, "nothing", None, "h", 1, 1)]
     pages = spark.createDataFrame(rows, schema)
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"], r["_page"]) for r in urlfilter.judge_urls(pages, urlfilter.listed_by_content(pages)).collect()}
     assert got == {1: ("www.x.org", None, "block", 7), 2: ("x.org", None, "block", 8), 3: ("x.org", None, "allow", 9), 4: ("", None, "allow", 1), 5: ("", None, "allow", 1)}
@@ -242,15 +249,20 @@ def test_bloom_has_no_false_negatives(spark, monkeypatch):
 
 def test_licenses(spark):
     texts = {
-        1: "Released under the MIT License.", 2: "MIT-License, Apache  License; apache license", 3: None, 4: "", 5: "permit license", 6: "GNU General\nPublic LICENSE v3", 7: "cc by and CC-BY",
+        1: "Released under the MIT License.", 2: "MIT-License, Apache  License; apache license", 3: None, 4: "", 5: "permit license",
+            6: "GNU General\nPublic LICENSE v3", 7: "cc by and CC-BY",
         8: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-        9: "Licensed under CC BY-NC 4.0.", 10: "the license of the public " * 30, 11: "redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met",
+            
+        9: "Licensed under CC BY-NC 4.0.", 10: "the license of the public " * 30,
+            11: "redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met",
+            
         12: "gnu general publiK license", 13: "İ mit license K",
     }
     df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id long, text string, template int")
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
     places = {k: sorted((b["at"], b["label"]) for b in r["base"]) for k, r in got.items()}
-    assert places == {1: [(3, "mit")], 2: [(0, "mit"), (2, "apache"), (4, "apache")], 3: [], 4: [], 5: [], 6: [(0, "gpl")], 7: [(0, "cc-by"), (3, "cc-by")], 8: [], 9: [(2, "cc-by")], 10: [], 11: [], 12: [], 13: [(1, "mit")]}
+    assert places == {1: [(3, "mit")], 2: [(0, "mit"), (2, "apache"), (4, "apache")], 3: [], 4: [], 5: [], 6: [(0, "gpl")], 7: [(0, "cc-by"), (3,
+        "cc-by")], 8: [], 9: [(2, "cc-by")], 10: [], 11: [], 12: [], 13: [(1, "mit")]}
     found = {k: sorted(r["found"] or []) for k, r in got.items()}
     assert found[8] == ["mit"] and found[11] == ["bsd"] and "cc-by-nc" in found[9] and found[10] == [] and found[1] == ["mit"]
     assert got[13]["n_words"] == 4 and licenses.scan(df.limit(0)).count() == 0

@@ -78,7 +78,8 @@ def test_rows_without_id_are_linked(spark):
     rnd = random.Random(3)
     base = [f"w{rnd.random()}" for _ in range(200)]
     near = [*base[:100], "other", *base[101:]]
-    rows = [(None, " ".join(base), "a"), (7, " ".join(near), "b"), (None, "lone words of a row without an id", "c"), (None, "lone words of a row without an id", "d"), (None, None, "e"), (None, "", "f")]
+    rows = [(None, " ".join(base), "a"), (7, " ".join(near), "b"), (None, "lone words of a row without an id", "c"), (None,
+        "lone words of a row without an id", "d"), (None, None, "e"), (None, "", "f")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _kept_id string")
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in neardup.near_duplicates(df).collect())
     assert got == [(0, 0, 0), (0, 0, 0), (0, 4, 0), (0, 4, 0), (0, 196, 7), (7, 196, 7)]

@@ -85,7 +85,8 @@ def test_quality_stage(spark, run):
     folder, out = run
     given, kept = out["quality_rules"]
     rules = quality.fit_decision_list(given, spark.read.parquet(f"{folder}/labels.parquet"))
-    marks = {r["doc_id"]: r for r in quality.with_statistics(given.select("doc_id", "text")).select("doc_id", *[c.alias(k) for k, c in quality.feature_columns().items()]).collect()}
+    marks = {r["doc_id"]: r for r in quality.with_statistics(given.select("doc_id", "text")).select("doc_id", *[c.alias(k) for k,
+        c in quality.feature_columns().items()]).collect()}
     want = []
     for d, t in pairs(given):
         n, _, _, _, repeated = stats(t)

@@ -79,7 +79,8 @@ def test_neighbours(spark, monkeypatch):
     centres = rnd.standard_normal((20, 32))
     v = centres[rnd.integers(0, 20, 1500)] + 0.6 * rnd.standard_normal((1500, 32))
     v[700:760] = v[0]
-    rows = [(i, x.tolist(), "e") for i, x in enumerate(v)] + [(5000, None, "e"), (5001, [0.0] * 32, "e"), (5050, [float("nan")] + [1.0] * 31, "e"), (5100, [None] + [1.0] * 31, "e"), (5150, [float("inf")] * 32, "e"), (5200, [1.0, 2.0], "e"), (None, [1.0] * 32, "e")]
+    rows = [(i, x.tolist(), "e") for i, x in enumerate(v)] + [(5000, None, "e"), (5001, [0.0] * 32, "e"), (5050, [float("nan")] + [1.0] * 31, "e"),
+        (5100, [None] + [1.0] * 31, "e"), (5150, [float("inf")] * 32, "e"), (5200, [1.0, 2.0], "e"), (None, [1.0] * 32, "e")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim string")
     ok = neighbours.usable(df, "vec_id", "embedding")
     got = {}
@@ -97,7 +98,8 @@ def test_neighbours(spark, monkeypatch):
     assert hit / 150 >= 0.9
     assert [got[0][r][0] for r in range(1, 6)] == [700, 701, 702, 703, 704]  # ties go to smaller ids
     assert 5200 not in got and not {5001, 5050, 5100, 5150} & set(got)
-    big = spark.createDataFrame([(1, [1e300, 1e300]), (2, [2e300, 1e300]), (3, [1e-300, 1e-300]), (3, [1e-300, 1e-300]), (50, [1e-310, 2e-310])], "vec_id long, embedding array<double>")
+    big = spark.createDataFrame([(1, [1e300, 1e300]), (2, [2e300, 1e300]), (3, [1e-300, 1e-300]), (3, [1e-300, 1e-300]), (50, [1e-310, 2e-310])],
+        "vec_id long, embedding array<double>")
     wide = neighbours.usable(big, "vec_id", "embedding")
     hits = [(r["vec_id"], round(r["score"], 9)) for r in neighbours.nearest(wide, wide.where("vec_id = 50"), 5).orderBy("rank").collect()]
     assert sorted(i for i, _ in hits[:3]) == [1, 3, 3] and hits[3][0] == 2 and abs(hits[0][1] - 3 / 10**0.5) < 1e-6

@@ -8,7 +8,8 @@ import pytest
 
 from lakeloom.llm import binout, packing, tokens
 
-ODD = ["a  b\n\n c\x1cd  ", "İ É é K x y ́z don't 12 34 <|endoftext|>q", "", "  ", "\n \n", " ", "a\xa0b   c", "x \n y\t z 5 %%% !!", "á é. it's I'll. x've... ", " lead", "Ünïcode, ß. ﬁ ² ½", "a\x00b", "e.g. https://a.b/c?d=1,2;(3)", "×÷é, naïve… —dash", None]
+ODD = ["a  b\n\n c\x1cd  ", "İ É é K x y ́z don't 12 34 <|endoftext|>q", "", "  ", "\n \n", " ", "a\xa0b   c", "x \n y\t z 5 %%% !!",
+    "á é. it's I'll. x've... ", " lead", "Ünïcode, ß. ﬁ ² ½", "a\x00b", "e.g. https://a.b/c?d=1,2;(3)", "×÷é, naïve… —dash", None]
 
 
 def corpus(seed=1, n=60):
