@@ -119,7 +119,8 @@ def upsert(existing: DataFrame, source: DataFrame, keys: Sequence[str], loaded_a
     action = F.when(F.col("_in_source") & F.col("_in_table"), "updated").when(F.col("_in_source"), "inserted").otherwise("kept")
     if loaded_at is not None:
         before = F.col("_loaded_at") if "_loaded_at" in existing.columns else F.lit(None).cast("timestamp")
-        columns = [c for c, name in zip(columns, existing.columns, strict=True) if name != "_loaded_at"] + [F.when(F.col("_in_source"), loaded_at).otherwise(before).alias("_loaded_at")]
+        columns = [c for c, name in zip(columns, existing.columns, strict=True) if name != "_loaded_at"] + [F.when(F.col("_in_source"),
+            loaded_at).otherwise(before).alias("_loaded_at")]
     return joined.select(*columns, action.alias("_action"))
 
 

@@ -89,7 +89,8 @@ def evaluate(df: DataFrame, suite: Suite, refs: Mapping[str, DataFrame] | None =
         return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
     message = lambda r: f"{r.column or r.params.get('expression') or r.params.get('left')}: {r.check} failed"
-    out = flagged.withColumn("rule_ids", listed("reject", lambda r: r.id)).withColumn("errors", listed("reject", message)).withColumn("quality_warnings", listed("warn", lambda r: r.id))
+    out = flagged.withColumn("rule_ids", listed("reject", lambda r: r.id)).withColumn("errors", listed("reject",
+        message)).withColumn("quality_warnings", listed("warn", lambda r: r.id))
     return out.drop(*names, *[f"_known{i}" for i in range(len(suite.rules))])
 
 
@@ -165,7 +166,8 @@ def quarantine_counts(records: DataFrame) -> DataFrame:
 def check_unique(df: DataFrame, table: str, *keys: str) -> DataFrame:
     """Rows too many for their key; rows with a null key fail."""
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    return df.agg(F.lit(f"unique_{table}").alias("check_name"), F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) - F.countDistinct(F.when(whole, F.struct(*keys)))).alias("failed"))
+    return df.agg(F.lit(f"unique_{table}").alias("check_name"), F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) - F.countDistinct(F.when(whole,
+        F.struct(*keys)))).alias("failed"))
 
 
 def check_reference(df: DataFrame, name: str, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -191,12 +193,14 @@ def check_null_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def check_freshness(df: DataFrame, name: str, column: str, due: Column) -> DataFrame:
     """Fails if the newest value is older than ``due``, or there is none."""
     newest = df.agg(F.max(column).alias("newest"))
-    return newest.select(F.lit(f"fresh_{name}").alias("check_name"), F.lit(1).cast("long").alias("total"), F.coalesce(F.col("newest") < due, F.lit(True)).cast("long").alias("failed"))
+    return newest.select(F.lit(f"fresh_{name}").alias("check_name"), F.lit(1).cast("long").alias("total"), F.coalesce(F.col("newest") < due,
+        F.lit(True)).cast("long").alias("failed"))
 
 
 def summarize(checks: DataFrame, limits: Mapping[str, float], severities: Mapping[str, str]) -> DataFrame:
     """``checks`` with ``failure_rate`` (six places), ``threshold``, ``severity`` and ``passed``."""
-    pick = lambda m, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("check_name")), F.lit(default)) if m else F.lit(default)
+    pick = lambda m, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col("check_name")),
+        F.lit(default)) if m else F.lit(default)
     rated = checks.withColumn("failure_rate", F.when(F.col("total") > 0, F.round(F.col("failed") / F.col("total"), 6)).otherwise(0.0))
     rated = rated.withColumn("threshold", pick(limits, 0.0)).withColumn("severity", pick(severities, "error"))
     return rated.withColumn("passed", F.col("failure_rate") <= F.col("threshold"))
@@ -205,4 +209,5 @@ def summarize(checks: DataFrame, limits: Mapping[str, float], severities: Mappin
 def overall_status(summary: DataFrame) -> DataFrame:
     """``fail`` if an error check fails, else ``warn`` if a warning fails, else ``pass``."""
     bad = lambda s: F.count_if(~F.col("passed") & (F.col("severity") == s)) > 0
-    return summary.agg(F.when(bad("error"), "fail").when(bad("warn"), "warn").otherwise("pass").alias("status"), F.count(F.lit(1)).alias("checks"), F.count_if("passed").alias("passed"))
+    return summary.agg(F.when(bad("error"), "fail").when(bad("warn"), "warn").otherwise("pass").alias("status"), F.count(F.lit(1)).alias("checks"),
+        F.count_if("passed").alias("passed"))

@@ -108,7 +108,8 @@ MARTS = (
 
 
 def _row(check: Check, total: Column, failed: Column) -> list[Column]:
-    return [F.lit(check.name).alias("check_name"), F.lit(check.severity).alias("severity"), F.lit(check.limit).alias("threshold"), total.alias("total"), failed.cast("long").alias("failed")]
+    return [F.lit(check.name).alias("check_name"), F.lit(check.severity).alias("severity"), F.lit(check.limit).alias("threshold"),
+        total.alias("total"), failed.cast("long").alias("failed")]
 
 
 def _judge(rows: DataFrame) -> DataFrame:
@@ -149,7 +150,8 @@ def freshness(orders: DataFrame, loaded: str, day: str, now: Column, batch: Colu
     newest = orders.agg(F.max(loaded).alias("loaded"), F.max(day).alias("day"))
     late = F.coalesce(F.col("loaded") < now - F.expr("INTERVAL 24 HOURS"), F.lit(True))
     short = F.coalesce(F.col("day") < F.date_sub(batch, 2), F.lit(True))
-    row = lambda name, severity, bad: F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"), F.lit(1).cast("long").alias("total"), bad.cast("long").alias("failed"))
+    row = lambda name, severity, bad: F.struct(F.lit(name).alias("check_name"), F.lit(severity).alias("severity"),
+        F.lit(1).cast("long").alias("total"), bad.cast("long").alias("failed"))
     both = F.array(row("fact_orders.loaded_recently", "warn", late), row("fact_orders.covers_batch", "error", short))
     return newest.select(F.explode(both).alias("r")).select("r.*")
 

@@ -37,7 +37,9 @@ def revenue_lines(items: DataFrame, products: DataFrame, regions: DataFrame) ->
     """Revenue lines with product names and region."""
     named = products.select("product_id", "product_name", "brand", "category_name", "parent_category_name", "supplier_name")
     out = items.where("is_revenue").join(named, "product_id").join(regions.select("region_code", "region_name"), "region_code", "left")
-    return out.select("order_id", "order_item_id", "order_date", "order_month", "customer_id", "product_id", "product_name", "brand", "category_name", "parent_category_name", "supplier_id", "supplier_name", "region_code", "region_name", "quantity", "line_total_usd", "line_cost_usd", "gross_margin_usd")
+    return out.select("order_id", "order_item_id", "order_date", "order_month", "customer_id", "product_id", "product_name", "brand", "category_name",
+        "parent_category_name", "supplier_id", "supplier_name", "region_code", "region_name", "quantity", "line_total_usd", "line_cost_usd",
+        "gross_margin_usd")
 
 
 def _periods() -> list[Column]:
@@ -64,14 +66,17 @@ def customer_orders(orders: DataFrame) -> DataFrame:
     """Per customer: orders by state, revenue, refunds, first and last day, mean gap."""
     gap = F.when(F.count("days_since_prev_order") > 0, F.sum("days_since_prev_order") / F.count("days_since_prev_order"))
     return orders.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("total_orders"), _n(F.col("is_revenue"), "revenue_orders"), _n(F.col("is_cancelled"), "cancelled_orders"), _n(F.col("is_returned"), "returned_orders"),
-        _sum_if("is_revenue", "order_total_usd").alias("revenue_usd"), F.sum("refunded_amount_usd").alias("refunded_usd"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"), gap.alias("avg_days_between_orders"),
+        F.count(F.lit(1)).alias("total_orders"), _n(F.col("is_revenue"), "revenue_orders"), _n(F.col("is_cancelled"), "cancelled_orders"),
+            _n(F.col("is_returned"), "returned_orders"),
+        _sum_if("is_revenue", "order_total_usd").alias("revenue_usd"), F.sum("refunded_amount_usd").alias("refunded_usd"),
+            F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"), gap.alias("avg_days_between_orders"),
     )
 
 
 def shipping_enriched(shipments: DataFrame, regions: DataFrame, warehouses: DataFrame) -> DataFrame:
     """Shipments with region, warehouse and whether they came in time."""
-    out = shipments.join(regions.select("region_code", "region_name", "base_delivery_days"), "region_code", "left").join(warehouses.select("warehouse_id", "warehouse_name"), "warehouse_id", "left")
+    out = shipments.join(regions.select("region_code", "region_name", "base_delivery_days"), "region_code",
+        "left").join(warehouses.select("warehouse_id", "warehouse_name"), "warehouse_id", "left")
     return out.withColumn("delivered_on_time", fn.sla_flag(F.col("delivery_days"), F.col("base_delivery_days")))
 
 
@@ -80,9 +85,12 @@ def daily_sales(orders: DataFrame, items: DataFrame, dates: DataFrame) -> DataFr
     zero = F.lit("0").cast("decimal(18,2)")
     lines = items.where("is_revenue").groupBy("order_date").agg(F.sum("gross_margin_usd").alias("gross_margin_usd"), F.sum("quantity").alias("units_sold"))
     days = orders.groupBy("order_date").agg(
-        F.count(F.lit(1)).alias("orders_placed"), _n(F.col("is_revenue"), "revenue_orders"), _n(F.col("is_cancelled"), "cancelled_orders"), _n(F.col("is_returned"), "returned_orders"),
-        F.countDistinct(F.when(F.col("is_revenue"), F.col("customer_id"))).alias("active_customers"), F.countDistinct(F.when(F.col("is_first_order"), F.col("customer_id"))).alias("new_customers"),
-        F.coalesce(_sum_if("is_revenue", "order_total_usd"), zero).alias("revenue_usd"), F.coalesce(_sum_if("is_revenue", "discount_usd"), zero).alias("discount_usd"), F.coalesce(F.sum("refunded_amount_usd"), zero).alias("refunded_usd"),
+        F.count(F.lit(1)).alias("orders_placed"), _n(F.col("is_revenue"), "revenue_orders"), _n(F.col("is_cancelled"), "cancelled_orders"),
+            _n(F.col("is_returned"), "returned_orders"),
+        F.countDistinct(F.when(F.col("is_revenue"), F.col("customer_id"))).alias("active_customers"), F.countDistinct(F.when(F.col("is_first_order"),
+            F.col("customer_id"))).alias("new_customers"),
+        F.coalesce(_sum_if("is_revenue", "order_total_usd"), zero).alias("revenue_usd"), F.coalesce(_sum_if("is_revenue", "discount_usd"),
+            zero).alias("discount_usd"), F.coalesce(F.sum("refunded_amount_usd"), zero).alias("refunded_usd"),
     )
     out = days.join(dates.select(F.col("full_date").alias("order_date"), "year_month", "is_weekend"), "order_date").join(lines, "order_date", "left")
     out = out.withColumn("gross_margin_usd", F.coalesce("gross_margin_usd", zero)).withColumn("units_sold", F.coalesce("units_sold", F.lit(0)).cast("long"))
@@ -91,11 +99,13 @@ def daily_sales(orders: DataFrame, items: DataFrame, dates: DataFrame) -> DataFr
 
 def monthly_revenue(daily: DataFrame, orders: DataFrame) -> DataFrame:
     """Roll-up of days; active customers are counted anew, since one may buy on several days."""
-    summed = ("orders_placed", "revenue_orders", "cancelled_orders", "returned_orders", "revenue_usd", "gross_margin_usd", "discount_usd", "refunded_usd", "units_sold", "new_customers")
+    summed = ("orders_placed", "revenue_orders", "cancelled_orders", "returned_orders", "revenue_usd", "gross_margin_usd", "discount_usd",
+        "refunded_usd", "units_sold", "new_customers")
     months = daily.groupBy("year_month").agg(F.min("sales_date").alias("month_start"), *[F.sum(c).alias(c) for c in summed])
     active = orders.where("is_revenue").groupBy(F.col("order_month").alias("year_month")).agg(F.countDistinct("customer_id").alias("active_customers"))
     out = months.join(active, "year_month", "left")
-    out = out.withColumn("gross_margin_pct", fn.ratio(F.col("gross_margin_usd"), F.col("revenue_usd"))).withColumn("avg_order_value_usd", fn.ratio(F.col("revenue_usd"), F.col("revenue_orders")))
+    out = out.withColumn("gross_margin_pct", fn.ratio(F.col("gross_margin_usd"), F.col("revenue_usd"))).withColumn("avg_order_value_usd",
+        fn.ratio(F.col("revenue_usd"), F.col("revenue_orders")))
     return win.change_from_previous(out, "year_month", "revenue_usd", "prev_month_revenue_usd", "revenue_mom_growth")
 
 
@@ -117,7 +127,8 @@ def product_metrics(products: DataFrame, lines: DataFrame, orders: DataFrame) ->
     """Per product: totals, trend of the last 90 days against the 90 before, velocity of the last 30, rank. One pass over the lines."""
     zero = F.lit("0").cast("decimal(18,2)")
     totals = _dated(lines, orders).groupBy("product_id").agg(
-        F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"), F.sum("gross_margin_usd").alias("gross_margin_usd"),
+        F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"),
+            F.sum("gross_margin_usd").alias("gross_margin_usd"),
         F.countDistinct("customer_id").alias("unique_customers"), F.min("order_date").alias("first_sold_date"), F.max("order_date").alias("last_sold_date"), *_periods(),
     )
     out = products.join(totals.drop("units_last_90d", "units_prior_90d"), "product_id", "left")
@@ -134,7 +145,8 @@ def product_metrics(products: DataFrame, lines: DataFrame, orders: DataFrame) ->
 def category_revenue(lines: DataFrame) -> DataFrame:
     """Category and month with its share of the month."""
     out = lines.groupBy("parent_category_name", "category_name", "order_month").agg(
-        F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"), F.sum("gross_margin_usd").alias("gross_margin_usd"),
+        F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"),
+            F.sum("gross_margin_usd").alias("gross_margin_usd"),
     )
     return win.share_of_group(out, ["order_month"], "revenue_usd", "month_revenue_usd", "revenue_share")
 
@@ -142,9 +154,12 @@ def category_revenue(lines: DataFrame) -> DataFrame:
 def regional_performance(orders: DataFrame, shipments: DataFrame, regions: DataFrame) -> DataFrame:
     """Region and month: sales, and delivery of what was delivered."""
     sales = orders.groupBy("region_code", "order_month").agg(
-        _n(F.col("is_revenue"), "revenue_orders"), _sum_if("is_revenue", "order_total_usd").alias("revenue_usd"), F.countDistinct(F.when(F.col("is_revenue"), F.col("customer_id"))).alias("active_customers"), _n(F.col("is_returned"), "returned_orders"),
+        _n(F.col("is_revenue"), "revenue_orders"), _sum_if("is_revenue", "order_total_usd").alias("revenue_usd"),
+            F.countDistinct(F.when(F.col("is_revenue"), F.col("customer_id"))).alias("active_customers"), _n(F.col("is_returned"),
+            "returned_orders"),
     )
-    ship = shipments.where("is_delivered").groupBy("region_code", "order_month").agg(F.count(F.lit(1)).alias("shipments"), _mean(F.col("delivery_days")).alias("avg_delivery_days"), _rate(F.col("delivered_on_time")).alias("on_time_rate"))
+    ship = shipments.where("is_delivered").groupBy("region_code", "order_month").agg(F.count(F.lit(1)).alias("shipments"),
+        _mean(F.col("delivery_days")).alias("avg_delivery_days"), _rate(F.col("delivered_on_time")).alias("on_time_rate"))
     out = sales.join(regions.select("region_code", "region_name"), "region_code").join(ship, ["region_code", "order_month"], "left")
     return out.withColumn("avg_order_value_usd", fn.ratio(F.col("revenue_usd"), F.col("revenue_orders")))
 
@@ -153,11 +168,14 @@ def inventory_turnover(inventory: DataFrame, position: DataFrame, products: Data
     """Per product: stock, cost of goods shipped in 90 days, days of cover and the two low-stock flags."""
     zero = F.lit("0").cast("decimal(18,2)")
     recent = _recent(inventory, 90).where("event_type = 'shipment'").join(products.select("product_id", F.col("unit_cost").alias("_cost")), "product_id")
-    shipped = recent.groupBy("product_id").agg(F.sum(-F.col("quantity_delta")).alias("units_shipped_90d"), F.sum((-F.col("quantity_delta") * F.col("_cost")).cast("decimal(18,2)")).alias("cogs_90d"))
+    shipped = recent.groupBy("product_id").agg(F.sum(-F.col("quantity_delta")).alias("units_shipped_90d"),
+        F.sum((-F.col("quantity_delta") * F.col("_cost")).cast("decimal(18,2)")).alias("cogs_90d"))
     held = position.groupBy("product_id").agg(
-        F.sum("on_hand_units").alias("on_hand_units"), F.sum(F.col("inventory_value_usd").cast("decimal(18,2)")).alias("inventory_value_usd"), F.count(F.lit(1)).alias("warehouses_stocked"), _n(F.col("on_hand_units") <= 0, "warehouses_out_of_stock"),
+        F.sum("on_hand_units").alias("on_hand_units"), F.sum(F.col("inventory_value_usd").cast("decimal(18,2)")).alias("inventory_value_usd"),
+            F.count(F.lit(1)).alias("warehouses_stocked"), _n(F.col("on_hand_units") <= 0, "warehouses_out_of_stock"),
     )
-    out = held.join(products.select("product_id", "product_name", "category_name", "supplier_name"), "product_id").join(shipped, "product_id", "left").join(metrics.select("product_id", "velocity_units_per_day"), "product_id", "left")
+    out = held.join(products.select("product_id", "product_name", "category_name", "supplier_name"), "product_id").join(shipped, "product_id",
+        "left").join(metrics.select("product_id", "velocity_units_per_day"), "product_id", "left")
     out = out.withColumn("units_shipped_90d", F.coalesce("units_shipped_90d", F.lit(0)).cast("long")).withColumn("cogs_90d", F.coalesce("cogs_90d", zero))
     out = out.withColumn("turnover_ratio_90d", fn.ratio(F.col("cogs_90d"), F.col("inventory_value_usd")))
     v, cover = F.col("velocity_units_per_day"), fn.ratio(F.col("on_hand_units"), F.col("velocity_units_per_day"))
@@ -173,24 +191,31 @@ def _recent(inventory: DataFrame, days: int) -> DataFrame:
 def warehouse_performance(warehouses: DataFrame, position: DataFrame, inventory: DataFrame, shipments: DataFrame) -> DataFrame:
     """Per warehouse: stock, 90-day throughput, use of capacity, shrinkage and delivery."""
     stock = position.groupBy("warehouse_id").agg(
-        F.count(F.lit(1)).alias("skus_stocked"), F.sum("on_hand_units").alias("on_hand_units"), F.sum(F.col("inventory_value_usd").cast("decimal(18,2)")).alias("inventory_value_usd"), _n(F.col("on_hand_units") <= 0, "skus_out_of_stock"),
+        F.count(F.lit(1)).alias("skus_stocked"), F.sum("on_hand_units").alias("on_hand_units"),
+            F.sum(F.col("inventory_value_usd").cast("decimal(18,2)")).alias("inventory_value_usd"), _n(F.col("on_hand_units") <= 0,
+            "skus_out_of_stock"),
     )
     of = lambda e, v: F.sum(F.when(F.col("event_type") == e, v).otherwise(0))
     delta = F.col("quantity_delta")
-    recent = _recent(inventory, 90).groupBy("warehouse_id").agg(of("shipment", -delta).alias("units_shipped_90d"), of("receipt", delta).alias("units_received_90d"), of("adjustment", F.abs(delta)).alias("units_adjusted_90d"))
+    recent = _recent(inventory, 90).groupBy("warehouse_id").agg(of("shipment", -delta).alias("units_shipped_90d"), of("receipt",
+        delta).alias("units_received_90d"), of("adjustment", F.abs(delta)).alias("units_adjusted_90d"))
     ship = shipments.groupBy("warehouse_id").agg(
-        F.count(F.lit(1)).alias("shipments"), _mean(F.when(F.col("is_delivered"), F.col("delivery_days"))).alias("avg_delivery_days"), _rate(F.col("had_exception")).alias("exception_rate"), _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"),
+        F.count(F.lit(1)).alias("shipments"), _mean(F.when(F.col("is_delivered"), F.col("delivery_days"))).alias("avg_delivery_days"),
+            _rate(F.col("had_exception")).alias("exception_rate"), _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"),
     )
     out = warehouses.join(stock, "warehouse_id", "left").join(recent, "warehouse_id", "left").join(ship, "warehouse_id", "left")
-    return out.withColumn("capacity_utilisation", fn.ratio(F.col("on_hand_units"), F.col("capacity_units"))).withColumn("shrinkage_rate_90d", fn.ratio(F.col("units_adjusted_90d"), F.col("units_shipped_90d")))
+    return out.withColumn("capacity_utilisation", fn.ratio(F.col("on_hand_units"), F.col("capacity_units"))).withColumn("shrinkage_rate_90d",
+        fn.ratio(F.col("units_adjusted_90d"), F.col("units_shipped_90d")))
 
 
 def supplier_performance(suppliers: DataFrame, products: DataFrame, inventory: DataFrame, items: DataFrame, lines: DataFrame) -> DataFrame:
     """Per supplier: defects of receipts, returns and revenue of its products, rank by defects. No returns leave the return rate null."""
     zero = F.lit("0").cast("decimal(18,2)")
-    receipts = inventory.where("event_type = 'receipt'").groupBy("supplier_id").agg(F.count(F.lit(1)).alias("receipts"), F.sum("quantity_delta").alias("units_received"), F.sum(F.coalesce("defective_qty", F.lit(0))).alias("units_defective"))
+    receipts = inventory.where("event_type = 'receipt'").groupBy("supplier_id").agg(F.count(F.lit(1)).alias("receipts"),
+        F.sum("quantity_delta").alias("units_received"), F.sum(F.coalesce("defective_qty", F.lit(0))).alias("units_defective"))
     returns = items.where("is_returned").groupBy("supplier_id").agg(F.sum("quantity").alias("_returned"))
-    sales = lines.groupBy("supplier_id").agg(F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"), F.sum("gross_margin_usd").alias("gross_margin_usd"))
+    sales = lines.groupBy("supplier_id").agg(F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"),
+        F.sum("gross_margin_usd").alias("gross_margin_usd"))
     supplied = products.groupBy("supplier_id").agg(F.count(F.lit(1)).alias("products_supplied"))
     out = suppliers
     for part in (supplied, receipts, returns, sales):
@@ -208,8 +233,11 @@ def shipping_performance(shipments: DataFrame) -> DataFrame:
     """Region, carrier and month: counts, mean, median and 90th percentile of days, rates."""
     done = F.when(F.col("is_delivered"), F.col("delivery_days"))
     return shipments.groupBy("region_code", "region_name", "carrier", "order_month").agg(
-        F.count(F.lit(1)).alias("shipments"), _n(F.col("is_delivered"), "delivered"), _n(F.col("had_exception"), "exceptions"), _n(F.col("is_returned"), "returned"), _mean(done).alias("avg_delivery_days"),
-        F.round(F.percentile(done, 0.5), 6).alias("median_delivery_days"), F.round(F.percentile(done, 0.9), 6).alias("p90_delivery_days"), _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"), _rate(F.col("had_exception")).alias("exception_rate"), F.max("base_delivery_days").alias("sla_days"),
+        F.count(F.lit(1)).alias("shipments"), _n(F.col("is_delivered"), "delivered"), _n(F.col("had_exception"), "exceptions"),
+            _n(F.col("is_returned"), "returned"), _mean(done).alias("avg_delivery_days"),
+        F.round(F.percentile(done, 0.5), 6).alias("median_delivery_days"), F.round(F.percentile(done, 0.9), 6).alias("p90_delivery_days"),
+            _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"), _rate(F.col("had_exception")).alias("exception_rate"),
+            F.max("base_delivery_days").alias("sla_days"),
     )
 
 
@@ -226,6 +254,8 @@ def order_lines_workload(items: DataFrame, orders: DataFrame, products: DataFram
     rows = rows.select("product_id", "order_date", q.cast("decimal(5,0)").alias("q"), p.alias("p"), (F.lit(100) - d).cast("decimal(3,0)").alias("share"), "unit_cost")
     valid = F.coalesce((F.col("q") > 0) & (F.col("p") > 0) & F.col("order_date").isNotNull() & F.col("unit_cost").isNotNull(), F.lit(False))
     total = F.round(F.col("q") * F.col("p") * F.col("share") * F.lit("0.01").cast("decimal(3,2)"), 2).cast("decimal(14,2)")
-    rows = rows.select("product_id", "order_date", valid.alias("ok"), F.when(valid, total).alias("total"), F.when(valid, (total - F.col("q") * F.col("unit_cost")).cast("decimal(14,2)")).alias("margin"), F.when(valid, F.col("q").cast("long")).alias("units"))
-    days = rows.groupBy("product_id", "order_date").agg(F.sum("total").alias("revenue"), F.sum("margin").alias("margin"), F.sum("units").alias("units"), F.count_if(~F.col("ok")).alias("rejected"))
+    rows = rows.select("product_id", "order_date", valid.alias("ok"), F.when(valid, total).alias("total"), F.when(valid,
+        (total - F.col("q") * F.col("unit_cost")).cast("decimal(14,2)")).alias("margin"), F.when(valid, F.col("q").cast("long")).alias("units"))
+    days = rows.groupBy("product_id", "order_date").agg(F.sum("total").alias("revenue"), F.sum("margin").alias("margin"),
+        F.sum("units").alias("units"), F.count_if(~F.col("ok")).alias("rejected"))
     return win.running_sum(days, ["product_id"], ["order_date"], "revenue", "cum_revenue")

@@ -27,14 +27,16 @@ def sales(daily: DataFrame, first: str | None = None, last: str | None = None, l
 
 def sales_totals(daily: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
     rows = between(daily, "sales_date", first, last)
-    return rows.agg(F.sum("revenue_usd").alias("revenue_usd"), F.sum("orders_placed").alias("orders_placed"), F.sum("gross_margin_usd").alias("gross_margin_usd"), F.sum("units_sold").alias("units_sold"))
+    return rows.agg(F.sum("revenue_usd").alias("revenue_usd"), F.sum("orders_placed").alias("orders_placed"),
+        F.sum("gross_margin_usd").alias("gross_margin_usd"), F.sum("units_sold").alias("units_sold"))
 
 
 def categories(mart: DataFrame, month: str | None = None, limit: int = 20) -> DataFrame:
     """Categories of a month, or summed over all, by revenue."""
     names = ["parent_category_name", "category_name"]
     if month is not None:
-        return mart.where(F.col("order_month") == month).select(*names, "orders", "units_sold", "revenue_usd", "gross_margin_usd").orderBy(F.desc("revenue_usd"), *names).limit(limit)
+        return mart.where(F.col("order_month") == month).select(*names, "orders", "units_sold", "revenue_usd",
+            "gross_margin_usd").orderBy(F.desc("revenue_usd"), *names).limit(limit)
     sums = mart.groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("orders", "units_sold", "revenue_usd", "gross_margin_usd")])
     return sums.orderBy(F.desc("revenue_usd"), *names).limit(limit)
 
@@ -47,7 +49,9 @@ def products(metrics: DataFrame, declining: bool = False, limit: int = 20) -> Da
 
 
 def inventory_summary(turnover: DataFrame) -> DataFrame:
-    return turnover.agg(F.count(F.lit(1)).alias("products"), F.sum("on_hand_units").alias("on_hand_units"), F.sum("inventory_value_usd").alias("inventory_value_usd"), F.count_if("is_low_stock").alias("low_stock"), F.count_if("high_velocity_low_stock").alias("high_velocity_low_stock"))
+    return turnover.agg(F.count(F.lit(1)).alias("products"), F.sum("on_hand_units").alias("on_hand_units"),
+        F.sum("inventory_value_usd").alias("inventory_value_usd"), F.count_if("is_low_stock").alias("low_stock"),
+        F.count_if("high_velocity_low_stock").alias("high_velocity_low_stock"))
 
 
 def low_stock(turnover: DataFrame, limit: int = 25) -> DataFrame:
@@ -61,13 +65,16 @@ def customers_top(ltv: DataFrame, limit: int = 20) -> DataFrame:
 
 def customers_by(ltv: DataFrame, column: str) -> DataFrame:
     """Customers and value by stage or segment, most valuable first."""
-    return ltv.groupBy(column).agg(F.count(F.lit(1)).alias("customers"), F.sum("net_lifetime_value_usd").alias("net_lifetime_value_usd")).orderBy(F.desc("net_lifetime_value_usd"), column)
+    return ltv.groupBy(column).agg(F.count(F.lit(1)).alias("customers"),
+        F.sum("net_lifetime_value_usd").alias("net_lifetime_value_usd")).orderBy(F.desc("net_lifetime_value_usd"), column)
 
 
 def shipping_by(mart: DataFrame, *columns: str, month: str | None = None) -> DataFrame:
     """Delivery by region, carrier or month: means weighted by deliveries, rates by shipments."""
     rows = mart if month is None else mart.where(F.col("order_month") == month)
-    return rows.groupBy(*columns).agg(F.sum("shipments").alias("shipments"), F.sum("delivered").alias("delivered"), weighted_mean("avg_delivery_days", "delivered").alias("avg_delivery_days"), weighted_mean("exception_rate", "shipments").alias("exception_rate"), F.max("sla_days").alias("sla_days"))
+    return rows.groupBy(*columns).agg(F.sum("shipments").alias("shipments"), F.sum("delivered").alias("delivered"), weighted_mean("avg_delivery_days",
+        "delivered").alias("avg_delivery_days"), weighted_mean("exception_rate", "shipments").alias("exception_rate"),
+        F.max("sla_days").alias("sla_days"))
 
 
 def suppliers_by_defects(mart: DataFrame, limit: int = 20) -> DataFrame:
@@ -96,7 +103,8 @@ def rule_results(stats: DataFrame, failed_only: bool = False) -> DataFrame:
 
 
 def quality_summary(stats: DataFrame) -> DataFrame:
-    return stats.groupBy("stage").agg(F.count(F.lit(1)).alias("rules"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("broken"), F.sum("failed").alias("failed_rows"))
+    return stats.groupBy("stage").agg(F.count(F.lit(1)).alias("rules"), F.count_if("passed").alias("passed"),
+        F.count_if(~F.col("passed")).alias("broken"), F.sum("failed").alias("failed_rows"))
 
 
 def monthly_against_daily(monthly: DataFrame, daily: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -108,7 +116,8 @@ def monthly_against_daily(monthly: DataFrame, daily: DataFrame, tolerance: float
 
 def sales_monthly(monthly: DataFrame, first: str | None = None, last: str | None = None, limit: int = 400) -> DataFrame:
     """Newest months whose first day lies in a range."""
-    columns = ["year_month", "month_start", "orders_placed", "revenue_orders", "revenue_usd", "gross_margin_usd", "gross_margin_pct", "units_sold", "active_customers", "new_customers", "avg_order_value_usd", "revenue_mom_growth"]
+    columns = ["year_month", "month_start", "orders_placed", "revenue_orders", "revenue_usd", "gross_margin_usd", "gross_margin_pct", "units_sold",
+        "active_customers", "new_customers", "avg_order_value_usd", "revenue_mom_growth"]
     return between(monthly, "month_start", first, last).select(*columns).orderBy(F.desc("year_month")).limit(limit)
 
 
@@ -136,7 +145,8 @@ def turnover_by_category(turnover: DataFrame, limit: int | None = 20) -> DataFra
 
 def low_warehouses(mart: DataFrame) -> DataFrame:
     """Warehouses by how many of their products are out of stock."""
-    return mart.select("warehouse_name", "on_hand_units", "skus_out_of_stock", F.round("capacity_utilisation", 3).alias("utilisation")).orderBy(F.desc_nulls_last("skus_out_of_stock"), "warehouse_name")
+    return mart.select("warehouse_name", "on_hand_units", "skus_out_of_stock", F.round("capacity_utilisation",
+        3).alias("utilisation")).orderBy(F.desc_nulls_last("skus_out_of_stock"), "warehouse_name")
 
 
 def defective_suppliers(mart: DataFrame, least_units: int = 1000, limit: int = 10) -> DataFrame:

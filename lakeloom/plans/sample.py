@@ -12,21 +12,27 @@ _MONTH = "substr(CAST(CAST({0} AS DATE) AS STRING), 1, 7)"
 #: Columns of each derived table over its source.
 EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
     "c_orders": ("orders", [
-        "o_orderkey AS order_id", "o_custkey AS customer_id", "o_custkey % 5 AS region_code", "o_orderdate AS order_ts", "CAST(o_orderdate AS DATE) AS order_date", _MONTH.format("o_orderdate") + " AS order_month",
+        "o_orderkey AS order_id", "o_custkey AS customer_id", "o_custkey % 5 AS region_code", "o_orderdate AS order_ts",
+            "CAST(o_orderdate AS DATE) AS order_date", _MONTH.format("o_orderdate") + " AS order_month",
         "CASE o_orderkey % 6 WHEN 0 THEN 'placed' WHEN 1 THEN 'paid' WHEN 2 THEN 'shipped' WHEN 3 THEN 'delivered' WHEN 4 THEN 'cancelled' ELSE 'returned' END AS status",
         "CASE o_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency", "CAST(o_totalprice AS DECIMAL(14,2)) AS order_total",
-        "CASE o_orderkey % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'store' WHEN 2 THEN 'mobile_app' END AS channel", "CASE WHEN o_orderkey % 9 = 0 THEN 'SAVE' END AS coupon_code", "o_orderdate AS updated_at", "'b1' AS _batch_id",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'store' WHEN 2 THEN 'mobile_app' END AS channel",
+            "CASE WHEN o_orderkey % 9 = 0 THEN 'SAVE' END AS coupon_code", "o_orderdate AS updated_at", "'b1' AS _batch_id",
     ]),
     "c_items": ("latest_lines", [
         "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS order_item_id", "'b1' AS _batch_id",
-        "l_orderkey AS order_id", "l_linenumber AS line_number", "l_partkey AS product_id", "CAST(l_quantity AS BIGINT) AS quantity", "CAST(l_extendedprice AS DECIMAL(14,2)) AS unit_price", "CAST(round(l_discount * 100) AS INT) AS discount_pct",
+        "l_orderkey AS order_id", "l_linenumber AS line_number", "l_partkey AS product_id", "CAST(l_quantity AS BIGINT) AS quantity",
+            "CAST(l_extendedprice AS DECIMAL(14,2)) AS unit_price", "CAST(round(l_discount * 100) AS INT) AS discount_pct",
         "CAST(round(CAST(l_quantity AS DECIMAL(5,0)) * CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(100 - round(l_discount * 100) AS DECIMAL(3,0)) * CAST('0.01' AS DECIMAL(3,2)), 2) AS DECIMAL(14,2)) AS line_total",
+            
     ]),
     "c_products": ("part", [
-        "p_partkey AS product_id", "p_name AS product_name", "p_brand AS brand", "p_partkey % 25 AS category_id", "p_partkey % 10 AS supplier_id", "CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price",
+        "p_partkey AS product_id", "p_name AS product_name", "p_brand AS brand", "p_partkey % 25 AS category_id", "p_partkey % 10 AS supplier_id",
+            "CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price",
         "CAST(round(CAST(p_retailprice AS DECIMAL(14,2)) * CAST('0.6' AS DECIMAL(2,1)), 2) AS DECIMAL(14,2)) AS unit_cost",
     ]),
-    "c_categories": ("nation", ["CAST(n_nationkey AS BIGINT) AS category_id", "n_name AS category_name", "CASE WHEN n_nationkey >= 5 THEN CAST(n_nationkey % 5 AS BIGINT) END AS parent_category_id"]),
+    "c_categories": ("nation", ["CAST(n_nationkey AS BIGINT) AS category_id", "n_name AS category_name",
+        "CASE WHEN n_nationkey >= 5 THEN CAST(n_nationkey % 5 AS BIGINT) END AS parent_category_id"]),
     "c_suppliers": ("supplier", ["s_suppkey AS supplier_id", "s_name AS supplier_name", "CAST(s_nationkey AS BIGINT) AS country_id"]),
     "c_customers": ("customer", ["c_custkey AS customer_id", "c_name AS first_name", "c_mktsegment AS last_name", "CAST(c_nationkey AS BIGINT) AS country_id"]),
     "c_regions": ("region", ["CAST(r_regionkey AS BIGINT) AS region_code", "r_name AS region_name", "CAST(r_regionkey + 2 AS BIGINT) AS base_delivery_days"]),
@@ -36,15 +42,22 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
         "CAST(CASE o_orderkey % 5 WHEN 1 THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(14,2)) AS amount", "o_orderdate AS paid_at",
     ]),
     "c_stock_events": ("events", [
-        "event_id", "user_id AS product_id", "event_id % 4 AS warehouse_id", "event_id % 10 AS supplier_id", "ts AS event_ts", "CAST(ts AS DATE) AS event_date", _MONTH.format("ts") + " AS event_month",
+        "event_id", "user_id AS product_id", "event_id % 4 AS warehouse_id", "event_id % 10 AS supplier_id", "ts AS event_ts",
+            "CAST(ts AS DATE) AS event_date", _MONTH.format("ts") + " AS event_month",
         "CASE event_type WHEN 'signup' THEN 'receipt' WHEN 'purchase' THEN 'shipment' WHEN 'error' THEN 'adjustment' WHEN 'click' THEN 'return' ELSE 'stock_count' END AS event_type",
+            
         "CASE event_type WHEN 'purchase' THEN -(event_id % 20 + 1) WHEN 'view' THEN 0 ELSE event_id % 20 + 1 END AS quantity_delta",
         "CASE event_type WHEN 'signup' THEN CAST(event_id % 50 + 1 AS DECIMAL(14,2)) END AS unit_cost", "CASE event_type WHEN 'signup' THEN event_id % 3 END AS defective_qty",
-        "CASE event_type WHEN 'view' THEN event_id % 9 END AS counted_quantity", "CASE WHEN event_id % 5 = 0 THEN 'R' || CAST(event_id AS STRING) END AS reference_id", "CASE event_type WHEN 'error' THEN 'lost' END AS reason", "'b1' AS _batch_id",
+        "CASE event_type WHEN 'view' THEN event_id % 9 END AS counted_quantity",
+            "CASE WHEN event_id % 5 = 0 THEN 'R' || CAST(event_id AS STRING) END AS reference_id",
+            "CASE event_type WHEN 'error' THEN 'lost' END AS reason", "'b1' AS _batch_id",
     ]),
     "c_tracker": ("events", [
-        "event_id", "user_id * 100 + day(ts) AS shipment_id", "(user_id * 100 + day(ts)) % 1000 AS order_id", "ts AS event_ts", "user_id % 4 AS warehouse_id", "user_id % 5 AS region_code", _MONTH.format("ts") + " AS event_month", "CASE event_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' END AS carrier",
+        "event_id", "user_id * 100 + day(ts) AS shipment_id", "(user_id * 100 + day(ts)) % 1000 AS order_id", "ts AS event_ts",
+            "user_id % 4 AS warehouse_id", "user_id % 5 AS region_code", _MONTH.format("ts") + " AS event_month",
+            "CASE event_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' END AS carrier",
         "CASE event_type WHEN 'signup' THEN 'label_created' WHEN 'click' THEN 'picked_up' WHEN 'view' THEN 'in_transit' WHEN 'purchase' THEN 'delivered' ELSE 'delivery_exception' END AS event",
+            
     ]),
 }
 RATE = "CASE currency WHEN 'USD' THEN CAST(1 AS DECIMAL(14,6)) ELSE CAST(1 + CAST(day(order_date) AS DECIMAL(4,0)) * CAST('0.01' AS DECIMAL(3,2)) AS DECIMAL(14,6)) END AS usd_per_unit"

@@ -40,7 +40,9 @@ def drift(spark: SparkSession, contract: Contract, delivered: Sequence[str]) ->
 def drift_gate(events: DataFrame) -> DataFrame:
     """One row: events by severity, new columns, and whether a batch may go on."""
     n = lambda s: F.count_if(F.col("severity") == s)
-    return events.agg(n("ERROR").alias("errors"), n("WARN").alias("warnings"), n("INFO").alias("infos"), F.array_sort(F.collect_set(F.when(F.col("change") == "new_column", F.concat_ws(".", "dataset", "column")))).alias("new_columns"), (n("ERROR") == 0).alias("passed"))
+    return events.agg(n("ERROR").alias("errors"), n("WARN").alias("warnings"), n("INFO").alias("infos"),
+        F.array_sort(F.collect_set(F.when(F.col("change") == "new_column", F.concat_ws(".", "dataset", "column")))).alias("new_columns"),
+        (n("ERROR") == 0).alias("passed"))
 
 
 def raise_on_breaking(events: DataFrame) -> None:
@@ -54,7 +56,8 @@ def with_lineage(rows: DataFrame, batch_id: str, source_file: str | None, run_id
     have = set(rows.columns)
     number = F.col("_row_number") if "_row_number" in have else F.monotonically_increasing_id() + 1
     source = F.col("_source_file") if source_file is None and "_source_file" in have else F.lit(source_file)
-    return rows.withColumns({"_batch_id": F.lit(batch_id), "_source_file": source, "_ingested_at": F.current_timestamp(), "_run_id": F.lit(run_id), "_row_number": number.cast("long")})
+    return rows.withColumns({"_batch_id": F.lit(batch_id), "_source_file": source, "_ingested_at": F.current_timestamp(), "_run_id": F.lit(run_id),
+        "_row_number": number.cast("long")})
 
 
 def land(rows: DataFrame, contract: Contract, path: str, batch_id: str, source_file: str | None, run_id: str) -> DataFrame:
@@ -73,7 +76,8 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     first byte, and count, sum and exclusive or of these hashes, with the size, stand for the content. Files with the same lines are equal wherever they
     lie; only an exchange of lines within one split isn't seen. Splits begin at fixed sizes, so hashes are comparable under one ``maxPartitionBytes``.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_block_start").alias("at"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("bytes"),
+        F.col("_metadata.file_block_start").alias("at"), "value")
     one, two = F.xxhash64("at", "value"), F.xxhash64(F.lit(7), "value", "at")
     parts = lines.groupBy("source_file").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("a"), F.sum(two.cast("decimal(20,0)")).alias("b"))
     return parts.select("source_file", F.sha2(F.concat_ws("|", "bytes", "n", "a", "b"), 256).alias("content_hash"), "bytes")
@@ -90,7 +94,8 @@ def not_yet_landed(files: DataFrame, ledger: DataFrame, dataset: str, force: boo
 
 
 def ledger_entries(files: DataFrame, dataset: str, rows: int, rejected: int, run_id: str, status: str = "success") -> DataFrame:
-    return files.select(F.lit(dataset).alias("dataset"), "content_hash", "source_file", F.lit(status).alias("status"), F.lit(rows).cast("bigint").alias("rows"), F.lit(rejected).cast("bigint").alias("rejected"), F.lit(run_id).alias("run_id"))
+    return files.select(F.lit(dataset).alias("dataset"), "content_hash", "source_file", F.lit(status).alias("status"),
+        F.lit(rows).cast("bigint").alias("rows"), F.lit(rejected).cast("bigint").alias("rejected"), F.lit(run_id).alias("run_id"))
 
 
 def watermark(rows: DataFrame, dataset: str, batch_id: str, column: str) -> DataFrame:

@@ -110,7 +110,8 @@ def parse_log(lines: DataFrame) -> DataFrame:
     pair = lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, '^[^=]*="?|"$', "").alias("value"))
     last_first = F.reverse(F.transform(pairs, pair))
     distinct = F.filter(last_first, lambda e, i: F.array_position(F.transform(last_first, lambda x: x["key"]), e["key"]) == i + 1)
-    envelope = F.create_map(F.lit("event_ts"), F.regexp_extract("value", LOG_LINE, 1), F.lit("level"), F.regexp_extract("value", LOG_LINE, 2), F.lit("component"), F.regexp_extract("value", LOG_LINE, 3))
+    envelope = F.create_map(F.lit("event_ts"), F.regexp_extract("value", LOG_LINE, 1), F.lit("level"), F.regexp_extract("value", LOG_LINE, 2),
+        F.lit("component"), F.regexp_extract("value", LOG_LINE, 3))
     fields = F.map_from_entries(F.concat(F.map_entries(envelope), F.filter(distinct, lambda e: ~e["key"].isin("event_ts", "level", "component"))))
     ok = F.col("value").rlike(LOG_LINE) & F.try_element_at(F.col("_f"), F.lit("event")).isNotNull() & F.try_element_at(F.col("_f"), F.lit("shipment_id")).isNotNull()
     return full.withColumn("_f", fields).withColumn("fields", F.when(ok, F.col("_f"))).drop("_f").withColumnRenamed("value", "raw")

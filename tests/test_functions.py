@@ -29,10 +29,12 @@ def test_text_and_casts(spark):
 
 def test_money_and_flags(spark):
     row = spark.sql("SELECT CAST(10.00 AS DECIMAL(14,2)) AS a, CAST(10.04 AS DECIMAL(14,2)) AS b, CAST(11 AS DECIMAL(14,2)) AS c, CAST(1.5 AS DECIMAL(14,6)) AS r")
-    got = row.select(fn.recompute(F.col("a"), F.col("b")), fn.recompute(F.col("a"), F.col("c")), fn.convert(F.col("b"), F.col("r")), fn.within_tolerance(F.col("a"), F.col("c"), "1.0", "0.01"), fn.within_tolerance(F.col("a"), F.col("b") + 2, "1.0", "0.01")).head()
+    got = row.select(fn.recompute(F.col("a"), F.col("b")), fn.recompute(F.col("a"), F.col("c")), fn.convert(F.col("b"), F.col("r")),
+        fn.within_tolerance(F.col("a"), F.col("c"), "1.0", "0.01"), fn.within_tolerance(F.col("a"), F.col("b") + 2, "1.0", "0.01")).head()
     assert [float(x) if not isinstance(x, bool) else x for x in got] == [10.0, 11.0, 15.06, True, False]
     bands = [(90, "active"), (180, "at_risk")]
-    assert [r[0] for r in spark.createDataFrame([(10,), (90,), (91,), (400,), (None,)], "d int").select(fn.band(F.col("d"), bands, "churned", "never")).collect()] == ["active", "active", "at_risk", "churned", "never"]
+    assert [r[0] for r in spark.createDataFrame([(10,), (90,), (91,), (400,), (None,)], "d int").select(fn.band(F.col("d"), bands, "churned",
+        "never")).collect()] == ["active", "active", "at_risk", "churned", "never"]
     assert [r[0] for r in spark.createDataFrame([(1.0, 0), (1.0, 2), (1.0, None)], "a double, b int").select(fn.ratio(F.col("a"), F.col("b"))).collect()] == [None, 0.5, None]
 
 

@@ -51,7 +51,8 @@ def test_lines_of_split_files_keep_their_numbers(spark, folder):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
         parsed = readers.read_ndjson(spark, folder)
-        assert parsed.rdd.getNumPartitions() >= 1 and len({r["_at"] for r in spark.read.text(folder).select(F.col("_metadata.file_block_start").alias("_at")).distinct().collect()}) > 3
+        assert parsed.rdd.getNumPartitions() >= 1 and len({r["_at"]
+            for r in spark.read.text(folder).select(F.col("_metadata.file_block_start").alias("_at")).distinct().collect()}) > 3
         got = sorted((r["_source_file"][-8:], r["_row_number"], r["raw"]) for r in parsed.collect())
         assert got == sorted([("x.ndjson", i + 1, x) for i, x in enumerate(lines)] + [("y.ndjson", i + 1, x) for i, x in enumerate(lines[:5])])
         assert [r["_row_number"] for r in readers.rejects(parsed).collect()] == [1701]

@@ -96,9 +96,12 @@ def test_checks_find_planted_faults(spark):
     """Each kind of check fails by as many rows as are spoilt."""
     c = Commerce(spark, SF)
     orders = c.derived("c_orders").select("order_id", "customer_id", "status", "order_total")
-    spoilt = orders.withColumn("customer_id", F.expr("CASE WHEN order_id % 100 = 1 THEN -7 WHEN order_id % 100 = 2 THEN NULL ELSE customer_id END")).withColumn("status", F.expr("CASE WHEN order_id % 100 = 3 THEN 'odd' ELSE status END"))
+    spoilt = orders.withColumn("customer_id",
+        F.expr("CASE WHEN order_id % 100 = 1 THEN -7 WHEN order_id % 100 = 2 THEN NULL ELSE customer_id END")).withColumn("status",
+        F.expr("CASE WHEN order_id % 100 = 3 THEN 'odd' ELSE status END"))
     spoilt = spoilt.unionByName(spoilt.where("order_id % 100 = 4"))
-    mine = (checks._unique("o", "order_id"), checks._reference("o", "customer_id", "p"), checks._known("o", "customer_id", 0.5), checks._holds("o", "known_state", "status <> 'odd'"))
+    mine = (checks._unique("o", "order_id"), checks._reference("o", "customer_id", "p"), checks._known("o", "customer_id", 0.5), checks._holds("o",
+        "known_state", "status <> 'odd'"))
     got = {r["check_name"]: (r["failed"], r["passed"]) for r in checks.run(mine, {"o": spoilt, "p": c.derived("c_customers")}).collect()}
     assert got == {"o.order_id_unique": (15, False), "o.customer_id_ri": (15, False), "o.customer_id_null_rate": (15, True), "o.known_state": (15, False)}
     assert {(r["order_id"] % 100, r["rows"]) for r in checks.duplicates(spoilt, "order_id").collect()} == {(4, 2)}

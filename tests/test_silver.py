@@ -19,11 +19,13 @@ REGION = {"region_code": "na-east", "region_name": "East", "country_code": "US",
 
 
 def customer(i, **kw):
-    return {"customer_id": f"CUST-{i:06d}", "first_name": " Ann ", "last_name": "Lee", "email": "ANN@EXAMPLE.COM ", "signup_date": "2024-03-01", "country": "usa", "region_code": "NA-EAST", "customer_segment": "vip", "updated_at": "2024-05-01T00:00:00Z"} | kw
+    return {"customer_id": f"CUST-{i:06d}", "first_name": " Ann ", "last_name": "Lee", "email": "ANN@EXAMPLE.COM ", "signup_date": "2024-03-01",
+        "country": "usa", "region_code": "NA-EAST", "customer_segment": "vip", "updated_at": "2024-05-01T00:00:00Z"} | kw
 
 
 def order(i, **kw):
-    return {"order_id": f"ORD-{i:07d}", "customer_id": "CUST-000001", "order_date": "2025-05-01T10:00:00Z", "status": " PAID ", "currency": "usd", "order_total": "10.5", "updated_at": "2025-05-01T10:00:00Z", "channel": "web"} | kw
+    return {"order_id": f"ORD-{i:07d}", "customer_id": "CUST-000001", "order_date": "2025-05-01T10:00:00Z", "status": " PAID ", "currency": "usd",
+        "order_total": "10.5", "updated_at": "2025-05-01T10:00:00Z", "channel": "web"} | kw
 
 
 @pytest.fixture(scope="module")
@@ -32,11 +34,13 @@ def built(spark, tmp_path_factory):
     many = [customer(i) for i in range(10, 60)]
     frames = {
         "regions": landed(spark, "regions", [REGION]),
-        "customers": landed(spark, "customers", [customer(1), customer(1), customer(2, email="not-an-email"), customer(3, customer_id=None), customer(4, signup_date="2024-02-30"), *many]),
+        "customers": landed(spark, "customers", [customer(1), customer(1), customer(2, email="not-an-email"), customer(3, customer_id=None),
+            customer(4, signup_date="2024-02-30"), *many]),
         "orders": landed(spark, "orders", [order(1), order(2, region_code=None), order(3, customer_id="CUST-999999"), *[order(i) for i in range(10, 60)]]),
     }
     silver.build_all(frames, root, "b1", "r1")
-    silver.build_all({"orders": landed(spark, "orders", [order(1, status="delivered", updated_at="2025-06-01T00:00:00Z"), order(2, status="cancelled", updated_at="2025-04-01T00:00:00Z")], "b2")}, root, "b2", "r2")
+    silver.build_all({"orders": landed(spark, "orders", [order(1, status="delivered", updated_at="2025-06-01T00:00:00Z"), order(2, status="cancelled",
+        updated_at="2025-04-01T00:00:00Z")], "b2")}, root, "b2", "r2")
     return root
 
 
@@ -67,22 +71,28 @@ def test_breaker_leaves_evidence(spark, built):
 
 
 def test_other_projections(spark):
-    items = landed(spark, "order_items", [{"order_item_id": "OI-1", "order_id": "ORD-0000001", "product_id": "PRD-00001", "quantity": "2", "unit_price": "9.50", "discount_pct": "10", "line_total": "24.87"}])
+    items = landed(spark, "order_items", [{"order_item_id": "OI-1", "order_id": "ORD-0000001", "product_id": "PRD-00001", "quantity": "2",
+        "unit_price": "9.50", "discount_pct": "10", "line_total": "24.87"}])
     orders = spark.createDataFrame([("ORD-0000001", "2025-05", 17.1)], "order_id string, order_month string, order_total double")
     products = spark.createDataFrame([("PRD-00001",)], "product_id string")
     good, _ = silver.typed("order_items", items, {"orders": orders, "products": products})
     row = good.head()
     assert (row["line_total"], row["line_total_source"], row["quality_warnings"]) == (17.1, 24.87, ["order_items.line_total_consistent"])
-    pay = landed(spark, "payments", [{"payment_id": "P1", "order_id": "ORD-0000001", "payment_method": "Wallet", "amount": "17.1", "currency": "USD", "status": "captured", "paid_at": "2025-05-02T00:00:00Z"}])
+    pay = landed(spark, "payments", [{"payment_id": "P1", "order_id": "ORD-0000001", "payment_method": "Wallet", "amount": "17.1", "currency": "USD",
+        "status": "captured", "paid_at": "2025-05-02T00:00:00Z"}])
     assert silver.typed("payments", pay, {"orders": orders})[0].head()["paid_month"] == "2025-05"
-    product = landed(spark, "products", [{"product_id": "PRD-00001", "sku": "s", "name": "n", "category_id": "C", "supplier_id": "S", "unit_price": "$12.99", "unit_cost": "8", "currency": "USD", "is_active": "true", "updated_at": "2024-01-01T00:00:00Z", "dimensions_cm": "10x20"}])
+    product = landed(spark, "products", [{"product_id": "PRD-00001", "sku": "s", "name": "n", "category_id": "C", "supplier_id": "S",
+        "unit_price": "$12.99", "unit_cost": "8", "currency": "USD", "is_active": "true", "updated_at": "2024-01-01T00:00:00Z",
+        "dimensions_cm": "10x20"}])
     refs = {"categories": spark.createDataFrame([("C",)], "category_id string"), "suppliers": spark.createDataFrame([("S",)], "supplier_id string")}
     _, seen = silver.typed("products", product, refs)
     r = seen.head()
     assert r["rule_ids"] == ["products.unit_price_numeric"] and r["quality_warnings"] == ["products.dimensions_parseable"]
-    stock = landed(spark, "inventory_events", [{"event_id": "e", "event_type": "shipment", "product_id": "prd-00001", "warehouse_id": "WH-01", "quantity_delta": "3", "event_ts": "2025-01-01T00:00:00Z"}])
+    stock = landed(spark, "inventory_events", [{"event_id": "e", "event_type": "shipment", "product_id": "prd-00001", "warehouse_id": "WH-01",
+        "quantity_delta": "3", "event_ts": "2025-01-01T00:00:00Z"}])
     _, seen = silver.typed("inventory_events", stock, {"products": products, "warehouses": spark.createDataFrame([("WH-01",)], "warehouse_id string")})
     assert seen.head()["rule_ids"] == ["inventory_events.sign_matches_type"]
-    ship = landed(spark, "shipping_events", [{"shipment_id": "SHP-0000001", "event": "DELIVERED", "order_id": "ORD-0000001", "event_ts": "2025-01-01T00:00:00Z", "warehouse_id": "WH-99"}])
+    ship = landed(spark, "shipping_events", [{"shipment_id": "SHP-0000001", "event": "DELIVERED", "order_id": "ORD-0000001",
+        "event_ts": "2025-01-01T00:00:00Z", "warehouse_id": "WH-99"}])
     good, seen = silver.typed("shipping_events", ship, {"orders": orders, "warehouses": spark.createDataFrame([("WH-01",)], "warehouse_id string")})
     assert good.head()["event"] == "delivered" and set(seen.head()["quality_warnings"]) == {"shipping_events.warehouse_known", "shipping_events.carrier_present"}
