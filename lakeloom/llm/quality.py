@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,8 +103,8 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
 
     Sequential covering on a sample of about ``rows`` labelled documents: a rule grows one condition at a time on two
     thirds of the rows, by the gain of Quinlan's FOIL; it is pruned to the beginning that does best on the others;
-    rows that it covers are set aside and the next one grows. Each step reads one small histogram (features x cuts
-    x 2 classes) that Spark counts over the sample. Without labels, or without a class, the list is empty and nothing
+    rows that it covers are set aside and the next one grows. Spark takes the sample, its statistics and the cuts; the search itself
+    sees a bounded table of small numbers (``rows`` documents x features) on the driver. Without labels, or without a class, the list is empty and nothing
     more than the base rules is rejected. Null labels and null ids take no part.
     """
     bad = (F.col("quality") == 0).cast("int")
@@ -125,28 +126,29 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
     at = {f: sorted({round(float(v), 6) for v in cuts[f]}) for f in FEATURES}
     at = {f: sorted({*vs, *[round((a + b) / 2, 6) for a, b in zip(vs, vs[1:], strict=False)]}) for f, vs in at.items()}
     place = {f: reduce(lambda a, b: a + b, [(F.col(f) > v).cast("int") for v in at[f]]) for f in FEATURES}
-    binned = materialize(fit.coalesce(1).select("bad", "grow", *[c.alias(f) for f, c in place.items()]), "quality-bins")
-    binned = binned.coalesce(1)  # a bounded sample: one task, no shuffle at any step
+    rows = fit.select("bad", "grow", *[c.alias(f) for f, c in place.items()]).collect()  # the bounded sample: about FIT_ROWS rows of small numbers
+    bad, grow = (np.asarray([r[c] for r in rows], dtype=bool) for c in ("bad", "grow"))
+    bins = {f: np.asarray([r[f] for r in rows], dtype=np.int64) for f in FEATURES}
 
-    def holds(rule: list[tuple[str, str, int]]) -> Column:
-        return reduce(lambda a, b: a & b, [F.col(f) <= i if op == "<=" else F.col(f) > i for f, op, i in rule], F.lit(True))
+    def holds(rule: list[tuple[str, str, int]]) -> np.ndarray:
+        met = np.ones(len(rows), dtype=bool)
+        for f, op, i in rule:
+            met &= bins[f] <= i if op == "<=" else bins[f] > i
+        return met
 
-    def grown(rest: DataFrame) -> list[tuple[str, str, int]]:
+    def grown(rest: np.ndarray) -> list[tuple[str, str, int]]:
         rule: list[tuple[str, str, int]] = []
         for _ in range(CONDITIONS):
-            cells = rest.where(F.col("grow") & holds(rule)).select("bad", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("i")) for f in FEATURES])).alias("c"))
-            counts: dict[str, dict[int, list[int]]] = {}
-            for r in cells.groupBy("c.f", "c.i", "bad").count().collect():  # at most features x cuts x 2 rows
-                counts.setdefault(r["f"], {}).setdefault(r["i"], [0, 0])[r["bad"]] += r["count"]
-            n0, p0 = (sum(c[k] for c in next(iter(counts.values()), {}).values()) for k in (0, 1))
+            here = rest & grow & holds(rule)
+            n0, p0 = int((here & ~bad).sum()), int((here & bad).sum())
             if not p0 or not n0:
                 break
             tried = []
             for f in FEATURES:
-                below = [0, 0]
+                below = [np.cumsum(np.bincount(bins[f][here & which], minlength=len(at[f]) + 1)).tolist() for which in (~bad, bad)]
                 for i in range(len(at[f])):
-                    below = [a + b for a, b in zip(below, counts[f].get(i, [0, 0]), strict=True)]
-                    for op, (n, p) in (("<=", below), (">", [n0 - below[0], p0 - below[1]])):
+                    n1, p1 = below[0][i], below[1][i]
+                    for op, (n, p) in (("<=", (n1, p1)), (">", (n0 - n1, p0 - p1))):
                         if p >= LEAST_ROWS:
                             gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
                             tried.append((gain, p + n, (f, op, i)))
@@ -154,23 +156,26 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
             if most <= 1e-9:
                 break
             # of conditions that are about as good, the one that rejects least, with the threshold farthest from the rest
-            rule.append(min((covered, -gain, -c[2] if c[1] == ">" else c[2], c) for gain, covered, c in tried if gain >= NEAR_BEST * most)[3])
+            best = [(covered, -gain, -c[2] if c[1] == ">" else c[2], c) for gain, covered, c in tried if gain >= NEAR_BEST * most]
+            rule.append(min(best)[3])
         return rule
 
     rules: list[list[tuple[str, str, int]]] = []
+    rest = np.ones(len(rows), dtype=bool)
     for _ in range(RULES):
-        rest = binned.where(~reduce(lambda a, b: a | b, [holds(r) for r in rules], F.lit(False)))
         rule = grown(rest)
         if not rule:
             break
-        heads = [F.sum((holds(rule[: k + 1]) & ~F.col("grow")).cast("int") * (F.col("bad") if y else 1 - F.col("bad"))) for k in range(len(rule)) for y in (0, 1)]
-        got = [x or 0 for x in rest.agg(*[h.alias(f"c{i}") for i, h in enumerate(heads)]).head()]
-        worth = [((p - n) / (p + n) if p + n else -1.0, -k) for k, (n, p) in enumerate(zip(got[::2], got[1::2], strict=True))]
-        k = -max(worth)[1]
-        n, p = got[2 * k], got[2 * k + 1]
+        worth = []
+        for k in range(len(rule)):
+            met = rest & ~grow & holds(rule[: k + 1])
+            n, p = int((met & ~bad).sum()), int((met & bad).sum())
+            worth.append(((p - n) / (p + n) if p + n else -1.0, -k, n, p))
+        _, k, n, p = max(worth)
         if not p or p < LEAST_PRECISION * (p + n):
             break
-        rules.append(rule[: k + 1])
+        rules.append(rule[: 1 - k])
+        rest &= ~holds(rules[-1])
     return [[(f, op, at[f][i]) for f, op, i in rule] for rule in rules]
 
 
