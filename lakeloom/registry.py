@@ -13,7 +13,7 @@ from lakeloom import functions as fn
 from lakeloom.operators import dedup, merge, rules
 from lakeloom.operators import windows as win
 from lakeloom.operators.scratch import scratch
-from lakeloom.plans import checks, deliveries, marts, reads, silver, star
+from lakeloom.plans import checks, deliveries, marts, reads, silver, staging, star
 from lakeloom.plans.sample import LINE_KEYS, LINE_VERSION, SQL_TABLES, Commerce
 from lakeloom.sources import landing, readers
 
@@ -1264,3 +1264,44 @@ def _ndjson_files(c: Commerce) -> DataFrame:
 
 
 _register("ndjson_files", _ndjson_files, "SELECT event_id, event_id // 3 + 1 AS _row_number FROM events", tables=False)
+
+
+# ---- staging
+
+_DATES_SQL = """(SELECT CAST(strftime(full_date, '%Y%m%d') AS BIGINT) AS date_key, full_date, year(full_date) AS year, quarter(full_date) AS quarter, month(full_date) AS month,
+    monthname(full_date) AS month_name, strftime(full_date, '%Y-%m') AS year_month, weekofyear(full_date) AS iso_week, dayofweek(full_date) + 1 AS day_of_week, dayname(full_date) AS day_name,
+    dayofweek(full_date) IN (0, 6) AS is_weekend
+    FROM (SELECT CAST(unnest(generate_series((SELECT min(order_date) FROM c_orders), (SELECT max(order_date) FROM c_orders), INTERVAL 1 DAY)) AS DATE) AS full_date))"""
+_STAGED_SQL = _WAREHOUSE_SQL | {"dim_date": _DATES_SQL, "agg_inventory_position": "position", "dim_customer": "(SELECT *, first_name || ' ' || last_name AS full_name FROM c_customers)"}
+_DOUBLES = ("_usd", "_local", "unit_cost", "unit_price", "unit_margin")
+
+
+def _staged(c: Commerce, name: str) -> DataFrame:
+    """A staging table without the surrogate keys, whose values only one engine makes."""
+    tables = _warehouse_tables(c) | {"dim_date": c.dates, "agg_inventory_position": c.position, "dim_customer": star.dim_customer(c.derived("c_customers"))}
+    return staging.stage(name, tables[staging.STAGING[name][0]]).select(*[new for new, _ in _plain_columns(name)])
+
+
+def _plain_columns(name: str) -> list[tuple[str, str]]:
+    return [(new, old) for new, old in staging.columns(name) if not new.endswith("_key") or new in ("date_key", "order_date_key")]
+
+
+#: Columns that the derived tables lack.
+_LACKING = {
+    "stg_customers": ("customer_segment", "country_code", "region_code", "city", "signup_date", "marketing_opt_in"),
+    "stg_order_items": ("_loaded_at",), "stg_orders": ("_loaded_at",), "stg_products": ("sku", "is_active"), "stg_regions": ("country_code", "country_name", "currency_code"),
+    "stg_suppliers": ("country_code", "region_code", "lead_time_days", "quality_tier", "is_active"), "stg_warehouses": ("city", "region_code"),
+}
+
+
+def _staged_sql(name: str) -> str:
+    def one(new: str, old: str) -> str:
+        if old in _LACKING.get(name, ()):
+            return f"CAST(NULL AS VARCHAR) AS {new}"
+        return f"CAST({old} AS DOUBLE) AS {new}" if old.endswith(_DOUBLES) else f"{old} AS {new}"
+
+    return f"SELECT {', '.join(one(*x) for x in _plain_columns(name))} FROM {_STAGED_SQL[staging.STAGING[name][0]]}"
+
+
+for _name in staging.STAGING:
+    _register(_name, lambda c, n=_name: _staged(c, n), _staged_sql(_name))
