@@ -141,12 +141,13 @@ _register(
 )
 _register(
     "date_dim",
-    lambda c: c.dates.drop("month_name", "day_name"),
+    lambda c: c.dates,
     """
     , span AS (SELECT CAST(unnest(generate_series((SELECT min(order_date) FROM c_orders), (SELECT max(order_date) FROM c_orders), INTERVAL 1 DAY)) AS
     DATE) AS full_date) SELECT CAST(strftime(full_date, '%Y%m%d') AS BIGINT) AS date_key, full_date, year(full_date) AS year, quarter(full_date) AS
     quarter, month(full_date) AS month, strftime(full_date, '%Y-%m') AS year_month, weekofyear(full_date) AS iso_week, day(full_date) AS
-    day_of_month, dayofweek(full_date) + 1 AS day_of_week, dayofweek(full_date) IN (0, 6) AS is_weekend FROM span
+    day_of_month, dayofweek(full_date) + 1 AS day_of_week, monthname(full_date) AS month_name, dayname(full_date) AS day_name,
+    dayofweek(full_date) IN (0, 6) AS is_weekend FROM span
     """,
 )
 _register(
@@ -999,12 +1000,17 @@ _register(
         + ") WHERE is_low_stock OR turnover_ratio_90d >= 1 ORDER BY days_of_cover NULLS LAST, product_id LIMIT 25",
     tables=False,
 )
+_trend = lambda c: reads.shipping_by(marts.shipping_performance(c.enriched), "region_name", "carrier", "order_month")
 _register(
     "read_shipping_trend",
-    lambda c: reads.shipping_by(marts.shipping_performance(c.enriched), "region_name", "order_month").select("region_name", "order_month", "shipments", "delivered"),
-    """
-    SELECT region_name, order_month, count(*) AS shipments, count(*) FILTER (is_delivered) AS delivered FROM enriched GROUP BY 1, 2
+    lambda c: _trend(c).withColumns({x: F.round(x, 6) for x in ("avg_delivery_days", "exception_rate")}),
+    f"""
+    SELECT region_name, carrier, order_month, CAST(sum(shipments) AS BIGINT) AS shipments, CAST(sum(delivered) AS BIGINT) AS delivered,
+    round(sum(avg_delivery_days * delivered) / nullif(sum(delivered) FILTER (avg_delivery_days IS NOT NULL), 0), 6) AS avg_delivery_days,
+    round(sum(exception_rate * shipments) / nullif(sum(shipments), 0), 6) AS exception_rate, max(sla_days) AS sla_days
+    FROM ({_SQL["shipping_performance"]}) GROUP BY 1, 2, 3
     """,
+    tables=False,
 )
 _register(
     "assert_monthly_matches_daily",
@@ -1014,12 +1020,16 @@ _register(
     GROUP BY year_month
     """,
 )
+_WEIGHTED = "round(sum(avg_delivery_days * delivered) / nullif(sum(delivered) FILTER (avg_delivery_days IS NOT NULL), 0), 6)"
 _register(
     "overview",
-    lambda c: reads.overview(c.daily, _ltv(c), _turnover(c), marts.shipping_performance(c.enriched)).drop("avg_delivery_days"),
-    "SELECT CAST(sum(revenue_usd) AS DOUBLE) AS revenue_usd, CAST(sum(orders_placed) AS BIGINT) AS orders, max(sales_date) AS newest_day, (SELECT count(*) FROM ("
-        + _LTV + ") WHERE lifecycle_stage = 'active') AS active_customers, (SELECT count(*) FROM (" + _SQL["inventory_turnover"]
-        + ") WHERE is_low_stock) AS low_stock_products FROM daily",
+    lambda c: reads.overview(c.daily, _ltv(c), _turnover(c), marts.shipping_performance(c.enriched)).withColumn("avg_delivery_days", F.round("avg_delivery_days", 6)),
+    f"""
+    SELECT CAST(sum(revenue_usd) AS DOUBLE) AS revenue_usd, CAST(sum(orders_placed) AS BIGINT) AS orders, max(sales_date) AS newest_day,
+    (SELECT count(*) FROM ({_LTV}) WHERE lifecycle_stage = 'active') AS active_customers,
+    (SELECT count(*) FROM ({_SQL["inventory_turnover"]}) WHERE is_low_stock) AS low_stock_products,
+    (SELECT {_WEIGHTED} FROM ({_SQL["shipping_performance"]})) AS avg_delivery_days FROM daily
+    """,
 )
 
 # ---- typed tables from text deliveries with planted defects
