@@ -129,6 +129,18 @@ def test_learned_list_holds_on_held_out_rows(spark):
     assert sum((i in kept) == (i % 3 != 0) for i in held_out) / len(held_out) > 0.95
 
 
+def test_quality_of_odd_rows(spark):
+    """Null and empty texts fail, a very long text is read as a whole, repeated rows and rows without an id are judged like others."""
+    _, labels = labelled(spark)
+    good = " ".join(f"w{i}" for i in range(30))
+    long = " ".join(f"x{i}" for i in range(150_000))
+    texts = [(None, None), (1, ""), (2, good), (2, good), (None, good), (3, long), (4, f"{long} {long}"), (5, "few words")]
+    df = spark.createDataFrame([(d, t, 1, "c", True) for d, t in texts], "doc_id long, text string, _w int, _c string, _kept boolean")
+    kept = quality.keep_good(df, labels.limit(0))
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, len(r["text"]), r["_w"]) for r in kept.collect()) == [(0, len(good), 1), (2, len(good), 1), (2, len(good), 1), (3, len(long), 1)]
+
+
 def test_quality_without_labels(spark):
     docs, labels = labelled(spark)
     assert quality.fit_decision_list(docs, labels.limit(0)) == []

@@ -62,7 +62,7 @@ def test_same_bytes():
 
 
 def test_packing(spark):
-    rows = corpus()
+    rows = [*corpus(), (90, "a very long text of many windows " * 20_000)]
     path = tokens.public_path("word_bpe_49k.json")
     enc = tokens.encoder(path).tokenizer
     out = packing.with_crc(packing.pack(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, bin string"), path), path).toPandas()
