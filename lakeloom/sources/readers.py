@@ -127,9 +127,12 @@ def records_to_text(records: DataFrame, column: str, columns: Sequence[str]) ->
     return records.withColumn("_m", _as_map(F.col(column))).select(*[F.try_element_at("_m", F.lit(c)).alias(c) for c in columns])
 
 
-def read_partitions(spark: SparkSession, path: str, partition: str | None = None, values: Sequence[str] | None = None) -> DataFrame:
-    """A parquet dataset, or only the given values of its partition column, which prune directories."""
-    rows = spark.read.option("mergeSchema", True).parquet(path)
+def read_partitions(spark: SparkSession, path: str, partition: str | None = None, values: Sequence[str] | None = None, one_schema: bool = False) -> DataFrame:
+    """A parquet dataset, or only the given values of its partition column, which prune directories.
+
+    Deliveries may differ in columns, so the footers of all files are read; ``one_schema`` spares that where all are alike.
+    """
+    rows = spark.read.option("mergeSchema", not one_schema).parquet(path)
     return rows if values is None else rows.where(F.col(partition).isin(*values))
 
 
