@@ -13,8 +13,8 @@ TOKENIZER, PERCENT = "word_bpe_49k.json", 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the decision list keeps. It is learned from all labels; the fixed base rules would reject short documents that are good."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), base=False)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,14 +98,14 @@ def base_failed() -> Column:
     return (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n)
 
 
-def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[list[tuple[str, str, float]]]:
+def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, base: bool = True) -> list[list[tuple[str, str, float]]]:
     """Ordered rules, each a conjunction of (feature, ``<=`` or ``>``, threshold); a document that meets one is bad.
 
     Sequential covering on a sample of about ``rows`` labelled documents: a rule grows one condition at a time on two
     thirds of the rows, by the gain of Quinlan's FOIL; it is pruned to the beginning that does best on the others;
     rows that it covers are set aside and the next one grows. Spark takes the sample, its statistics and the cuts; the search itself
     sees a bounded table of small numbers (``rows`` documents x features) on the driver. Without labels, or without a class, the list is empty and nothing
-    more than the base rules is rejected. Null labels and null ids take no part.
+    more than the base rules is rejected. Null labels and null ids take no part, and with ``base`` neither do rows that the base rules reject anyway.
     """
     bad = (F.col("quality") == 0).cast("int")
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(bad).alias("bad"))
@@ -119,7 +119,8 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS)
     # written before the filter on statistics: pushed below the join, it would compute them for all documents
     stats = with_statistics(materialize(inputs, "quality-sample", "zstd")).withColumn("failed", base_failed())
     grow = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(3)) < 2).alias("grow")
-    fit = materialize(stats.select("bad", "failed", grow, *[c.alias(k) for k, c in feature_columns().items()]), "quality-fit").where("NOT failed")
+    fit = materialize(stats.select("bad", "failed", grow, *[c.alias(k) for k, c in feature_columns().items()]), "quality-fit")
+    fit = fit.where("NOT failed") if base else fit
     cuts = fit.coalesce(1).agg(*[F.percentile_approx(f, [i / CUTS for i in range(1, CUTS)], 1000).alias(f) for f in FEATURES]).head()
     if cuts is None or cuts[FEATURES[0]] is None:
         return []
@@ -191,20 +192,21 @@ def verdict(rules: list[list[tuple[str, str, float]]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(0)
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, base: bool = True) -> DataFrame:
     """``docs`` (columns other than these) with ``_w``, ``_c`` (statistics), ``_base_failed``, ``_rule`` and ``_kept``, in one pass without a shuffle."""
-    rules = fit_decision_list(docs, labels, rows)
+    rules = fit_decision_list(docs, labels, rows, base)
     judged = with_statistics(docs).withColumn("_base_failed", base_failed()).withColumn("_rule", verdict(rules))
-    return judged.withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
+    return judged.withColumn("_kept", (~F.col("_base_failed") if base or not rules else F.lit(True)) & (F.col("_rule") == 0))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, base: bool = True) -> DataFrame:
     """The rows of ``docs`` that neither the base rules nor the learned list rejects; columns stay, whatever their names.
 
-    Null and empty texts have no words and go. Rows are judged one by one: repeated rows and rows without an id are judged alike.
+    Without ``base`` the list alone decides, learned from all labelled rows: short or repetitive texts then go only as far as labels say that they
+    are bad (the base rules decide where the labels teach no rule). Null and empty texts have no words and go with the base rules. Rows are judged one by one: repeated rows and rows without an id are judged alike.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    return judge(docs.select("doc_id", "text", whole), labels, rows).where("_kept").select("_doc.*")
+    return judge(docs.select("doc_id", "text", whole), labels, rows, base).where("_kept").select("_doc.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
