@@ -77,24 +77,26 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
 
 
-def feature_columns() -> dict[str, Column]:
-    """The statistics that rules compare with thresholds, as ratios that don't grow with the text."""
-    n, chars = F.col("_w.n_words"), F.col("_w.word_chars")
+def feature_columns(w: Column | None = None, c: Column | None = None) -> dict[str, Column]:
+    """The statistics that rules compare with thresholds, as ratios that don't grow with the text; of columns ``_w`` and ``_c`` unless others are given."""
+    w, c = F.col("_w") if w is None else w, F.col("_c") if c is None else c
+    n, chars = w["n_words"], w["word_chars"]
     return {
         "f_words": n.cast("double"),
         "f_word_chars": _ratio(chars, n),
-        "f_symbols": _ratio(F.col("_c.n_symbols"), n),
-        "f_dup_lines": _ratio(F.col("_c.n_dup_lines"), n),
-        "f_repeats": _ratio(F.col("_w.n_repeat_words"), n),
-        "f_upper": _ratio(F.col("_c.n_upper"), chars),
-        "f_shouts": _ratio(F.col("_c.n_shouts"), n),
-        "f_distinct": _ratio(F.col("_w.n_distinct"), n),
-        "f_digits": _ratio(F.col("_c.n_digits"), chars),
+        "f_symbols": _ratio(c["n_symbols"], n),
+        "f_dup_lines": _ratio(c["n_dup_lines"], n),
+        "f_repeats": _ratio(w["n_repeat_words"], n),
+        "f_upper": _ratio(c["n_upper"], chars),
+        "f_shouts": _ratio(c["n_shouts"], n),
+        "f_distinct": _ratio(w["n_distinct"], n),
+        "f_digits": _ratio(c["n_digits"], chars),
     }
 
 
-def base_failed() -> Column:
-    n, repeated = F.col("_w.n_words"), F.col("_w.n_repeat_words")
+def base_failed(w: Column | None = None) -> Column:
+    w = F.col("_w") if w is None else w
+    n, repeated = w["n_words"], w["n_repeat_words"]
     return (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n)
 
 
@@ -180,9 +182,9 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     return [[(f, op, at[f][i]) for f, op, i in rule] for rule in rules]
 
 
-def verdict(rules: list[list[tuple[str, str, float]]]) -> Column:
+def verdict(rules: list[list[tuple[str, str, float]]], features: dict[str, Column] | None = None) -> Column:
     """The list as an ordered conditional expression: number of the first rule that holds, from 1; 0 if none does."""
-    features = feature_columns()
+    features = features or feature_columns()
     # bin i of a feature counts the cuts below it: "bin <= i" is "value <= cut i"
     test = lambda f, op, v: features[f] <= F.lit(v) if op == "<=" else features[f] > F.lit(v)
     out = None
@@ -206,7 +208,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, base: bo
     are bad (the base rules decide where the labels teach no rule). Null and empty texts have no words and go with the base rules. Rows are judged one by one: repeated rows and rows without an id are judged alike.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    return judge(docs.select("doc_id", "text", whole), labels, rows, base).where("_kept").select("_doc.*")
+    rules = fit_decision_list(docs, labels, rows, base)
+    with_base = base or not rules
+
+    def good(s: Column) -> Column:
+        met = verdict(rules, feature_columns(s["_w"], s["_c"])) == 0
+        return ~base_failed(s["_w"]) & met if with_base else met
+
+    # as one expression, so that a filter pushed to the scan computes the statistics once a row, however many conditions use them
+    return with_statistics(docs.select("doc_id", "text", whole)).where(let(F.struct("_w", "_c"), good)).select("_doc.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
