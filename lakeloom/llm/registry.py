@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import binout, licenses, linededup, mixing, neardup, neighbours, oracles, packing, pii, quality, urlfilter
+from lakeloom.llm import (
+    binout, centroids, hardneg, licenses, linededup, logbilinear, mixing, neardup, neighbours, oracles, packing, pii, quality, urlfilter
+)
 
 
 def queries() -> dict:
@@ -17,6 +19,9 @@ def queries() -> dict:
         "op8_license_scan": licenses.op8_license_scan,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_line_dedup": linededup.op10_line_dedup,
+        "op11_centroids": centroids.op11_centroids,
+        "op12_hard_negatives": hardneg.op12_hard_negatives,
+        "op13_lm_scores": logbilinear.op13_lm_scores,
     }
 
 
@@ -27,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": oracles.MIX_SOURCES,
         "op8_license_scan": oracles.license_scan(),
         "op10_line_dedup": oracles.LINE_DEDUP,
+        "op11_centroids": centroids.oracle(),
+        "op12_hard_negatives": hardneg.ORACLE,
     }
