@@ -62,6 +62,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _weighted(value: str, weight: str) -> str:
+    """SQL of a weighted mean, summed as decimals."""
+    return f"CAST(sum(CAST({value} * {weight} AS DECIMAL(30,10))) AS DOUBLE) / nullif(sum({weight}) FILTER ({value} IS NOT NULL), 0)"
+
+
 # ---- facts, dimensions, intermediates
 
 _table("fact_orders", lambda c: c.fact_orders, "fact_orders",
@@ -379,7 +384,8 @@ _register(
 _register(
     "shipping_weighted",
     lambda c: reads.shipping_by(marts.shipping_performance(c.enriched), "carrier"),
-    "SELECT carrier, CAST(sum(shipments) AS BIGINT) AS shipments, CAST(sum(delivered) AS BIGINT) AS delivered, CAST(sum(CAST(avg_delivery_days * delivered AS DECIMAL(30,10))) AS DOUBLE) / nullif(sum(delivered) FILTER (avg_delivery_days IS NOT NULL), 0) AS avg_delivery_days, CAST(sum(CAST(exception_rate * shipments AS DECIMAL(30,10))) AS DOUBLE) / sum(shipments) AS exception_rate, max(sla_days) AS sla_days FROM ("
+    "SELECT carrier, CAST(sum(shipments) AS BIGINT) AS shipments, CAST(sum(delivered) AS BIGINT) AS delivered, "
+        + f"{_weighted('avg_delivery_days', 'delivered')} AS avg_delivery_days, {_weighted('exception_rate', 'shipments')} AS exception_rate, max(sla_days) AS sla_days FROM ("
         + _SQL["shipping_performance"] + ") GROUP BY carrier",
     tables=False,
 )
@@ -1006,8 +1012,8 @@ _register(
     lambda c: _trend(c).withColumns({x: F.round(x, 6) for x in ("avg_delivery_days", "exception_rate")}),
     f"""
     SELECT region_name, carrier, order_month, CAST(sum(shipments) AS BIGINT) AS shipments, CAST(sum(delivered) AS BIGINT) AS delivered,
-    round(sum(avg_delivery_days * delivered) / nullif(sum(delivered) FILTER (avg_delivery_days IS NOT NULL), 0), 6) AS avg_delivery_days,
-    round(sum(exception_rate * shipments) / nullif(sum(shipments), 0), 6) AS exception_rate, max(sla_days) AS sla_days
+    round({_weighted("avg_delivery_days", "delivered")}, 6) AS avg_delivery_days,
+    round({_weighted("exception_rate", "shipments")}, 6) AS exception_rate, max(sla_days) AS sla_days
     FROM ({_SQL["shipping_performance"]}) GROUP BY 1, 2, 3
     """,
     tables=False,
@@ -1020,7 +1026,6 @@ _register(
     GROUP BY year_month
     """,
 )
-_WEIGHTED = "round(sum(avg_delivery_days * delivered) / nullif(sum(delivered) FILTER (avg_delivery_days IS NOT NULL), 0), 6)"
 _register(
     "overview",
     lambda c: reads.overview(c.daily, _ltv(c), _turnover(c), marts.shipping_performance(c.enriched)).withColumn("avg_delivery_days", F.round("avg_delivery_days", 6)),
@@ -1028,7 +1033,7 @@ _register(
     SELECT CAST(sum(revenue_usd) AS DOUBLE) AS revenue_usd, CAST(sum(orders_placed) AS BIGINT) AS orders, max(sales_date) AS newest_day,
     (SELECT count(*) FROM ({_LTV}) WHERE lifecycle_stage = 'active') AS active_customers,
     (SELECT count(*) FROM ({_SQL["inventory_turnover"]}) WHERE is_low_stock) AS low_stock_products,
-    (SELECT {_WEIGHTED} FROM ({_SQL["shipping_performance"]})) AS avg_delivery_days FROM daily
+    (SELECT round({_weighted('avg_delivery_days', 'delivered')}, 6) FROM ({_SQL["shipping_performance"]})) AS avg_delivery_days FROM daily
     """,
 )
 
@@ -1097,7 +1102,7 @@ _register(
 _register(
     "read_regions",
     lambda c: reads.revenue_by_region(marts.regional_performance(c.fact_orders, c.enriched, c.derived("c_regions"))),
-    f"SELECT region_name, CAST(sum(CAST(revenue_usd AS DECIMAL(18,2))) AS DOUBLE) AS revenue_usd, round(sum(avg_delivery_days * shipments) / nullif(sum(shipments) FILTER (avg_delivery_days IS NOT NULL), 0), 6) AS delivery_days FROM {_over('regional_performance')} GROUP BY 1",
+    f"SELECT region_name, CAST(sum(CAST(revenue_usd AS DECIMAL(18,2))) AS DOUBLE) AS revenue_usd, round({_weighted('avg_delivery_days', 'shipments')}, 6) AS delivery_days FROM {_over('regional_performance')} GROUP BY 1",
         
     tables=False,
 )
@@ -1134,7 +1139,7 @@ _register(
 _register(
     "ask_delivery_by_region",
     lambda c: reads.delivery_by_region(marts.shipping_performance(c.enriched)),
-    f"SELECT region_name, round(sum(avg_delivery_days * delivered) / nullif(sum(delivered) FILTER (avg_delivery_days IS NOT NULL), 0), 2) AS avg_days, round(sum(on_time_rate * delivered) / nullif(sum(delivered) FILTER (on_time_rate IS NOT NULL), 0), 3) AS on_time_rate FROM {_over('shipping_performance')} GROUP BY 1",
+    f"SELECT region_name, round({_weighted('avg_delivery_days', 'delivered')}, 2) AS avg_days, round({_weighted('on_time_rate', 'delivered')}, 3) AS on_time_rate FROM {_over('shipping_performance')} GROUP BY 1",
         
     tables=False,
 )
