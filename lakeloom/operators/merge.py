@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lakeloom.operators import publish
 from lakeloom.operators.dedup import keep_latest
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Buckets of a key index: a merge reads and rewrites those that its keys fall into. More for larger tables.
+INDEX_BUCKETS = 16
 
 
 def union_by_name(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -31,77 +26,93 @@ def merged(existing: DataFrame | None, new: DataFrame, keys: Sequence[str], vers
     return keep_latest(new if existing is None else union_by_name(existing, new), keys, version)
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    if not path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(source), path(target)):
-        raise OSError(f"cannot rename {source} to {target}")
-
-
 def overwrite(df: DataFrame, path: str) -> int:
     """Replace a dataset, also one that ``df`` reads; returns the number of rows, observed during the write.
 
-    Written once, beside the table; only when it is complete do the two change places, by renaming, so that a write that fails leaves
-    the table as it was.
+    Written once, beside the table, and published when it is complete; a write that fails anywhere leaves the table as it was.
     """
-    spark, seen = df.sparkSession, Observation()
-    root, mark = path.rstrip("/"), uuid.uuid4().hex
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{root}__new-{mark}")
-    rows = seen.get["n"]
-    if _exists(spark, path):
-        _rename(spark, root, f"{root}__old-{mark}")
-    _rename(spark, f"{root}__new-{mark}", root)
-    _drop(spark, f"{root}__old-{mark}")
+    spark = df.sparkSession
+    old = publish.manifest(spark, path)
+    parts, rows = publish.stage(df, path)
+    publish.publish(spark, path, old, parts=parts, schema=publish.fields(None, df), index=None)
     return rows
 
 
+def _part(partition: str) -> Column:
+    return F.coalesce(F.col(partition).cast("string"), F.raise_error(F.lit(f"null {partition}")).cast("string"))
+
+
 def overwrite_partitions(df: DataFrame, path: str, partition: str, emptied: Sequence[str] = ()) -> int:
     """Replace only the partitions that ``df`` has rows of, and drop those in ``emptied`` that it has none of.
 
-    A null partition value is an error, not a lost row. The column stays in the files too, as ``<partition>`` next to
-    the directory key ``part``. Written once, beside the table; complete partitions then take the places of the old ones.
+    A null partition value is an error, not a lost row. Written once, beside the table; the manifest then takes all new partitions at
+    once, so that no reader and no crash sees some of them. The partition column stays in the files.
     """
-    spark, seen = df.sparkSession, Observation()
-    root, stage = path.rstrip("/"), f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
-    key = F.coalesce(F.col(partition).cast("string"), F.raise_error(F.lit(f"null {partition}")).cast("string"))
-    df.withColumn("part", key).observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy("part").parquet(stage)
-    rows = seen.get["n"]
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = jvm_path(stage).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(jvm_path(root))
-    have = [s.getPath().getName() for s in files.listStatus(jvm_path(stage)) if s.isDirectory()]  # one name per partition
-    for name in [*have, *[f"part={v}" for v in emptied]]:
-        _drop(spark, f"{root}/{name}")
-    for name in have:
-        _rename(spark, f"{stage}/{name}", f"{root}/{name}")
-    _drop(spark, stage)
+    spark = df.sparkSession
+    old = publish.manifest(spark, path)
+    parts, rows = publish.stage(df, path, _part(partition))
+    publish.publish(spark, path, old, parts=_with(old, parts, emptied), schema=publish.fields(old, df), index=None)
     return rows
 
 
+def _with(old: dict[str, Any] | None, parts: dict[str, str], emptied: Sequence[str]) -> dict[str, str]:
+    return {k: v for k, v in (old["parts"] if old else {}).items() if k not in emptied} | parts
+
+
 def merge_snapshot(new: DataFrame, path: str, keys: Sequence[str], version: Sequence[str]) -> int:
     """Merge into an unpartitioned dataset: union, newest per key, replace. Returns its rows."""
     spark = new.sparkSession
-    existing = spark.read.parquet(path) if _exists(spark, path) else None
+    existing = publish.read(spark, path) if publish.manifest(spark, path) else None
     return overwrite(merged(existing, new, keys, version), path)
 
 
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
+
+
+def _semi(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join in which null keys are equal, as they are to the merge."""
+    named = other.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, on, how)
+
+
 def merge_partitioned(new: DataFrame, path: str, keys: Sequence[str], version: Sequence[str], partition: str, keys_move: bool = True) -> tuple[int, list[str]]:
     """Merge that reads and rewrites only touched partitions; returns rows written and the partitions.
 
-    Touched are those that new rows belong to and those that already hold a key that comes in, so that a key that
-    moves leaves no stale copy; a partition that this empties is dropped. Only the list of partitions is collected.
-    The look for moved keys reads the key columns of all partitions; where a key's partition never changes (a day of an event, say),
-    ``keys_move=False`` spares it, and nothing but the touched partitions is read.
+    Touched are those that new rows belong to and those that already hold a key that comes in, so that a key that moves leaves no stale
+    copy; a partition that this empties is dropped. Where keys are, an index tells that lies beside the table: keys and their partition,
+    in buckets by hash of the key. A merge reads the buckets of its own keys and publishes them anew together with the partitions, so
+    that the two never differ. A table without an index (written by ``overwrite_partitions``, say) gets one in its first merge. Where a
+    key's partition never changes (a day of an event), ``keys_move=False`` goes without. Only lists of partitions and buckets are collected.
     """
     spark = new.sparkSession
-    incoming = {r[0] for r in new.select(F.col(partition).cast("string")).distinct().collect()}
-    existing, touched = None, incoming
-    if _exists(spark, path):
-        held = spark.read.parquet(path)
-        moved = set() if not keys_move else {r[0] for r in held.join(new.select(*keys).distinct(), list(keys), "left_semi").select("part").distinct().collect()}
-        touched = incoming | moved
-        existing = held.where(F.col("part").isin(*touched)).drop("part")
-    rows = overwrite_partitions(merged(existing, new, keys, version), path, partition, sorted(touched - {None}))
-    return rows, sorted(touched - {None})
+    old = publish.manifest(spark, path)
+    touched = {r[0] for r in new.select(_part(partition).alias("p")).distinct().collect()}
+    held = buckets = index = None
+    coming = new.select(*keys).distinct()
+    if keys_move:
+        index = old["index"] if old else None
+        if old and index and index["keys"] == list(keys):
+            buckets = {r[0] for r in coming.select(_bucket(keys, index["buckets"])).distinct().collect()}
+            schema = T.StructType([*[new.schema[k] for k in keys], T.StructField("_part", T.StringType())])
+            held = publish.read_folders(spark, path, [f for b, f in index["folders"].items() if b in buckets], schema)
+        else:  # no index yet, or one of other keys
+            index = {"buckets": INDEX_BUCKETS, "folders": {}}
+            held = publish.read(spark, path).select(*keys, _part(partition).alias("_part")) if old else None
+    if held is not None:
+        touched |= {r[0] for r in _semi(held, coming, keys, "left_semi").select("_part").distinct().collect()}
+    existing = publish.read(spark, path, sorted(touched)) if old else None
+    rows = merged(existing, new, keys, version)
+    parts, n = publish.stage(rows, path, _part(partition))
+    if keys_move:
+        written = publish.read_folders(spark, path, parts.values(), rows.schema).select(*keys, _part(partition).alias("_part"))
+        entries = written if held is None else _semi(held, coming, keys, "left_anti").unionByName(_semi(written, coming, keys, "left_semi"))
+        folders, _ = publish.stage(entries, path, _bucket(keys, index["buckets"]))
+        kept = {b: f for b, f in index["folders"].items() if b not in (buckets or ())}
+        index = index | {"keys": list(keys), "folders": kept | folders}
+    publish.publish(spark, path, old, parts=_with(old, parts, sorted(touched)), schema=publish.fields(old, rows), index=index)
+    return n, sorted(touched)
 
 
 def upsert(existing: DataFrame, source: DataFrame, keys: Sequence[str], loaded_at: Column | None = None) -> DataFrame:
@@ -156,10 +167,9 @@ def months_from(rows: DataFrame, touched: DataFrame, keys: Sequence[str], month:
 
 def write_with_stats(df: DataFrame, path: str, table: str, partition: str | None = None, months: Sequence[str] | None = None) -> DataFrame:
     """Write a table, or only its partitions of some months; returns what was written: ``table``, ``partition`` and ``rows``, one row per partition."""
+    spark, schema = df.sparkSession, "table string, partition string, rows long"
     if partition is None:
-        overwrite(df, path)
-        return df.sparkSession.read.parquet(path).agg(F.lit(table).alias("table"), F.lit(None).cast("string").alias("partition"), F.count(F.lit(1)).alias("rows"))
+        return spark.createDataFrame([(table, None, overwrite(df, path))], schema)
     overwrite_partitions(df, path, partition, months or ())
-    held = df.sparkSession.read.parquet(path)
-    held = held if months is None else held.where(F.col("part").cast("string").isin(*months))
-    return held.groupBy(F.lit(table).alias("table"), F.col("part").cast("string").alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
+    held = publish.read(spark, path, months).groupBy(F.col(partition).cast("string").alias("partition")).agg(F.count(F.lit(1)).alias("rows"))
+    return held.select(F.lit(table).alias("table"), "partition", "rows")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom import functions as fn
-from lakeloom.operators import merge, rules
+from lakeloom.operators import merge, publish, rules
 from lakeloom.operators.dedup import drop_exact_duplicates
 from lakeloom.operators.rules import Rule, Suite
 from lakeloom.sources.landing import Contract
@@ -326,6 +326,6 @@ def build_all(landed: Mapping[str, DataFrame], root: str, batch_id: str, run_id:
     for name, spec in SPECS.items():
         if name in landed and (only is None or name in only):
             spark = landed[name].sparkSession
-            refs = {r: spark.read.parquet(f"{root}/{r}") for r in spec.needs}
+            refs = {r: publish.read(spark, f"{root}/{r}") for r in spec.needs}
             counts[name] = build(name, landed[name], refs, f"{root}/{name}", f"{root}/_quarantine", batch_id, run_id)
     return counts

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom import functions as fn
-from lakeloom.operators import dedup, merge, rules
+from lakeloom.operators import dedup, merge, publish, rules
 from lakeloom.operators import windows as win
 from lakeloom.operators.scratch import scratch
 from lakeloom.plans import checks, deliveries, marts, reads, silver, staging, star
@@ -683,14 +683,14 @@ def _snapshot(c: Commerce) -> DataFrame:
     path = scratch(c.spark, "snapshot")
     for part in _split_orders(c):
         merge.merge_snapshot(part, path, ["order_id"], ["version"])
-    return c.spark.read.parquet(path)
+    return publish.read(c.spark, path)
 
 
 def _partitioned(c: Commerce) -> DataFrame:
     path = scratch(c.spark, "partitioned")
     for part in _split_orders(c):
         merge.merge_partitioned(part, path, ["order_id"], ["version"], "order_month")
-    return c.spark.read.parquet(path).drop("part")
+    return publish.read(c.spark, path)
 
 
 def _upserted(c: Commerce) -> DataFrame:
@@ -1050,7 +1050,7 @@ def _silver_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All datasets built in order from what was landed: merged tables, quarantine and breaker included; rows of each."""
     root, given = scratch(spark, "silver"), deliveries.Deliveries(spark, sf_dir)
     silver.build_all({d: given.landed(d) for d in silver.SPECS}, root, "b1", "r1")
-    parts = [spark.read.parquet(f"{root}/{d}").agg(F.lit(d).alias("dataset"), F.count(F.lit(1)).alias("rows")) for d in silver.SPECS]
+    parts = [publish.read(spark, f"{root}/{d}").agg(F.lit(d).alias("dataset"), F.count(F.lit(1)).alias("rows")) for d in silver.SPECS]
     return reduce(DataFrame.unionByName, parts)
 
 

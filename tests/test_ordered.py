@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators import merge, ordered
+from lakeloom.operators import merge, ordered, publish
 from lakeloom.sources import landing, readers
 
 
@@ -29,17 +29,17 @@ def test_rank_and_tiles(spark, n):
 def test_a_failed_write_leaves_the_table(spark, folder):
     path = f"{folder}/t"
     good = spark.range(10)
-    assert merge.overwrite(good, path) == 10 and merge.overwrite(spark.read.parquet(path).where("id < 4"), path) == 4
+    assert merge.overwrite(good, path) == 10 and merge.overwrite(publish.read(spark, path).where("id < 4"), path) == 4
     with pytest.raises(Exception, match="stop"):
         merge.overwrite(good.select(F.when(F.col("id") == 9, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")).alias("id")), path)
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2, 3]
+    assert sorted(r["id"] for r in publish.read(spark, path).collect()) == [0, 1, 2, 3]
 
 
 def test_merge_that_looks_at_touched_partitions_only(spark, folder):
     rows = lambda *r: spark.createDataFrame(list(r), "k long, m string, v int")
     merge.merge_partitioned(rows((1, "a", 1), (2, "b", 1)), f"{folder}/p", ["k"], ["v"], "m", keys_move=False)
     assert merge.merge_partitioned(rows((1, "a", 2), (3, "a", 1)), f"{folder}/p", ["k"], ["v"], "m", keys_move=False) == (2, ["a"])
-    assert {(r["k"], r["v"]) for r in spark.read.parquet(f"{folder}/p").collect()} == {(1, 2), (2, 1), (3, 1)}
+    assert {(r["k"], r["v"]) for r in publish.read(spark, f"{folder}/p").collect()} == {(1, 2), (2, 1), (3, 1)}
 
 
 def test_lines_of_split_files_keep_their_numbers(spark, folder):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import rules
+from lakeloom.operators import publish, rules
 from lakeloom.plans import silver
 from lakeloom.sources.landing import with_lineage
 
@@ -45,7 +45,7 @@ def built(spark, tmp_path_factory):
 
 
 def test_customers(spark, built):
-    rows = {r["customer_id"]: r for r in spark.read.parquet(f"{built}/customers").collect()}
+    rows = {r["customer_id"]: r for r in publish.read(spark, f"{built}/customers").collect()}
     assert len(rows) == 53 and "CUST-000003" not in rows
     assert (rows["CUST-000001"]["email"], rows["CUST-000001"]["country_code"], rows["CUST-000001"]["region_code"]) == ("ann@example.com", "US", "NA-EAST")
     assert rows["CUST-000002"]["email"] is None and "customers.email_format" in rows["CUST-000002"]["quality_warnings"]
@@ -53,7 +53,7 @@ def test_customers(spark, built):
 
 
 def test_orders(spark, built):
-    rows = {r["order_id"]: r for r in spark.read.parquet(f"{built}/orders").collect()}
+    rows = {r["order_id"]: r for r in publish.read(spark, f"{built}/orders").collect()}
     assert len(rows) == 52 and "ORD-0000003" not in rows  # its customer is unknown
     assert rows["ORD-0000001"]["status"] == "delivered" and rows["ORD-0000002"]["status"] == "paid"  # newest version wins
     assert rows["ORD-0000002"]["region_code"] == "NA-EAST"  # from its customer

@@ -70,3 +70,39 @@ def test_landing_again_replaces(spark, folder):
 def test_run_mode(spark):
     marks = spark.createDataFrame([("orders", "2025-11-30")], "dataset string, last_batch_id string")
     assert [landing.run_mode(marks, d, b) for d, b in (("x", "1"), ("orders", "2025-11-30"), ("orders", "2025-12-31"))] == ["initial", "rerun", "incremental"]
+
+
+def test_content_hashes_see_the_order_of_lines_and_not_the_splits(spark, folder):
+    lines = [f"{i},{'x' * (i % 7)}" for i in range(3000)]
+    swapped, moved = lines.copy(), lines[1:] + lines[:1]
+    swapped[10], swapped[11] = swapped[11], swapped[10]
+    files = {"a": lines, "same": lines, "swapped": swapped, "moved": moved, "doubled": lines + lines, "reversed": lines[::-1]}
+    for name, text in files.items():
+        put(folder, f"{name}.csv", "\n".join(text) + "\n")
+    put(folder, "open.csv", "\n".join(lines))
+    put(folder, "returns.csv", "\r\n".join(lines) + "\r\n")
+    put(folder, "empty.csv", "")
+    seen = []
+    for size in ("128m", "1k", "333b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append({pathlib.Path(r["source_file"]).stem: r["content_hash"] for r in landing.content_hashes(spark, folder).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == seen[2] and seen[0]["a"] == seen[0]["same"] and len(set(seen[0].values())) == len(seen[0]) - 1 >= 7
+    files = landing.content_hashes(spark, folder)
+    first = landing.not_yet_landed(files, spark.createDataFrame([], landing.LEDGER), "d")
+    assert first.count() == len(set(seen[0].values()))
+    ledger = spark.createDataFrame(landing.ledger_entries(first, "d", 1, 0, "r1").collect(), landing.LEDGER)
+    put(folder, "later.csv", "\n".join(swapped[::-1]) + "\n")
+    put(folder, "copy.csv", "\n".join(moved) + "\n")
+    new = landing.not_yet_landed(landing.content_hashes(spark, folder), ledger, "d").collect()
+    assert [pathlib.Path(r["source_file"]).stem for r in new] == ["later"]
+
+
+def test_reference_documents_are_counted_in_the_ledger(spark, folder):
+    contract = landing.Contract("exchange_rates", ("currency_code", "rate_date"), ("usd",))
+    docs = [("a", '{"data":[{"currency_code":"EUR","usd":1.1},{"currency_code":"GBP"},5,"x"]}'), ("b", '{"nothing":1}'), ("c", "no json"), ("d", '{"data":[]}')]
+    ledger = spark.createDataFrame([], landing.LEDGER)
+    new = landing.land_documents(spark.createDataFrame(docs, "source_file string, value string"), contract, f"{folder}/rates", "b1", "2026-01-01", "r1", ledger)
+    assert {r["source_file"]: (r["rows"], r["rejected"]) for r in new.collect()} == {"a": (2, 2), "b": (0, 1), "c": (0, 1), "d": (0, 0)}
+    got = {(r["currency_code"], r["usd"], r["rate_date"]) for r in readers.read_bronze(spark, f"{folder}/rates", ["b1"], []).collect()}
+    assert got == {("EUR", "1.1", "2026-01-01"), ("GBP", None, "2026-01-01")}
