@@ -108,6 +108,7 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     rows that it covers are set aside and the next one grows. Spark takes the sample, its statistics and the cuts; the search itself
     sees a bounded table of small numbers (``rows`` documents x features) on the driver. Without labels, or without a class, the list is empty and nothing
     more than the base rules is rejected. Null labels and null ids take no part, and with ``base`` neither do rows that the base rules reject anyway.
+    Of rows that share an id the smallest text speaks for it, so that ``rows`` bounds what is collected. ``RULES``, ``CONDITIONS`` and ``CUTS`` bound the list, not the rows it judges.
     """
     bad = (F.col("quality") == 0).cast("int")
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(bad).alias("bad"))
@@ -118,6 +119,7 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     share = min(buckets, math.ceil(buckets * rows / total))
     sample = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(buckets)) < share)
     inputs = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded: about ``rows`` ids
+    inputs = inputs.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("bad").alias("bad"))  # one row an id, however many there are
     # written before the filter on statistics: pushed below the join, it would compute them for all documents
     stats = with_statistics(materialize(inputs, "quality-sample", "zstd")).withColumn("failed", base_failed())
     grow = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(12)), F.lit(3)) < 2).alias("grow")

@@ -129,6 +129,23 @@ def test_learned_list_holds_on_held_out_rows(spark):
     assert sum((i in kept) == (i % 3 != 0) for i in held_out) / len(held_out) > 0.95
 
 
+def test_fit_is_bounded_by_labels_whatever_rows_share_an_id(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    some = docs.where("doc_id IN (1, 3)").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n")
+    fitted, own = [], quality.materialize
+
+    def watched(df, label, *rest):
+        out = own(df, label, *rest)
+        fitted.extend([out.count()] if label == "quality-fit" else [])
+        return out
+
+    monkeypatch.setattr(quality, "materialize", watched)
+    quality.fit_decision_list(some, labels, rows=10)
+    assert fitted and fitted[0] <= 2
+    monkeypatch.undo()
+    assert quality.fit_decision_list(docs.unionByName(docs), labels) == quality.fit_decision_list(docs, labels)  # copies don't vote
+
+
 def test_quality_of_odd_rows(spark):
     """Null and empty texts fail, a very long text is read as a whole, repeated rows and rows without an id are judged like others."""
     _, labels = labelled(spark)
