@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from lakeloom.llm.common import materialize, ship_package, table
 
 #: Kinds in the order in which spans of one start are listed; the last one is the method's own and has columns of its own.
 KINDS, SECRET = ("email", "ip", "card", "phone"), 4
-#: Most rounds; least pattern and instance scores; different known identifiers that a pattern needs.
-ROUNDS, PATTERN_SCORE, INSTANCE_SCORE, SEEDS = 6, 0.8, 0.8, 3
+#: Least pattern and instance scores; different known identifiers that a pattern needs.
+PATTERN_SCORE, INSTANCE_SCORE, SEEDS = 0.8, 0.8, 3
 #: Characters from which a word or identifier stands in the graph by its sha256.
 KEY = 64
 
@@ -195,8 +197,8 @@ def discover(places: DataFrame) -> DataFrame:
     vote. In every round a context is scored for each kind: the scores of its known identifiers of that kind against these and what speaks
     against it (strings that haven't the kind's weak form, or are known to be of another kind); strings that may be of the kind and aren't known
     yet say nothing. With enough known ones it is a pattern, and the strings in it that fit get the score 1 minus the product
-    of what their patterns leave open. What reaches ``INSTANCE_SCORE`` is known in the next round, so that found identifiers induce
-    patterns of their own; it ends when nothing is added. Contexts with too few strings to find anything are left out
+    of what their patterns leave open. What reaches ``INSTANCE_SCORE`` is known from the next round on, with the kind and score that it was
+    found with, so that found identifiers induce patterns of their own; it ends when a round adds nothing, after however many. Contexts with too few strings to find anything are left out
     beforehand. Joins are shuffled: nothing that grows with the corpus is broadcast.
     """
     edges = places.select(F.explode("contexts").alias("context"), "instance", "seed", "fits").groupBy("context",
@@ -204,9 +206,9 @@ def discover(places: DataFrame) -> DataFrame:
     wide = edges.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") < 0).alias("open")).where(f"n > {SEEDS} AND open > 0").select("context")
     edges = materialize(edges.join(wide.hint("merge"), "context", "left_semi"), "pii-graph")
     seeds = edges.where("seed >= 0").groupBy("instance").agg(F.min("seed").alias("kind"), F.lit(1.0).alias("score"))
-    known, before = materialize(seeds, "pii-known"), -1
+    known = materialize(seeds, "pii-known")
     kinds = range(len(KINDS) + 1)
-    for _ in range(ROUNDS):
+    while True:
         met = edges.join(known.hint("merge"), "instance", "left")
         mine = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
         may = lambda k: F.col("fits").bitwiseAND(1 << k) != 0
@@ -222,24 +224,28 @@ def discover(places: DataFrame) -> DataFrame:
         best = seen.groupBy("instance", "kind").agg((1 - left).alias("score")).where(F.col("score") >= INSTANCE_SCORE)
         best = best.groupBy("instance").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("b")).select("instance",
             (-F.col("b.minus")).alias("kind"), F.col("b.score").alias("score"))
-        known = materialize(seeds.unionByName(best.join(seeds.select("instance").hint("merge"), "instance", "left_anti")), "pii-known")
-        count = known.count()
-        if count == before:
+        new = materialize(best.join(known.select("instance").hint("merge"), "instance", "left_anti"), "pii-new")
+        if new.isEmpty():
             break
-        before = count
+        known = materialize(known.unionByName(new), "pii-known")
     return known.join(seeds.select("instance").hint("merge"), "instance", "left_anti")
 
 
-def _apart(spans: Column) -> Column:
-    """Spans that don't overlap, of any number: the first one stays, of one start the longest."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus_end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast(_SPANS).alias("kept"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.concat(acc["kept"], F.array(F.struct(s["start"].alias("start"), (-s["minus_end"]).alias("end"), s["kind"].alias("kind"))))
-        return F.when(s["start"] >= acc["last"], F.struct((-s["minus_end"]).alias("last"), kept.alias("kept"))).otherwise(acc)
-
-    return F.aggregate(ordered, start, step, lambda acc: acc["kept"])
+def _apart(batches):
+    """Spans of each row (``all``) that don't overlap, of any number: the first one stays, of one start the longest. Sorted once, then one pass."""
+    for batch in batches:
+        spans = batch.column("all")
+        row = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(spans)))
+        start, end, kind = (np.asarray(pc.struct_field(spans.flatten(), c)) for c in ("start", "end", "kind"))
+        order = np.lexsort((kind, -end, start, row))
+        keep, last_row, last = [], -1, -1
+        for i, r, a, b in zip(order.tolist(), row[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
+            if r != last_row or a >= last:
+                keep.append(i)
+                last_row, last = r, b
+        kept = pa.StructArray.from_arrays([pa.array(start[keep], pa.int64()), pa.array(end[keep], pa.int64()), pa.array(kind[keep], pa.int32())], ["start", "end", "kind"])
+        sizes = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=batch.num_rows))])
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), kept)], ["_row", "all"])
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -255,7 +261,8 @@ def extract(docs: DataFrame) -> DataFrame:
     places = seen.where(F.size("places") > 0).select("_row", F.explode("places").alias("p")).select("_row", "p.*")
     marked = places.where("seed < 0").join(discover(places).hint("merge"), "instance").where(F.call_function("shiftright", "fits", F.col("kind")).bitwiseAND(1) != 0)
     keys = places.where(F.col("seed") == SECRET).select("_row", "start", "end", F.col("seed").alias("kind"))
-    found = marked.select("_row", "start", "end", "kind").unionByName(keys).groupBy("_row").agg(_apart(F.collect_list(F.struct("start", "end", "kind"))).alias("all"))
+    found = marked.select("_row", "start", "end", "kind").unionByName(keys).groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("all"))
+    found = found.mapInArrow(_apart, f"_row bigint, all {_SPANS}")
     out = seen.drop("places").join(found.hint("merge"), "_row", "left").withColumn("all", F.coalesce("all", F.array().cast(_SPANS)))
     out = out.withColumn("found", F.filter("all", lambda s: s["kind"] != SECRET)).withColumn("secrets", F.filter("all", lambda s: s["kind"] == SECRET))
     return out.drop("_row", "all")

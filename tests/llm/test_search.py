@@ -2,8 +2,10 @@
 
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lakeloom.llm import neighbours, pii
@@ -55,6 +57,87 @@ def test_two_generations_of_contexts(spark):
     assert pii.extract(df.limit(0)).count() == 0
 
 
+def plain_discover(places):
+    """Bootstrapping in plain Python: {instance: kind} beyond the seeds."""
+    edges = {}
+    for p in places:
+        for c in p["contexts"]:
+            seed, fits = edges.get((c, p["instance"]), (-1, 0))
+            edges[c, p["instance"]] = (max(seed, p["seed"]), max(fits, p["fits"]))
+    by_context = {}
+    for (c, i), (seed, fits) in edges.items():
+        by_context.setdefault(c, []).append((i, seed, fits))
+    by_context = {c: e for c, e in by_context.items() if len(e) > pii.SEEDS and any(s < 0 for _, s, _ in e)}
+    seeds = {}
+    for e in by_context.values():
+        for i, s, _ in e:
+            if s >= 0:
+                seeds[i] = min(s, seeds.get(i, 99))
+    known = {i: (k, 1.0) for i, k in seeds.items()}
+    while True:
+        left = {}
+        for e in by_context.values():
+            for k in range(5):
+                mine = [known[i][1] for i, _, _ in e if i in known and known[i][0] == k]
+                against = sum((i in known and known[i][0] != k) or (i not in known and not f >> k & 1) for i, _, f in e)
+                if len(mine) >= pii.SEEDS and sum(mine) / (sum(mine) + against) >= pii.PATTERN_SCORE:
+                    for i, s, f in e:
+                        if s < 0 and f >> k & 1:
+                            left[i, k] = left.get((i, k), 1.0) * max(1e-6, 1 - sum(mine) / (sum(mine) + against))
+        best = {}
+        for (i, k), x in left.items():
+            if 1 - x >= pii.INSTANCE_SCORE and i not in known:
+                best[i] = max(best.get(i, (-1, 0)), (1 - x, -k))
+        if not best:
+            return {i: k for i, (k, _) in known.items() if i not in seeds}
+        known |= {i: (-k, x) for i, (x, k) in best.items()}
+
+
+def test_discovery_equals_brute_force(spark):
+    rnd = random.Random(9)
+    numbers = [f"555-{i:03d}-{1000 + i}" for i in range(40)] + [f"+1 (555) 200-{1000 + i}" for i in range(25)] + [f"user{i}@host" for i in range(20)]
+    numbers += [f"mail{i}@example.com" for i in range(15)] + [f"x{i}y" for i in range(20)] + [f"12-34-{i}" for i in range(10)]
+    frames = [f"{a} {b} {{}} {c} {d}" for a, b, c, d in (rnd.sample(["call", "write", "see", "note", "line", "desk", "home", "at", "for"], 4) for _ in range(14))]
+    rows = []
+    for i in range(700):
+        f = rnd.randrange(14)
+        rows.append((i, frames[f].format(numbers[(f * 11 + rnd.randrange(22)) % len(numbers)])))
+    places = [(p["start"], p["end"], p["seed"], p["fits"], p["instance"], p["contexts"]) for _, t in rows for p in pii.candidates(t, pii.base_spans(t))]
+    df = spark.createDataFrame(places, "start long, end long, seed int, fits int, instance string, contexts array<string>")
+    want = plain_discover([dict(zip(("start", "end", "seed", "fits", "instance", "contexts"), p, strict=True)) for p in places])
+    assert {r["instance"]: r["kind"] for r in pii.discover(df).collect()} == want and want
+
+
+def test_eight_generations_of_contexts(spark):
+    """Each generation of numbers stands in its context and in the next one, which only they lead to."""
+    generations, rows = 8, [(i, f"word {i} here you may call me +1 (555) 555-{1000 + i} today for more") for i in range(6)]
+    for g in range(generations):
+        for i in range(5):
+            n = f"555-{g:03d}-45{i:02d}"
+            here = f"you may call me {n} today for more" if g == 0 else f"the {'abcdefgh'[g]}desk reads {n} before {'abcdefgh'[g]}noon it says"
+            rows.append((100 + 10 * g + i, here))
+            rows.append((300 + 10 * g + i, f"the {'bcdefghi'[g]}desk reads {n} before {'bcdefghi'[g]}noon it says"))
+    found = spans_of(pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(len(found[100 + 10 * g + i]) == len(found[300 + 10 * g + i]) == 1 for g in range(generations) for i in range(5))
+
+
+def test_spans_of_one_text_are_parted_in_one_pass():
+    n = 100_000
+    spans = [{"start": i * 3 % (2 * n), "end": i * 3 % (2 * n) + 4, "kind": i % 4} for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([spans, [], [{"start": 5, "end": 6, "kind": 0}, {"start": 5, "end": 9, "kind": 1}]],
+        pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])))], ["_row", "all"])
+    began = time.perf_counter()
+    first, empty, last = next(pii._apart([batch])).column("all").to_pylist()
+    assert time.perf_counter() - began < 5
+    assert empty == [] and last == [{"start": 5, "end": 9, "kind": 1}]
+    kept, end = [], -1
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"], s["kind"])):
+        if s["start"] >= end:
+            kept.append(s)
+            end = s["end"]
+    assert first == kept
+
+
 def test_patterns_with_strings_that_do_not_fit_find_nothing(spark):
     rows = [(i, f"he wrote down +1 (555) 555-{1000 + i} in all") for i in range(5)]
     rows += [(50 + i, f"he wrote down {i} in all") for i in range(9)] + [(90, "he wrote down 555-123-4567 in all")]
