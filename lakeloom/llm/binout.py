@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm import tokens as tok
-from lakeloom.llm.common import materialize, ship_package, table
+from lakeloom.llm.common import materialize, shared_dir, ship_package, table
 
 #: Bits of the frequency scale; lower bound of a state; lanes of a block; steps between checkpoints; ids of a block; end id.
 SCALE, LOW, LANES, EVERY, BLOCK_IDS, END_ID = 20, 1 << 31, 1024, 256, 1 << 20, 0
-BLOCK_SCHEMA = "part int, at bigint, n_docs bigint, n_ids bigint, doc_ids array<bigint>, doc_lengths array<bigint>, lanes int, words binary, states binary, checkpoint_words array<bigint>, checkpoint_states binary, crc32 bigint"
+BLOCK_SCHEMA = ("part int, at bigint, n_docs bigint, n_ids bigint, doc_ids array<bigint>, doc_lengths array<bigint>, lanes int, words binary, states binary, "
+    "checkpoint_words array<bigint>, checkpoint_states binary, crc32 bigint, stretch_crc32 array<bigint>, every int")
+#: Version of the files, which their table names.
+FORMAT = 1
 
 
 def scaled_frequencies(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -78,6 +82,8 @@ class Rans:
             s = self.symbol[slot]
             y = self.freq[s] * (y >> self.scale) + slot - self.cum[s]
             short = np.flatnonzero(y < low)
+            if at + len(short) > len(stream):
+                raise ValueError("a block is damaged: its words end early")
             y[short] = (y[short] << np.uint64(32)) | stream[at : at + len(short)]
             at += len(short)
             x[:k] = y
@@ -122,18 +128,21 @@ def encode_sorted(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame
             yield pa.RecordBatch.from_arrays([parts, pa.array(before, pa.int64()), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
                 ["part", "at", "doc_id", "n", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")  # rows of one id, or without, are spread too
     return materialize(ordered.mapInArrow(encode, "part int, at bigint, doc_id bigint, n bigint, ids binary"), "sorted-ids", "zstd")
 
 
-def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
-    """Write all documents as coded blocks in order of ``doc_id``; returns the files as a table, and the shared frequencies.
+def write_blocks(docs: DataFrame, path: str, out: str, end_id: int = END_ID) -> None:
+    """Write all documents as coded blocks in order of ``doc_id`` to the new folder ``out``, which any session can decode by itself.
+
+    ``out/table`` has one row: version of the format, scale, the shared frequencies and their crc32. ``out/blocks`` has the blocks. Ids of
+    documents are cast to long.
 
     Two passes over materialized ids: one counts all ids for the frequency table that every block shares, one codes.
     A block holds whole documents of one part, up to about ``BLOCK_IDS`` ids (a longer document has a block of its
-    own), and can be decoded by itself: it carries its documents' ids and lengths, the coder's states, checkpoints and a
-    crc32 of its ids. Files are written by Spark's committer, so that lost executors leave no half blocks.
+    own), and can be decoded by itself: it carries its documents' ids and lengths, the coder's states, checkpoints, and the
+    crc32 of its ids and of each stretch between checkpoints. Files are written by Spark's committer, so that lost executors leave no half blocks.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -152,7 +161,9 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
             ids = np.frombuffer(b"".join(h[3] for h in held), dtype=kind)
             lanes, words, states, where, marks = coder.encode(ids)
             lengths = [len(h[3]) // ids.itemsize for h in held]
-            row = [held[0][0], held[0][1], len(held), len(ids), [h[2] for h in held], lengths, lanes, words, states, where, marks, zlib.crc32(ids.astype("<u4").tobytes())]
+            ids = ids.astype("<u4")
+            stretches = [zlib.crc32(ids[i : i + lanes * EVERY].tobytes()) for i in range(0, max(1, len(ids)), lanes * EVERY)]
+            row = [held[0][0], held[0][1], len(held), len(ids), [h[2] for h in held], lengths, lanes, words, states, where, marks, zlib.crc32(ids.tobytes()), stretches, EVERY]
             arrays = [pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, _BLOCK_NAMES)
 
@@ -166,12 +177,27 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Data
         if held:
             yield flush()
 
-    return materialize(rows.select("part", "at", "doc_id", "n", "ids").mapInArrow(blocks, BLOCK_SCHEMA), "id-blocks", "uncompressed"), freq
+    table_ = freq.astype("<u4").tobytes()
+    head = [(FORMAT, SCALE, len(freq), bytearray(table_), zlib.crc32(table_))]
+    coded = rows.select("part", "at", "doc_id", "n", "ids").mapInArrow(blocks, BLOCK_SCHEMA)
+    coded.write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    spark.createDataFrame(head, TABLE_SCHEMA).coalesce(1).write.parquet(f"{out}/table")  # last: a folder without it isn't complete
 
 
+TABLE_SCHEMA = "version int, scale int, symbols int, frequencies binary, crc32 bigint"
 _BLOCK_NAMES = [c.strip().split(" ")[0] for c in BLOCK_SCHEMA.split(",")]
 _BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(),
-    pa.list_(pa.int64()), pa.binary(), pa.int64()]
+    pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
+
+
+def open_files(spark: SparkSession, out: str) -> tuple[DataFrame, Rans]:
+    """(blocks, coder) of a folder that ``write_blocks`` has written; an unknown version or a damaged table is an error."""
+    head = spark.read.schema(TABLE_SCHEMA).parquet(f"{out}/table").head()
+    if head is None or head["version"] != FORMAT:
+        raise ValueError(f"{out}: not files of format {FORMAT}")
+    if zlib.crc32(head["frequencies"]) != head["crc32"] or len(head["frequencies"]) != 4 * head["symbols"]:
+        raise ValueError(f"{out}: the frequency table is damaged")
+    return spark.read.schema(BLOCK_SCHEMA).parquet(f"{out}/blocks"), Rans(np.frombuffer(head["frequencies"], dtype="<u4").astype(np.uint64), head["scale"])
 
 
 def _part_bases(files: DataFrame) -> DataFrame:
@@ -181,17 +207,18 @@ def _part_bases(files: DataFrame) -> DataFrame:
     return totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("base"))
 
 
-def read_blocks(files: DataFrame, freq: np.ndarray) -> DataFrame:
-    """Decode blocks in parallel: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens`` and ``ids`` (binary, little-endian
+def read_blocks(spark: SparkSession, out: str) -> DataFrame:
+    """Decode the blocks of a folder in parallel: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens`` and ``ids`` (binary, little-endian
     unsigned 32-bit). A block whose decoded ids don't match its checksum is an error.
 
     Starts come from the blocks' own headers: ids of earlier parts (one row per part) and of earlier blocks.
     """
-    ship_package(files.sparkSession)
-    shared = files.sparkSession.sparkContext.broadcast(freq)
+    ship_package(spark)
+    files, coder = open_files(spark, out)
+    shared = spark.sparkContext.broadcast((coder.freq, int(coder.scale)))  # one number per id of the vocabulary
 
     def decode(batches):
-        coder = Rans(shared.value)
+        coder = Rans(*shared.value)
         for batch in batches:
             for row in batch.to_pylist():
                 ids = coder.decode(row["n_ids"], row["lanes"], row["words"], row["states"]).astype("<u4")
@@ -209,38 +236,44 @@ def read_blocks(files: DataFrame, freq: np.ndarray) -> DataFrame:
     return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")  # one row per part
 
 
-def read_range(files: DataFrame, freq: np.ndarray, first: int, last: int) -> DataFrame:
+def read_range(spark: SparkSession, out: str, first: int, last: int) -> DataFrame:
     """Ids ``first`` to below ``last`` of the whole output, as pieces ``start`` and ``ids``: only what a piece needs is decoded.
 
     Every stretch between two checkpoints of a block is decoded by itself, from the checkpoint's states and word position, so that
-    one block (a very long document, say) is spread over tasks, and none before or behind the range is decoded. The checksum covers whole blocks
-    and is left to ``read_blocks``.
+    one block (a very long document, say) is spread over tasks, and none before or behind the range is decoded. A stretch whose ids
+    don't match its checksum is an error.
     """
-    ship_package(files.sparkSession)
-    shared = files.sparkSession.sparkContext.broadcast(freq)
+    ship_package(spark)
+    files, coder = open_files(spark, out)
+    shared = spark.sparkContext.broadcast((coder.freq, int(coder.scale)))
 
     def decode(batches):
-        coder = Rans(shared.value)
+        coder = Rans(*shared.value)
         for batch in batches:
             for row in batch.to_pylist():
                 k, lanes = row["stretch"], row["lanes"]
                 states = row["states"] if k == 0 else row["checkpoint_states"][8 * lanes * (k - 1) : 8 * lanes * k]
                 at = row["checkpoint_words"][k - 1] if k else 0
-                ids = coder.decode(row["n_ids"], lanes, row["words"], states, k * EVERY, at, (k + 1) * EVERY).astype("<u4")
+                every = row["every"]
+                ids = coder.decode(row["n_ids"], lanes, row["words"], states, k * every, at, (k + 1) * every).astype("<u4")
+                if zlib.crc32(ids.tobytes()) != row["stretch_crc32"][k]:
+                    raise ValueError(f"ids from {row['begin']} are damaged")
                 lo, hi = max(first, row["begin"]), min(last, row["begin"] + len(ids))
                 yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([ids[lo - row["begin"] : hi - row["begin"]].tobytes()], pa.binary())], ["start", "ids"])
 
     at = files.join(F.broadcast(_part_bases(files)), "part").withColumn("begin", F.col("base") + F.col("at"))  # one row per part
     met = at.where((F.col("begin") < last) & (F.col("begin") + F.col("n_ids") > first))
     each = met.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.size("checkpoint_words"))))
-    begin = F.col("begin") + F.col("stretch") * F.col("lanes") * EVERY
-    length = F.least(F.col("lanes") * EVERY, F.col("n_ids") - F.col("stretch") * F.col("lanes") * EVERY)
+    stretch = F.col("lanes").cast("long") * F.col("every")
+    begin = F.col("begin") + F.col("stretch") * stretch
+    length = F.least(stretch, F.col("n_ids") - F.col("stretch") * stretch)
     each = each.withColumn("begin", begin).where((F.col("begin") < last) & (F.col("begin") + length > first))
-    columns = ["begin", "stretch", "n_ids", "lanes", "words", "states", "checkpoint_words", "checkpoint_states"]
+    columns = ["begin", "stretch", "n_ids", "lanes", "words", "states", "checkpoint_words", "checkpoint_states", "stretch_crc32", "every"]
     return each.select(*columns).mapInArrow(decode, "start bigint, ids binary")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: write the files, read them back, and sum up each document."""
-    files, freq = write_blocks(table(spark, sf_dir, "documents"), tok.public_path("byte_bpe_50k.json"))
-    return read_blocks(files, freq).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = f"{shared_dir(spark)}/id-files-{uuid.uuid4().hex}"
+    write_blocks(table(spark, sf_dir, "documents"), tok.public_path("byte_bpe_50k.json"), out)
+    return read_blocks(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -1,10 +1,14 @@
 """Token ids equal the library's; packing and coded files are exact round trips."""
 
+import pathlib
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import binout, packing, tokens
 
@@ -114,15 +118,17 @@ def test_coder_round_trip_and_checkpoints(n, monkeypatch):
         assert len(words) < 2 * n
 
 
-def test_token_files(spark, monkeypatch):
+def test_token_files(spark, monkeypatch, folder):
     """Repeated rows, rows without an id, very long texts and extra columns; whole blocks, and ranges from checkpoints."""
     monkeypatch.setattr(binout, "BLOCK_IDS", 20_000)
     rows = [*corpus(5), (3, corpus(5)[3][1]), (None, "second without"), (70, "a very long text " * 150_000)]
     path = tokens.public_path("byte_bpe_50k.json")
     enc = tokens.encoder(path).tokenizer
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, part string, at int").repartition(3)
-    files, freq = binout.write_blocks(df, path)
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in binout.read_blocks(files, freq).collect())
+    out = f"{folder}/ids"
+    binout.write_blocks(df, path, out)
+    monkeypatch.setattr(binout, "EVERY", 64)  # the files say what they were written with
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in binout.read_blocks(spark, out).collect())
     want = sorted((-1 if d is None else d, np.asarray(enc.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4").tobytes()) for d, t in rows)
     assert sorted((d, ids) for d, _, _, ids in got) == want
     start = 0
@@ -131,10 +137,35 @@ def test_token_files(spark, monkeypatch):
         start += n
     whole = b"".join(ids for _, _, _, ids in sorted(got, key=lambda r: r[1]))
     for first, last in ((0, start), (5, 6), (start - 400_000, start - 3), (20_000, 700_000)):
-        pieces = sorted((r["start"], bytes(r["ids"])) for r in binout.read_range(files, freq, first, last).collect())
+        pieces = sorted((r["start"], bytes(r["ids"])) for r in binout.read_range(spark, out, first, last).collect())
         assert pieces[0][0] == first and b"".join(x for _, x in pieces) == whole[4 * first : 4 * last]
-
-
-def test_token_files_of_an_empty_table(spark):
-    files, freq = binout.write_blocks(spark.createDataFrame([], "doc_id long, text string"), tokens.public_path("byte_bpe_50k.json"))
-    assert binout.read_blocks(files, freq).count() == 0
+    code = f"""if True:
+        import sys, zlib
+        from pyspark.sql import SparkSession
+        sys.path.insert(0, {str(pathlib.Path(binout.__file__).parents[2])!r})
+        from lakeloom.llm import binout
+        s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+        print("CRC", zlib.crc32(b"".join(bytes(r["ids"]) for r in binout.read_blocks(s, {out!r}).orderBy("start").collect())))"""
+    other = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert f"CRC {zlib.crc32(whole)}" in other.stdout, other.stderr[-2000:]
+
+
+def test_damaged_token_files_are_errors(spark, folder):
+    out, df = f"{folder}/ids", spark.createDataFrame(corpus(7), "doc_id long, text string")
+    binout.write_blocks(df, tokens.public_path("byte_bpe_50k.json"), out)
+    blocks, head = spark.read.parquet(f"{out}/blocks"), spark.read.parquet(f"{out}/table")
+    flip = F.concat(F.expr("substring(words, 1, 40)"), F.unhex(F.lit("ff")), F.expr("substring(words, 42)"))
+    blocks.withColumn("words", flip).write.parquet(f"{folder}/bad/blocks")
+    head.write.parquet(f"{folder}/bad/table")
+    for read in (binout.read_blocks(spark, f"{folder}/bad"), binout.read_range(spark, f"{folder}/bad", 0, 1 << 40)):
+        with pytest.raises(Exception, match="damaged"):
+            read.collect()
+    for name, change in (("old", {"version": F.lit(0)}), ("broken", {"crc32": F.col("crc32") + 1})):
+        head.withColumns(change).write.parquet(f"{folder}/{name}/table")
+        with pytest.raises(ValueError, match="not files|damaged"):
+            binout.read_blocks(spark, f"{folder}/{name}")
+
+
+def test_token_files_of_an_empty_table(spark, folder):
+    binout.write_blocks(spark.createDataFrame([], "doc_id long, text string"), tokens.public_path("byte_bpe_50k.json"), f"{folder}/ids")
+    assert binout.read_blocks(spark, f"{folder}/ids").count() == 0
