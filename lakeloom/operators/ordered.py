@@ -25,8 +25,9 @@ def positioned(df: DataFrame, order: list, name: str) -> DataFrame:
 def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
     """SQL's rank by ``value``, largest first and null last: 1 and the number of rows before; equal values share it.
 
-    Rows are counted by value first, so that a value of any frequency is one row for each task, and it is the different values that are sorted.
+    ``df`` is written once, since it is counted and met again. Rows are counted by value first, so that a value of any frequency is one row for each task, and it is the different values that are sorted.
     """
+    df = written(df, "ranked")
     absent = F.col(value).isNull()
     values = df.groupBy(absent.alias("_none"), F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
     order = [F.asc("_none"), F.desc("_value")]

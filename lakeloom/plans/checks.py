@@ -1,7 +1,7 @@
 """Checks of the warehouse and tests of the marts as data, and one runner for both.
 
-A check names a table, what is tested, the share of failures that is allowed, and a severity. The runner makes one aggregation per table for all
-its unary checks; uniqueness and references are aggregations of their own.
+A check names a table, what is tested, the share of failures that is allowed, and a severity. The runner makes one aggregation per table
+for all its checks: each table is planned once, whatever is asked of it.
 """
 
 from __future__ import annotations
@@ -73,6 +73,28 @@ WAREHOUSE = (
     _holds("fact_orders", "lines_reconciled_rate", "NOT is_revenue OR lines_reconciled", 0.10, "warn"),
 )
 
+#: Tests of the tables that the marts read: surrogate and business keys, references between surrogate keys, allowed values.
+SOURCES = (
+    *[check(t, c) for t, columns in (("dim_customer", "customer_key customer_id"), ("dim_product", "product_key product_id"), ("fact_orders", "order_key order_id"),
+        ("fact_order_items", "order_item_key"), ("fact_inventory", "inventory_event_key"), ("fact_shipping", "shipment_key"),
+        ("agg_inventory_position", "position_key")) for c in columns.split() for check in (_unique, _known)],
+    _known("fact_orders", "customer_key"),
+    _reference("fact_orders", "customer_key", "dim_customer"),
+    _holds("fact_orders", "status_accepted", "status IN ('placed', 'paid', 'shipped', 'delivered', 'cancelled', 'returned')"),
+    _known("fact_order_items", "product_key"),
+    _reference("fact_order_items", "product_key", "dim_product"),
+    _reference("fact_order_items", "order_key", "fact_orders"),
+    _holds("fact_order_items", "quantity_positive", "quantity > 0"),
+    _holds("fact_inventory", "event_type_accepted", "event_type IN ('receipt', 'shipment', 'adjustment', 'return', 'stock_count')"),
+)
+
+#: Tests of the intermediate tables.
+INTERMEDIATE = (
+    *[check(t, c) for t, c in (("int_revenue_lines", "order_item_key"), ("int_product_period_sales", "product_key"), ("int_customer_orders", "customer_key"),
+        ("int_shipping_enriched", "shipment_key")) for check in (_unique, _known)],
+    _holds("int_revenue_lines", "line_total_non_negative", "line_total_usd >= 0"),
+)
+
 #: Tests of the marts: keys, values that may not be missing or negative, allowed values.
 MARTS = (
     _unique("daily_sales", "sales_date"),
@@ -119,24 +141,23 @@ def _judge(rows: DataFrame) -> DataFrame:
 
 def run(checks: Sequence[Check], tables: Mapping[str, DataFrame]) -> DataFrame:
     """``check_name``, ``severity``, ``threshold``, ``total``, ``failed``, ``failure_rate`` and ``passed`` of every check whose table is given."""
-    count, parts = F.count(F.lit(1)), []
+    parts = []
     for name in dict.fromkeys(c.table for c in checks if c.table in tables):
-        table, mine = tables[name], [c for c in checks if c.table == name]
-        plain = [c for c in mine if c.kind in ("holds", "known")]
-        if plain:
-            bad = lambda c: F.count_if(F.col(c.columns[0]).isNull() if c.kind == "known" else ~F.expr(c.predicate))
-            sums = table.agg(count.alias("total"), *[bad(c).alias(f"f{i}") for i, c in enumerate(plain)])
-            each = F.array(*[F.struct(*_row(c, F.col("total"), F.col(f"f{i}"))) for i, c in enumerate(plain)])
-            parts.append(sums.select(F.explode(each).alias("r")).select("r.*"))
-        for c in mine:
-            if c.kind == "unique":
+        rows, mine = tables[name], [c for c in checks if c.table == name]
+        sums = [F.count(F.lit(1)).alias("total")]
+        for i, c in enumerate(mine):  # one pass over the table: its references as joins with different keys, all checks as sums
+            if c.kind == "reference":
+                keys = tables[c.parent[0]].select(F.col(c.parent[1]).alias(f"_parent{i}")).distinct()
+                rows = rows.join(keys, F.col(c.columns[0]) == F.col(f"_parent{i}"), "left")
+                bad = F.count_if(F.col(c.columns[0]).isNotNull() & F.col(f"_parent{i}").isNull())
+            elif c.kind == "unique":
                 whole = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in c.columns])
-                parts.append(table.agg(count.alias("n"), F.countDistinct(F.when(whole, F.struct(*c.columns))).alias("d")).select(*_row(c, F.col("n"), F.col("n") - F.col("d"))))
-            elif c.kind == "reference":
-                keys = tables[c.parent[0]].select(F.col(c.parent[1]).alias("_parent")).distinct()
-                probed = table.select(F.col(c.columns[0]).alias("_own")).join(keys, F.col("_own") == F.col("_parent"), "left")
-                lost = F.count_if(F.col("_own").isNotNull() & F.col("_parent").isNull())
-                parts.append(probed.agg(count.alias("n"), lost.alias("f")).select(*_row(c, F.col("n"), F.col("f"))))
+                bad = F.count(F.lit(1)) - F.countDistinct(F.when(whole, F.struct(*c.columns)))
+            else:
+                bad = F.count_if(F.col(c.columns[0]).isNull() if c.kind == "known" else ~F.expr(c.predicate))
+            sums.append(bad.alias(f"f{i}"))
+        each = F.array(*[F.struct(*_row(c, F.col("total"), F.col(f"f{i}"))) for i, c in enumerate(mine)])
+        parts.append(rows.agg(*sums).select(F.explode(each).alias("r")).select("r.*"))
     return _judge(reduce(DataFrame.unionByName, parts))
 
 

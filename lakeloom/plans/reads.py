@@ -69,6 +69,12 @@ def customers_by(ltv: DataFrame, column: str) -> DataFrame:
         F.sum("net_lifetime_value_usd").alias("net_lifetime_value_usd")).orderBy(F.desc("net_lifetime_value_usd"), column)
 
 
+def customer_segments(ltv: DataFrame) -> DataFrame:
+    """Customers of each segment and their mean net value, most valuable first."""
+    mean = F.round(F.sum("net_lifetime_value_usd").cast("double") / F.count(F.lit(1)), 6)
+    return ltv.groupBy("customer_segment").agg(F.count(F.lit(1)).alias("customers"), mean.alias("avg_net_value_usd")).orderBy(F.desc("avg_net_value_usd"), "customer_segment")
+
+
 def shipping_by(mart: DataFrame, *columns: str, month: str | None = None) -> DataFrame:
     """Delivery by region, carrier or month: means weighted by deliveries, rates by shipments."""
     rows = mart if month is None else mart.where(F.col("order_month") == month)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.operators import windows as win
 from lakeloom.operators.dedup import keep_latest
+from lakeloom.operators.scratch import written
 from lakeloom.plans import marts, star
 
 _MONTH = "substr(CAST(CAST({0} AS DATE) AS STRING), 1, 7)"
@@ -28,15 +31,26 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
     ]),
     "c_products": ("part", [
         "p_partkey AS product_id", "p_name AS product_name", "p_brand AS brand", "p_partkey % 25 AS category_id", "p_partkey % 10 AS supplier_id",
-            "CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price",
+            "CAST(p_retailprice AS DECIMAL(14,2)) AS unit_price", "'SKU-' || CAST(p_partkey AS STRING) AS sku", "p_size > 5 AS is_active",
         "CAST(round(CAST(p_retailprice AS DECIMAL(14,2)) * CAST('0.6' AS DECIMAL(2,1)), 2) AS DECIMAL(14,2)) AS unit_cost",
     ]),
     "c_categories": ("nation", ["CAST(n_nationkey AS BIGINT) AS category_id", "n_name AS category_name",
         "CASE WHEN n_nationkey >= 5 THEN CAST(n_nationkey % 5 AS BIGINT) END AS parent_category_id"]),
-    "c_suppliers": ("supplier", ["s_suppkey AS supplier_id", "s_name AS supplier_name", "CAST(s_nationkey AS BIGINT) AS country_id"]),
-    "c_customers": ("customer", ["c_custkey AS customer_id", "c_name AS first_name", "c_mktsegment AS last_name", "CAST(c_nationkey AS BIGINT) AS country_id"]),
-    "c_regions": ("region", ["CAST(r_regionkey AS BIGINT) AS region_code", "r_name AS region_name", "CAST(r_regionkey + 2 AS BIGINT) AS base_delivery_days"]),
-    "c_warehouses": ("region", ["CAST(r_regionkey AS BIGINT) AS warehouse_id", "r_name AS warehouse_name", "CAST((r_regionkey + 1) * 1000 AS BIGINT) AS capacity_units"]),
+    "c_suppliers": ("supplier", ["s_suppkey AS supplier_id", "s_name AS supplier_name", "CAST(s_nationkey AS BIGINT) AS country_id",
+        "'N' || CAST(s_nationkey AS STRING) AS country_code", "CAST(s_nationkey % 5 AS BIGINT) AS region_code", "s_suppkey % 30 + 1 AS lead_time_days",
+        "CASE WHEN s_acctbal > 5000 THEN 'A' WHEN s_acctbal > 0 THEN 'B' ELSE 'C' END AS quality_tier", "s_suppkey % 7 <> 0 AS is_active"]),
+    "c_customers": ("customer", [
+        "c_custkey AS customer_id", "c_name AS first_name", "c_mktsegment AS last_name", "CASE WHEN c_custkey % 10 > 0 THEN c_name || '@example.com' END AS email",
+        "c_mktsegment AS customer_segment", "'N' || CAST(c_nationkey AS STRING) AS country_code", "CAST(c_nationkey % 5 AS BIGINT) AS region_code",
+        "'City ' || CAST(c_custkey % 40 AS STRING) AS city", "CAST('2020-01-01' AS DATE) + CAST(c_custkey % 700 AS INT) AS signup_date",
+        "CAST('1950-01-01' AS DATE) + CAST(c_custkey % 19000 AS INT) AS birth_date", "c_acctbal >= 0 AS marketing_opt_in",
+        "CAST('2025-01-01' AS DATE) + CAST(c_custkey % 300 AS INT) AS updated_at",
+        "CASE WHEN c_acctbal < 0 THEN split('email_format,signup_date_not_future', ',') WHEN c_custkey % 10 = 0 THEN split('email_format', ',') END AS quality_warnings",
+    ]),
+    "c_regions": ("region", ["CAST(r_regionkey AS BIGINT) AS region_code", "r_name AS region_name", "CAST(r_regionkey + 2 AS BIGINT) AS base_delivery_days",
+        "substr(r_name, 1, 2) AS country_code", "'Country of ' || r_name AS country_name", "CASE r_regionkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency_code"]),
+    "c_warehouses": ("region", ["CAST(r_regionkey AS BIGINT) AS warehouse_id", "r_name AS warehouse_name", "CAST((r_regionkey + 1) * 1000 AS BIGINT) AS capacity_units", "'City ' || r_name AS city",
+        "CAST(r_regionkey AS BIGINT) AS region_code"]),
     "c_payments": ("orders", [
         "o_orderkey AS order_id", "CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'refunded' ELSE 'captured' END AS payment_status",
         "CAST(CASE o_orderkey % 5 WHEN 1 THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(14,2)) AS amount", "o_orderdate AS paid_at",
@@ -65,10 +79,22 @@ LINE_KEYS, LINE_VERSION = ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_exte
 
 
 class Commerce:
-    """Lazily derived tables of one directory, and the star schema over them."""
+    """Lazily derived tables of one directory, and the star schema over them.
+
+    One object is one run: what several marts read (days of orders, rates, latest lines, facts) is written once, when it is first asked for,
+    and read by all that follow. ``fact_orders`` and ``fact_items`` are plans of their own for a query that is the fact itself;
+    ``orders_once`` and ``items_once`` are the run's tables.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table of this run: written when it is first asked for."""
+        if name not in self._written:
+            self._written[name] = written(build(), name)
+        return self._written[name]
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -83,14 +109,36 @@ class Commerce:
         """Columns of a derived table as text, for jobs that start from text."""
         return self.derived(name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
+    @property
+    def order_days(self) -> DataFrame:
+        """Days and currencies that have orders: calendar, rates and the newest day come from it."""
+        return self.once("order-days", lambda: self.derived("c_orders").select("order_date", "currency").distinct())
+
     @property
     def given_rates(self) -> DataFrame:
-        rows = self.derived("c_orders").select("order_date", "currency").distinct().where("day(order_date) % 7 <> 0")
-        return rows.selectExpr("order_date AS day", "currency", RATE)
+        return self.order_days.where("day(order_date) % 7 <> 0").selectExpr("order_date AS day", "currency", RATE)
 
     @property
     def rates(self) -> DataFrame:
-        return win.dense_rates(self.given_rates, "day", "currency", "usd_per_unit", "USD")
+        return self.once("rates", lambda: win.dense_rates(self.given_rates, "day", "currency", "usd_per_unit", "USD"))
+
+    @property
+    def items(self) -> DataFrame:
+        """Latest lines: every line is deduplicated once a run."""
+        return self.once("items", lambda: self.derived("c_items"))
+
+    @property
+    def orders_once(self) -> DataFrame:
+        return self.once("fact-orders", lambda: star.fact_orders(self.derived("c_orders"), self.items, self.derived("c_payments"), self.rates))
+
+    @property
+    def items_once(self) -> DataFrame:
+        return self.once("fact-items", lambda: star.fact_order_items(self.items, self.heads, self.derived("c_products"), self.rates))
+
+    @property
+    def heads(self) -> DataFrame:
+        """Headers of orders: the fact, once it is written, else what it is made from."""
+        return self._written.get("fact-orders", self.derived("c_orders"))
 
     @property
     def fact_orders(self) -> DataFrame:
@@ -106,15 +154,19 @@ class Commerce:
 
     @property
     def shipping(self) -> DataFrame:
-        return star.fact_shipping(self.derived("c_tracker"), self.derived("c_orders"))
+        return star.fact_shipping(self.derived("c_tracker"), self.heads)
 
     @property
     def dim_product(self) -> DataFrame:
         return star.dim_product(self.derived("c_products"), star.dim_category(self.derived("c_categories")), self.derived("c_suppliers"))
 
+    @property
+    def dim_customer(self) -> DataFrame:
+        return star.dim_customer(self.derived("c_customers"))
+
     @property
     def lines(self) -> DataFrame:
-        return marts.revenue_lines(self.fact_items, self.dim_product, self.derived("c_regions"))
+        return marts.revenue_lines(self.items_once, self.dim_product, self.derived("c_regions"))
 
     @property
     def enriched(self) -> DataFrame:
@@ -124,12 +176,13 @@ class Commerce:
     def dates(self) -> DataFrame:
         from pyspark.sql import functions as F
 
-        bounds = self.derived("c_orders").agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
+        bounds = self.order_days.agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
         return star.dim_date(F.col("lo"), F.col("hi"), bounds)
 
     @property
     def daily(self) -> DataFrame:
-        return marts.daily_sales(self.fact_orders, self.fact_items, self.dates)
+        orders = self.orders_once  # first, so that the lines take their headers from it
+        return marts.daily_sales(orders, self.items_once, self.dates)
 
     @property
     def position(self) -> DataFrame:
@@ -137,7 +190,7 @@ class Commerce:
 
     @property
     def metrics(self) -> DataFrame:
-        return marts.product_metrics(self.dim_product, self.lines, self.derived("c_orders"))
+        return marts.product_metrics(self.dim_product, self.lines, self.order_days)
 
 
 def _cte(name: str) -> str:

@@ -87,7 +87,7 @@ _table("fact_shipping", lambda c: c.shipping, "shipping",
 def _fact_keys(c: Commerce) -> DataFrame:
     """Surrogate keys of all facts: how many differ, and how many of the ids that they stand for."""
     out = None
-    for fact, rows, ids in (("orders", c.fact_orders, "order customer region"), ("order_items", c.fact_items,
+    for fact, rows, ids in (("orders", c.orders_once, "order customer region"), ("order_items", c.items_once,
         "order_item order product category supplier customer region"), ("inventory", c.inventory, "product warehouse supplier"), ("shipping",
         c.shipping, "shipment order customer warehouse region")):
         for name in ids.split():
@@ -115,7 +115,7 @@ _table("dim_hierarchy", lambda c: star.dim_category(c.derived("c_categories")),
 _table("dim_supplier", lambda c: star.dim_supplier(c.derived("c_suppliers")), "c_suppliers", "supplier_id supplier_name country_id")
 _table("int_revenue_lines", lambda c: c.lines, "lines",
     "order_id order_item_id order_date order_month customer_id product_id product_name brand category_name parent_category_name supplier_id supplier_name region_code region_name quantity:i line_total_usd:d line_cost_usd:d gross_margin_usd:d")
-_table("int_period_sales", lambda c: marts.period_sales(c.lines, c.fact_orders), "periods",
+_table("int_period_sales", lambda c: marts.period_sales(c.lines, c.order_days), "periods",
     "product_id as_of_date revenue_last_90d:d revenue_prior_90d:d units_last_90d:i units_prior_90d:i units_last_30d:i")
 _table("int_shipping_enriched", lambda c: c.enriched, "enriched",
     "shipment_id:i order_id:i region_code region_name base_delivery_days:i warehouse_name delivery_days delivered_on_time")
@@ -128,16 +128,15 @@ _table("order_item_agg", lambda c: star.item_totals(c.derived("c_items")), "item
 _table("payment_agg", lambda c: star.payment_totals(c.derived("c_payments")), "payment_totals", "order_id paid_at captured:d refunded:d failed:i")
 _register(
     "dim_customer",
-    lambda c: star.dim_customer(c.derived("c_customers")).drop("customer_key"),
+    lambda c: c.dim_customer.drop("customer_key", "region_key"),
     """
-    SELECT customer_id, first_name, last_name, country_id, first_name || ' ' || last_name AS full_name, CAST(0 AS BIGINT) AS warning_count FROM
-    c_customers
+    SELECT customer_id, first_name || ' ' || last_name AS full_name, email, customer_segment, country_code, region_code, city, signup_date, birth_date,
+    marketing_opt_in, updated_at, coalesce(len(quality_warnings), 0) AS quality_warning_count FROM c_customers
     """,
 )
 _register(
     "dim_warehouse_region",
-    lambda c: star.dim_warehouse(c.derived("c_warehouses")).drop("warehouse_key").unionByName(star.dim_region(c.derived("c_regions").withColumnRenamed("region_code",
-        "region_code")).select(F.col("region_code").alias("warehouse_id"), F.col("region_name").alias("warehouse_name"),
+    lambda c: star.dim_warehouse(c.derived("c_warehouses")).select("warehouse_id", "warehouse_name", "capacity_units").unionByName(star.dim_region(c.derived("c_regions")).select(F.col("region_code").alias("warehouse_id"), F.col("region_name").alias("warehouse_name"),
         F.col("base_delivery_days").alias("capacity_units"))),
     """
     SELECT warehouse_id, warehouse_name, capacity_units FROM c_warehouses UNION ALL SELECT region_code, region_name, base_delivery_days FROM
@@ -180,7 +179,7 @@ _register(
 
 _register(
     "monthly_revenue",
-    lambda c: marts.monthly_revenue(c.daily, c.fact_orders),
+    lambda c: marts.monthly_revenue(c.daily, c.orders_once),
     """
     , m AS (SELECT year_month, min(sales_date) AS month_start, CAST(sum(orders_placed) AS BIGINT) AS orders_placed, CAST(sum(revenue_orders) AS
     BIGINT) AS revenue_orders, CAST(sum(cancelled_orders) AS BIGINT) AS cancelled_orders, CAST(sum(returned_orders) AS BIGINT) AS returned_orders,
@@ -194,15 +193,17 @@ _register(
     LEFT JOIN a USING (year_month)
     """,
 )
+#: Attributes of a customer that the lifetime mart carries.
+_LTV_CUSTOMER = ("customer_id", "full_name", "customer_segment", "country_code", "region_code", "signup_date")
 _register(
     "customer_ltv",
-    lambda c: marts.customer_ltv(c.derived("c_customers"), c.fact_orders),
+    lambda c: marts.customer_ltv(c.dim_customer.select(*_LTV_CUSTOMER), c.orders_once),
     """
     , o AS (SELECT customer_id, count(*) AS total_orders, count(*) FILTER (is_revenue) AS revenue_orders, count(*) FILTER (is_cancelled) AS
     cancelled_orders, count(*) FILTER (is_returned) AS returned_orders, sum(order_total_usd) FILTER (is_revenue) AS rev, sum(refunded_amount_usd) AS
     ref, min(order_date) AS first_order_date, max(order_date) AS last_order_date, CAST(sum(days_since_prev_order) AS DOUBLE) /
-    nullif(count(days_since_prev_order), 0) AS avg_days_between_orders FROM fact_orders GROUP BY customer_id) SELECT c.customer_id, first_name,
-    last_name, country_id, coalesce(total_orders, 0) AS total_orders, coalesce(revenue_orders, 0) AS revenue_orders, coalesce(cancelled_orders, 0) AS
+    nullif(count(days_since_prev_order), 0) AS avg_days_between_orders FROM fact_orders GROUP BY customer_id) SELECT c.customer_id, first_name || ' ' ||
+    last_name AS full_name, customer_segment, country_code, c.region_code, signup_date, coalesce(total_orders, 0) AS total_orders, coalesce(revenue_orders, 0) AS revenue_orders, coalesce(cancelled_orders, 0) AS
     cancelled_orders, coalesce(returned_orders, 0) AS returned_orders, first_order_date, last_order_date, avg_days_between_orders, CASE WHEN
     revenue_orders > 0 THEN CAST(rev AS DOUBLE) / revenue_orders END AS avg_order_value_usd, as_of - last_order_date AS recency_days,
     CAST(coalesce(rev, 0) AS DOUBLE) AS lifetime_revenue_usd, CAST(coalesce(ref, 0) AS DOUBLE) AS lifetime_refunded_usd, CAST(coalesce(rev, 0) -
@@ -224,7 +225,7 @@ _register(
 )
 _register(
     "regional_performance",
-    lambda c: marts.regional_performance(c.fact_orders, c.enriched, c.derived("c_regions")),
+    lambda c: marts.regional_performance(c.orders_once, c.enriched, c.derived("c_regions")),
     """
     , s AS (SELECT region_code, order_month, count(*) FILTER (is_revenue) AS revenue_orders, sum(order_total_usd) FILTER (is_revenue) AS r,
     count(DISTINCT customer_id) FILTER (is_revenue) AS active_customers, count(*) FILTER (is_returned) AS returned_orders FROM fact_orders GROUP BY
@@ -278,7 +279,7 @@ units_sold > 0 THEN ret / units_sold END AS return_rate, CASE WHEN units_receive
 coalesce(ret, 0) AS units_returned FROM c_suppliers LEFT JOIN sp USING (supplier_id) LEFT JOIN rc USING (supplier_id) LEFT JOIN rt USING
 (supplier_id) LEFT JOIN sa USING (supplier_id)) SELECT *, rank() OVER (ORDER BY defect_rate DESC NULLS LAST) AS defect_rank FROM scored
 """
-_supplier_mart = lambda c: marts.supplier_performance(c.derived("c_suppliers"), c.derived("c_products"), c.inventory, c.fact_items, c.lines)
+_supplier_mart = lambda c: marts.supplier_performance(c.derived("c_suppliers").select("supplier_id", "supplier_name", "country_id"), c.derived("c_products"), c.inventory, c.items_once, c.lines)
 _register("supplier_performance", _supplier_mart, _SUPPLIERS)
 _SHIPPING = """
 SELECT region_code, region_name, carrier, order_month, count(*) AS shipments, count(*) FILTER (is_delivered) AS delivered, count(*) FILTER
@@ -316,7 +317,7 @@ _register(
 
 _LTV = _SQL["customer_ltv"]
 _DAILY_TOTALS = "CAST(sum(revenue_usd) AS DOUBLE) AS revenue_usd, CAST(sum(orders_placed) AS BIGINT) AS orders_placed, CAST(sum(gross_margin_usd) AS DOUBLE) AS gross_margin_usd, CAST(sum(units_sold) AS BIGINT) AS units_sold"
-_ltv = lambda c: marts.customer_ltv(c.derived("c_customers"), c.fact_orders)
+_ltv = lambda c: marts.customer_ltv(c.dim_customer.select(*_LTV_CUSTOMER), c.orders_once)
 _turnover = lambda c: marts.inventory_turnover(c.inventory, c.position, c.dim_product, c.metrics)
 _register(
     "read_sales_range",
@@ -369,6 +370,12 @@ _register(
     "SELECT lifecycle_stage, count(*) AS customers, CAST(sum(CAST(net_lifetime_value_usd AS DECIMAL(18,2))) AS DOUBLE) AS net_lifetime_value_usd FROM (" + _LTV + ") GROUP BY 1",
     tables=False,
 )
+_register(
+    "read_customer_segments",
+    lambda c: reads.customer_segments(_ltv(c)),
+    "SELECT customer_segment, count(*) AS customers, round(CAST(sum(CAST(net_lifetime_value_usd AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS avg_net_value_usd FROM (" + _LTV + ") GROUP BY 1",
+    tables=False,
+)
 _register(
     "read_top_customers",
     lambda c: reads.customers_top(_ltv(c)).select("customer_id", "net_lifetime_value_usd", "value_decile"),
@@ -1020,7 +1027,7 @@ _register(
 )
 _register(
     "assert_monthly_matches_daily",
-    lambda c: reads.monthly_against_daily(marts.monthly_revenue(c.daily, c.fact_orders), c.daily),
+    lambda c: reads.monthly_against_daily(marts.monthly_revenue(c.daily, c.orders_once), c.daily),
     """
     SELECT year_month, CAST(sum(revenue_usd) AS DOUBLE) AS monthly_usd, CAST(sum(revenue_usd) AS DOUBLE) AS daily_usd, TRUE AS matches FROM daily
     GROUP BY year_month
@@ -1069,7 +1076,7 @@ _SQL["ask_quarantined"] = f"SELECT rule_id, failed, total, round(failed / total,
 
 # ---- further reads, and the business questions
 
-_monthly = lambda c: marts.monthly_revenue(c.daily, c.fact_orders)
+_monthly = lambda c: marts.monthly_revenue(c.daily, c.orders_once)
 _categories = lambda c: marts.category_revenue(c.lines)
 _MONTHLY_COLUMNS = "year_month, month_start, orders_placed, revenue_orders, revenue_usd, gross_margin_usd, gross_margin_pct, units_sold, active_customers, new_customers, avg_order_value_usd, revenue_mom_growth"
 _over = lambda mart: f"({_SQL[mart]})"
@@ -1101,7 +1108,7 @@ _register(
 )
 _register(
     "read_regions",
-    lambda c: reads.revenue_by_region(marts.regional_performance(c.fact_orders, c.enriched, c.derived("c_regions"))),
+    lambda c: reads.revenue_by_region(marts.regional_performance(c.orders_once, c.enriched, c.derived("c_regions"))),
     f"SELECT region_name, CAST(sum(CAST(revenue_usd AS DECIMAL(18,2))) AS DOUBLE) AS revenue_usd, round({_weighted('avg_delivery_days', 'shipments')}, 6) AS delivery_days FROM {_over('regional_performance')} GROUP BY 1",
         
     tables=False,
@@ -1123,10 +1130,8 @@ _register(
 )
 _register(
     "ask_top_customers",
-    lambda c: reads.customers_top(_ltv(c)).select("customer_id", "full_name", "total_orders", "net_lifetime_value_usd", "lifecycle_stage")
-        if "full_name" in _ltv(c).columns else reads.customers_top(_ltv(c)).select("customer_id", "total_orders", "net_lifetime_value_usd",
-        "lifecycle_stage"),
-    f"SELECT customer_id, total_orders, net_lifetime_value_usd, lifecycle_stage FROM {_over('customer_ltv')} ORDER BY net_lifetime_value_usd DESC, customer_id LIMIT 20",
+    lambda c: reads.customers_top(_ltv(c)).select("customer_id", "full_name", "total_orders", "net_lifetime_value_usd", "lifecycle_stage"),
+    f"SELECT customer_id, full_name, total_orders, net_lifetime_value_usd, lifecycle_stage FROM {_over('customer_ltv')} ORDER BY net_lifetime_value_usd DESC, customer_id LIMIT 20",
     tables=False,
 )
 _register(
@@ -1162,8 +1167,8 @@ _register(
 
 def _warehouse_tables(c: Commerce) -> dict[str, DataFrame]:
     return {
-        "fact_orders": c.fact_orders, "fact_order_items": c.fact_items, "fact_inventory": c.inventory, "fact_shipping": c.shipping,
-            "dim_customer": c.derived("c_customers").withColumn("email", F.expr("CASE WHEN customer_id % 10 > 0 THEN first_name END")),
+        "fact_orders": c.orders_once, "fact_order_items": c.items_once, "fact_inventory": c.inventory, "fact_shipping": c.shipping,
+            "dim_customer": c.dim_customer,
         "dim_product": c.dim_product, "dim_region": c.derived("c_regions"), "dim_warehouse": c.derived("c_warehouses"),
             "dim_category": star.dim_category(c.derived("c_categories")), "dim_supplier": c.derived("c_suppliers"),
     }
@@ -1174,20 +1179,49 @@ def _mart_tables(c: Commerce) -> dict[str, DataFrame]:
         "daily_sales": c.daily, "monthly_revenue": _monthly(c), "customer_ltv": _ltv(c), "product_metrics": c.metrics,
             "category_revenue": _categories(c), "inventory_turnover": _turnover(c), "supplier_performance": _supplier_mart(c),
             "shipping_performance": marts.shipping_performance(c.enriched),
-        "regional_performance": marts.regional_performance(c.fact_orders, c.enriched, c.derived("c_regions")),
+        "regional_performance": marts.regional_performance(c.orders_once, c.enriched, c.derived("c_regions")),
             "warehouse_performance": marts.warehouse_performance(c.derived("c_warehouses"), c.position, c.inventory, c.enriched),
-            "dim_customer": c.derived("c_customers"),
+            "dim_customer": c.dim_customer,
     }
 
 
 _WAREHOUSE_SQL = {
     "fact_orders": "fact_orders", "fact_order_items": "fact_items", "fact_inventory": "inventory", "fact_shipping": "shipping",
-        "dim_customer": "(SELECT *, CASE WHEN customer_id % 10 > 0 THEN first_name END AS email FROM c_customers)",
+        "dim_customer": "c_customers",
     "dim_product": "products", "dim_region": "c_regions", "dim_warehouse": "c_warehouses", "dim_category": "categories", "dim_supplier": "c_suppliers",
 }
 _MART_SQL = {m: _over(m) for m in ("daily_sales", "monthly_revenue", "customer_ltv", "product_metrics", "category_revenue", "inventory_turnover",
     "supplier_performance", "shipping_performance", "regional_performance", "warehouse_performance")} | {"dim_customer": "c_customers"}
 _register("warehouse_checks", lambda c: checks.run(checks.WAREHOUSE, _warehouse_tables(c)), checks.sql(checks.WAREHOUSE, _WAREHOUSE_SQL))
+
+
+def _source_tables(c: Commerce) -> dict[str, DataFrame]:
+    return _warehouse_tables(c) | {"agg_inventory_position": c.position}
+
+
+def _intermediate_tables(c: Commerce) -> dict[str, DataFrame]:
+    key = lambda rows, name, of: rows.withColumn(name, fn.surrogate_key(F.col(of)))
+    orders, lines = c.orders_once, c.lines
+    return {
+        "int_revenue_lines": key(lines, "order_item_key", "order_item_id"), "int_product_period_sales": key(marts.period_sales(lines, c.order_days), "product_key", "product_id"),
+        "int_customer_orders": key(marts.customer_orders(orders), "customer_key", "customer_id"), "int_shipping_enriched": key(c.enriched, "shipment_key", "shipment_id"),
+    }
+
+
+#: DuckDB makes no surrogate keys; they stand for their ids one to one, so ids are tested in their place.
+_SOURCE_SQL = {
+    "dim_customer": "(SELECT *, customer_id AS customer_key FROM c_customers)", "dim_product": "(SELECT *, product_id AS product_key FROM products)",
+    "fact_orders": "(SELECT *, order_id AS order_key, customer_id AS customer_key FROM fact_orders)", "fact_shipping": "(SELECT *, shipment_id AS shipment_key FROM shipping)",
+    "fact_order_items": "(SELECT *, order_item_id AS order_item_key, product_id AS product_key, order_id AS order_key FROM fact_items)",
+    "fact_inventory": "(SELECT *, event_id AS inventory_event_key FROM inventory)",
+    "agg_inventory_position": "(SELECT *, CAST(product_id AS VARCHAR) || '|' || CAST(warehouse_id AS VARCHAR) AS position_key FROM position)",
+}
+_INTERMEDIATE_SQL = {
+    "int_revenue_lines": "(SELECT *, order_item_id AS order_item_key FROM lines)", "int_product_period_sales": "(SELECT *, product_id AS product_key FROM periods)",
+    "int_customer_orders": "(SELECT DISTINCT customer_id AS customer_key FROM fact_orders)", "int_shipping_enriched": "(SELECT *, shipment_id AS shipment_key FROM enriched)",
+}
+_register("source_tests", lambda c: checks.run(checks.SOURCES, _source_tables(c)), SQL_TABLES + checks.sql(checks.SOURCES, _SOURCE_SQL), tables=False)
+_register("intermediate_tests", lambda c: checks.run(checks.INTERMEDIATE, _intermediate_tables(c)), SQL_TABLES + checks.sql(checks.INTERMEDIATE, _INTERMEDIATE_SQL), tables=False)
 _register("mart_tests", lambda c: checks.run(checks.MARTS, _mart_tables(c)), checks.sql(checks.MARTS, _MART_SQL))
 _register(
     "freshness_pair",
@@ -1236,9 +1270,9 @@ _register(
 def _written_fact(c: Commerce) -> DataFrame:
     """A fact written by month, then some months again: what the second write reports."""
     path = scratch(c.spark, "fact")
-    merge.write_with_stats(c.fact_orders, path, "fact_orders", "order_month")
+    merge.write_with_stats(c.orders_once, path, "fact_orders", "order_month")
     months = ["1996-02", "1998-11", "2001-07"]
-    return merge.write_with_stats(star.only_months(c.fact_orders, "order_month", months), path, "fact_orders", "order_month", months)
+    return merge.write_with_stats(star.only_months(c.orders_once, "order_month", months), path, "fact_orders", "order_month", months)
 
 
 _register(
@@ -1293,7 +1327,7 @@ _DOUBLES = ("_usd", "_local", "unit_cost", "unit_price", "unit_margin")
 
 def _staged(c: Commerce, name: str) -> DataFrame:
     """A staging table without the surrogate keys, whose values only one engine makes."""
-    tables = _warehouse_tables(c) | {"dim_date": c.dates, "agg_inventory_position": c.position, "dim_customer": star.dim_customer(c.derived("c_customers"))}
+    tables = _warehouse_tables(c) | {"dim_date": c.dates, "agg_inventory_position": c.position}
     return staging.stage(name, tables[staging.STAGING[name][0]]).select(*[new for new, _ in _plain_columns(name)])
 
 
@@ -1301,11 +1335,9 @@ def _plain_columns(name: str) -> list[tuple[str, str]]:
     return [(new, old) for new, old in staging.columns(name) if not new.endswith("_key") or new in ("date_key", "order_date_key")]
 
 
-#: Columns that the derived tables lack.
+#: When rows were loaded is no property of the given tables.
 _LACKING = {
-    "stg_customers": ("customer_segment", "country_code", "region_code", "city", "signup_date", "marketing_opt_in"),
-    "stg_order_items": ("_loaded_at",), "stg_orders": ("_loaded_at",), "stg_products": ("sku", "is_active"), "stg_regions": ("country_code", "country_name", "currency_code"),
-    "stg_suppliers": ("country_code", "region_code", "lead_time_days", "quality_tier", "is_active"), "stg_warehouses": ("city", "region_code"),
+    "stg_order_items": ("_loaded_at",), "stg_orders": ("_loaded_at",),
 }
 
 
