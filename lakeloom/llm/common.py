@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import pathlib
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,20 +52,45 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
+
+
+def materialize(df: DataFrame, label: str, compression: str = "snappy", scoped: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The plan that follows starts from files that every executor sees, so a lost executor costs only its own tasks and
-    no expensive stage runs twice. Spark's file commit makes retried tasks safe. The files go when the session ends.
+    no expensive stage runs twice. Spark's file commit makes retried tasks safe. The files go when the session ends, or with the
+    ``dropped_after`` around, unless they aren't ``scoped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    files, jvm_path = _files(spark, path)
+    files.deleteOnExit(jvm_path)
+    if scoped and _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
+@contextlib.contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside go at the end: for steps whose result has been written by then."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        paths = _SCOPE.get() or []
+        _SCOPE.reset(token)
+        for path in paths:
+            files, jvm_path = _files(spark, path)
+            files.delete(jvm_path, True)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Each of ``names``, lengthened until no column is called so: for helper columns beside columns of any name."""
     taken, out = {c.lower() for c in columns}, []

@@ -58,6 +58,8 @@ TEMPLATES = (
 )
 #: Words of a k-gram; diagonals this near each other are one alignment; share of a notice's words that it must cover.
 K, DRIFT, COVER = 3, 2, 0.7
+#: Most words of all notices together: their k-grams are broadcast.
+NOTICE_WORDS = 200_000
 WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -116,6 +118,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, k: int = K, drift: int = DRIFT, c
     Null and empty texts have no words, places or labels. Rows with one id are rows of their own.
     """
     spark = docs.sparkSession
+    if sum(len(text.split()) for _, text in templates) > NOTICE_WORDS:
+        raise ValueError(f"notices of more than {NOTICE_WORDS} words: they are broadcast")
     grams = template_grams(spark, templates, k)
     hashes = [r["gram"] for r in grams.select("gram").distinct().collect()]  # bounded by the notices' words
 

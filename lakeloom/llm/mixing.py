@@ -67,12 +67,13 @@ def mix_documents(docs: DataFrame, seed: int = 7, **shares) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; columns stay. Every repeat is a row of its own.
 
     The plan is made on ids and sizes; texts are shuffled once, to meet their number of copies. Rows that are equal in
-    all columns are interchangeable: their copies are added up and emitted from one of them. A table without a
-    ``source`` column counts as one source.
+    all columns are interchangeable: their copies are added up and emitted from one of them; maps are compared by their entries in order. A table
+    without a ``source`` column counts as one source. Ids are cast to long.
     """
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]  # maps have no hash
     k1, k2, number, place, copy = unused(docs.columns, "_k1", "_k2", "_copies", "_place", "_copy")
-    key = {k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), k2: F.xxhash64(*docs.columns)}
+    key = {k1: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")), k2: F.xxhash64(*plain)}
     sized = docs.select(F.col("doc_id"), source.alias("source"), word_count(F.col("text")).alias("size"), *[c.alias(k) for k, c in key.items()])
     copies = mix_plan(sized, seed=seed, tie=k2, **shares).groupBy(k1, k2).agg(F.sum("copies").cast("int").alias(number)).where(F.col(number) > 0)
     met = docs.withColumns(key).join(copies, [k1, k2])

@@ -75,6 +75,19 @@ def test_mix_documents_emits_copies(spark):
     assert mixing.mix_documents(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_mixing_with_columns_that_have_no_hash(spark):
+    rows = [(i, f"t {i} " * 9, "s", {"a": i}, [{"x": "y"}]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.map` map<string,int>, deep array<map<string,string>>")
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns and {r["a.map"]["a"] for r in out.collect()} <= set(range(20)) and out.count() >= 20
+
+
+def test_notices_beyond_the_bound_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "NOTICE_WORDS", 10)
+    with pytest.raises(ValueError, match="broadcast"):
+        licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), (("x", "w " * 11),))
+
+
 @pytest.mark.parametrize("text", [None, "", " ", "a", " a", "a ", "\ta\n b\r\x0b\x0c", "a\xa0b c", "\n\n"])
 def test_word_count(spark, text):
     df = spark.createDataFrame([(text,)], "t string")

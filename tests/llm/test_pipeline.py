@@ -1,6 +1,7 @@
 """The pipeline: every stage and the whole against brute force, and on odd tables."""
 
 import collections
+import pathlib
 import random
 import re
 import zlib
@@ -9,8 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lakeloom.llm import mixing, packing, quality, tokens
-from lakeloom.llm.common import materialize
+from lakeloom.llm import common, mixing, packing, quality, tokens
+from lakeloom.llm.common import dropped_after, materialize
 from tests.conftest import SF
 from tests.llm.test_native import WORD, water_fill, without_later_copies
 
@@ -193,3 +194,15 @@ def test_stages_on_odd_tables(spark):
             assert len(got) == 5 and sum(re.search(r"\S", t or "") is not None for _, t in got) == 2
         if name == "mix_sources":
             assert all(t for _, t in got)
+
+
+def test_tables_of_a_step_go_when_its_result_stands(spark, folder, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: folder)
+    with dropped_after(spark):
+        inner = materialize(spark.range(5), "inner")
+        result = materialize(inner.where("id > 1"), "result", scoped=False)
+    assert result.count() == 3 and [p.name.split("-")[0] for p in pathlib.Path(folder).iterdir()] == ["result"]
+    with pytest.raises(ValueError), dropped_after(spark):
+        materialize(spark.range(5), "inner")
+        raise ValueError
+    assert len(list(pathlib.Path(folder).iterdir())) == 1
