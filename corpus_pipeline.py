@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import linededup, mixing, neardup, packing, quality
 from lakeloom.llm import tokens as tok
-from lakeloom.llm.common import materialize, table
+from lakeloom.llm.common import dropped_after, materialize, table
 
 #: Tokenizer of the packing stage; hundredths of similarity from which documents are near copies.
 TOKENIZER, PERCENT = "word_bpe_49k.json", 80
@@ -51,10 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as parquet to the shared folder and read again."""
+    """All stages over ``documents``; each result is written as parquet to the shared folder and read again, and what a stage wrote on its
+    way there goes when its result stands. The last stage is the caller's to write."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}", "zstd")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with dropped_after(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", "zstd", scoped=False)
+    return STAGES[-1][1](spark, docs, sf_dir)

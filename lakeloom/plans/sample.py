@@ -138,7 +138,7 @@ class Commerce:
     @property
     def heads(self) -> DataFrame:
         """Headers of orders: the fact, once it is written, else what it is made from."""
-        return self._written.get("fact-orders", self.derived("c_orders"))
+        return self._written["fact-orders"] if "fact-orders" in self._written else self.derived("c_orders")
 
     @property
     def fact_orders(self) -> DataFrame:
