@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.sources import quoted
+
 #: Texts that count as null in CSV deliveries.
 NULL_TOKENS = ("", "NULL", "null", "NaN", "nan")
 #: Columns of a tracker log line, in order; other keys follow by name.
@@ -20,11 +23,11 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: Sequence[str] | None = None, multiline: bool | str = True) -> DataFrame:
     """All-text rows of CSV files with a header, and ``_source_file``.
 
-    Line feeds may stand in quoted values; a file is then read by one task. Without them, ``multiline=False`` lets Spark split large
-    files. A file without a header and a header that names a column twice are errors.
+    Line feeds may stand in quoted values: records are found in all splits of a file at once. ``multiline="file"`` reads each
+    file by one task instead (many small files), and where no value holds a line feed ``multiline=False`` is cheapest. A file without a header and a header that names a column twice are errors.
     Only the first line is read beforehand; ``columns`` spares that.
     """
     if columns is None:
@@ -34,7 +37,14 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", columns: Sequ
         columns = [c.strip().strip('"') for c in head[0][0].lstrip("﻿").split(delimiter)]
     if len(set(columns)) != len(columns):
         raise ValueError(f"{path}: column named twice in {columns}")
-    rows = spark.read.schema(_text_schema(columns)).options(header=True, multiLine=multiline, sep=delimiter, escape='"', enforceSchema=False).csv(path)
+    if multiline is True:
+        row = F.from_csv(F.regexp_replace("record", "^\ufeff", ""), ", ".join(f"`{c}` STRING" for c in columns), {"sep": delimiter, "escape": '"'})
+        wrong = F.raise_error(F.concat(F.lit("other header in "), F.col("source")))
+        same = reduce(lambda a, b: a & b, [F.trim(F.col(f"row.`{c}`")).eqNullSafe(F.lit(c)) for c in columns])
+        found = quoted.records(spark, path, delimiter).withColumn("row", row)
+        body = found.where(F.when(~F.col("head"), F.lit(True)).when(same, F.lit(False)).otherwise(wrong.cast("boolean")))
+        return body.select(*[F.when(~F.col(f"row.`{c}`").isin(*NULL_TOKENS), F.col(f"row.`{c}`")).alias(c) for c in columns], F.col("source").alias("_source_file"))
+    rows = spark.read.schema(_text_schema(columns)).options(header=True, multiLine=multiline == "file", sep=delimiter, escape='"', enforceSchema=False).csv(path)
     return rows.select(*[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in columns], F.col("_metadata.file_path").alias("_source_file"))
 
 
@@ -70,7 +80,7 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their number in their file. Large files are read in splits.
 
     A line's number is its place in its split plus the lines of the file's earlier splits; these come from a first pass that keeps
-    one row per split, so no line is shuffled. Both passes plan the same splits, since they read the same files.
+    one row per split, which goes to every task, so no line is shuffled. Both passes plan the same splits, since they read the same files.
     """
     at = F.col("_metadata.file_block_start")
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_source_file"), at.alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
@@ -78,7 +88,7 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("_source_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
     number = (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("long").alias("_row_number")
-    return lines.join(splits, ["_source_file", "_at"]).select("_source_file", number, "value")
+    return lines.join(F.broadcast(splits), ["_source_file", "_at"]).select("_source_file", number, "value")
 
 
 def good(parsed: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -93,9 +103,12 @@ def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("fields").isNull()).select(*keep, F.lit("not a JSON object").alias("error"))
 
 
-def key_union(parsed: DataFrame) -> list[str]:
-    """All keys that any row has, sorted: the schema of the delivery."""
-    return sorted(r[0] for r in parsed.select(F.explode(F.map_keys("fields"))).distinct().collect())
+def key_union(parsed: DataFrame, most: int = 10_000) -> list[str]:
+    """All keys that any row has, sorted: the schema of the delivery. More than ``most`` keys are no schema (ids as keys, say) and an error."""
+    keys = [r[0] for r in parsed.select(F.explode(F.map_keys("fields"))).distinct().limit(most + 1).collect()]
+    if len(keys) > most:
+        raise ValueError(f"more than {most} different keys")
+    return sorted(keys)
 
 
 def parse_log(lines: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Readers, drift, landing and the ledger on tiny files."""
 
 import pathlib
+import random
 
 import pytest
 from pyspark.sql.utils import AnalysisException  # noqa: F401
 
-from lakeloom.sources import landing, readers
+from lakeloom.sources import landing, quoted, readers
 
 
 def put(folder, name, text):
@@ -106,3 +107,52 @@ def test_reference_documents_are_counted_in_the_ledger(spark, folder):
     assert {r["source_file"]: (r["rows"], r["rejected"]) for r in new.collect()} == {"a": (2, 2), "b": (0, 1), "c": (0, 1), "d": (0, 0)}
     got = {(r["currency_code"], r["usd"], r["rate_date"]) for r in readers.read_bronze(spark, f"{folder}/rates", ["b1"], []).collect()}
     assert got == {("EUR", "1.1", "2026-01-01"), ("GBP", None, "2026-01-01")}
+
+
+def csv_of(rnd, n):
+    """A file of quoted and plain values with line feeds, doubled quotes, separators, empty values and carriage returns in quotes."""
+    parts = ["a", "x y", '""', "\n", ",", "é", "", "\n\n", '"",""', "b,c\n"]
+    value = lambda: "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6)))
+    cell = lambda: f'"{value()}"' if rnd.random() < 0.6 else rnd.choice(["", "plain", "5", "it's", 'in"ner', "NULL"])
+    return "id,v,w\n" + "".join(f"{i},{cell()},{cell()}\n" for i in range(n))
+
+
+@pytest.mark.parametrize("size", ["128m", "97b", "700b"])
+def test_csv_records_in_splits_equal_the_reader_of_whole_files(spark, folder, size):
+    rnd = random.Random(len(size))
+    for k in range(3):
+        put(folder, f"{k}.csv", csv_of(rnd, 150))
+    put(folder, "long.csv", 'id,v,w\n1,"' + "long \n" * 300 + '",x\n2,"y\n",\n')
+    put(folder, "crlf.csv", 'id,v,w\r\n7,"a",b\r\n8,"c",d\r\n')
+    put(folder, "open.csv", "id,v,w\n9,z,z")
+    want = readers.read_csv(spark, folder, columns=["id", "v", "w"], multiline="file")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    got = readers.read_csv(spark, folder, columns=["id", "v", "w"])
+    rows = lambda df: sorted(map(str, df.collect()))
+    try:
+        assert rows(got) == rows(want) and got.count() > 450
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_state_after_a_line():
+    after = quoted.after_line
+    assert [after(x, False, ",") for x in ('a,"b', 'a,"b"', 'a"b', '"', '""', '"""', '"a""', 'a,"b","c', "", ',"', '"a"b"c,"d')] == [
+        True, False, False, True, False, True, True, True, False, True, True]
+    assert [after(x, True, ",") for x in ("a", 'a"', 'a"",b', 'a","', '"', '""', "")] == [True, False, True, True, False, True, True]
+
+
+def test_headers_that_differ_are_errors(spark, folder):
+    put(folder, "a.csv", "id,v\n1,2\n")
+    put(folder, "b.csv", "id,w\n1,2\n")
+    with pytest.raises(Exception, match="other header"):
+        readers.read_csv(spark, folder, columns=["id", "v"]).collect()
+    marked = put(folder, "bom.txt", "\ufeffid,v\n3,4\n")
+    assert [(r["id"], r["v"]) for r in readers.read_csv(spark, marked).collect()] == [("3", "4")]
+
+
+def test_a_delivery_with_ids_as_keys_is_an_error(spark):
+    parsed = spark.range(30).selectExpr("map(concat('k', id), 'v') AS fields")
+    assert len(readers.key_union(parsed)) == 30
+    with pytest.raises(ValueError, match="more than 20"):
+        readers.key_union(parsed, 20)
