@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeloom.sources import quoted
+from lakeloom.sources import jsonblocks, quoted
 
 #: Texts that count as null in CSV deliveries.
 NULL_TOKENS = ("", "NULL", "null", "NaN", "nan")
@@ -53,12 +53,17 @@ def _as_map(c: Column) -> Column:
     return F.from_json(c, "map<string,string>", {"mode": "PERMISSIVE"})
 
 
-def read_json_document(spark: SparkSession, path: str, array_key: str) -> DataFrame:
+def read_json_document(spark: SparkSession, path: str, array_key: str, whole: bool = False) -> DataFrame:
     """Elements of the array ``array_key`` of JSON documents: ``_source_file``, ``_row_number`` (from 1), ``raw`` and ``fields`` (null for a reject).
 
-    A file that isn't an object with that array is an error when the rows are read. A document is one row until it
-    is exploded; feeds beyond the memory of a task should come as NDJSON.
+    A file that isn't an object with that array is an error when the rows are read. Documents of any length are cut in splits; with
+    ``whole`` a document is one row until it is exploded (many small files, or a key with a comma).
     """
+    if not whole:
+        found = jsonblocks.elements(spark, path, array_key)
+        alike = F.coalesce(F.get(F.from_json(F.concat(F.lit("["), "raw", F.lit("]")), "array<string>"), F.lit(0)), "raw")  # as an element of a parsed array
+        each = found.select(F.col("source").alias("_source_file"), F.col("nth").cast("long").alias("_row_number"), alike.alias("raw"))
+        return each.withColumn("fields", _as_map(F.when(F.trim("raw").startswith("{"), F.col("raw"))))
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_source_file"), _as_map(F.col("value"))[array_key].alias("a"))
     items = F.from_json(F.coalesce("a", F.raise_error(F.concat(F.lit(f"no array {array_key!r} in "), F.col("_source_file"))).cast("string")), "array<string>")
     each = docs.select("_source_file", F.posexplode(items).alias("p", "raw"))

@@ -1,5 +1,6 @@
 """Readers, drift, landing and the ledger on tiny files."""
 
+import json
 import pathlib
 import random
 
@@ -156,3 +157,34 @@ def test_a_delivery_with_ids_as_keys_is_an_error(spark):
     assert len(readers.key_union(parsed)) == 30
     with pytest.raises(ValueError, match="more than 20"):
         readers.key_union(parsed, 20)
+
+
+def json_of(rnd, n):
+    """A document with nested values, strings that hold brackets, commas and quotes, other arrays and objects, and white space."""
+    text = lambda: "".join(rnd.choice(["a", ",", "[", "]", "{", "}", '"', "\\", "é", "items", ":", "\n"]) for _ in range(rnd.randint(0, 8)))
+    item = lambda d=0: rnd.choice([lambda: {text(): text(), "n": rnd.randint(0, 9)}, lambda: {"items": [text(), {"x": [1, [2, text()]]}]}, text, lambda: 5,
+        lambda: [text(), []], lambda: None, lambda: {}])()
+    doc = {"before": {"items": [1, {"items": [2]}]}, "items ": [9], text() + "k": text(), "items": [item() for _ in range(n)], "after": [{"items": [3, 4]}, "[", 'x"items":[']}
+    return json.dumps(doc, indent=rnd.choice([None, 1]), ensure_ascii=rnd.random() < 0.5)
+
+
+@pytest.mark.parametrize("size", ["128m", "61b", "500b"])
+def test_json_elements_in_splits_equal_the_reader_of_whole_documents(spark, folder, size):
+    rnd = random.Random(len(size))
+    for k, n in enumerate((0, 1, 2, 60, 200)):
+        put(folder, f"{k}.json", json_of(rnd, n))
+    put(folder, "long.json", '{"items": [ {"a": "' + "long, [ " * 400 + '"} , 7 ]\n}\n')
+    rows = lambda df: sorted((r["_source_file"], r["_row_number"], r["raw"], str(r["fields"])) for r in df.collect())
+    want = rows(readers.read_json_document(spark, folder, "items", whole=True).where("raw IS NOT NULL"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = rows(readers.read_json_document(spark, folder, "items").where("raw IS NOT NULL AND raw <> 'null'"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want and len(got) > 200
+
+
+@pytest.mark.parametrize("text", ['{"x":[1]}', '{"items":5}', '{"items":[1,2', '["items",[1]]', '{"items":{"a":[1]}}', '{"y":{"items":[1]}}', '{"items":["a'])
+def test_documents_without_the_array_are_errors(spark, folder, text):
+    with pytest.raises(Exception, match="no array"):
+        readers.read_json_document(spark, put(folder, "a.json", text), "items").collect()
