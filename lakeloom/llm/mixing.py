@@ -78,7 +78,7 @@ def mix_documents(docs: DataFrame, seed: int = 7, **shares) -> DataFrame:
     copies = mix_plan(sized, seed=seed, tie=k2, **shares).groupBy(k1, k2).agg(F.sum("copies").cast("int").alias(number)).where(F.col(number) > 0)
     met = docs.withColumns(key).join(copies, [k1, k2])
     once = met.withColumn(place, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(0)))).where(F.col(place) == 1)
-    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(*docs.columns)
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
