@@ -1,4 +1,4 @@
-"""Window operators over keyed, ordered rows."""
+"""Window operators over keyed, ordered rows, for groups of a known bound (an order, days of a calendar); ``prefix`` has those for groups of any size."""
 
 from __future__ import annotations
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom import functions as fn
-from lakeloom.operators import ordered
+from lakeloom.operators import distinct, ordered, prefix
 from lakeloom.operators import windows as win
+from lakeloom.operators.scratch import written
 
 #: Parameters of the marts.
 DECLINING, LOW_STOCK_DAYS, ACTIVE_DAYS, RISK_DAYS = 0.7, 14, 90, 180
@@ -80,30 +81,40 @@ def shipping_enriched(shipments: DataFrame, regions: DataFrame, warehouses: Data
     return out.withColumn("delivered_on_time", fn.sla_flag(F.col("delivery_days"), F.col("base_delivery_days")))
 
 
-def daily_sales(orders: DataFrame, items: DataFrame, dates: DataFrame) -> DataFrame:
-    """One row per day of the calendar that has orders."""
+def active_sets(orders: DataFrame) -> DataFrame:
+    """For each day (and its month) the set of customers with revenue; coarser spans are counted by merging these."""
+    return distinct.id_sets(orders.where("is_revenue"), ["order_date", "order_month"], "customer_id")
+
+
+def daily_sales(orders: DataFrame, items: DataFrame, dates: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """One row per day of the calendar that has orders. ``active`` are the ``active_sets`` of ``orders``, where they have been written.
+
+    A customer has one first order, so new customers are counted as rows.
+    """
+    buyers = distinct.set_sizes(active_sets(orders) if active is None else active, ["order_date"], "active_customers")
     zero = F.lit("0").cast("decimal(18,2)")
     lines = items.where("is_revenue").groupBy("order_date").agg(F.sum("gross_margin_usd").alias("gross_margin_usd"), F.sum("quantity").alias("units_sold"))
     days = orders.groupBy("order_date").agg(
         F.count(F.lit(1)).alias("orders_placed"), _n(F.col("is_revenue"), "revenue_orders"), _n(F.col("is_cancelled"), "cancelled_orders"),
             _n(F.col("is_returned"), "returned_orders"),
-        F.countDistinct(F.when(F.col("is_revenue"), F.col("customer_id"))).alias("active_customers"), F.countDistinct(F.when(F.col("is_first_order"),
-            F.col("customer_id"))).alias("new_customers"),
+        _n(F.col("is_first_order") & F.col("customer_id").isNotNull(), "new_customers"),
         F.coalesce(_sum_if("is_revenue", "order_total_usd"), zero).alias("revenue_usd"), F.coalesce(_sum_if("is_revenue", "discount_usd"),
             zero).alias("discount_usd"), F.coalesce(F.sum("refunded_amount_usd"), zero).alias("refunded_usd"),
     )
-    out = days.join(dates.select(F.col("full_date").alias("order_date"), "year_month", "is_weekend"), "order_date").join(lines, "order_date", "left")
+    out = days.join(dates.select(F.col("full_date").alias("order_date"), "year_month", "is_weekend"), "order_date").join(lines, "order_date", "left").join(buyers, "order_date", "left")
+    out = out.withColumn("active_customers", F.coalesce("active_customers", F.lit(0).cast("long")))
     out = out.withColumn("gross_margin_usd", F.coalesce("gross_margin_usd", zero)).withColumn("units_sold", F.coalesce("units_sold", F.lit(0)).cast("long"))
     return out.withColumn("avg_order_value_usd", fn.ratio(F.col("revenue_usd"), F.col("revenue_orders"))).withColumnRenamed("order_date", "sales_date")
 
 
-def monthly_revenue(daily: DataFrame, orders: DataFrame) -> DataFrame:
-    """Roll-up of days; active customers are counted anew, since one may buy on several days."""
+def monthly_revenue(daily: DataFrame, orders: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """Roll-up of days; active customers, who may buy on several days, by merging the days' sets (see ``daily_sales``)."""
     summed = ("orders_placed", "revenue_orders", "cancelled_orders", "returned_orders", "revenue_usd", "gross_margin_usd", "discount_usd",
         "refunded_usd", "units_sold", "new_customers")
     months = daily.groupBy("year_month").agg(F.min("sales_date").alias("month_start"), *[F.sum(c).alias(c) for c in summed])
-    active = orders.where("is_revenue").groupBy(F.col("order_month").alias("year_month")).agg(F.countDistinct("customer_id").alias("active_customers"))
-    out = months.join(active, "year_month", "left")
+    buyers = distinct.set_sizes(active_sets(orders) if active is None else active, ["order_month"], "active_customers").withColumnRenamed("order_month", "year_month")
+    months = months.join(buyers, "year_month", "left")
+    out = months.withColumn("active_customers", F.when(F.col("revenue_orders") > 0, F.coalesce("active_customers", F.lit(0).cast("long"))))
     out = out.withColumn("gross_margin_pct", fn.ratio(F.col("gross_margin_usd"), F.col("revenue_usd"))).withColumn("avg_order_value_usd",
         fn.ratio(F.col("revenue_usd"), F.col("revenue_orders")))
     return win.change_from_previous(out, "year_month", "revenue_usd", "prev_month_revenue_usd", "revenue_mom_growth")
@@ -230,15 +241,24 @@ def supplier_performance(suppliers: DataFrame, products: DataFrame, inventory: D
 
 
 def shipping_performance(shipments: DataFrame) -> DataFrame:
-    """Region, carrier and month: counts, mean, median and 90th percentile of days, rates."""
-    done = F.when(F.col("is_delivered"), F.col("delivery_days"))
-    return shipments.groupBy("region_code", "region_name", "carrier", "order_month").agg(
-        F.count(F.lit(1)).alias("shipments"), _n(F.col("is_delivered"), "delivered"), _n(F.col("had_exception"), "exceptions"),
-            _n(F.col("is_returned"), "returned"), _mean(done).alias("avg_delivery_days"),
-        F.round(F.percentile(done, 0.5), 6).alias("median_delivery_days"), F.round(F.percentile(done, 0.9), 6).alias("p90_delivery_days"),
-            _rate(F.col("delivered_on_time"), F.col("is_delivered")).alias("on_time_rate"), _rate(F.col("had_exception")).alias("exception_rate"),
-            F.max("base_delivery_days").alias("sla_days"),
-    )
+    """Region, carrier and month: counts, mean, median and 90th percentile of days, rates.
+
+    Shipments are counted by group and days first, with map-side combine; percentiles are picked by rank from these counts, so that no
+    task holds the values of a group, and all else are sums of them.
+    """
+    keys, done = ["region_code", "region_name", "carrier", "order_month"], F.when(F.col("is_delivered"), F.col("delivery_days"))
+    facts = {"shipments": F.lit(True), "delivered": F.col("is_delivered"), "exceptions": F.col("had_exception"), "returned": F.col("is_returned"),
+        "_on_time": F.col("delivered_on_time") & F.col("is_delivered"), "_timed": done.isNotNull()}
+    counted = written(shipments.groupBy(*keys, done.alias("_days")).agg(*[_n(v, k) for k, v in facts.items()],
+        F.sum(done.cast("decimal(18,2)")).alias("_sum"), F.max("base_delivery_days").alias("sla_days")), "delivery-days")
+    out = counted.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in facts], F.sum("_sum").alias("_sum"), F.max("sla_days").alias("sla_days"))
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of))
+    out = out.select(*keys, "shipments", "delivered", "exceptions", "returned", F.when(F.col("_timed") > 0, F.col("_sum").cast("double") / F.col("_timed")).alias("avg_delivery_days"),
+        share("_on_time", "delivered").alias("on_time_rate"), share("exceptions", "shipments").alias("exception_rate"), "sla_days")
+    points = prefix.percentiles(counted, keys, "_days", "_timed", {"median_delivery_days": 0.5, "p90_delivery_days": 0.9})
+    points = points.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[F.round(c, 6).alias(c) for c in ("median_delivery_days", "p90_delivery_days")])
+    same = [out[k].eqNullSafe(points[f"_of_{k}"]) for k in keys]
+    return out.join(points, same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def order_lines_workload(items: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:

@@ -182,7 +182,12 @@ class Commerce:
     @property
     def daily(self) -> DataFrame:
         orders = self.orders_once  # first, so that the lines take their headers from it
-        return marts.daily_sales(orders, self.items_once, self.dates)
+        return marts.daily_sales(orders, self.items_once, self.dates, self.active_sets)
+
+    @property
+    def active_sets(self) -> DataFrame:
+        """Customers with revenue of each day, as sets that months are merged from."""
+        return self.once("active-sets", lambda: marts.active_sets(self.orders_once))
 
     @property
     def position(self) -> DataFrame:

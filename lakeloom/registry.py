@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom import functions as fn
-from lakeloom.operators import dedup, merge, publish, rules
-from lakeloom.operators import windows as win
+from lakeloom.operators import dedup, merge, prefix, publish, rules
 from lakeloom.operators.scratch import scratch
 from lakeloom.plans import checks, deliveries, marts, reads, silver, staging, star
 from lakeloom.plans.sample import LINE_KEYS, LINE_VERSION, SQL_TABLES, Commerce
@@ -179,7 +178,7 @@ _register(
 
 _register(
     "monthly_revenue",
-    lambda c: marts.monthly_revenue(c.daily, c.orders_once),
+    lambda c: marts.monthly_revenue(c.daily, c.orders_once, c.active_sets),
     """
     , m AS (SELECT year_month, min(sales_date) AS month_start, CAST(sum(orders_placed) AS BIGINT) AS orders_placed, CAST(sum(revenue_orders) AS
     BIGINT) AS revenue_orders, CAST(sum(cancelled_orders) AS BIGINT) AS cancelled_orders, CAST(sum(returned_orders) AS BIGINT) AS returned_orders,
@@ -481,7 +480,7 @@ _register(
 )
 _register(
     "customer_sequence",
-    lambda c: win.sequence_in_group(c.derived("c_orders"), ["customer_id"], ["order_ts", "order_id"], "seq", "order_date").select("order_id", "seq", "days_since_prev_seq"),
+    lambda c: prefix.sequence_in_group(c.derived("c_orders"), ["customer_id"], ["order_ts", "order_id"], "seq", "order_date").select("order_id", "seq", "days_since_prev_seq"),
     """
     SELECT order_id, row_number() OVER w AS seq, CAST(order_date - lag(order_date) OVER w AS BIGINT) AS days_since_prev_seq FROM c_orders WINDOW w AS
     (PARTITION BY customer_id ORDER BY order_ts, order_id)
@@ -489,7 +488,7 @@ _register(
 )
 _register(
     "running_balance",
-    lambda c: win.running_sum(c.derived("c_stock_events"), ["product_id"], ["event_ts", "event_id"], "quantity_delta", "balance").select("event_id", "balance"),
+    lambda c: prefix.running_sum(c.derived("c_stock_events"), ["product_id"], ["event_ts", "event_id"], "quantity_delta", "balance").select("event_id", "balance"),
     """
     SELECT event_id, CAST(sum(quantity_delta) OVER (PARTITION BY product_id ORDER BY event_ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS
     balance FROM c_stock_events
@@ -1027,7 +1026,7 @@ _register(
 )
 _register(
     "assert_monthly_matches_daily",
-    lambda c: reads.monthly_against_daily(marts.monthly_revenue(c.daily, c.orders_once), c.daily),
+    lambda c: reads.monthly_against_daily(marts.monthly_revenue(c.daily, c.orders_once, c.active_sets), c.daily),
     """
     SELECT year_month, CAST(sum(revenue_usd) AS DOUBLE) AS monthly_usd, CAST(sum(revenue_usd) AS DOUBLE) AS daily_usd, TRUE AS matches FROM daily
     GROUP BY year_month
@@ -1076,7 +1075,7 @@ _SQL["ask_quarantined"] = f"SELECT rule_id, failed, total, round(failed / total,
 
 # ---- further reads, and the business questions
 
-_monthly = lambda c: marts.monthly_revenue(c.daily, c.orders_once)
+_monthly = lambda c: marts.monthly_revenue(c.daily, c.orders_once, c.active_sets)
 _categories = lambda c: marts.category_revenue(c.lines)
 _MONTHLY_COLUMNS = "year_month, month_start, orders_placed, revenue_orders, revenue_usd, gross_margin_usd, gross_margin_pct, units_sold, active_customers, new_customers, avg_order_value_usd, revenue_mom_growth"
 _over = lambda mart: f"({_SQL[mart]})"

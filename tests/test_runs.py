@@ -33,7 +33,7 @@ def test_marts_of_one_run_share_their_facts(run):
     registry._supplier_mart(run)
     run.metrics  # noqa: B018
     assert run.scans.count("orders") == 3 and run.scans.count("lineitem") == 1
-    assert sorted(run.writes) == sorted(set(run.writes)) and {"order-days", "rates", "items", "fact-orders", "fact-items"} == set(run.writes)
+    assert sorted(run.writes) == sorted(set(run.writes)) and {"order-days", "rates", "items", "fact-orders", "fact-items", "active-sets"} == set(run.writes)
     assert monthly.count() == daily.select("year_month").distinct().count()
 
 
