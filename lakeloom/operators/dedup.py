@@ -7,11 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.scratch import written
+
+#: Fingerprints of 16 bytes that are broadcast; where more are repeated, all rows are compared whole, in one shuffle.
+AT_ONCE = 1_000_000
+
+
+def _fingerprint(columns: Sequence[str]) -> dict[str, Column]:
+    """128 bits of hash over the columns; equal rows have equal ones."""
+    return {"_fp1": F.xxhash64(*columns), "_fp2": F.xxhash64(F.lit(7), *columns)}
+
 
 def drop_exact_duplicates(df: DataFrame, columns: Sequence[str], first_by: Sequence[str | Column]) -> DataFrame:
-    """One row of those that agree in all ``columns`` (nulls are equal): the first by ``first_by``."""
+    """One row of those that agree in all ``columns`` (nulls are equal): the first by ``first_by``.
+
+    Fingerprints are counted first, with map-side combine. Rows whose fingerprint stands alone stay where they are; only the others are shuffled
+    and compared as whole rows, so rows that share a fingerprint by chance all stay. ``df`` is read three times and should be a table, not a costly plan.
+    """
+    marks = _fingerprint(columns)
+    marked = df.withColumns(marks)
+    counts = marked.groupBy(*marks).agg(F.count(F.lit(1)).alias("_n"))
+    again = written(counts.where("_n > 1").select(*marks), "fingerprints")
     order = Window.partitionBy(*columns).orderBy(*first_by)
-    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    first = lambda rows: rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    if again.count() > AT_ONCE:
+        return first(df)
+    alone, met = (marked.join(F.broadcast(again), list(marks), how) for how in ("left_anti", "left_semi"))
+    return alone.unionByName(first(met)).drop(*marks)
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], version: Sequence[str | Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from lakeloom import functions as fn
 from lakeloom.operators import distinct, ordered, prefix
 from lakeloom.operators import windows as win
 from lakeloom.operators.scratch import written
+from lakeloom.plans import star
 
 #: Parameters of the marts.
 DECLINING, LOW_STOCK_DAYS, ACTIVE_DAYS, RISK_DAYS = 0.7, 14, 90, 180
@@ -137,8 +138,8 @@ def customer_ltv(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def product_metrics(products: DataFrame, lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Per product: totals, trend of the last 90 days against the 90 before, velocity of the last 30, rank. One pass over the lines."""
     zero = F.lit("0").cast("decimal(18,2)")
-    totals = _dated(lines, orders).groupBy("product_id").agg(
-        F.countDistinct("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"),
+    totals = _dated(star.by_order(lines, ["product_id", "order_date"]), orders).groupBy("product_id").agg(
+        F.count("order_id").alias("orders"), F.sum("quantity").alias("units_sold"), F.sum("line_total_usd").alias("revenue_usd"),
             F.sum("gross_margin_usd").alias("gross_margin_usd"),
         F.countDistinct("customer_id").alias("unique_customers"), F.min("order_date").alias("first_sold_date"), F.max("order_date").alias("last_sold_date"), *_periods(),
     )

@@ -197,7 +197,7 @@ def _order_items(df: DataFrame, refs: Mapping[str, DataFrame]) -> DataFrame:
         discount_pct_t=F.coalesce(fn.num(col("discount_pct")), F.lit(0.0)), line_total_t=fn.num(col("line_total")),
         currency_n=fn.upper(col("currency")))
     df = _add(df, line_total_calc=F.round(col("quantity_t") * col("unit_price_t") * (1 - col("discount_pct_t") / 100), 2))
-    return _add(df, line_total_fixed=F.when(F.abs(col("line_total_t") - col("line_total_calc")) <= 0.05, col("line_total_t")).otherwise(col("line_total_calc")))
+    return _add(df, line_total_fixed=fn.recompute(col("line_total_t"), col("line_total_calc")))
 
 
 def _payments(df: DataFrame, refs: Mapping[str, DataFrame]) -> DataFrame:
