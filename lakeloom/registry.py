@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lakeloom import functions as fn
 from lakeloom.operators import dedup, merge, prefix, publish, rules
+from lakeloom.operators.asof import asof_join
 from lakeloom.operators.scratch import scratch
 from lakeloom.plans import checks, deliveries, marts, reads, silver, staging, star
 from lakeloom.plans.sample import LINE_KEYS, LINE_VERSION, SQL_TABLES, Commerce
@@ -122,6 +123,15 @@ _table("product_metrics", lambda c: c.metrics, "metrics",
     "product_id product_name category_name supplier_name orders:i units_sold:i revenue_usd:d gross_margin_usd:d unique_customers:i first_sold_date last_sold_date revenue_last_90d:d revenue_prior_90d:d revenue_trend_ratio is_declining velocity_units_per_day:d revenue_rank:i")
 _table("daily_sales", lambda c: c.daily, "daily",
     "sales_date year_month is_weekend orders_placed:i revenue_orders:i cancelled_orders:i returned_orders:i active_customers:i new_customers:i revenue_usd:d discount_usd:d refunded_usd:d gross_margin_usd:d units_sold:i avg_order_value_usd")
+_register(
+    "fx_asof",
+    lambda c: asof_join(c.derived("c_orders").select("order_id", "order_date", "currency"), c.given_rates.withColumn("rate_day", F.col("day")), ["currency"],
+        "order_date", "day", ["usd_per_unit", "rate_day"]),
+    """
+    SELECT o.order_id, o.order_date, o.currency, CAST(r.usd_per_unit AS DOUBLE) AS usd_per_unit, r.day AS rate_day
+    FROM c_orders o ASOF LEFT JOIN given_rates r ON o.currency = r.currency AND o.order_date >= r.day
+    """,
+)
 _table("fx_forward_fill", lambda c: c.rates, "rates", "day currency usd_per_unit:d")
 _table("order_item_agg", lambda c: star.item_totals(c.derived("c_items")), "item_totals", "order_id item_count:i total_quantity:i items_total:d gross_total:d")
 _table("payment_agg", lambda c: star.payment_totals(c.derived("c_payments")), "payment_totals", "order_id paid_at captured:d refunded:d failed:i")
