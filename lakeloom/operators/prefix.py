@@ -84,30 +84,32 @@ def sequence_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
     return out.withColumn(since, F.datediff(F.col(day), F.col(since))) if day else out
 
 
-def percentiles(counted: DataFrame, group: Sequence[str], value: str, count: str, named: Mapping[str, float]) -> DataFrame:
+def percentiles(counted: DataFrame, group: Sequence[str], value: str, count: str, named: Mapping[str, float], beside: Sequence[Column] = ()) -> DataFrame:
     """Exact percentiles of each group, interpolated as ``F.percentile`` does, from ``counted``: rows (unique by group and value) with a ``count``.
 
     A percentile is picked by rank: running counts in order of value say which value stands at a place, so a task holds counters and no set of values. The
-    rows of a group meet its size in ``SPREAD`` parts. Null values and counts of 0 don't count; a group without others has no row.
+    rows of a group meet its size in ``SPREAD`` parts. Null values don't count; a group without others has null percentiles. ``beside`` are
+    further aggregates of ``counted``, taken in the same pass.
     """
-    rows = counted.select(*group, value, count).where(F.col(value).isNotNull() & (F.col(count) > 0))
-    upto = scan(rows, group, [value], sums={"_upto": F.col(count)}).withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SPREAD)).cast("int"))
-    sizes = rows.groupBy(*group).agg(F.sum(count).alias("_size")).select(*[F.col(c).alias(f"_of_{c}") for c in group], "_size",
+    rows = counted.withColumn("_rows", F.when(F.col(value).isNotNull(), F.coalesce(count, F.lit(0))).otherwise(0).cast("long"))
+    upto = scan(rows, group, [value], sums={"_upto": F.col("_rows")}).withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SPREAD)).cast("int"))
+    sizes = upto.groupBy(*group).agg(F.max("_upto").alias("_size")).select(*[F.col(c).alias(f"_of_{c}") for c in group], "_size",
         F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt_of"))
     met = upto.join(sizes, (upto["_salt"] == sizes["_salt_of"]) & _same(upto, sizes, group))
 
     def stands(at: Column) -> Column:
         """The value at a place from 0."""
-        return F.max(F.when((at < F.col("_upto")) & (at >= F.col("_upto") - F.col(count)), F.col(value).cast("double")))
+        return F.max(F.when((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_rows")), F.col(value).cast("double")))
 
     picked = []
     for i, p in enumerate(named.values()):
         at = (F.col("_size") - 1) * F.lit(float(p))
         picked += [stands(F.floor(at)).alias(f"_lo{i}"), stands(F.ceil(at)).alias(f"_hi{i}")]
-    picks = met.groupBy(*[upto[c] for c in group]).agg(F.max("_size").alias("_size"), *picked)
+    picks = met.groupBy(*group).agg(F.max("_size").alias("_size"), *picked, *beside)
 
     def between(i: int, p: float) -> Column:
         at, lo, hi = (F.col("_size") - 1) * F.lit(float(p)), F.col(f"_lo{i}"), F.col(f"_hi{i}")
         return F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
 
-    return picks.select(*group, *[between(i, p).alias(name) for i, (name, p) in enumerate(named.items())])
+    found = picks.select("*", *[between(i, p).alias(name) for i, (name, p) in enumerate(named.items())])
+    return found.drop("_size", *[f"_{end}{i}" for i in range(len(named)) for end in ("lo", "hi")])

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lakeloom import functions as fn
 from lakeloom.operators import distinct, ordered, prefix
 from lakeloom.operators import windows as win
-from lakeloom.operators.scratch import written
 from lakeloom.plans import star
 
 #: Parameters of the marts.
@@ -250,16 +249,14 @@ def shipping_performance(shipments: DataFrame) -> DataFrame:
     keys, done = ["region_code", "region_name", "carrier", "order_month"], F.when(F.col("is_delivered"), F.col("delivery_days"))
     facts = {"shipments": F.lit(True), "delivered": F.col("is_delivered"), "exceptions": F.col("had_exception"), "returned": F.col("is_returned"),
         "_on_time": F.col("delivered_on_time") & F.col("is_delivered"), "_timed": done.isNotNull()}
-    counted = written(shipments.groupBy(*keys, done.alias("_days")).agg(*[_n(v, k) for k, v in facts.items()],
-        F.sum(done.cast("decimal(18,2)")).alias("_sum"), F.max("base_delivery_days").alias("sla_days")), "delivery-days")
-    out = counted.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in facts], F.sum("_sum").alias("_sum"), F.max("sla_days").alias("sla_days"))
+    counted = shipments.groupBy(*keys, done.alias("_days")).agg(*[_n(v, k) for k, v in facts.items()],
+        F.sum(done.cast("decimal(18,2)")).alias("_sum"), F.max("base_delivery_days").alias("sla_days"))
+    sums = [F.sum(k).alias(k) for k in (*facts, "_sum")]
+    out = prefix.percentiles(counted, keys, "_days", "_timed", {"median": 0.5, "p90": 0.9}, [*sums, F.max("sla_days").alias("sla_days")])
     share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of))
-    out = out.select(*keys, "shipments", "delivered", "exceptions", "returned", F.when(F.col("_timed") > 0, F.col("_sum").cast("double") / F.col("_timed")).alias("avg_delivery_days"),
-        share("_on_time", "delivered").alias("on_time_rate"), share("exceptions", "shipments").alias("exception_rate"), "sla_days")
-    points = prefix.percentiles(counted, keys, "_days", "_timed", {"median_delivery_days": 0.5, "p90_delivery_days": 0.9})
-    points = points.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[F.round(c, 6).alias(c) for c in ("median_delivery_days", "p90_delivery_days")])
-    same = [out[k].eqNullSafe(points[f"_of_{k}"]) for k in keys]
-    return out.join(points, same, "left").drop(*[f"_of_{k}" for k in keys])
+    return out.select(*keys, "shipments", "delivered", "exceptions", "returned", F.when(F.col("_timed") > 0, F.col("_sum").cast("double") / F.col("_timed")).alias("avg_delivery_days"),
+        F.round("median", 6).alias("median_delivery_days"), F.round("p90", 6).alias("p90_delivery_days"), share("_on_time", "delivered").alias("on_time_rate"),
+        share("exceptions", "shipments").alias("exception_rate"), "sla_days")
 
 
 def order_lines_workload(items: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:

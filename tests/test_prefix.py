@@ -58,9 +58,16 @@ def test_percentiles_equal_those_of_spark(spark, n):
     df = frame(spark, n).withColumn("x", F.col("v") / 8)
     counted = df.groupBy("g", "x").agg(F.count("x").alias("n"))
     points = {"lo": 0.0, "p10": 0.1, "mid": 0.5, "p90": 0.9, "p99": 0.99, "hi": 1.0}
-    want = df.where("x IS NOT NULL").groupBy("g").agg(*[F.percentile("x", p).alias(k) for k, p in points.items()])
-    got = prefix.percentiles(counted, ["g"], "x", "n", points)
-    assert {r["g"]: tuple(r)[1:] for r in got.collect()} == {r["g"]: tuple(r)[1:] for r in want.collect()}
+    want = df.groupBy("g").agg(*[F.percentile("x", p).alias(k) for k, p in points.items()])
+    got = prefix.percentiles(counted, ["g"], "x", "n", points, [F.sum("n").alias("rows")])
+    assert {r["g"]: tuple(r[c] for c in want.columns[1:]) for r in got.collect()} == {r["g"]: tuple(r)[1:] for r in want.collect()}
+    assert {r["g"]: r["rows"] for r in got.collect()} == {r["g"]: r["rows"] for r in df.groupBy("g").agg(F.count("x").alias("rows")).collect()}
+
+
+def test_percentiles_of_a_group_without_values(spark):
+    df = spark.createDataFrame([("a", None, 3), ("b", None, 0), ("b", 2.0, 1)], "g string, x double, n long")
+    got = prefix.percentiles(df, ["g"], "x", "n", {"mid": 0.5})
+    assert sorted(map(tuple, got.collect())) == [("a", None), ("b", 2.0)]
 
 
 def test_sets_of_ids_add_up(spark):
