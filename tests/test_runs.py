@@ -3,7 +3,7 @@
 import pytest
 
 from lakeloom import registry
-from lakeloom.plans import marts
+from lakeloom.plans import marts, staging
 from lakeloom.plans.sample import Commerce
 from tests.conftest import SF
 
@@ -41,3 +41,11 @@ def test_marts_of_one_run_share_their_facts(run):
 def test_marts_of_lines_alone_make_no_order_fact(run, mart):
     _ = run.metrics if mart == "metrics" else registry._supplier_mart(run)
     assert run.scans.count("orders") == 2 and run.scans.count("lineitem") == 1 and "fact-orders" not in run.writes
+
+
+@pytest.mark.parametrize("name", sorted(staging.STAGING))
+def test_a_staging_table_makes_no_other_fact(run, name):
+    registry._staged(run, name)
+    assert not {"items", "fact-orders", "fact-items", "active-sets"} & set(run.writes)
+    assert run.scans.count("lineitem") == (name in ("stg_orders", "stg_order_items")) and run.scans.count("events") == (name in
+        ("stg_inventory_events", "stg_inventory_position", "stg_shipments"))
