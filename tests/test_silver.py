@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.operators import publish, rules
-from lakeloom.plans import silver
+from lakeloom.plans import deliveries, silver
 from lakeloom.sources.landing import with_lineage
+from tests.conftest import SF
 
 
 def landed(spark, dataset, rows, batch="b1"):
@@ -96,3 +97,14 @@ def test_other_projections(spark):
         "event_ts": "2025-01-01T00:00:00Z", "warehouse_id": "WH-99"}])
     good, seen = silver.typed("shipping_events", ship, {"orders": orders, "warehouses": spark.createDataFrame([("WH-01",)], "warehouse_id string")})
     assert good.head()["event"] == "delivered" and set(seen.head()["quality_warnings"]) == {"shipping_events.warehouse_known", "shipping_events.carrier_present"}
+
+
+def test_a_run_types_each_parent_once(spark, monkeypatch):
+    given = deliveries.Deliveries(spark, SF)
+    read, typed, scans, made = given.read, given.typed, [], []
+    monkeypatch.setattr(given, "read", lambda t: (scans.append(t), read(t))[1])
+    monkeypatch.setattr(given, "typed", lambda d: (made.append(d), typed(d))[1])
+    assert given.statistics().count() == sum(len(s.rules) for s in silver.SUITES.values())
+    assert sorted(made) == sorted(set(made)) == sorted({p for s in silver.SPECS.values() for p in s.needs})
+    plan = given.evaluated("order_items")._jdf.queryExecution().analyzed().toString()
+    assert scans.count("lineitem") == 1 and "l_shipdate" not in plan  # duplicates are told from a table, not from the window that makes it
