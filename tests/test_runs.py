@@ -49,3 +49,20 @@ def test_a_staging_table_makes_no_other_fact(run, name):
     assert not {"items", "fact-orders", "fact-items", "active-sets"} & set(run.writes)
     assert run.scans.count("lineitem") == (name in ("stg_orders", "stg_order_items")) and run.scans.count("events") == (name in
         ("stg_inventory_events", "stg_inventory_position", "stg_shipments"))
+
+
+def test_facts_are_written_without_the_keys_that_readers_make(run):
+    assert not {"order_key", "customer_key", "region_key"} & set(run.orders_once.sparkSession.read.parquet(*run.orders_once.inputFiles()).columns)
+    for once, plan in ((run.orders_once, run.fact_orders), (run.items_once, run.fact_items)):
+        assert once.columns == plan.columns and once.dtypes == plan.dtypes
+        assert once.exceptAll(plan).isEmpty() and plan.exceptAll(once).isEmpty()
+
+
+def test_stock_and_shipments_are_scanned_once_a_run(run):
+    registry._turnover(run)
+    registry._supplier_mart(run)
+    _ = run.position
+    assert run.scans.count("events") == 1
+    other = len(run.scans)
+    registry._fact_keys(run)
+    assert run.scans[other:].count("events") == 1 and "fact-shipping" in run.writes
