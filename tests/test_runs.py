@@ -66,3 +66,7 @@ def test_stock_and_shipments_are_scanned_once_a_run(run):
     other = len(run.scans)
     registry._fact_keys(run)
     assert run.scans[other:].count("events") == 1 and "fact-shipping" in run.writes
+
+
+def test_tables_of_a_run_are_packed_tightly(run):
+    assert run.order_days.inputFiles() and all(".zstd." in f for f in run.order_days.inputFiles())
