@@ -1,9 +1,12 @@
 """What the marts of one run read: shared tables are written once, sources are scanned a few times."""
 
+from datetime import date
+from decimal import Decimal
+
 import pytest
 
 from lakeloom import registry
-from lakeloom.plans import marts, staging
+from lakeloom.plans import marts, sample, staging, star
 from lakeloom.plans.sample import Commerce
 from tests.conftest import SF
 
@@ -70,3 +73,26 @@ def test_stock_and_shipments_are_scanned_once_a_run(run):
 
 def test_tables_of_a_run_are_packed_tightly(run):
     assert run.order_days.inputFiles() and all(".zstd." in f for f in run.order_days.inputFiles())
+
+
+def test_products_by_day_are_summed_in_tasks_of_a_known_size(run, monkeypatch):
+    monkeypatch.setattr(sample, "A_TASK", 500)
+    n = run.parts("lineitem")
+    assert n == -(-run.spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500) and n > run.spark.sparkContext.defaultParallelism
+    few = star.product_daily_sales(run.fact_items, n)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {n}), REPARTITION_BY_NUM") == 3  # lines by order key, lines and then orders by product and day
+    whole = star.product_daily_sales(run.fact_items)
+    assert few.dtypes == whole.dtypes and few.exceptAll(whole).isEmpty() and whole.exceptAll(few).isEmpty()
+
+
+def test_products_by_day_count_an_order_and_a_customer_once(spark):
+    columns = "product_id, category_id, supplier_id, order_date, order_month, order_id, customer_id, quantity, line_total_usd, gross_margin_usd, is_revenue"
+    types = "long long long date string long long long decimal(18,2) decimal(18,2) boolean".split()
+    day = date(2024, 1, 2)
+    rows = [(1, 2, 3, day, "2024-01", order, customer, 2, Decimal("5.00"), None, kept) for order, customer, kept in
+        ((10, 7, True), (10, 7, True), (11, 7, True), (12, 8, True), (13, None, True), (14, 9, False))]
+    lines = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(columns.split(", "), types)))
+    for parts in (None, 3):
+        got = star.product_daily_sales(lines, parts).collect()
+        assert [tuple(r) for r in got] == [(1, 2, 3, day, "2024-01", 4, 10, Decimal("25.00"), None, 2)]
