@@ -79,7 +79,7 @@ def test_products_by_day_are_summed_in_tasks_of_a_known_size(run, monkeypatch):
     monkeypatch.setattr(sample, "A_TASK", 500)
     n = run.parts("lineitem")
     assert n == -(-run.spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500) and n > run.spark.sparkContext.defaultParallelism
-    few = star.product_daily_sales(run.fact_items, n)
+    few = star.product_daily_sales(run.fact_items_in(n), n)
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {n}), REPARTITION_BY_NUM") == 3  # lines by order key, lines and then orders by product and day
     whole = star.product_daily_sales(run.fact_items)
