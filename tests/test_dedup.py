@@ -43,3 +43,12 @@ def test_rows_that_stand_alone_are_not_shuffled(spark, folder):
     plan = dedup.drop_exact_duplicates(spark.read.parquet(f"{folder}/t"), ["a", "b", "c"], ["i"])._jdf.queryExecution().executedPlan().toString()
     alone = plan[: plan.index("LeftSemi")]
     assert "BroadcastHashJoin" in alone and "LeftAnti" in alone and plan.count("hashpartitioning") == 1 and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, -1])
+def test_latest_of_few(spark, monkeypatch, folder, at_once):
+    monkeypatch.setattr(dedup, "AT_ONCE", at_once)
+    frame(spark, 500).write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    got = dedup.keep_latest_of_few(df, ["a", "c"], ["b", "i"])
+    assert got.columns == df.columns and rows(got) == rows(dedup.keep_latest(df, ["a", "c"], ["b", "i"]))

@@ -1,9 +1,11 @@
 """Typed tables from two small deliveries: recovery, warnings, rejects, cascades, newest versions, reruns."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import publish, rules
+from lakeloom.operators import dedup, publish, rules
 from lakeloom.plans import deliveries, silver
 from lakeloom.sources.landing import with_lineage
 from tests.conftest import SF
@@ -122,3 +124,52 @@ def test_rows_that_share_a_typed_key_give_one_result_in_any_order_of_files(spark
         both.orderBy(F.col(key).desc() if back else key).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{back}/{source}.parquet")
         found.append(sorted(map(str, deliveries.Deliveries(spark, f"{folder}/{back}").shown(dataset).collect())))
     assert found[0] == found[1] and found[0]
+
+
+def shuffle_files(spark):
+    roots = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    return {f for r in roots for _, _, names in os.walk(r) for f in names if f.startswith("shuffle")}
+
+
+@pytest.mark.parametrize("at_once", [1_000_000, 0])
+def test_a_build_leaves_neither_shuffles_nor_blocks_nor_scratch_behind(spark, folder, monkeypatch, at_once):
+    monkeypatch.setattr(dedup, "AT_ONCE", at_once)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    given = deliveries.Deliveries(spark, SF)
+    frames = {d: given.landed(d) for d in ("regions", "customers", "orders")}
+    before, cached = shuffle_files(spark), spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    seen = []
+    monkeypatch.setattr(rules, "enforce", lambda *a: seen.append(spark.sparkContext._jsc.sc().getPersistentRDDs().size()))
+    try:
+        counts = silver.build_all(frames, folder, "b1", "r1")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = shuffle_files(spark) - before
+    assert counts["orders"] == publish.read(spark, f"{folder}/orders").count() == given.typed("orders").count() > 0
+    assert seen == [cached] * 3  # evaluated rows lie in a packed table, not in blocks of every column
+    assert not left
+    assert not [n for n in os.listdir(shared) if n.startswith("judged-")]
+
+
+def test_records_hold_what_was_delivered_where_a_column_was_replaced(spark, folder):
+    silver.build_all({"regions": landed(spark, "regions", [REGION])}, folder, "b1", "r1")
+    rows = [customer(i) for i in range(1, 40)] + [customer(50, customer_id=" cust-000050 ", region_code=" na-east", customer_segment="alien")]
+    silver.build_all({"customers": landed(spark, "customers", rows)}, folder, "b1", "r1")
+    bad = rules.read_quarantine(spark, f"{folder}/_quarantine", "customers", "b1").head()
+    assert bad["rule_ids"] == ["customers.segment_allowed"]
+    assert '"customer_id":" cust-000050 "' in bad["record"] and '"region_code":" na-east"' in bad["record"] and "_given" not in bad["record"]
+    assert all(f.endswith(".gz") for _, _, names in os.walk(f"{folder}/_quarantine") for f in names if f.startswith("part"))
+
+
+def test_a_join_by_order_needs_no_shuffle_after_duplicates(spark, monkeypatch):
+    """Where all rows are shuffled to find copies, they are dealt as the join with their parent needs them, and hold each delivered column once."""
+    monkeypatch.setattr(dedup, "AT_ONCE", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        given = deliveries.Deliveries(spark, SF)
+        plan = given.evaluated("payments")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(order_id") == 1 and "hashpartitioning(payment_id" not in plan
+    assert all("_raw" not in line for line in plan.splitlines() if "Exchange" in line)
