@@ -1,5 +1,6 @@
 """Merges: reruns, moved keys, null partitions, and the same through a file stream."""
 
+import os
 import pathlib
 
 import pytest
@@ -142,3 +143,21 @@ def test_moved_keys_are_found_by_the_index(spark, folder):
     merge.overwrite_partitions(publish.read(spark, path, ["2024-03"]), path, "month")  # writes without the index: made again by the next merge
     assert publish.manifest(spark, path)["index"] is None
     assert merge.merge_partitioned(spark.createDataFrame([(1, "p1", "2025-03", 9)], schema), path, key, ["version"], "month")[1] == ["2024-02", "2025-03"]
+
+
+def test_columns_of_one_text_are_added_behind_the_shuffle(spark, folder):
+    """A first merge doesn't shuffle them; one into a table that holds other texts keeps each row's own."""
+    new = lambda b, ids, v: spark.createDataFrame([(i, b, f"p{i % 2}", v) for i in ids], "k int, _batch string, p string, v int")
+    for batch, ids, v in (("b1", range(6), 1), ("b2", range(4, 9), 2)):
+        merge.merge_partitioned(new(batch, ids, v), f"{folder}/t", ["k"], ["v"], "p", fixed={"_batch": batch, "p": "not used: it is the partition"})
+    got = publish.read(spark, f"{folder}/t")
+    assert got.columns == ["k", "_batch", "p", "v"]
+    assert sorted(map(tuple, got.collect())) == [(i, "b1" if i < 4 else "b2", f"p{i % 2}", 1 if i < 4 else 2) for i in range(9)]
+
+
+def test_index_is_written_without_a_shuffle(spark, folder):
+    rows = spark.range(100).selectExpr("id", "id % 3 AS p").repartition(3)
+    parts, n = publish.stage(rows, f"{folder}/t", F.col("p").cast("string"), gathered=False)
+    files = [f for p in parts.values() for f in os.listdir(f"{folder}/t/{p}") if f.endswith(".parquet")]
+    assert (sorted(parts), n, len(files)) == (["0", "1", "2"], 100, 9)
+    assert sorted(r["id"] for r in publish.read_folders(spark, f"{folder}/t", parts.values(), rows.schema).collect()) == list(range(100))
